@@ -70,7 +70,7 @@ class UnitEncoder(dict):
     and :meth:`text` hands such texts whole to the library.
     """
 
-    LIMIT = 2_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, vocabulary: str, id_bytes: int):
         from tokenizers import Tokenizer
