@@ -1,11 +1,11 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
-Features are the presence of words of a vocabulary: the words whose labelled
-document counts differ most between the classes, and the identity terms.  Each
-labelled sentence with an identity term has counterfactuals in which the term is
-swapped for the others of its group; the training loss adds ``penalty`` times the
-mean squared change of the score under a swap, so mentions of a group as such
-move no score.  Document counts come from all labelled texts; the weights are
+Features are the presence in a text of words and of word beginnings (for inflected
+forms).  The vocabulary holds those whose labelled document counts differ
+significantly between the classes, and the identity terms.  Each labelled sentence
+with an identity term has counterfactuals in which the term is swapped for the
+others of its group; the training loss adds ``penalty`` times the mean squared
+change of the score under a swap, so mentions of a group as such move no score.  Document counts come from all labelled texts; the weights are
 fitted on at most ``SAMPLE`` documents of each class.
 """
 
@@ -23,9 +23,12 @@ from .common import held_out
 
 #: Documents of each class on which weights are fitted: about so many, picked by a hash of doc_id.
 SAMPLE = 4000
-VOCABULARY = 1000
-#: Labelled documents that a word must stand in.
+#: Features at most, the most significant first; squared z-score that a feature must reach.
+VOCABULARY = 2000
+SIGNIFICANT = 16.0
+#: Labelled documents that a feature must stand in.
 LEAST_DOCS = 5
+BEGINNINGS = (4, 5)
 PENALTY = 10.0
 RIDGE = 1e-4
 #: Identity terms that swap with the others of their group (a parameter).
@@ -48,18 +51,25 @@ def terms(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def features(words: set[str]) -> set[str]:
+    """The words, and with a tilde the beginnings of those that are longer."""
+    return words.union(*[{w[:k] + "~" for w in words if len(w) > k} for k in BEGINNINGS])
+
+
 def swaps(text: str | None, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
-    """Counterfactuals of a text's sentences: for each, the words it gains and those it loses."""
-    found = []
+    """Counterfactuals of a text's sentences: for each, the features it gains and those it loses."""
     partners = {t: g for g in groups for t in g}
     if not partners.keys() & terms(text):
-        return found
+        return []
+    found = []
     for sentence in SENTENCE.findall(text or ""):
         own = terms(sentence)
+        before = features(own)
         for term in sorted(own & partners.keys()):
             for other in partners[term]:
                 if other != term:
-                    found.append(((other,) if other not in own else (), (term,)))
+                    after = features(own - {term} | {other})
+                    found.append((tuple(sorted(after - before)), tuple(sorted(before - after))))
     return found
 
 
@@ -68,38 +78,41 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count: dict[str, list[int]] = {}
         for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-            for w in terms(text):
+            for w in features(terms(text)):
                 row = count.setdefault(w, [0, 0])
                 row[0] += 1
                 row[1] += label
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([r[0] for r in count.values()], pa.int64()), pa.array([r[1] for r in count.values()], pa.int64())], names=["word", "n", "n_toxic"])
 
 
-def fit(places: list[np.ndarray], y: np.ndarray, gains: np.ndarray, losses: np.ndarray, weight: np.ndarray, size: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit(places: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise log loss, ridge and the counterfactual penalty.
 
-    ``places[i]``: features of document i.  A swap k adds feature ``gains[k]`` and
-    takes ``losses[k]`` (``size`` for none) and counts ``weight[k]``.  Accelerated
-    gradient descent; classes weigh the same.
+    ``places[i]``: features of document i, its label ``y[i]``; ``pairs[k]``: features
+    that swap k gains and loses.  Accelerated gradient descent; classes weigh the same.
     """
-    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    cols = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([c for x in lists for c in x], dtype=np.int64)
+
+    rows, cols = flat(places)
+    swap, swap_cols = flat([g + x for g, x in pairs])
+    sign = np.array([v for g, x in pairs for v in [1.0] * len(g) + [-1.0] * len(x)])
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    heavy = weight / weight.sum() if len(weight) else weight
-    w, b = np.zeros(size + 1), 0.0
-    look, look_b = w.copy(), b
-    step = 1.0 / (0.25 * (1 + max([0, *map(len, places)]) ** 0.5 * 4) + 4 * penalty * bool(len(weight)))
+    most = 1 + max(map(len, places), default=0)
+    step = 1 / (0.25 * most + RIDGE + 2 * penalty * max((len(g) + len(x) for g, x in pairs), default=0))
+    w, b = np.zeros(size), 0.0
+    look, look_b = w, b
     for k in range(rounds):
         z = np.bincount(rows, look[cols], len(places)) + look_b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        grad = np.bincount(cols, error[rows], size + 1) + RIDGE * look
-        change = 2 * penalty * heavy * (look[gains] - look[losses])
-        grad += np.bincount(gains, change, size + 1) - np.bincount(losses, change, size + 1)
+        grad = np.bincount(cols, error[rows], size) + RIDGE * look
+        if pairs:
+            change = np.bincount(swap, sign * look[swap_cols], len(pairs)) * (2 * penalty / len(pairs))
+            grad += np.bincount(swap_cols, sign * change[swap], size)
         new, new_b = look - step * grad, look_b - step * error.sum()
-        new[size] = 0.0
         look, look_b = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b)
         w, b = new, new_b
-    return w[:size], float(b)
+    return w, float(b)
 
 
 class Model:
@@ -107,7 +120,7 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
     def score(self, text: str | None) -> float:
-        z = self.intercept + sum(self.weights[w] for w in sorted(self.weights.keys() & terms(text)))
+        z = self.intercept + sum(self.weights[w] for w in sorted(self.weights.keys() & features(terms(text))))
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
@@ -126,35 +139,28 @@ def learn(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, penalty: f
     if not n0 or not n1:
         return Model({}, 30.0 if n1 else -700.0)
     a, b = F.col("n_toxic"), F.col("n") - F.col("n_toxic")
-    gap = (a / n1 - b / n0) * (a / n1 - b / n0) / ((a + b) / (n0 + n1))
-    named = [t for g in groups for t in g]
-    best = counts.where(F.col("n") >= LEAST_DOCS).orderBy(gap.desc(), "word").limit(VOCABULARY).select("word").collect()
-    extra = counts.where(F.col("word").isin(named)).select("word").collect()
-    vocabulary = {w: k for k, w in enumerate(sorted({r["word"] for r in [*best, *extra]}))}
+    common = F.col("n") / (n0 + n1)
+    z2 = (a / n1 - b / n0) * (a / n1 - b / n0) / (F.greatest(common * (1 - common), F.lit(1e-9)) * (1 / n0 + 1 / n1))
+    named = sorted({t for g in groups for t in g})
+    best = counts.where((F.col("n") >= LEAST_DOCS) & (z2 >= SIGNIFICANT)).orderBy(z2.desc(), "word").limit(VOCABULARY).select("word").collect()
+    vocabulary = {w: k for k, w in enumerate(sorted({r["word"] for r in best} | features(set(named))))}
     shares = F.when(F.col("toxic") == 1, min(1.0, sample / n1)).otherwise(min(1.0, sample / n0))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000)) < shares * 1_000_000)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = lambda found: sorted(vocabulary[w] for w in found if w in vocabulary)
         for batch in batches:
-            for_each, gains, losses = [], [], []
+            own, pairs = [], []
             for text in batch.column("text").to_pylist():
-                for_each.append(sorted(vocabulary[w] for w in vocabulary.keys() & terms(text)))
-                pairs = [(vocabulary.get(g[0], -1) if g else -1, vocabulary.get(x[0], -1)) for g, x in swaps(text, groups)]
-                gains.append([p[0] for p in pairs])
-                losses.append([p[1] for p in pairs])
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(for_each, lists), pa.array(gains, lists), pa.array(losses, lists)], names=["doc_id", "toxic", "features", "gains", "losses"])
-
-    rows = drawn.mapInArrow(features, "doc_id long, toxic int, features array<int>, gains array<int>, losses array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
-    size = len(vocabulary)
-    swap: dict[tuple[int, int], int] = {}
-    for r in rows:
-        for pair in zip(r["gains"], r["losses"]):
-            swap[pair] = swap.get(pair, 0) + 1
-    pairs = sorted(swap)
-    at = lambda k: np.array([size if p[k] < 0 else p[k] for p in pairs], dtype=np.int64)
-    w, intercept = fit([np.array(r["features"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), at(0), at(1), np.array([swap[p] for p in pairs], dtype=float), size, penalty)
+                own.append(places(features(terms(text))))
+                pairs.append([[places(g), places(x)] for g, x in swaps(text, groups)])
+            one = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, one), pa.array(pairs, pa.list_(pa.list_(one)))], names=["doc_id", "toxic", "own", "pairs"])
+
+    found = drawn.mapInArrow(rows, "doc_id long, toxic int, own array<int>, pairs array<array<array<int>>>").collect()  # the bounded sample
+    found.sort(key=lambda r: (r["doc_id"], r["toxic"], r["own"]))
+    swapped = [(list(g), list(x)) for r in found for g, x in r["pairs"] if g or x]
+    w, intercept = fit([r["own"] for r in found], np.array([r["toxic"] for r in found], dtype=float), swapped, len(vocabulary), penalty)
     return Model({t: float(w[k]) for t, k in vocabulary.items()}, intercept)
 
 
