@@ -90,9 +90,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "comp")
 
 
+#: Fingerprints whose variants one task emits: few enough for its partial aggregates to stay in memory.
+EMIT = 12_000
+
+
+def emitters(df: DataFrame) -> DataFrame:
+    """``df`` dealt out by fingerprint to tasks of about EMIT rows."""
+    return df.repartition(-(-df.count() // EMIT) or 1, "fp")
+
+
 def near_links(distinct: DataFrame) -> DataFrame:
     """Star edges (a, b) that connect all fingerprints (column fp, distinct) within distance two."""
-    variants = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in flips()])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    variants = emitters(distinct).select("fp", F.explode(F.array(*[F.lit(m) for m in flips()])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("fp").alias("n")).where("n > 1")
     pairs = met.where("n = 2").select("a", "b")
     # Three and more at a variant: every member gets an edge to the smallest.
@@ -104,7 +113,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def far_links(distinct: DataFrame) -> DataFrame:
     """Edges between fingerprints at distance three that lie in different components (columns fp, comp)."""
     forms = F.array(*[F.struct(F.lit(keep(a, b)).alias("keep"), F.lit(1 << a).alias("mark"), F.array(*[F.lit(m) for m in flips(a, b)]).alias("masks")) for a, b in PARTS])
-    one = distinct.select("fp", "comp", F.explode(forms).alias("form")).select(
+    one = emitters(distinct).select("fp", "comp", F.explode(forms).alias("form")).select(
         "fp", "comp", F.col("fp").bitwiseAND(F.col("form.keep")).bitwiseOR(F.col("form.mark")).alias("kept"), F.explode("form.masks").alias("mask")
     )  # the mark, a bit of the erased part, keeps most buckets of different parts apart; the comparison settles the rest
     emitted = one.select("fp", "comp", F.col("kept").bitwiseXOR(F.col("mask")).alias("bucket"))
