@@ -1,10 +1,86 @@
-"""The training-data pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""The training-data pipeline over ``documents``: five stages, each one operator of ``scrivener.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns the documents that stay, with
+all their columns; the last returns what the token store holds.  ``run`` writes each
+stage's rows as Parquet in the shared folder and reads them again.
+
+Common cases: a null text has no letter, so the first stage rejects it; an empty
+table stays empty through all stages; rows that repeat a doc_id stay or go
+together; a row with a null doc_id is judged by its text and stays otherwise;
+columns of any other name pass through unchanged.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivener.llm import decontaminate, langid, mixing, simhash, token_store
+from scrivener.llm.common import held_out, small_enough, staged, table
+
+#: Posterior of the best language that a document needs.
+LEAST_SCORE = 0.5
+#: Most ids (8 bytes each) that are broadcast to drop rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The whole row as one column beside the text, so that no operator's column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the ids in ``gone``."""
+    gone = staged(gone.distinct(), "gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, BROADCAST_IDS) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: those without letters, or with no clear language, go."""
+    trees = langid.learn(docs.where(~held_out("doc_id")))
+    found = langid.predict(packed(docs), trees)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    kept = packed(docs)
+    for items in decontaminate.passes(table(spark, sf_dir, "benchmark")):
+        kept = decontaminate.occurrences(kept, items).where(F.size("ranges") == 0).select("row", "text")
+    return kept.select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the label domains to their target shares."""
+    found = mixing.mix_labelled(docs, table(spark, sf_dir, "labels"))
+    return without(docs, found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the token store."""
+    return token_store.token_store(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", simhash_neardup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mix_sources),
+    ("token store", token_output),
+]
+
+#: Byte contexts, fingerprints and fitted rates are beyond SQL; a brute-force test stands in for it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "corpus")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, secrets, toxicity, url_rules
+from . import decontaminate, langid, mixing, secrets, sentence_spans, topk, toxicity, url_rules
 from .common import table
 from .simhash import near_duplicates
 from .token_store import token_store
@@ -26,6 +26,14 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +50,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store)}
 ORACLES: dict[str, str] = {}
