@@ -27,7 +27,7 @@ SENTENCES = 2
 WORDS = 20
 #: Most repeated hashes (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
-SENTENCE = re.compile(r"[^.!?;:|\n…。！？]+[.!?;:|…。！？]*\n*")
+SENTENCE = re.compile(r"[^.!?;:|\n\u2026\u3002\uFF01\uFF1F]+[.!?;:|\u2026\u3002\uFF01\uFF1F]*\n*")
 WORD = re.compile(r"\w+")
 
 

@@ -43,7 +43,7 @@ from .common import drop_path, fresh_path
 ADDRESS = 16
 #: A unit holding one of these code points is left to the library's own splitting: newer
 #: Unicode versions classify some of them differently.
-RARE = regex.compile(r"[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U0010ffff]|[\x1c-\x1f\x85]")
+RARE = regex.compile(r"[\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7F1\uAB6C\uAB6D\U00010000-\U0010ffff\x1c-\x1f\x85]")
 #: How byte-level BPE vocabularies of this family split text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
