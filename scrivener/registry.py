@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import correction
+
+QUERIES = dict(correction.QUERIES)
+ORACLES = dict(correction.ORACLES)
