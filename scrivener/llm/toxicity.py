@@ -5,8 +5,8 @@ forms).  The vocabulary holds those whose labelled document counts differ
 significantly between the classes, and the identity terms.  Each labelled sentence
 with an identity term has counterfactuals in which the term is swapped for the
 others of its group; the training loss adds ``penalty`` times the mean squared
-change of the score under a swap, so mentions of a group as such move no score.  Document counts come from all labelled texts; the weights are
-fitted on at most ``SAMPLE`` documents of each class.
+change of the score under a swap, so mentions of a group as such move no score.  Vocabulary and weights come from a bounded sample of the labelled
+documents, ``SAMPLE`` of each class.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Documents of each class on which weights are fitted: about so many, picked by a hash of doc_id.
-SAMPLE = 4000
+#: Labelled documents of each class that are learned from: about so many, picked by a hash of doc_id.
+SAMPLE = 6000
 #: Features at most, the most significant first; squared z-score that a feature must reach.
 VOCABULARY = 2000
 SIGNIFICANT = 16.0
@@ -132,21 +132,23 @@ def learn(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, penalty: f
     labels of one class only that class's share decides.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out("doc_id")).join(marks, "doc_id").select("doc_id", "text", "toxic")
+    marks = marks.where(~held_out("doc_id")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    many = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    if not many.get(0) or not many.get(1):
+        return Model({}, 30.0 if many.get(1) else -700.0)
+    share = F.when(F.col("toxic") == 1, min(1.0, sample / many[1])).otherwise(min(1.0, sample / many[0]))
+    drawn = marks.where(F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    # The sample is bounded, so its ids go to the texts, not the texts to them.
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
     counts = known.select("text", "toxic").mapInArrow(word_rows, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    totals = {r["toxic"]: r["count"] for r in known.select("toxic").groupBy("toxic").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    if not n0 or not n1:
-        return Model({}, 30.0 if n1 else -700.0)
+    totals = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    n0, n1 = max(1, totals.get(0, 0)), max(1, totals.get(1, 0))
     a, b = F.col("n_toxic"), F.col("n") - F.col("n_toxic")
     common = F.col("n") / (n0 + n1)
     z2 = (a / n1 - b / n0) * (a / n1 - b / n0) / (F.greatest(common * (1 - common), F.lit(1e-9)) * (1 / n0 + 1 / n1))
     named = sorted({t for g in groups for t in g})
     best = counts.where((F.col("n") >= LEAST_DOCS) & (z2 >= SIGNIFICANT)).orderBy(z2.desc(), "word").limit(VOCABULARY).select("word").collect()
     vocabulary = {w: k for k, w in enumerate(sorted({r["word"] for r in best} | features(set(named))))}
-    shares = F.when(F.col("toxic") == 1, min(1.0, sample / n1)).otherwise(min(1.0, sample / n0))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000)) < shares * 1_000_000)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = lambda found: sorted(vocabulary[w] for w in found if w in vocabulary)
         for batch in batches:
@@ -157,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, penalty: f
             one = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, one), pa.array(pairs, pa.list_(pa.list_(one)))], names=["doc_id", "toxic", "own", "pairs"])
 
-    found = drawn.mapInArrow(rows, "doc_id long, toxic int, own array<int>, pairs array<array<array<int>>>").collect()  # the bounded sample
+    found = known.mapInArrow(rows, "doc_id long, toxic int, own array<int>, pairs array<array<array<int>>>").collect()  # the bounded sample
     found.sort(key=lambda r: (r["doc_id"], r["toxic"], r["own"]))
     swapped = [(list(g), list(x)) for r in found for g, x in r["pairs"] if g or x]
     w, intercept = fit([r["own"] for r in found], np.array([r["toxic"] for r in found], dtype=float), swapped, len(vocabulary), penalty)
