@@ -47,7 +47,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     many = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}
     share = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, sample / max(1, many.get(d, 0)))))])
     drawn = marks.where(F.pmod(F.xxhash64(F.lit("mixing sample"), "doc_id"), F.lit(UNIT)) < share[F.col("domain")] * UNIT)
-    counts = exploded(docs.select("doc_id", "text").join(drawn, "doc_id"), "domain").where("bucket is not null").groupBy("domain", "bucket").count().collect()
+    counts = exploded(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "domain").where("bucket is not null").groupBy("domain", "bucket").count().collect()
     table = {d: [1.0] * BUCKETS for d in domains}
     for r in counts:
         table[r["domain"]][r["bucket"]] += r["count"]
