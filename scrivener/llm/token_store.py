@@ -259,7 +259,7 @@ def write_store(docs: DataFrame, path: str, form: StoreFormat = StoreFormat()) -
     once = objects.groupBy("kind", "address").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "ids")))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = (
-        spark.read.schema(f"address binary, doc_id long, n long, ids binary, kind string").parquet(f"{path}/objects")
+        spark.read.schema("address binary, doc_id long, n long, ids binary, kind string").parquet(f"{path}/objects")
         .where("kind = 'recipe'").select("doc_id", "n", "ids")
     )
     recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(order_recipes, RECIPE).write.parquet(f"{path}/recipes")
@@ -345,11 +345,11 @@ def read_store(spark: SparkSession, path: str, form: StoreFormat = StoreFormat()
     recipe names a chunk that is missing.
     """
     chunks = (
-        spark.read.schema("address binary, ids binary").parquet(f"{path}/objects/kind=chunk")
+        spark.read.schema("address binary, ids binary, kind string").parquet(f"{path}/objects").where("kind = 'chunk'").select("address", "ids")
         .mapInArrow(lambda it: check_chunks(it, form), "address binary, n long, crc long")
     )
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest")
+    manifest = spark.read.schema("part int, start long").parquet(f"{path}/manifest")
     listed = recipes.select("part", "doc_id", "local_start", "chunks", "root").mapInArrow(unpack, "part int, doc_id long, local_start long, address binary, length long, after long")
     joined = listed.join(chunks, "address", "left").select("part", "doc_id", "local_start", "n", F.coalesce(F.col("n") == F.col("length"), F.lit(False)).alias("same"), F.coalesce("crc", F.lit(0)).alias("crc"), "after")
     parts = joined.mapInArrow(shift_rows, "part int, doc_id long, local_start long, n long, same boolean, crc long")
