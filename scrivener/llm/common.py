@@ -40,11 +40,21 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes an intermediate table that no later job reads."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    store, where = file_system(spark, path)
+    store.delete(where, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, where = file_system(spark, path)
+    return store.exists(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

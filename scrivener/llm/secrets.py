@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, path_exists
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ def scan(history: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     Columns of ``history`` named blob or spans are replaced.
     """
     spark = history.sparkSession
-    fresh = ledger_path is None
     ledger_path = ledger_path or fresh_path(spark, "ledger")
+    fresh = not path_exists(spark, ledger_path)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     addressed = history.drop("blob", "spans").withColumn("blob", F.unhex(F.sha2(text.cast("binary"), 256)))
     blobs = addressed.select("blob", text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
@@ -90,13 +90,15 @@ def scan(history: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     unseen = unseen.withColumn("scanned", due).where(F.size("scanned") > 0)
     found = F.concat(*[F.when(F.array_contains("scanned", r.key), spans(F.col("text"), r, k)).otherwise(F.expr(f"cast(array() as {SPAN})")) for k, r in enumerate(rules)])
     unseen.select("blob", "scanned", found.alias("spans")).write.mode("append").parquet(ledger_path)
-    # Of the ledger, what the rules in use found: a blob may have rows of several scans.
-    scanned = read_ledger(spark, ledger_path)
-    if not fresh:
-        scanned = scanned.where(F.arrays_overlap("scanned", F.array(*[F.lit(r.key) for r in rules])))
+
+    # Of each scan in the ledger, what the rules in use found in their version.
+    def own(rule: Rule) -> Column:
+        return F.when(F.array_contains("scanned", rule.key), F.filter("spans", lambda s: s["kind"] == rule.kind)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+    scanned = read_ledger(spark, ledger_path).select("blob", F.concat(*map(own, rules)).alias("spans"))
+    if not fresh:  # a blob may have rows of several scans
         scanned = scanned.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    current = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in rules]))
-    return addressed.drop("text").join(scanned.select("blob", F.array_sort(current).alias("spans")), "blob", "left")
+    return addressed.drop("text").join(scanned.select("blob", F.array_sort("spans").alias("spans")), "blob", "left")
 
 
 def read_ledger(spark, path: str) -> DataFrame:
