@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, mixing, secrets, sentence_spans, topk, toxicity, url_rules
 from .common import table
+from .oracles import ORACLES
 from .simhash import near_duplicates
 from .token_store import token_store
 
@@ -51,4 +52,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
