@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES, trimmed
+from .text import SPACES, let, trimmed
 
 # Fixed values.
 BEFORE, AFTER, MOST = 2000, 300, 220
@@ -22,11 +22,6 @@ CONSTRAINTS = (
 )
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def last(text: Column, n: Column) -> Column:
     """The last n characters; all of them for n = 0, as a slice from minus zero."""
     return F.when(n <= 0, text).otherwise(F.substring(text, F.greatest(F.length(text) - n + 1, F.lit(1)), F.length(text)))

@@ -16,6 +16,11 @@ CODE_WORDS = ("nmap", "sqlmap")
 KEYWORDS = ("const", "let", "var", "function", "return", "class", "import", "export")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
@@ -84,6 +89,6 @@ def token_before(text: Column, offset: Column) -> Column:
     at = F.least(F.greatest(F.coalesce(offset, F.length(text)), F.lit(0)), F.length(text))
     before = F.regexp_replace(F.substring(text, F.lit(1), at), rf"[{SPACES}]+\z", "")
     before = F.regexp_replace(before, r"[.,!?;:)\]}]+\z", "")
-    token = F.regexp_extract(before, rf"[^{SPACES}{BOUNDARIES}]*\z", 0)
-    end = F.length(before)
-    return F.when(token != "", F.struct(token.alias("token"), (end - F.length(token)).alias("start"), end.alias("end")))
+    token = lambda b: F.regexp_extract(b, rf"[^{SPACES}{BOUNDARIES}]*\z", 0)
+    placed = lambda t, end: F.when(t != "", F.struct(t.alias("token"), (end - F.length(t)).alias("start"), end.alias("end")))
+    return let(before, lambda b: let(token(b), lambda t: placed(t, F.length(b))))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import completion, spans
 from ..operators import decide, marks, metrics, protect, rules, tokens
-from ..sources import vocabulary
+from ..sources import blob, vocabulary
+from ..streaming import completions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,3 +341,69 @@ def memory_export(spark, sf_dir):
 def pasted_text(spark, sf_dir):
     """Line ends made one kind, and the beginning escaped for HTML."""
     return read(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", "\r\n?", "\n")).cast("long").alias("n"), spans.escaped(F.substring("text", 1, 80)).alias("html"))
+
+
+SQL_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents),
+w AS (SELECT *, regexp_replace(line, '\\A\\s+', '') AS t FROM l)"""
+
+
+@query(rf"""WITH {SQL_LINES} SELECT doc_id, count(*) FILTER (t <> '' AND NOT starts_with(t, '#') AND (regexp_matches(t, '\A([$>]|PS\s+[^>]+>)\s+\S') OR (contains(t, ' ')
+ AND lower(regexp_extract(t, '\A([A-Za-z][A-Za-z0-9_.-]*)(\s|\z)', 1)) IN ({", ".join(f"'{c}'" for c in protect.COMMANDS)})))) AS commands, count(*) FILTER (regexp_matches(line, '\]\([^)]*\z')) AS open_links,
+ count(*) FILTER (len(regexp_extract_all(line, '`')) % 2 = 1) AS odd_backticks FROM w GROUP BY 1""")
+def protected_places(spark, sf_dir):
+    """Lines of each document that look like commands, end in an open link target, or have odd backticks."""
+    line = F.col("line")
+    found = protect.lines(read(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id").agg(
+        F.count_if(protect.is_command(line)).alias("commands"), F.count_if(protect.in_link_target(line, F.length(line))).alias("open_links"),
+        F.count_if(protect.odd_backticks(line)).alias("odd_backticks"),
+    )
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text FROM conversations), p AS (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS n FROM t),
+d AS (SELECT conv_id, turn, n AS "offset", regexp_replace(regexp_replace(substr(text, 1, n), '\s+\z', ''), '[.,!?;:)\]}]+\z', '') AS before FROM p WHERE substr(text, n, 1) IN (' ', chr(10), chr(9), '.', ',', '!', '?', ';', ':', ')', ']', '}')),
+f AS (SELECT *, regexp_extract(before, '[^\s,!?;()\[\]{}]*\z') AS token FROM d)
+SELECT conv_id, turn, count(*) AS delimiters, count(*) FILTER (token <> '') AS tokens, sum(length(token))::BIGINT AS characters FROM f GROUP BY 1, 2""")
+def replayed_keystrokes(spark, sf_dir):
+    """Every delimiter typed in conversations, with the token it completes."""
+    found = tokens.replayed_tokens(read(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("delimiters"), F.count("token").alias("tokens"), F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("characters"))
+
+
+@query(rf"""WITH {SQL_PLACED}, m AS (SELECT doc_id, start AS a, start + 12 AS b FROM ends WHERE starts_with(run, 'T')) SELECT e.doc_id, count(*) AS n FROM edits e JOIN m ON e.doc_id = m.doc_id AND e.start < m.b AND m.a < e.end_ GROUP BY 1""")
+def overlapping_marks(spark, sf_dir):
+    """Corrections that overlap the twelve characters after a capital T."""
+    docs = read(spark, sf_dir, "documents")
+    capital = tokens.placed_runs(docs).where(F.col("run").startswith("T")).select("doc_id", "start", (F.col("start") + 12).alias("end"))
+    return marks.overlapping(user_edits(spark, sf_dir), capital).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {SQL_PLACED}, swapped AS (SELECT e.doc_id, e.pos, CASE WHEN d.original IS NULL THEN e.run ELSE '<mark class="blue">' || d.original || '</mark>' || substr(e.run, length(d.original) + 1) END AS piece, d.original IS NOT NULL AS hit,
+ replace(replace(replace(replace(e.run, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS plain FROM ends e LEFT JOIN edits d USING (doc_id, pos))
+SELECT doc_id, string_agg(CASE WHEN hit THEN piece ELSE plain END, '' ORDER BY pos) AS html FROM swapped GROUP BY 1 HAVING count(*) FILTER (hit) > 0""")
+def rendered_marks(spark, sf_dir):
+    """Documents as HTML with a mark on each word that a rule would correct."""
+    spots = user_edits(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.lit("blue").alias("kind"))).alias("marks"))
+    return read(spark, sf_dir, "documents").join(spots, "doc_id").select("doc_id", marks.rendered(F.col("text"), F.col("marks")).alias("html"))
+
+
+@query()
+def blob_roundtrip(spark, sf_dir):
+    """The corpus dictionary as a binary file and back: rows that differ."""
+    words = corpus_dictionary(spark, sf_dir)
+    back = blob.decoded(blob.blobs(words.withColumn("name", F.lit("corpus"))).select(F.col("name").alias("path"), "content"), strict=True)
+    return words.select("load_order", "word", "frequency", "flags").exceptAll(back.select("load_order", "word", "frequency", "flags")).agg(F.count("*").alias("different"))
+
+
+LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error": "cancel", "signup": "dismiss"}
+
+
+@query()
+def completion_life(spark, sf_dir):
+    """The event table replayed as completion requests of each user: metric rows by type."""
+    kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
+    events = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).cast("long").alias("at_ms"), kinds[F.col("event_type")].alias("type"),
+        (F.col("event_id") % 5 + 1).alias("request"), F.lit(20).alias("context_length"), F.col("event_type").alias("text"), F.lit("escape").alias("reason"),
+    )
+    return completions.metric_batch(events).groupBy("type").agg(F.count("*").alias("n"))

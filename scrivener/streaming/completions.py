@@ -1,0 +1,120 @@
+"""The life of completion requests over an event stream, with state for each session.
+
+Events: session, at_ms, type, request (for responses), text, reason.  A *schedule*
+cancels what waits, aborts what is under way and dismisses what is shown; with
+enough context it waits ``DEBOUNCE`` ms, is then sent, and its *response* (if still the
+current request) is shown until it is accepted or dismissed.  Time is the events'
+own, so a replay gives the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.metrics import DISMISSALS
+
+DEBOUNCE, TIMEOUT, LEAST_CONTEXT = 300, 2500, 12
+EVENT = "session string, at_ms long, type string, request long, context_length int, text string, reason string"
+METRIC = "session string, at_ms long, type string, request long, completion_length int, latency_ms long, input_to_ghost_ms long, ghost_to_action_ms long"
+STATE = "request long, status string, input_ms long, sent_ms long, shown_ms long, length int, last_ms long"
+IDLE = (0, "idle", 0, 0, 0, 0, 0)
+Row = tuple
+
+
+def settle(state: Row, now: int) -> tuple[Row, list[Row]]:
+    """What has happened by ``now`` without an event: a waiting request is sent, one under way times out."""
+    request, status, at, sent, shown, length, last = state
+    out: list[Row] = []
+    if status == "scheduled" and now >= at + DEBOUNCE:
+        status, sent = "requesting", at + DEBOUNCE
+    if status == "requesting" and now >= sent + TIMEOUT:
+        out.append((sent + TIMEOUT, "provider_error", request, None, TIMEOUT, None, None))
+        status = "error"
+    return (request, status, at, sent, shown, length, max(last, now)), out
+
+
+def step(state: Row, event: dict) -> tuple[Row, list[Row]]:
+    """The state after an event, and its metric rows (at_ms, type, request, completion_length, latencies)."""
+    now, kind = int(event["at_ms"]), event["type"]
+    state, out = settle(state, now)
+    request, status, at, sent, shown, length, last = state
+
+    def leave(reason: str) -> None:
+        if status == "scheduled":
+            out.append((now, "request_canceled_before_send", request, None, None, None, None))
+        elif status == "requesting":
+            out.append((now, "request_aborted_in_flight", request, None, now - sent, None, None))
+        elif status == "showing" and reason in DISMISSALS:
+            out.append((now, f"ghost_dismissed_by_{reason}", request, length, None, shown - at, now - shown))
+
+    if kind == "schedule":
+        leave("typing")
+        if int(event["context_length"] or 0) < LEAST_CONTEXT:
+            return (request, "idle", at, sent, shown, length, last), out
+        out.append((now, "request_scheduled", request + 1, None, None, None, None))
+        return (request + 1, "scheduled", now, 0, 0, 0, last), out
+    if kind == "response":
+        if status != "requesting" or event["request"] is None or int(event["request"]) != request:
+            out.append((now, "stale_response_dropped", None if event["request"] is None else int(event["request"]), None, None, None, None))
+            return state, out
+        size = len(event["text"] or "")
+        out.append((now, "provider_latency", request, size, now - sent, None, None))
+        if not size:
+            return (request, "idle", at, sent, shown, 0, last), out
+        out.append((now, "ghost_shown", request, size, now - sent, now - at, None))
+        return (request, "showing", at, sent, now, size, last), out
+    if kind == "accept" and status == "showing":
+        out.append((now, "ghost_accepted", request, length, None, shown - at, now - shown))
+        return (request, "accepted", at, sent, shown, length, last), out
+    if kind == "revert" and status == "accepted":
+        out.append((now, "completion_reverted", request, length, None, None, None))
+        return (request, "idle", at, sent, shown, length, last), out
+    if kind in ("dismiss", "cancel"):
+        leave(event["reason"] or "")
+        return (request, "dismissed" if status == "showing" else "idle", at, sent, shown, length, last), out
+    return state, out
+
+
+def session_rows(session: str, state: Row, events: list[dict]) -> tuple[Row, pd.DataFrame]:
+    rows: list[Row] = []
+    for event in sorted(events, key=lambda e: e["at_ms"]):
+        state, out = step(state, event)
+        rows += [(session, *r) for r in out]
+    return state, pd.DataFrame(rows, columns=[f.split()[0] for f in METRIC.split(", ")]).astype(object)
+
+
+def advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    state = tuple(held.get) if held.exists else IDLE
+    if held.hasTimedOut:
+        _, out = settle(state, 2**62)
+        held.remove()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[f.split()[0] for f in METRIC.split(", ")]).astype(object)
+        return
+    events = [e for b in batches for e in b.to_dict("records")]
+    events = [{k: None if pd.isna(v) else v for k, v in e.items()} for e in events]
+    state, rows = session_rows(key[0], state, events)
+    held.update(state)
+    held.setTimeoutDuration(60_000)
+    yield rows
+
+
+def metric_stream(events: DataFrame) -> DataFrame:
+    """Metric rows of a stream of events (columns of EVENT); a session's state goes after a minute of silence.
+
+    The state of a session is one row of numbers, however many requests it had.
+    """
+    return events.groupBy("session").applyInPandasWithState(advance, METRIC, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def metric_batch(events: DataFrame) -> DataFrame:
+    """The same over a table; a session's own events bound its group."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        events = [{k: None if pd.isna(v) else v for k, v in e.items()} for e in rows.to_dict("records")]
+        return session_rows(key[0], IDLE, events)[1]
+
+    return events.groupBy("session").applyInPandas(one, METRIC)
