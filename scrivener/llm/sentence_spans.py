@@ -99,6 +99,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = known.mapInArrow(lambda it: grouped(it, run_rows), "doc_id long, hash long, long_hash binary, first int, end int").join(again, "hash")
     found = staged(found.select("doc_id", "long_hash", "first", "end"), "runs")
     heads = found.groupBy("long_hash").agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("first").alias("n")).where("n > 1")
+    # Written first, so that the join deals both sides anew and Spark can split a run that very many documents share.
+    heads = staged(heads.select("long_hash", "head"), "heads")
     return found.join(heads, "long_hash").where(F.struct("doc_id", "first") > F.col("head")).select("doc_id", "first", "end", F.col("head.doc_id").alias("of"))
 
 
