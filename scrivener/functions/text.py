@@ -73,7 +73,7 @@ def class_of(t: Column) -> Column:
 
 def token_type(text: Column) -> Column:
     """Class of a token; only ``word`` is unprotected."""
-    return class_of(trimmed(text))
+    return let(trimmed(text), class_of)
 
 
 def is_protected(text: Column) -> Column:

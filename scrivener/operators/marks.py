@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from .tokens import classified, placed_tokens
+from .tokens import placed_tokens, unprotected
 
 
 def edits(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each correction: key, start, end, original, replacement, confidence, reason_codes, n (its order), shift (of what follows, before it)."""
-    found = classified(placed_tokens(docs, key=key).join(decided.where("action = 'auto_correct'").select("token", "replacement", "confidence", "reason_codes"), "token")).where("not protected")
+    fixes = decided.where("action = 'auto_correct'").select("token", "replacement", "confidence", "reason_codes")
+    found = unprotected(placed_tokens(docs, key=key).join(fixes, "token"), F.col("replacement").isNotNull())
     order = Window.partitionBy(key).orderBy("start")
     delta = F.length("replacement") - F.length("token")
     return found.select(

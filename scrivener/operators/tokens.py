@@ -6,25 +6,21 @@ colons at its end; it is complete if a closing character follows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import class_of, is_delimiter, token_before, trimmed
+from ..functions.text import is_delimiter, let, token_before, token_type
 
-#: A run and the character that closes it, if any.
-PIECE = r"[^ \n\t,!?;()\[\]{}]+[ \n\t,!?;)\]}]?"
-CLOSED = r"[ \n\t,!?;)\]}]\z"
+#: A token and what closes it.  The atomic group takes a whole run up to its last character other
+#: than stops and colons, so a run that is not closed cannot match in part.
+COMPLETE = r"((?>[^ \n\t,!?;()\[\]{}]*[^ \n\t,!?;()\[\]{}.:]))(?:[.:]+|(?=[ \n\t,!?;)\]}]))"
 #: The whole text in pieces: runs, and single characters between them.
 RUNS = r"[^ \n\t,!?;()\[\]{}]+|[ \n\t,!?;()\[\]{}]"
 
 
 def final_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """A row for each completed token: the columns ``keep``, and token.  Nothing is shuffled."""
-    piece = docs.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))).alias("piece"))
-    run = F.regexp_replace("piece", CLOSED, "")
-    token = F.regexp_replace(run, r"[.:]+\z", "")
-    complete = F.col("piece").rlike(CLOSED) | (token != run)
-    return piece.where(complete).select(*keep, token.alias("token")).where("token <> ''")
+    return docs.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(COMPLETE), F.lit(1))).alias("token"))
 
 
 def placed_runs(docs: DataFrame, *keep: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,17 +39,33 @@ def placed_tokens(docs: DataFrame, *keep: str, key: str = "doc_id", text: str =
     return runs.select(key, *keep, token.alias("token"), "start", (F.col("start") + F.length(token)).alias("end")).where("token <> ''")
 
 
+#: Characters before a delimiter in which its token is sought first.
+NEAR = 256
+
+
 def replayed_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """A row for each delimiter as it is typed: its offset and the token before it (null if none).
 
-    Looks at the text before every delimiter again, as an editor does: for fidelity, not for large texts.
+    Looks back NEAR characters, and over the whole text only where the token may begin before them.
     """
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: is_delimiter(F.substring(F.col(text), n, F.lit(1))))
     typed = docs.select(*keep, F.col(text), F.explode(at).alias("offset"))
-    found = token_before(F.col(text), F.col("offset"))
+    skipped = F.greatest(F.col("offset") - NEAR, F.lit(0))
+    near = token_before(F.substring(F.col(text), skipped + 1, F.lit(NEAR)), F.col("offset") - skipped)
+    moved = lambda t: F.when(t.isNotNull(), F.struct(t["token"].alias("token"), (t["start"] + skipped).alias("start"), (t["end"] + skipped).alias("end")))
+    found = let(near, lambda t: F.when((skipped == 0) | (t["start"] > 0), moved(t)).otherwise(token_before(F.col(text), F.col("offset"))))
     return typed.select(*keep, "offset", found.alias("found")).select(*keep, "offset", "found.*")
 
 
 def classified(found: DataFrame, token: str = "token") -> DataFrame:
     """Adds token_type and protected."""
-    return found.withColumn("trimmed", trimmed(F.col(token))).withColumn("token_type", class_of(F.col("trimmed"))).drop("trimmed").withColumn("protected", F.col("token_type") != "word")
+    return found.withColumn("token_type", token_type(F.col(token))).withColumn("protected", F.col("token_type") != "word")
+
+
+def unprotected(found: DataFrame, where: Column, token: str = "token") -> DataFrame:
+    """Rows with an unprotected token.
+
+    ``where``, true for every row, names a column that an aggregate or join below
+    makes: the classes are then tested on its few rows, not pushed down to all tokens.
+    """
+    return found.where(F.when(where, token_type(F.col(token)) == "word"))

@@ -85,7 +85,7 @@ SELECT lang, action, reasons, count(*) AS n FROM decided GROUP BY ALL""")
 def token_decisions(spark, sf_dir):
     """What the engine decides about the corpus's unprotected tokens, by language, action and reason."""
     found = tokens.final_tokens(read(spark, sf_dir, "documents"), "lang").groupBy("lang", "token").count()
-    found = tokens.classified(found).where("not protected")
+    found = tokens.unprotected(found, F.col("count") > 0)
     decided = decide.decisions(found).select("token", "action", F.array_join("reason_codes", ",").alias("reasons"))
     return found.join(decided, "token").groupBy("lang", "action", "reasons").agg(F.sum("count").alias("n"))
 
@@ -147,7 +147,7 @@ SELECT reason, count(*) AS n FROM decided GROUP BY 1""")
 def personal_rules(spark, sf_dir):
     """Decisions with the user's words and rules and the corpus dictionary, by first reason."""
     found = tokens.final_tokens(read(spark, sf_dir, "documents")).groupBy("token").count()
-    found = tokens.classified(found).where("not protected")
+    found = tokens.unprotected(found, F.col("count") > 0)
     own = spark.createDataFrame(list(OWN_WORDS), rules.WORDS)
     decided = decide.decisions(found, corpus_dictionary(spark, sf_dir), own, rules.latest_rules(spark.createDataFrame(list(RULES), rules.RULES)), size=vocabulary.WORDS)
     return found.join(decided.select("token", F.col("reason_codes")[0].alias("reason")), "token").groupBy("reason").agg(F.sum("count").alias("n"))
