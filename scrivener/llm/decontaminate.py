@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import held, staged
 
 WINDOW = 10
 BLOCK = 8
@@ -100,9 +100,6 @@ def search(text: bytes | None, tables: list[Searcher]) -> tuple[int, list[tuple[
     return n, [tuple(r) for r in ranges], items
 
 
-_tables: dict = {}
-
-
 def occurrences(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
     """Adds n_words, ranges (merged [first, end) word ranges) and item_ids to ``docs`` for some items.
 
@@ -112,10 +109,7 @@ def occurrences(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most PASS_BYTES of text
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables.get(key)
-        if tables is None:
-            _tables.clear()
-            tables = _tables[key] = searchers(shared.value)
+        tables = held(key, lambda: searchers(shared.value))
         for batch in batches:
             n, ranges, found = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held, held_out
 
 #: Documents of each language that are counted: about so many, picked by a hash of doc_id.
 SAMPLE = 1500
+#: Bytes of text, times languages, that are scored at once: bounds a worker's arrays.
+ROOM = 1 << 20
 #: Contexts of order 3 that are kept, the commonest over all languages.
 CONTEXTS = 60_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -158,7 +160,7 @@ class Trees:
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior under equal priors; ``und`` and 0 where a text has no letter or nothing was learned."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        room, at, slot, data = 1 << 21, 0, [], []
+        at, slot, data = 0, [], []
 
         def flush() -> None:
             if slot:
@@ -178,7 +180,7 @@ class Trees:
                 slot.append(i)
                 data.append(folded(text))
                 at += len(data[-1])
-                if at * len(self.langs) > 4 * room:
+                if at * len(self.langs) > ROOM:
                     flush()
                     at = 0
         flush()
@@ -215,9 +217,6 @@ def learn(docs: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Tr
     return Trees.build(langs, code, counts, contexts)
 
 
-_held: dict[str, Trees] = {}
-
-
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """Adds lang_pred and score to ``docs``; columns of those names are replaced."""
     spark = docs.sparkSession
@@ -226,10 +225,7 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     plain = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _held.get(key)
-        if model is None:
-            _held.clear()
-            model = _held[key] = shared.value
+        model = held(key, lambda: shared.value)
         for batch in batches:
             lang, score = zip(*model.score(batch.column("text").to_pylist())) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh_path
+from .common import drop_path, fresh_path, held
 
 ADDRESS = 16
 #: A unit holding one of these code points is left to the library's own splitting: newer
@@ -88,11 +88,14 @@ class UnitEncoder(dict):
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def merged(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin1").translate(self.alphabet)
+        return self.pack([t.id for t in self.model.tokenize(mapped)])
+
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            mapped = piece.encode().decode("latin1").translate(self.alphabet)
-            found = self.pieces[piece] = self.pack([t.id for t in self.model.tokenize(mapped)])
+            found = self.pieces[piece] = self.merged(piece)
         return found
 
     def unit(self, unit: str) -> bytes:
@@ -104,7 +107,7 @@ class UnitEncoder(dict):
         if not word or word[-1].isspace():
             made = None
         elif word.isalpha() and not RARE.search(word):
-            made = self.piece(" " + word)
+            made = self.merged(" " + word)
         else:
             made = self.unit(" " + word)
         self[word] = made
@@ -123,15 +126,10 @@ class UnitEncoder(dict):
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
 
-_encoders: dict[tuple[str, int], UnitEncoder] = {}
-
-
 def encoder(form: StoreFormat) -> UnitEncoder:
     """One encoder for each Python worker."""
     key = (form.vocabulary, form.id_bytes)
-    if key not in _encoders:
-        _encoders[key] = UnitEncoder(*key)
-    return _encoders[key]
+    return held(("encoder", *key), lambda: UnitEncoder(*key))
 
 
 def rolling(ids: np.ndarray, window: int) -> np.ndarray:
