@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and from each sentence on the shortest run of at least
-``SENTENCES`` sentences and ``WORDS`` words is hashed.  Runs of all documents meet by
+A text is cut into sentences and their parts between commas (all called sentences
+here).  From each sentence on, and back from each, the shortest run of at least
+``SENTENCES`` sentences and ``WORDS`` words is hashed: a longer run that repeats is
+covered by such runs, all of which repeat with it.  Runs of all documents meet by
 hash; one that occurs again keeps its first place (smallest doc_id, then position),
 and the sentences of every later one are removed.
 
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import small_enough, staged
 
 SENTENCES = 2
-WORDS = 20
+WORDS = 10
 #: Most repeated hashes (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
-SENTENCE = re.compile(r"[^.!?;:|\n\u2026\u3002\uFF01\uFF1F]+[.!?;:|\u2026\u3002\uFF01\uFF1F]*\n*")
+SENTENCE = re.compile(r"[^.!?,;:|\n\u2026\u3002\uFF01\uFF0C\uFF1F]+[.!?,;:|\u2026\u3002\uFF01\uFF0C\uFF1F]*\n*")
 WORD = re.compile(r"\w+")
 
 
@@ -36,30 +38,66 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
-def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """First sentence, end (exclusive) and normalised words of each sentence's shortest run that is long enough."""
-    words: list[str] = []
-    starts = [0]
+def normalised(text: str) -> tuple[list[int], list[int], bytes]:
+    """Words before each sentence (and in all), where their bytes begin, and the words of the text with a blank after each."""
+    counts, places, parts = [0], [0], []
     for a, b in sentences(text):
-        words += WORD.findall(text[a:b].lower())
-        starts.append(len(words))
+        found = WORD.findall(text[a:b].lower())
+        part = " ".join([*found, ""]).encode()
+        parts.append(part)
+        counts.append(counts[-1] + len(found))
+        places.append(places[-1] + len(part))
+    return counts, places, b"".join(parts)
+
+
+def forward(counts: list[int], least_sentences: int, least_words: int) -> Iterator[tuple[int, int]]:
+    """First sentence and end (exclusive) of each sentence's shortest run that is long enough."""
     end = 0
-    for i in range(len(starts) - 1):
-        if starts[i] == starts[i + 1]:  # a run begins with a word
+    for i in range(len(counts) - 1):
+        if counts[i] == counts[i + 1]:  # a run begins with a word
             continue
         end = max(end, i + least_sentences)
-        while end < len(starts) and starts[end] - starts[i] < least_words:
+        while end < len(counts) and counts[end] - counts[i] < least_words:
             end += 1
-        if end >= len(starts):
+        if end >= len(counts):
             return
-        yield i, end, " ".join(words[starts[i] : starts[end]]).encode()
+        yield i, end
+
+
+def backward(counts: list[int], least_sentences: int, least_words: int) -> Iterator[tuple[int, int]]:
+    """As :func:`forward`, for the shortest run that ends with each sentence."""
+    starts = [i for i in range(len(counts) - 1) if counts[i] < counts[i + 1]]
+    at = 0
+    for end in range(least_sentences, len(counts)):
+        if counts[end - 1] == counts[end]:  # and ends with one
+            continue
+        fits = lambda i: end - i >= least_sentences and counts[end] - counts[i] >= least_words  # noqa: B023, E731
+        while at + 1 < len(starts) and fits(starts[at + 1]):
+            at += 1
+        if fits(starts[at]):
+            yield starts[at], end
+
+
+def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """First sentence, end (exclusive) and normalised words of each sentence's shortest run that is long enough."""
+    counts, places, words = normalised(text)
+    for i, end in forward(counts, least_sentences, least_words):
+        yield i, end, words[places[i] : places[end] - 1]
+
+
+def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """:func:`runs` and, where they differ, the shortest runs back from each sentence."""
+    counts, places, words = normalised(text)
+    found = set(forward(counts, least_sentences, least_words)).union(backward(counts, least_sentences, least_words))
+    for i, end in sorted(found):
+        yield i, end, words[places[i] : places[end] - 1]
 
 
 def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to the 64-bit hashes of their runs."""
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            found = np.fromiter((xxhash.xxh3_64_intdigest(words) for _, _, words in runs(text)), dtype=np.uint64)
+            found = np.fromiter((xxhash.xxh3_64_intdigest(words) for _, _, words in all_runs(text)), dtype=np.uint64)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
 
@@ -70,7 +108,7 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            rows = [(doc_id, xxhash.xxh3_64_intdigest(words), xxhash.xxh3_128_digest(words, 1), i, end) for doc_id, text in zip(*(c.to_pylist() for c in part.columns)) for i, end, words in runs(text)]
+            rows = [(doc_id, xxhash.xxh3_64_intdigest(words), xxhash.xxh3_128_digest(words, 1), i, end) for doc_id, text in zip(*(c.to_pylist() for c in part.columns)) for i, end, words in all_runs(text)]
             if rows:
                 ids, low, high, first, end = zip(*rows)
                 arrays = [pa.array(ids, kinds[0]), pa.array(np.array(low, np.uint64).view(np.int64)), *(pa.array(c, t) for c, t in zip((high, first, end), kinds[2:]))]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from scrivener.llm import sentence_spans as ss
 
 PASSAGE = "The committee met on a grey morning in March. It heard nine reports about the harbour, the mills and the roads. Nobody spoke against the plan. The vote was taken before noon, and the clerk wrote it down."
@@ -46,3 +48,39 @@ def test_odd_documents(odd_docs, no_docs):
     found = {r["doc_id"]: r["n_removed"] for r in ss.dedup_spans(odd_docs).collect()}
     assert set(found) <= {7}  # the long text repeats itself, nothing else is long enough
     assert ss.dedup_spans(no_docs).collect() == []
+
+
+def every_run(rows):
+    """Removed sentences of each document, from runs of every length."""
+    seen, out = set(), {}
+    for doc, text in rows:
+        counts, places, words = ss.normalised(text)
+        for a in range(len(counts) - 1):
+            for b in range(a + ss.SENTENCES, len(counts)):
+                # A run begins and ends with a word.
+                if counts[a] == counts[a + 1] or counts[b - 1] == counts[b] or counts[b] - counts[a] < ss.WORDS:
+                    continue
+                run = words[places[a] : places[b] - 1]
+                if run in seen:
+                    out.setdefault(doc, set()).update(range(a, b))
+                seen.add(run)
+    return out
+
+
+def test_like_runs_of_every_length(spark):
+    rng = random.Random(8)
+    pieces = [" ".join(rng.choices("abcdefghijklm", k=rng.choice((0, 1, 2, 3, 9, 14)))) + rng.choice((".", ",", "!\n")) + " " for _ in range(12)]
+    passages = [rng.choices(pieces, k=rng.randrange(2, 9)) for _ in range(6)]
+    rows = [(k, "".join([f"own words of {k} come here. ", *rng.choice(passages), f"and {k} again, ", *rng.choice(passages)])) for k in range(40)]
+    found = {r["doc_id"]: r["n_removed"] for r in ss.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: len(s) for d, s in every_run(rows).items()}
+
+
+def test_short_sentences_clauses_and_tails_go(spark):
+    short = "Eighteen words are less than twenty words. Two whole sentences of them repeat in the later document here"
+    clauses = "begins within a sentence, then it goes on in several clauses, which stand between two commas each, and ends"
+    tail = "The first sentence of this passage has more than ten words in it. The second has many more words than the floor of a run asks for. So ends it."
+    rows = [(1, f"One. {short}. Two."), (2, f"Three {clauses} four."), (3, f"Five. {tail}"), (4, f"Six. {short}. Seven."), (5, f"Eight {clauses} nine."), (6, f"Ten. {tail} Eleven is own.")]
+    left = {r["doc_id"]: r["text"] for r in ss.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(left) == {4, 5, 6} and "clauses" not in left[5] and "two commas" not in left[5]
+    assert "Eighteen" not in left[4] and "whole" not in left[4] and "So ends it" not in left[6] and "Eleven" in left[6]
