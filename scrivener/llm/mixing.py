@@ -3,16 +3,20 @@
 A naive Bayes classifier over hashed words, counted from a labelled table, gives
 each document the posterior of every domain.  Rates ``r >= 0`` (at most ``most``)
 are then fitted so that the expected token total of each domain,
-``sum(r * tokens * posterior)``, matches its target, by projected gradient descent
-on the squared relative misfit.  A gradient needs one sum for each domain, and a
-document's rate is a function of its posteriors and the misfits so far, so each
-round is one aggregate over (tokens, posteriors) and nothing is shuffled.
+``sum(r * tokens * posterior)``, matches its target share of the largest total at
+which all can.  Posteriors overlap, so that total is part of the problem: it is the
+multiplier of the dual, whose gradient is the misfit, and a document's rate is its
+posteriors' product with the dual's weights, projected into 0..most.  Gradient and
+curvature are a few sums, so each round is one aggregate over (tokens, posteriors)
+and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,14 @@ SAMPLE = 4000
 ROUNDS = 20
 #: Relative misfit at which rounds end.
 TOLERANCE = 1e-4
+#: Most rounds of the fit for the largest total; it mostly needs 10 to 30.
+MOST_ROUNDS = 80
+#: How much the fit gives up of the total for rates between nought and ``most``; small is little.
+SMOOTH = 0.3
+#: Least part of all tokens that a total must have; below, the posteriors cannot meet the targets.
+LEAST_TOTAL = 1e-4
 #: How sharply words decide: a text's log likelihood is its mean for one word times this.
-SHARPNESS = 50.0
+SHARPNESS = 100.0
 UNIT = 1_000_000
 
 
@@ -54,14 +64,22 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     return [[math.log(c / sum(table[d])) for c in table[d]] for d in domains]
 
 
-def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], key: str) -> DataFrame:
-    """key, tokens (words) and p, the array of posteriors under equal priors; texts without words get equal ones."""
+def class_priors(labelled: DataFrame, domains: list[str]) -> list[float]:
+    """Each domain's share of the labelled documents, one added to each."""
+    many = {r["domain"]: r["count"] + 1 for r in labelled.where(F.col("domain").isin(domains)).groupBy("domain").count().collect()}
+    counts = [many.get(d, 1) for d in domains]
+    return [c / sum(counts) for c in counts]
+
+
+def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], key: str, priors: list[float] | None = None) -> DataFrame:
+    """key, tokens (words) and p, the array of posteriors under ``priors`` (else equal ones); texts without words get equal ones."""
+    before = [math.log(x) for x in priors or [1.0] * len(domains)]
     # One string for each table, which the optimizer folds to a constant array.
     constant = [F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") for values in logs]
     score = [F.sum(F.get(values, F.col("bucket"))).alias(f"s{k}") for k, values in enumerate(constant)]
     sums = exploded(docs, key).groupBy(key).agg(F.count("bucket").alias("tokens"), *score)
     scaled = [F.coalesce(F.col(f"s{k}") / F.col("tokens") * SHARPNESS, F.lit(0.0)) for k in range(len(domains))]
-    scaled = [F.when(F.col("tokens") > 0, s).otherwise(0.0) for s in scaled]
+    scaled = [F.when(F.col("tokens") > 0, s + F.lit(b)).otherwise(0.0) for s, b in zip(scaled, before)]
     top = F.greatest(*scaled) if len(scaled) > 1 else scaled[0]
     raised = F.array(*[F.exp(s - top) for s in scaled])
     return sums.select(key, "tokens", raised.alias("e")).select(key, "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
@@ -105,17 +123,82 @@ def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: i
     return rate(steps), want, reached
 
 
+def fit_largest(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = MOST_ROUNDS) -> tuple[Column, list[float], list[float]]:
+    """As :func:`fit`, with the largest total at which all domains meet their shares.
+
+    Minimises ``sum(tokens * phi(y . p))`` over weights y with ``shares . y = 1``, by
+    Newton's method with damped steps, where phi(u) is the maximum of
+    ``r * u - SMOOTH * r * r / 2`` over r in 0..most: at the minimum, the totals of the
+    rates that give it are proportional to the shares.  A domain without any mass is left out.
+    """
+    size = len(targets)
+    sums = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(size)]).first()
+    have = np.array([float(s or 0.0) for s in sums])
+    shares = np.array(list(targets.values()), dtype=float) * (have > 0)
+    if shares.sum() <= 0:
+        return F.lit(float(most)), [0.0] * size, [0.0] * size
+    shares /= shares.sum()
+    pairs = [(a, b) for a in range(size) for b in range(a, size)]
+
+    def rate(y: np.ndarray) -> tuple[Column, Column]:
+        u = sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(y)), F.lit(0.0))
+        return u, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), u / SMOOTH))
+
+    def measure(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        u, r = rate(y)
+        seen = mass.select("tokens", "p", u.alias("u"), r.alias("r"))
+        free = F.when((F.col("r") > 0) & (F.col("r") < most), F.col("tokens")).otherwise(0)
+        value = F.sum(F.col("tokens") * (F.col("r") * F.col("u") - SMOOTH / 2 * F.col("r") * F.col("r")))
+        totals = [F.sum(F.col("tokens") * F.col("r") * F.col("p")[k]) for k in range(size)]
+        bends = [F.sum(free * F.col("p")[a] * F.col("p")[b]) for a, b in pairs]
+        found = [float(x or 0.0) for x in seen.agg(*[c.alias(f"c{i}") for i, c in enumerate([value, *totals, *bends])]).first()]
+        curve = np.zeros((size, size))
+        for (a, b), x in zip(pairs, found[1 + size :]):
+            curve[a, b] = curve[b, a] = x / SMOOTH
+        return found[0], np.array(found[1 : 1 + size]), curve
+
+    y, all_tokens = np.ones(size), have.sum()
+    value, reached, curve = measure(y)
+    damping = 0.01
+    for _ in range(rounds):
+        total = reached.sum()
+        if total <= 0 or np.abs(reached - shares * total).max() < TOLERANCE * total * shares[shares > 0].min():
+            break
+        system = np.zeros((size + 1, size + 1))  # the step stays within shares . y = 1
+        system[:size, :size] = curve + np.eye(size) * damping * all_tokens / SMOOTH
+        system[:size, size] = system[size, :size] = shares
+        step = np.linalg.solve(system, np.append(-reached, 0.0))[:size]
+        at_trial = measure(y + step)
+        if at_trial[0] <= value + 1e-4 * float(reached @ step):
+            y, (value, reached, curve), damping = y + step, at_trial, max(damping / 10, 1e-9)
+        else:
+            damping *= 8
+    return rate(y)[1], (shares * reached.sum()).tolist(), reached.tolist()
+
+
+def missed(want: list[float], reached: list[float], tolerance: float = 0.01) -> bool:
+    """Whether a domain's total is off its target by more than ``tolerance`` of that."""
+    return any(abs(w - r) > tolerance * w for w, r in zip(want, reached))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = 1.0, sample: int = SAMPLE) -> DataFrame:
     """Every doc_id of ``docs`` (doc_id, text) with tokens, p, rate and kept.
 
     ``kept`` draws by a hash of doc_id: a rate of 0.3 keeps three of ten.  A null
     text has no tokens and equal posteriors; rows with equal doc_id are one document
     (their words add up), a null doc_id included; an empty table gives no rows.
+    Warns where the posteriors cannot meet the targets; if hardly a token could stay
+    (no labels, say), every rate is ``most``.
     """
     domains = list(targets)
     logs = learn(docs, labelled, domains, sample)
-    mass = staged(posteriors(docs.select("doc_id", "text"), domains, logs, "doc_id"), "mass")
-    rate, _, _ = fit(mass, targets, most)
+    mass = staged(posteriors(docs.select("doc_id", "text"), domains, logs, "doc_id", class_priors(labelled, domains)), "mass")
+    rate, want, reached = fit_largest(mass, targets, most)
+    tokens = mass.agg(F.sum("tokens")).first()[0] or 0
+    if tokens and (sum(reached) < LEAST_TOTAL * tokens or missed(want, reached)):
+        warnings.warn(f"mixing: wanted {dict(zip(domains, want))}, reached {dict(zip(domains, reached))} of {tokens} tokens", stacklevel=2)
+        if sum(reached) < LEAST_TOTAL * tokens:
+            rate = F.lit(float(most))
     drawn = F.pmod(F.xxhash64(F.lit("mixing draw"), "doc_id"), F.lit(UNIT)) / UNIT
     return mass.select("doc_id", "tokens", "p", rate.alias("rate")).withColumn("kept", drawn < F.col("rate"))
 

@@ -63,3 +63,35 @@ def test_no_python_on_the_main_path(spark, kind):
     logs = mx.learn(docs, labelled, ["a", "b", "c"])
     plan = mx.posteriors(docs, ["a", "b", "c"], logs, "doc_id").select(F.col("p"))._jdf.queryExecution().executedPlan().toString()
     assert kind not in plan
+
+
+def test_shares_are_met_where_posteriors_overlap(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([8.0, 1.2, 0.4], size=400)
+    tokens = rng.integers(1, 100, 400)
+    mass = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    shares = np.array([0.98, 0.01, 0.01])
+    rate, want, reached = mx.fit_largest(mass, dict(zip("xyz", shares)))
+    r = np.array([x["r"] for x in mass.orderBy("doc_id").select(rate.alias("r")).collect()])
+    totals = (r[:, None] * tokens[:, None] * p).sum(axis=0)
+    assert totals == pytest.approx(reached) and totals / totals.sum() == pytest.approx(shares, rel=0.001) and not mx.missed(want, reached)
+    # No rates give more: each y with shares . y = 1 bounds the total by the tokens of y . p above nought.
+    grid = np.arange(-120, 3, 0.5)
+    y2, y3 = (g.ravel() for g in np.meshgrid(grid, grid))
+    y = np.stack([(1 - shares[1] * y2 - shares[2] * y3) / shares[0], y2, y3])
+    best = (tokens @ np.maximum(p @ y, 0)).min()
+    assert 0.95 * best < totals.sum() <= best
+
+
+def test_targets_are_met_on_the_tables(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    rows = mx.mix_labelled(docs, labels).collect()
+    totals = np.array([[r["rate"] * r["tokens"] * r[f"p_{d}"] for d in mx.TARGETS] for r in rows]).sum(axis=0)
+    assert totals / totals.sum() == pytest.approx(list(mx.TARGETS.values()), rel=0.01)
+
+
+def test_a_miss_is_told(spark, no_labels):
+    docs = spark.createDataFrame([(1, "apple pear"), (2, "bolt nut")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="mixing: wanted"):
+        rows = mx.mix_labelled(docs, no_labels).collect()
+    assert all(r["rate"] == 1 for r in rows)
