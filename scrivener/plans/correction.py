@@ -343,6 +343,12 @@ def pasted_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", "\r\n?", "\n")).cast("long").alias("n"), spans.escaped(F.substring("text", 1, 80)).alias("html"))
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(replace(replace(text, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM documents")
+def pasted_html(spark, sf_dir):
+    """Line ends made one kind, and the whole text escaped for HTML."""
+    return read(spark, sf_dir, "documents").select("doc_id", spans.escaped(F.regexp_replace("text", "\r\n?", "\n")).alias("html"))
+
+
 SQL_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents),
 w AS (SELECT *, regexp_replace(line, '\\A\\s+', '') AS t FROM l)"""
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
+from scrivener import registry
 from scrivener.functions import completion, spans, text
 from scrivener.operators import protect, tokens
 
@@ -92,3 +95,10 @@ def test_context(spark):
     assert at(13, 4, 2) == ("line", " t", "line", 4)
     assert at(99, 3, 2) == ("two", "", "two", 3)
     assert at(13, 6, 6, 8) == ("e\nline"[-6:], " t", "line", 6)
+
+
+def test_pasted_text_is_escaped_whole(spark, tmp_path):
+    texts = ["a < b & c\r\n" * 40, 'x > "y"\r' * 40, "&amp;", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["html"] for r in registry.QUERIES["pasted_html"](spark, str(tmp_path)).collect()}
+    assert found == {k: t if t is None else html.escape(t.replace("\r\n", "\n").replace("\r", "\n"), quote=False).replace('"', "&quot;") for k, t in enumerate(texts)}
