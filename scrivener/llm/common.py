@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,19 +21,45 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, read from the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables, read from the session.
+
+    Where none is set, a session on one machine gets a folder of its own; a cluster's
+    executors would each write to their own disk, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="scrivener-"))
-            found = context.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scrivener-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _open.get() is not None:
+        _open.get().append((spark, path))
+    return path
+
+
+#: Paths handed out inside :func:`tidied`, or None outside of it.
+_open: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def tidied() -> Iterator[None]:
+    """Removes at its end, however it ends, the intermediate tables written inside it.
+
+    Operators return before their last tables are read, so the caller who writes an
+    operator's result says when they can go.
+    """
+    token = _open.set([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.get():
+            drop_path(spark, path)
+        _open.reset(token)
 
 
 def staged(df: DataFrame, what: str = "stage") -> DataFrame:
@@ -39,7 +67,14 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes the table of a frame that :func:`staged` gave; nothing may read it again."""
+    drop_path(df.sparkSession, df.staged_path)
 
 
 def file_system(spark: SparkSession, path: str):

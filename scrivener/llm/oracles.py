@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .secrets import RULES
+from .sentence_spans import MARKS, SENTENCES, STRETCH, WORDS as RUN_WORDS
 from .topk import K, QUERY_EVERY, SCALE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,4 +48,28 @@ g AS (SELECT doc_id, string_agg(span, ',' ORDER BY a, place) AS spans, string_ag
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)"""
 
-ORACLES = {"op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op8_secret_ledger": SECRETS}
+#: Cumulative words give each sentence's shortest run by nearest-match joins; stretches are gaps and islands.
+SPANS = rf"""
+WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+'), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, piece, regexp_extract_all(lower(piece), '[\p{{L}}\p{{N}}_]+') AS words FROM s),
+c AS (SELECT *, len(words) AS n, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS past FROM w),
+ends AS (SELECT doc_id, upto, i + 1 AS e FROM c WHERE n > 0),
+starts AS (SELECT doc_id, upto - n AS before, i FROM c WHERE n > 0),
+near AS (SELECT c.doc_id, c.i AS a, greatest(ends.e, c.i + {SENTENCES}) AS limit_ FROM c ASOF JOIN ends ON c.doc_id = ends.doc_id AND c.upto - c.n + {RUN_WORDS} <= ends.upto WHERE c.n > 0),
+fwd AS (SELECT near.doc_id, near.a, ends.e AS b FROM near ASOF JOIN ends ON near.doc_id = ends.doc_id AND near.limit_ <= ends.e),
+far AS (SELECT c.doc_id, least(c.i + 1 - {SENTENCES}, starts.i) AS limit_, c.i + 1 AS b FROM c ASOF JOIN starts ON c.doc_id = starts.doc_id AND c.upto - {RUN_WORDS} >= starts.before WHERE c.n > 0 AND c.i + 1 >= {SENTENCES}),
+bwd AS (SELECT far.doc_id, starts.i AS a, far.b FROM far ASOF JOIN starts ON far.doc_id = starts.doc_id AND far.limit_ >= starts.i),
+r AS (SELECT DISTINCT doc_id, a, b FROM (SELECT * FROM fwd UNION ALL SELECT * FROM bwd)),
+t AS (SELECT r.doc_id, r.a, r.b, string_agg(array_to_string(w.words, ' '), ' ' ORDER BY w.i) FILTER (len(w.words) > 0) AS run FROM r JOIN w ON w.doc_id = r.doc_id AND w.i BETWEEN r.a AND r.b - 1 GROUP BY 1, 2, 3),
+h AS (SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, a) AS first_doc, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM t),
+later AS (SELECT doc_id, a, b, first_doc FROM h WHERE k > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM later),
+isl AS (SELECT c.doc_id, c.i, c.n, c.past, length(c.piece) AS size, c.i - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.i) AS g FROM c JOIN cov ON c.doc_id = cov.doc_id AND c.i = cov.i),
+st AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b, min(past - size) AS x, max(past) AS y FROM isl GROUP BY doc_id, g HAVING sum(n) >= {STRETCH}),
+gone AS (SELECT doc_id, unnest(range(a, b)) AS i FROM st),
+kept AS (SELECT c.doc_id, coalesce(string_agg(piece, '' ORDER BY c.i) FILTER (gone.i IS NULL), '') AS text, count(*) AS n_sentences, count(gone.i) AS n_removed FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i GROUP BY 1),
+span AS (SELECT doc_id, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY a) AS spans FROM st GROUP BY 1),
+of AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT later.doc_id, first_doc FROM later JOIN st ON later.doc_id = st.doc_id AND later.a >= st.a AND later.a < st.b) GROUP BY 1)
+SELECT kept.doc_id, kept.text, n_sentences, n_removed, spans, first_docs FROM kept JOIN span USING (doc_id) JOIN of USING (doc_id)"""
+
+ORACLES = {"op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op6_sentence_spans": SPANS, "op8_secret_ledger": SECRETS}

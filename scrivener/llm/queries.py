@@ -32,7 +32,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return sentence_spans.digest(sentence_spans.dedup_spans(table(spark, sf_dir, "documents")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,14 @@
 A text is cut into sentences and their parts between commas (all called sentences
 here).  From each sentence on, and back from each, the shortest run of at least
 ``SENTENCES`` sentences and ``WORDS`` words is hashed: a longer run that repeats is
-covered by such runs, all of which repeat with it.  Runs of all documents meet by
-hash; one that occurs again keeps its first place (smallest doc_id, then position),
-and the sentences of every later one are removed.
+covered by such runs, all of which repeat with it.  Runs of all rows meet by
+hash; one that occurs again keeps its first place, and the sentences of every
+later one are covered.  Covered sentences that follow each other make a stretch;
+stretches of at least ``STRETCH`` words are removed.
+
+Every row has a number of its own, written with its text before anything else, so
+rows that share a doc_id, or are equal, stay apart.  The first place is the smallest
+by doc_id (null last), hash of the text, row number and position.
 
 Two passes keep the shuffles small.  The first counts 64-bit hashes; the second
 looks up those that repeat and settles them by a 128-bit hash.  The text itself
@@ -23,27 +28,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, staged
+from .common import drop_staged, small_enough, staged
 
 SENTENCES = 2
 WORDS = 10
+#: Words of a stretch that is removed: a shorter one (a licence line, a common phrase) is no passage.
+STRETCH = 13
 #: Most repeated hashes (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
-SENTENCE = re.compile(r"[^.!?,;:|\n\u2026\u3002\uFF01\uFF0C\uFF1F]+[.!?,;:|\u2026\u3002\uFF01\uFF0C\uFF1F]*\n*")
+#: What ends a sentence, as the inside of a character class.
+MARKS = r".!?,;:|\n…。！，？"
+SENTENCE = re.compile(rf"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
 WORD = re.compile(r"\w+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences, in characters; marks and line ends belong to what stands before them."""
+    """Spans of the sentences, in characters: they tile the text, marks and line ends belong to what stands before them."""
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
 def normalised(text: str) -> tuple[list[int], list[int], bytes]:
     """Words before each sentence (and in all), where their bytes begin, and the words of the text with a blank after each."""
     counts, places, parts = [0], [0], []
-    for a, b in sentences(text):
-        found = WORD.findall(text[a:b].lower())
-        part = " ".join([*found, ""]).encode()
+    for sentence in SENTENCE.findall(text):
+        found = WORD.findall(sentence.lower())
+        part = " ".join([*found, ""]).encode("utf-8", "replace")
         parts.append(part)
         counts.append(counts[-1] + len(found))
         places.append(places[-1] + len(part))
@@ -57,7 +66,7 @@ def forward(counts: list[int], least_sentences: int, least_words: int) -> Iterat
         if counts[i] == counts[i + 1]:  # a run begins with a word
             continue
         end = max(end, i + least_sentences)
-        while end < len(counts) and counts[end] - counts[i] < least_words:
+        while end < len(counts) and (counts[end] - counts[i] < least_words or counts[end - 1] == counts[end]):  # and ends with one
             end += 1
         if end >= len(counts):
             return
@@ -69,7 +78,7 @@ def backward(counts: list[int], least_sentences: int, least_words: int) -> Itera
     starts = [i for i in range(len(counts) - 1) if counts[i] < counts[i + 1]]
     at = 0
     for end in range(least_sentences, len(counts)):
-        if counts[end - 1] == counts[end]:  # and ends with one
+        if counts[end - 1] == counts[end]:
             continue
         fits = lambda i: end - i >= least_sentences and counts[end] - counts[i] >= least_words  # noqa: B023, E731
         while at + 1 < len(starts) and fits(starts[at + 1]):
@@ -93,6 +102,17 @@ def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WOR
         yield i, end, words[places[i] : places[end] - 1]
 
 
+def stretches(covered: list[int], counts: list[int], least_words: int = STRETCH) -> list[tuple[int, int]]:
+    """First sentence and end (exclusive) of each stretch of covered sentences (ascending) that has the words."""
+    found: list[list[int]] = []
+    for i in covered:
+        if found and found[-1][1] == i:
+            found[-1][1] = i + 1
+        else:
+            found.append([i, i + 1])
+    return [(a, b) for a, b in found if counts[b] - counts[a] >= least_words]
+
+
 def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to the 64-bit hashes of their runs."""
     for batch in batches:
@@ -103,16 +123,20 @@ def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to a row for each run: its hashes and its sentences."""
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+    """(row, doc_id, digest, text) to a row for each run: its hashes and its sentences."""
+    names = ["row", "doc_id", "digest", "hash", "long_hash", "first", "end"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            rows = [(doc_id, xxhash.xxh3_64_intdigest(words), xxhash.xxh3_128_digest(words, 1), i, end) for doc_id, text in zip(*(c.to_pylist() for c in part.columns)) for i, end, words in all_runs(text)]
+            rows = [
+                (row, doc_id, digest, xxhash.xxh3_64_intdigest(words), xxhash.xxh3_128_digest(words, 1), i, end)
+                for row, doc_id, digest, text in zip(*(c.to_pylist() for c in part.columns)) for i, end, words in all_runs(text)
+            ]
             if rows:
-                ids, low, high, first, end = zip(*rows)
-                arrays = [pa.array(ids, kinds[0]), pa.array(np.array(low, np.uint64).view(np.int64)), *(pa.array(c, t) for c, t in zip((high, first, end), kinds[2:]))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "hash", "long_hash", "first", "end"])
+                columns = list(zip(*rows))
+                columns[3] = np.array(columns[3], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
@@ -128,54 +152,66 @@ def grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Later occurrences of repeated runs: doc_id, first, end, and of, the document of the first occurrence."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    hashes = known.select("text").mapInArrow(lambda it: grouped(it, hash_rows), "hash long")
+def repeated(rows: DataFrame) -> DataFrame:
+    """Later occurrences of repeated runs in ``rows`` (row, doc_id, digest, text): row, first, end, and of, the document of the first occurrence."""
+    hashes = rows.select("text").mapInArrow(lambda it: grouped(it, hash_rows), "hash long")
     again = staged(hashes.groupBy("hash").agg(F.count("hash").alias("n")).where("n > 1").select("hash"), "hashes")
-    again = F.broadcast(again) if small_enough(again, BROADCAST_HASHES) else again
-    found = known.mapInArrow(lambda it: grouped(it, run_rows), "doc_id long, hash long, long_hash binary, first int, end int").join(again, "hash")
-    found = staged(found.select("doc_id", "long_hash", "first", "end"), "runs")
-    heads = found.groupBy("long_hash").agg(F.min(F.struct("doc_id", "first")).alias("head"), F.count("first").alias("n")).where("n > 1")
+    known = F.broadcast(again) if small_enough(again, BROADCAST_HASHES) else again
+    found = rows.select("row", "doc_id", "digest", "text").mapInArrow(lambda it: grouped(it, run_rows), "row long, doc_id long, digest long, hash long, long_hash binary, first int, end int").join(known, "hash")
+    found = staged(found.drop("hash"), "runs")
+    drop_staged(again)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "digest", "row", "first")
+    heads = found.groupBy("long_hash").agg(F.min(place).alias("head"), F.count("first").alias("n")).where("n > 1")
     # Written first, so that the join deals both sides anew and Spark can split a run that very many documents share.
     heads = staged(heads.select("long_hash", "head"), "heads")
-    return found.join(heads, "long_hash").where(F.struct("doc_id", "first") > F.col("head")).select("doc_id", "first", "end", F.col("head.doc_id").alias("of"))
+    later = found.join(heads, "long_hash").where(place > F.col("head")).select("row", "first", "end", F.when(~F.col("head.none"), F.col("head.doc_id")).alias("of"))
+    later = staged(later, "later")
+    drop_staged(found)
+    drop_staged(heads)
+    return later
 
 
 def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, drop, of) to the text without the sentences in ``drop`` and what was removed."""
+    """(doc_id, text, later) to the text without its covered stretches and what was removed."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    names = ["doc_id", "text", "n_sentences", "n_removed", "spans", "first_docs"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), span, pa.list_(pa.int64()))
     for batch in batches:
         rows = []
-        for doc_id, text, drop, of in zip(*(c.to_pylist() for c in batch.columns)):
-            cut = sentences(text)
-            gone: list[list[int]] = []
-            for i in drop:
-                a, b = cut[i]
-                if gone and gone[-1][1] == a:
-                    gone[-1][1] = b
-                else:
-                    gone.append([a, b])
-            edges = [0, *(e for s in gone for e in s), len(text)]
+        for doc_id, text, later in zip(*(c.to_pylist() for c in batch.columns)):
+            cut, (counts, _, _) = sentences(text), normalised(text)
+            gone = stretches(sorted({i for r in later for i in range(r["first"], r["end"])}), counts)
+            if not gone:
+                continue
+            of = {r["of"] for r in later if r["of"] is not None and any(a <= r["first"] < b for a, b in gone)}
+            spans = [(cut[a][0], cut[b - 1][1]) for a, b in gone]
+            edges = [0, *(e for s in spans for e in s), len(text)]
             left = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((doc_id, left, len(cut), len(drop), [{"start": a, "end": b} for a, b in gone], of))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), span, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "text", "n_sentences", "n_removed", "spans", "first_docs"])
+            rows.append((doc_id, left, len(cut), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in spans], sorted(of)))
+        columns = list(zip(*rows)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) that lose sentences, and only those.
 
     doc_id, text (what is left), n_sentences, n_removed, spans (character ranges that
-    went) and first_docs (documents of the first occurrences, sorted).  A null text,
-    a null doc_id, and texts too short for a run lose nothing.  Rows that share a
-    doc_id and text lose the same; a run that a text repeats within itself stays
-    once, at its first place.
+    went) and first_docs (documents of the first occurrences, sorted).  Each row is a
+    text of its own: of rows that share a doc_id the one with the smallest hash of its
+    text comes first, and of equal rows all but one lose what repeats.  Rows with a
+    null doc_id come last.  A null text, and texts too short for a run, lose nothing;
+    a run that a text repeats within itself stays once, at its first place.  Other
+    columns are ignored; an empty table gives no rows.
     """
-    later = repeated(docs)
-    # A document's own sentences bound its list.
-    drops = later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("end") - 1))))).alias("drop"), F.array_sort(F.collect_set("of")).alias("of"))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("digest"), "text"), "rows")
+    # A row's own runs bound its list.
+    drops = repeated(rows).groupBy("row").agg(F.collect_set(F.struct("first", "end", "of")).alias("later"))
     schema = "doc_id long, text string, n_sentences long, n_removed long, spans array<struct<start:int,end:int>>, first_docs array<long>"
-    return kept.join(drops, "doc_id").select("doc_id", "text", "drop", "of").mapInArrow(shorten, schema)
+    return rows.join(drops, "row").select("doc_id", "text", "later").mapInArrow(shorten, schema)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The rows of :func:`dedup_spans` with spans and first documents as strings."""
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "text", "n_sentences", "n_removed", spans.alias("spans"), F.array_join("first_docs", ",").alias("first_docs"))

@@ -1,34 +1,73 @@
 from __future__ import annotations
 
 import random
+import re
+
+import xxhash
 
 from scrivener.llm import sentence_spans as ss
 
 PASSAGE = "The committee met on a grey morning in March. It heard nine reports about the harbour, the mills and the roads. Nobody spoke against the plan. The vote was taken before noon, and the clerk wrote it down."
+MARKS = ".!?,;:|\n\u2026\u3002\uFF01\uFF0C\uFF1F"
 OWN = "This line belongs to document number {} alone and to no other one at all."
 
 
+def cut(text):
+    """Sentences and parts between commas, one character at a time."""
+    found, now = [], ""
+    for c in text:
+        if now and now[-1] in MARKS and c not in MARKS:
+            found.append(now)
+            now = ""
+        now += c
+    return [*found, now] if now else found
+
+
 def plain(rows):
-    """Removed sentences of each document, by scanning all runs in order."""
+    """(row number, sentences removed, text left) of every row that loses any: runs of every length, compared as words."""
+    order = sorted((d is None, d or 0, xxhash.xxh64_intdigest(t.encode(), 42), k) for k, (d, t) in enumerate(rows) if t is not None)
+    order = sorted(order, key=lambda r: (r[0], r[1], r[2] - (1 << 64) if r[2] >> 63 else r[2], r[3]))
     seen, out = set(), {}
-    for doc, text in sorted(((d, t) for d, t in rows if d is not None and t is not None), key=lambda r: r[0]):
-        for a, b, words in ss.runs(text):
-            if words in seen:
-                out.setdefault(doc, set()).update(range(a, b))
-            seen.add(words)
+    for *_, k in order:
+        pieces = cut(rows[k][1])
+        words = [re.findall(r"\w+", p.lower()) for p in pieces]
+        covered = set()
+        for a in range(len(pieces)):
+            for b in range(a + ss.SENTENCES, len(pieces) + 1):
+                run = tuple(w for ws in words[a:b] for w in ws)
+                if words[a] and words[b - 1] and len(run) >= ss.WORDS:
+                    covered |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        gone, stretch = set(), []
+        for i in range(len(pieces) + 1):
+            if i in covered:
+                stretch.append(i)
+            else:
+                if sum(len(words[j]) for j in stretch) >= ss.STRETCH:
+                    gone |= set(stretch)
+                stretch = []
+        if gone:
+            out[k] = len(gone), "".join(p for i, p in enumerate(pieces) if i not in gone)
     return out
 
 
+def outcome(spark, rows):
+    return sorted(((r["doc_id"], r["n_removed"], r["text"]) for r in ss.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+
+
+def expected(rows):
+    return sorted(((rows[k][0], *found) for k, found in plain(rows).items()), key=repr)
+
+
 def test_like_brute_force(spark):
     rows = [(k, f"{OWN.format(k)}\n{PASSAGE}\n{OWN.format(-k)}") for k in range(30)] + [(99, OWN.format("x") * 3), (100, PASSAGE + " " + PASSAGE), (101, None), (None, PASSAGE)]
     found = {r["doc_id"]: r for r in ss.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    expected = plain(rows)
-    assert {d: r["n_removed"] for d, r in found.items()} == {d: len(s) for d, s in expected.items()}
+    assert outcome(spark, rows) == expected(rows)
     assert 0 not in found and "committee" not in found[5]["text"] and OWN.format(5) in found[5]["text"] and OWN.format(-5) in found[5]["text"]
     for d, r in found.items():
         whole = dict(rows)[d]
         gone = sum(s["end"] - s["start"] for s in r["spans"])
-        assert len(r["text"]) == len(whole) - gone and r["first_docs"]
+        assert len(r["text"]) == len(whole) - gone and (r["first_docs"] or d is None)
 
 
 def test_spans_cover_the_text():
@@ -50,30 +89,30 @@ def test_odd_documents(odd_docs, no_docs):
     assert ss.dedup_spans(no_docs).collect() == []
 
 
-def every_run(rows):
-    """Removed sentences of each document, from runs of every length."""
-    seen, out = set(), {}
-    for doc, text in rows:
-        counts, places, words = ss.normalised(text)
-        for a in range(len(counts) - 1):
-            for b in range(a + ss.SENTENCES, len(counts)):
-                # A run begins and ends with a word.
-                if counts[a] == counts[a + 1] or counts[b - 1] == counts[b] or counts[b] - counts[a] < ss.WORDS:
-                    continue
-                run = words[places[a] : places[b] - 1]
-                if run in seen:
-                    out.setdefault(doc, set()).update(range(a, b))
-                seen.add(run)
-    return out
-
-
 def test_like_runs_of_every_length(spark):
     rng = random.Random(8)
-    pieces = [" ".join(rng.choices("abcdefghijklm", k=rng.choice((0, 1, 2, 3, 9, 14)))) + rng.choice((".", ",", "!\n")) + " " for _ in range(12)]
+    pieces = [" ".join(rng.choices("abcdefghijklm", k=rng.choice((0, 1, 2, 3, 9, 14)))) + rng.choice((".", ",", "!\n", ".\n.")) + " " for _ in range(12)]
     passages = [rng.choices(pieces, k=rng.randrange(2, 9)) for _ in range(6)]
     rows = [(k, "".join([f"own words of {k} come here. ", *rng.choice(passages), f"and {k} again, ", *rng.choice(passages)])) for k in range(40)]
-    found = {r["doc_id"]: r["n_removed"] for r in ss.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {d: len(s) for d, s in every_run(rows).items()}
+    assert outcome(spark, rows) == expected(rows)
+
+
+def test_rows_that_share_a_doc_id_stay_apart(spark):
+    rows = [(1, PASSAGE), (2, OWN.format("a") + " " + PASSAGE), (2, "Short."), (2, "Another long text of the same number. " + PASSAGE + " It ends here."), (None, PASSAGE), (None, "x. " + PASSAGE)]
+    assert outcome(spark, rows) == expected(rows)
+    copies = [(1, PASSAGE)] * 3
+    assert [r[1:] for r in outcome(spark, copies)] == [(6, "")] * 2 and outcome(spark, copies) == expected(copies)
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(ss, "BROADCAST_HASHES", 0)
+    rows = [(k, f"{OWN.format(k)}\n{PASSAGE}") for k in range(20)]
+    assert outcome(spark, rows) == expected(rows)
+
+
+def test_short_repeats_stay(spark):
+    licence = "Licensed under the terms of some licence, version two of it.\n"
+    assert outcome(spark, [(k, licence + OWN.format(k)) for k in range(5)]) == []
 
 
 def test_short_sentences_clauses_and_tails_go(spark):
