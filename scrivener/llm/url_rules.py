@@ -3,13 +3,17 @@
 Labelled pages give transactions of URL tokens plus a class item.  Spark's
 FP-growth mines frequent combinations; rules that conclude the class ``block`` are
 kept if confident and frequent enough and if no part of their tokens is as
-confident.  A page is blocked if it holds all tokens of a rule.  Matching goes
-through an inverted index: each rule stands under its rarest token only, the
-page's tokens look it up, and the rest of the rule is compared.
+confident.  Tokens that stand in exactly the same labelled pages (the parameters of a
+repeated url) would multiply combinations that say the same; they are mined as
+one, and any of them meets a rule that holds one.  A page is blocked if it meets all
+tokens of a rule.  Matching goes through an inverted index: each rule stands under its
+rarest token (and those mined with it) only, the page's tokens look it up, and the
+rest of the rule is compared.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -81,17 +85,42 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
+def twins(rows: DataFrame, least: int) -> DataFrame:
+    """(token, twin) for the tokens in at least ``least`` of ``rows`` (row, tokens): the first in order of those that stand in the same rows.
+
+    Two 64-bit sums of the rows' hashes and their number tell sets of rows apart.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"mark{k}") for k in (1, 2)]
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("row").alias("n"), *marks).where(F.col("n") >= least)
+    seen = staged(seen, "tokens")
+    same = ["n", "mark1", "mark2"]
+    return staged(seen.join(seen.groupBy(same).agg(F.min("token").alias("twin")), same).select("token", "twin"), "twins")
+
+
+RULE = "rule string, tokens array<string>, rarest string, confidence double, wanted array<array<string>>, filed array<string>"
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (rule, tokens, rarest, confidence) from labelled pages (tokens, blocked).
+    """Rules (rule, tokens, rarest, confidence, wanted, filed) from labelled pages (tokens, blocked).
 
-    ``rule`` is the tokens joined by a space.  Without a blocked page there is no rule.
+    ``rule`` is the tokens joined by a space.  ``wanted`` has, for each token, those it was
+    mined with, of which a page must hold one; ``filed`` those of the rarest token.
+    Without a blocked page there is no rule.
     """
     spark = labelled.sparkSession
-    with_class = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(CLASS)))).otherwise(F.col("tokens")).alias("items"))
-    pages = with_class.agg(F.count("items").alias("n"), F.count_if(F.array_contains("items", CLASS)).alias("blocked")).first()
+    rows = staged(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "labelled")
+    pages = rows.agg(F.count("row").alias("n"), F.count_if("blocked").alias("blocked")).first()
     if not pages["blocked"]:
-        return spark.createDataFrame([], "rule string, tokens array<string>, rarest string, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=max(support, 2 / pages["n"]), minConfidence=confidence).fit(with_class)
+        return spark.createDataFrame([], RULE)
+    least = math.ceil(max(support * pages["n"], 2) - 1e-9)
+    alike = twins(rows, least)
+    # Frequent tokens number at most those of a page divided by the support, so Spark decides by their size how to join.
+    merged = rows.select("row", "blocked", F.explode("tokens").alias("token")).join(alike, "token").groupBy("row", "blocked").agg(F.collect_set("twin").alias("items"))
+    with_class = staged(merged.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(CLASS)))).otherwise(F.col("items")).alias("items")), "transactions")
+    many = with_class.count()
+    if not many:
+        return spark.createDataFrame([], RULE)
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / many, minConfidence=confidence).fit(with_class)
     sets = staged(model.freqItemsets, "itemsets")
     name = lambda c: F.array_join(F.array_sort(c), " ")
     ended = sets.where(F.array_contains("items", CLASS)).select(F.array_sort(F.array_remove("items", CLASS)).alias("tokens"), F.col("freq").alias("hits")).where(F.size("tokens") > 0)
@@ -104,15 +133,17 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     kept = rules.join(beaten, "rule", "left_anti")
     # How often each single token occurs settles where a rule is filed.
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    filed = kept.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule").agg(F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.min(F.struct("freq", "token")).alias("least"))
-    return staged(filed.select("rule", "tokens", F.col("least.token").alias("rarest"), "confidence"), "rules")
+    group = alike.groupBy(F.col("twin").alias("token")).agg(F.array_sort(F.collect_list("token")).alias("any"))
+    each = kept.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(single, "token").join(group, "token")
+    filed = each.groupBy("rule").agg(F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.min(F.struct("freq", "token", "any")).alias("least"), F.array_sort(F.collect_list("any")).alias("wanted"))
+    return staged(filed.select("rule", "tokens", F.col("least.token").alias("rarest"), "confidence", "wanted", F.col("least.any").alias("filed")), "rules")
 
 
 def matches(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """(key, mined): the most confident rule of each page that fits any; ties go to the first in order."""
-    index = rules.select(F.col("rarest").alias("token"), "rule", F.col("tokens").alias("wanted"), "confidence")
+    index = rules.select(F.explode("filed").alias("token"), "rule", "wanted", "confidence")
     index = F.broadcast(index) if small_enough(index, BROADCAST_RULES) else index
-    looked = pages.select(key, "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("wanted", "tokens")) == 0)
+    looked = pages.select(key, "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.forall("wanted", lambda any_: F.arrays_overlap(any_, F.col("tokens"))))
     return looked.groupBy(key).agg(F.min(F.struct((-F.col("confidence")).alias("order"), "rule")).alias("best")).select(key, F.col("best.rule").alias("mined"))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import pytest
@@ -71,3 +72,32 @@ def test_mined_verdicts(spark):
     labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(50)], "doc_id long, quality int, toxic int")
     verdicts = {r["page_id"]: r["verdict"] for r in ur.judge(pages, labels).collect()}
     assert verdicts == {k: "block" if k % 4 == 0 else "allow" for k in range(100)}
+
+
+def test_many_parameters_of_a_repeated_url(spark):
+    query = "&".join(f"key{k}=v{k}x" for k in range(15))
+    urls = [f"https://shop.test/item?{query}" if k % 25 == 0 else f"https://site{k % 7}.test/p{k % 3}" for k in range(100)]
+    pages = spark.createDataFrame(list(enumerate([*urls, "https://other.test/?key3=v3x", "https://other.test/?q=1"])), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k % 25 != 0), 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    verdicts = {r["page_id"]: r["verdict"] for r in ur.judge(pages, labels).collect()}
+    assert verdicts == {k: "block" if k % 25 == 0 and k < 100 or k == 100 else "allow" for k in range(102)}
+
+
+def brute_verdicts(pages, transactions, support, confidence):
+    """The pages that hold all tokens of any pruned rule."""
+    rules = [set(r.split(" ")) for r in plain_rules(transactions, support, confidence)]
+    return [any(r <= set(p) for r in rules) for p in pages]
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_verdicts_like_every_combination(spark, monkeypatch, bound):
+    monkeypatch.setattr(ur, "BROADCAST_RULES", bound)
+    rng = random.Random(5)
+    vocabulary = [f"t{k}" for k in range(9)]
+    draw = lambda: sorted({t for t in vocabulary if rng.random() < 0.35} | ({"a1", "a2", "a3"} if rng.random() < 0.3 else set()))
+    transactions = [(t, ("a1" in t and "t2" in t) or ("t4" in t and rng.random() < 0.8)) for t in (draw() for _ in range(120))]
+    pages = [[*draw(), *rng.sample(["a1", "a2", "a3"], 1)] for _ in range(60)]
+    rules = ur.mine(spark.createDataFrame(transactions, "tokens array<string>, blocked boolean"), 0.03, 0.6)
+    frame = spark.createDataFrame(list(enumerate(map(lambda p: sorted(set(p)), pages))), "page long, tokens array<string>")
+    found = {r["page"] for r in ur.matches(frame, rules, "page").collect()}
+    assert [k in found for k in range(60)] == brute_verdicts(pages, transactions, 0.03, 0.6)
