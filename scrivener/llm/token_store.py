@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,7 +45,7 @@ from .common import drop_path, fresh_path, held
 ADDRESS = 16
 #: A unit holding one of these code points is left to the library's own splitting: newer
 #: Unicode versions classify some of them differently.
-RARE = regex.compile(r"[\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7F1\uAB6C\uAB6D\U00010000-\U0010ffff\x1c-\x1f\x85]")
+RARE = re.compile(r"[\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7F1\uAB6C\uAB6D\U00010000-\U0010ffff\x1c-\x1f\x85]")
 #: How byte-level BPE vocabularies of this family split text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -67,7 +69,8 @@ class UnitEncoder(dict):
     A byte-level BPE never merges over a boundary between a non-space and a
     space, so a text's ids are those of its units in turn.  Units that end in
     white space (or are empty) can merge with what follows; they map to None,
-    and :meth:`text` hands such texts whole to the library.
+    and :meth:`text` hands such texts whole to the library, as it does those that
+    hold an added token's string.
     """
 
     LIMIT = 1_000_000
@@ -77,16 +80,17 @@ class UnitEncoder(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.library.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.model = self.library.model
         self.kind = np.dtype(f"<u{id_bytes}")
+        self.code = {2: "H", 4: "I"}[id_bytes]
         self.pieces: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def merged(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin1").translate(self.alphabet)
@@ -106,8 +110,12 @@ class UnitEncoder(dict):
     def __missing__(self, word: str) -> bytes | None:
         if not word or word[-1].isspace():
             made = None
-        elif word.isalpha() and not RARE.search(word):
+        elif RARE.search(word):
+            made = self.unit(" " + word)
+        elif word.isalpha():
             made = self.merged(" " + word)
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():  # the commonest two pieces
+            made = self[word[:-1]] + self.piece(word[-1])
         else:
             made = self.unit(" " + word)
         self[word] = made
@@ -118,7 +126,7 @@ class UnitEncoder(dict):
             self.clear()
             self.pieces.clear()
         first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
+        if first and not first[-1].isspace() and not any(t in text for t in self.added):
             try:
                 return self.unit(first) + b"".join(map(self.__getitem__, rest))
             except TypeError:
