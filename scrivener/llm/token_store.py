@@ -266,9 +266,11 @@ def write_store(docs: DataFrame, path: str, form: StoreFormat = StoreFormat()) -
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = (
         spark.read.schema("address binary, doc_id long, n long, ids binary, kind string").parquet(f"{path}/objects")
-        .where("kind = 'recipe'").select("doc_id", "n", "ids")
+        .where("kind = 'recipe'").select("doc_id", F.xxhash64("ids").alias("content"), "address", "n", "ids")
     )
-    recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(order_recipes, RECIPE).write.parquet(f"{path}/recipes")
+    # Rows of one doc_id may fill several ranges: their order goes on by content, and equal rows' by address.
+    order = ("doc_id", "content", "address")
+    recipes.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(order_recipes, RECIPE).write.parquet(f"{path}/recipes")
     drop_path(spark, f"{path}/objects/kind=recipe")
     written = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
     # Range partitions are contiguous, so a part's root needs its own rows only; they come in file order.
