@@ -6,9 +6,12 @@ are then fitted so that the expected token total of each domain,
 ``sum(r * tokens * posterior)``, matches its target share of the largest total at
 which all can.  Posteriors overlap, so that total is part of the problem: it is the
 multiplier of the dual, whose gradient is the misfit, and a document's rate is its
-posteriors' product with the dual's weights, projected into 0..most.  Gradient and
-curvature are a few sums, so each round is one aggregate over (tokens, posteriors)
-and nothing is shuffled.
+posteriors' product with the dual's weights, projected into 0..most.  From those rates
+projected gradient steps on the sum of squared misfits go on until every total is
+within ``TOLERANCE``.  Gradients and curvature are a few sums, so each round is one
+aggregate over (tokens, posteriors) and nothing is shuffled.
+
+Posteriors are computed within each row, so rows need no key: each has its own rate.
 """
 
 from __future__ import annotations
@@ -40,11 +43,10 @@ SHARPNESS = 100.0
 UNIT = 1_000_000
 
 
-def exploded(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word: its bucket (null in texts without words), beside the columns in ``keep``."""
-    words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\s\p{Punct}]+")
-    word = docs.select(*keep, F.explode(words).alias("word"))
-    return word.select(*keep, F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")).alias("bucket"))
+def buckets(text: Column) -> Column:
+    """The bucket of each word of a text, an empty array for null."""
+    words = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\s\p{Punct}]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> list[list[float]]:
@@ -57,7 +59,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     many = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}
     share = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(min(1.0, sample / max(1, many.get(d, 0)))))])
     drawn = marks.where(F.pmod(F.xxhash64(F.lit("mixing sample"), "doc_id"), F.lit(UNIT)) < share[F.col("domain")] * UNIT)
-    counts = exploded(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "domain").where("bucket is not null").groupBy("domain", "bucket").count().collect()
+    known = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    counts = known.select("domain", F.explode(buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").count().collect()
     table = {d: [1.0] * BUCKETS for d in domains}
     for r in counts:
         table[r["domain"]][r["bucket"]] += r["count"]
@@ -71,25 +74,26 @@ def class_priors(labelled: DataFrame, domains: list[str]) -> list[float]:
     return [c / sum(counts) for c in counts]
 
 
-def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], key: str, priors: list[float] | None = None) -> DataFrame:
-    """key, tokens (words) and p, the array of posteriors under ``priors`` (else equal ones); texts without words get equal ones."""
+def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], *keep: str, priors: list[float] | None = None) -> DataFrame:
+    """For every row the columns ``keep``, tokens (words) and p, the array of posteriors under ``priors`` (else equal ones); texts without words get equal ones."""
     before = [math.log(x) for x in priors or [1.0] * len(domains)]
     # One string for each table, which the optimizer folds to a constant array.
     constant = [F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") for values in logs]
-    score = [F.sum(F.get(values, F.col("bucket"))).alias(f"s{k}") for k, values in enumerate(constant)]
-    sums = exploded(docs, key).groupBy(key).agg(F.count("bucket").alias("tokens"), *score)
-    scaled = [F.coalesce(F.col(f"s{k}") / F.col("tokens") * SHARPNESS, F.lit(0.0)) for k in range(len(domains))]
-    scaled = [F.when(F.col("tokens") > 0, s + F.lit(b)).otherwise(0.0) for s, b in zip(scaled, before)]
+    cut = docs.select(*keep, buckets(F.col("text")).alias("buckets"))
+    total = lambda values: F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.get(values, b))
+    sums = cut.select(*keep, F.size("buckets").cast("long").alias("tokens"), *[total(values).alias(f"s{k}") for k, values in enumerate(constant)])
+    scaled = [F.when(F.col("tokens") > 0, F.col(f"s{k}") / F.col("tokens") * SHARPNESS + F.lit(b)).otherwise(0.0) for k, b in enumerate(before)]
     top = F.greatest(*scaled) if len(scaled) > 1 else scaled[0]
     raised = F.array(*[F.exp(s - top) for s in scaled])
-    return sums.select(key, "tokens", raised.alias("e")).select(key, "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return sums.select(*keep, "tokens", raised.alias("e")).select(*keep, "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = ROUNDS) -> tuple[Column, list[float], list[float]]:
+def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = ROUNDS, start: tuple[Column, list[float], list[float]] | None = None) -> tuple[Column, list[float], list[float]]:
     """Rates as an expression over (tokens, p), the domain totals wanted and those reached.
 
-    Targets are shares; the total is the largest at which no domain must give more
-    than it has (a domain that nothing belongs to is left out of that minimum).
+    Projected gradient steps on the squared misfits, from ``start`` (rates, totals wanted
+    and reached) or from rates of one.  Without a start, the total is the largest at which
+    no domain must give more than it has (one that nothing belongs to is left out).
     """
     size = len(targets)
     sums = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(size)]).first()
@@ -103,10 +107,13 @@ def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: i
     # full step never overshoots, and is exact where each document belongs to one domain.
     scale = [max(h, 1e-9) for h in have]
     reached = [h * min(1.0, most) for h in have]
+    first = F.lit(min(1.0, most))
+    if start is not None:
+        first, want, reached = start
     steps: list[list[float]] = []
 
     def rate(history: list[list[float]]) -> Column:
-        r = F.lit(min(1.0, most))
+        r = first
         for push in history:
             for k, x in enumerate(push):
                 r = r + F.lit(float(x)) * F.col("p")[k]
@@ -181,26 +188,41 @@ def missed(want: list[float], reached: list[float], tolerance: float = 0.01) ->
     return any(abs(w - r) > tolerance * w for w, r in zip(want, reached))
 
 
+class Mixer:
+    """A fitted mix: the classifier, the rate of a row, and the totals wanted and reached by domain."""
+
+    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = 1.0, sample: int = SAMPLE):
+        self.targets = targets
+        domains = list(targets)
+        self.logs, self.priors = learn(docs, labelled, domains, sample), class_priors(labelled, domains)
+        self.mass = staged(self.judged(docs, "doc_id"), "mass")
+        self.rate, self.want, self.reached = fit(self.mass, targets, most, start=fit_largest(self.mass, targets, most))
+        tokens = self.mass.agg(F.sum("tokens")).first()[0] or 0
+        if tokens and (sum(self.reached) < LEAST_TOTAL * tokens or missed(self.want, self.reached)):
+            warnings.warn(f"mixing: wanted {dict(zip(domains, self.want))}, reached {dict(zip(domains, self.reached))} of {tokens} tokens", stacklevel=3)
+            if sum(self.reached) < LEAST_TOTAL * tokens:
+                self.rate = F.lit(float(most))
+        self.kept = F.col("draw") < self.rate
+
+    def judged(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep`` of each row with tokens, p and draw, by which its rate decides."""
+        draw = F.pmod(F.xxhash64(F.lit("mixing draw"), F.col("doc_id"), F.col("text").cast("string")), F.lit(UNIT)) / UNIT
+        return posteriors(docs.withColumn("draw", draw), list(self.targets), self.logs, *keep, "draw", priors=self.priors)
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = 1.0, sample: int = SAMPLE) -> DataFrame:
-    """Every doc_id of ``docs`` (doc_id, text) with tokens, p, rate and kept.
+    """For every row of ``docs`` (doc_id, text): doc_id, tokens, p, rate, kept, wanted and reached.
 
-    ``kept`` draws by a hash of doc_id: a rate of 0.3 keeps three of ten.  A null
-    text has no tokens and equal posteriors; rows with equal doc_id are one document
-    (their words add up), a null doc_id included; an empty table gives no rows.
+    ``kept`` draws by a hash of doc_id and text: a rate of 0.3 keeps three of ten, and equal
+    rows share their lot.  ``wanted`` and ``reached`` are the domains' expected token totals,
+    the same in every row.  A null text has no tokens and equal posteriors; a null doc_id
+    is judged as any other; other columns are ignored; an empty table gives no rows.
     Warns where the posteriors cannot meet the targets; if hardly a token could stay
     (no labels, say), every rate is ``most``.
     """
-    domains = list(targets)
-    logs = learn(docs, labelled, domains, sample)
-    mass = staged(posteriors(docs.select("doc_id", "text"), domains, logs, "doc_id", class_priors(labelled, domains)), "mass")
-    rate, want, reached = fit_largest(mass, targets, most)
-    tokens = mass.agg(F.sum("tokens")).first()[0] or 0
-    if tokens and (sum(reached) < LEAST_TOTAL * tokens or missed(want, reached)):
-        warnings.warn(f"mixing: wanted {dict(zip(domains, want))}, reached {dict(zip(domains, reached))} of {tokens} tokens", stacklevel=2)
-        if sum(reached) < LEAST_TOTAL * tokens:
-            rate = F.lit(float(most))
-    drawn = F.pmod(F.xxhash64(F.lit("mixing draw"), "doc_id"), F.lit(UNIT)) / UNIT
-    return mass.select("doc_id", "tokens", "p", rate.alias("rate")).withColumn("kept", drawn < F.col("rate"))
+    mixer = Mixer(docs.select("doc_id", "text"), labelled, targets, most, sample)
+    totals = [F.array(*map(F.lit, map(float, x))).alias(n) for n, x in (("wanted", mixer.want), ("reached", mixer.reached))]
+    return mixer.mass.select("doc_id", "tokens", "p", mixer.rate.alias("rate"), mixer.kept.alias("kept"), *totals)
 
 
 #: Domains of the labels table, and what share of tokens each should have.
@@ -214,5 +236,14 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def mix_labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    mixed = mix(docs.withColumn("doc_id", F.col("doc_id").cast("long")), label_domains(labels), targets)
-    return mixed.select("doc_id", "tokens", *[F.round(F.col("p")[k], 9).alias(f"p_{d}") for k, d in enumerate(targets)], F.round("rate", 9).alias("rate"), "kept")
+    """:func:`mix` by the marks of ``labels``, with a column for each posterior and total."""
+    mixed = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), label_domains(labels), targets)
+    share = lambda c: [F.round(F.try_divide(F.col(c)[k], F.aggregate(c, F.lit(0.0), lambda a, b: a + b)), 9).alias(f"{c}_{d}") for k, d in enumerate(targets)]
+    return mixed.select("doc_id", "tokens", *[F.round(F.col("p")[k], 9).alias(f"p_{d}") for k, d in enumerate(targets)], F.round("rate", 9).alias("rate"), "kept", *share("wanted"), *share("reached"))
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with all their columns."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mixer = Mixer(packed.select("doc_id", "text"), label_domains(labels), targets)
+    return mixer.judged(packed, "row").where(mixer.kept).select("row.*")

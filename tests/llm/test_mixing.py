@@ -50,7 +50,7 @@ def test_fit_like_plain_projected_gradient(spark):
 
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs, labels, no_labels):
     rows = mx.mix_labelled(odd_docs, labels).collect()
-    assert {r["doc_id"] for r in rows} == {d[0] for d in odd_rows} and len(rows) == len({d[0] for d in odd_rows})
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d[0]) for d in odd_rows)  # each row is judged on its own
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[0]["tokens"] == by_id[1]["tokens"] == 0 and by_id[0]["p_clean"] == pytest.approx(1 / 3)
     assert mx.mix_labelled(no_docs, labels).collect() == []
@@ -95,3 +95,35 @@ def test_a_miss_is_told(spark, no_labels):
     with pytest.warns(UserWarning, match="mixing: wanted"):
         rows = mx.mix_labelled(docs, no_labels).collect()
     assert all(r["rate"] == 1 for r in rows)
+
+
+def test_posteriors_like_plain_naive_bayes(spark):
+    docs, labelled = corpus(spark, 60)
+    rows = mx.mix(docs, labelled, {"a": 0.5, "b": 0.3, "c": 0.2}).collect()
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for ws in WORDS.values() for w in ws], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mx.BUCKETS)).alias("b")).collect()}
+    domain = {r["doc_id"]: r["domain"] for r in labelled.collect()}
+    counts = {d: np.ones(mx.BUCKETS) for d in "abc"}
+    texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    for k, d in domain.items():
+        for w in texts[k]:
+            counts[d][bucket[w]] += 1
+    prior = np.array([list(domain.values()).count(d) + 1 for d in "abc"])
+    for r in rows:
+        log = np.array([np.mean([np.log(counts[d][bucket[w]] / counts[d].sum()) for w in texts[r["doc_id"]]]) for d in "abc"]) * mx.SHARPNESS + np.log(prior / prior.sum())
+        p = np.exp(log - log.max())
+        assert r["tokens"] == len(texts[r["doc_id"]]) and r["p"] == pytest.approx(p / p.sum())
+
+
+def test_totals_are_returned_and_rows_kept_whole(spark, odd_docs, labels):
+    docs, labelled = corpus(spark)
+    r = mx.mix(docs, labelled, {"a": 0.6, "b": 0.3, "c": 0.1}).first()
+    assert r["reached"] == pytest.approx(r["wanted"], rel=1e-3) and r["wanted"][0] == pytest.approx(6 * r["wanted"][2])
+    kept = mx.mixed_rows(odd_docs, labels)
+    assert kept.columns == odd_docs.columns
+    assert kept.count() == mx.mix_labelled(odd_docs, labels).where("kept").count()
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "apple bolt " * 200_000), (2, "apple")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, domain string")
+    assert {r["doc_id"]: r["tokens"] for r in mx.mix(docs, labelled, {"a": 0.5, "b": 0.5}).collect()} == {1: 400_000, 2: 1}
