@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scrivener.llm import secrets
 
@@ -61,3 +63,31 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
 def test_no_python_on_the_main_path(odd_docs, kind):
     plan = secrets.scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert kind not in plan
+
+
+def test_a_pair_appended_twice_counts_once(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([("a", "token=abcdef"), ("b", "nothing")], "path string, text string")
+    secrets.record(docs, ledger)
+    secrets.read_ledger(spark, ledger).coalesce(1).write.parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(ledger)
+    assert {r["path"]: len(r["spans"]) for r in secrets.scan(docs, ledger).collect()} == {"a": 1, "b": 0}
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        sizes = [k * 7 % 11 for k in range(n)]
+        got = spark.createDataFrame([(sizes,)], "x array<int>").select(secrets.running(F.col("x"))).first()[0]
+        assert got == np.cumsum(sizes).tolist()
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdef;\n" * 30_000
+    r = secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_assign"] == 30_000 and r["spans"].endswith(f"assign:{14 * 29_999}:{14 * 29_999 + 12}")
+
+
+def test_the_ledger_is_written_without_python(spark, tmp_path, odd_docs):
+    written = secrets.unseen(odd_docs, str(tmp_path / "ledger"), secrets.RULES)
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert not any(kind in plan for kind in ("Python", "Pandas", "Arrow"))
