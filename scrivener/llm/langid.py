@@ -8,8 +8,12 @@ on at the next shorter context, at last to a uniform byte.  A text's language is
 the one whose frozen tree gives the shortest code.
 
 Trees are counted on the executors from a bounded sample (``sample`` documents of
-each language) and scoring looks up exact code lengths, kept for the byte
-four-grams, trigrams and pairs the trees hold, for all languages at once.
+each language) and kept whole.  Scoring looks up exact code lengths, kept for the
+byte four-grams, trigrams and pairs the trees hold, for all languages at once; a
+trigram's four-grams lie together, and bits tell which last bytes it has, so the
+index grows with the trigrams only.
+
+Languages are meant to be few (some hundreds): each is a column of the tables.
 """
 
 from __future__ import annotations
@@ -30,8 +34,6 @@ from .common import held, held_out
 SAMPLE = 1500
 #: Bytes of text, times languages, that are scored at once: bounds a worker's arrays.
 ROOM = 1 << 20
-#: Contexts of order 3 that are kept, the commonest over all languages.
-CONTEXTS = 60_000
 LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 PAD = b"   "
@@ -90,7 +92,7 @@ class Trees:
     index: tuple | None = field(default=None, repr=False)
 
     @classmethod
-    def build(cls, langs: list[str], code: np.ndarray, counts: np.ndarray, contexts: int = CONTEXTS) -> "Trees":
+    def build(cls, langs: list[str], code: np.ndarray, counts: np.ndarray) -> "Trees":
         """From ascending four-gram codes and their counts by language."""
 
         def folded_to(mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +115,7 @@ class Trees:
         bits2, held2, escape2 = costs(trigrams, three, bits1[trigrams & np.uint32(0xFFFF)])
         pair_escape = np.zeros((65536, len(langs)))
         pair_escape[held2] = escape2
-        # Order 3: the commonest contexts; the rest of the trees end at order 2.
-        context, place = np.unique(code >> np.uint32(8), return_inverse=True)
-        weight = np.bincount(place, counts.sum(axis=1))
-        kept = np.zeros(len(context), bool)
-        kept[np.lexsort((context, -weight))[:contexts]] = True
-        quads, four = code[kept[place]], counts[kept[place]]
+        quads, four = code, counts
         # A context of three bytes may begin a text and be no trigram yet: give it a place.
         every = np.union1d(trigrams, np.unique(quads >> np.uint32(8)))
         full = pair_escape[every >> np.uint32(8)] + bits1[every & np.uint32(0xFFFF)]
@@ -131,25 +128,28 @@ class Trees:
         return cls(langs, bits1.astype(small), every, full.astype(small), pair_escape.astype(small), quads, bits3.astype(small), trigram_escape.astype(small))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of trigrams by code, and of four-grams by (place of the first three) * 256 + last; 0 where the trees have none."""
+        """Places of trigrams by code (0: none); for each place and quarter of the byte range, bits of the last bytes of its four-grams, and how many four-grams lie before."""
         if self.index is None:
             by_code = np.zeros(1 << 24, np.int32)
             by_code[self.trigrams] = np.arange(1, len(self.trigrams) + 1)
-            heads = np.unique(self.quads >> np.uint32(8))
-            head = np.zeros(len(self.trigrams) + 1, np.int32)
-            head[by_code[heads]] = np.arange(1, len(heads) + 1)
-            by_head = np.zeros((len(heads) + 1) << 8, np.int32)
-            by_head[(head[by_code[self.quads >> np.uint32(8)]].astype(np.int64) << 8) + (self.quads & np.uint32(0xFF))] = np.arange(1, len(self.quads) + 1)
-            self.index = by_code, head, by_head
+            slot = by_code[self.quads >> np.uint32(8)].astype(np.int64) * 4 + ((self.quads >> np.uint32(6)) & np.uint32(3))
+            bits = np.zeros((len(self.trigrams) + 1) * 4, np.uint64)
+            np.bitwise_or.at(bits, slot, np.uint64(1) << (self.quads & np.uint32(63)).astype(np.uint64))
+            before = np.zeros(len(bits) + 1, np.int32)
+            np.cumsum(np.bincount(slot, minlength=len(bits)), out=before[1:])
+            self.index = by_code, bits, before
         return self.index
 
     def bits(self, code: np.ndarray) -> np.ndarray:
         """Code length of the last byte of each four-gram after the other three."""
-        by_code, head, by_head = self.tables()
+        by_code, bits, earlier = self.tables()
         before = by_code[code >> np.uint32(8)]
-        quad = by_head[(head[before].astype(np.int64) << 8) + (code & np.uint32(0xFF))]
-        out = self.quad_bits[quad - 1] if len(self.quads) else np.zeros((len(code), len(self.langs)), np.float32)
-        rest = np.flatnonzero(quad == 0)
+        slot = before * 4 + ((code >> np.uint32(6)) & np.uint32(3)).astype(np.int32)
+        own, bit = bits[slot], (code & np.uint32(63)).astype(np.uint64)
+        has = (own >> bit & np.uint64(1)).astype(bool)
+        quad = earlier[slot] + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+        out = self.quad_bits[np.where(has, quad, 0)] if len(self.quads) else np.zeros((len(code), len(self.langs)), np.float32)
+        rest = np.flatnonzero(~has)
         if len(rest):
             c = code[rest] & np.uint32(0xFFFFFF)
             place, held = by_code[c], before[rest]
@@ -195,18 +195,21 @@ def full_bits(code: np.ndarray, trigrams: np.ndarray, bits: np.ndarray, pair_esc
     return np.where((trigrams[place] == code)[:, None], bits[place], pair_escape[code >> np.uint32(8)] + pairs[code & np.uint32(0xFFFF)])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Trees:
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees of every non-null ``lang`` of ``docs`` (doc_id, text, lang) with a text.
 
-    The driver gets one row for each four-gram and language of the bounded
-    sample.  Languages without a letter in their sample are not learned.
+    About ``sample`` different (doc_id, text) of each language are drawn by a hash, and
+    each is counted once however often it is repeated.  The driver gets one row for
+    each language, and one for each four-gram and language of that sample.  Languages
+    without a letter in their sample are not learned.
     """
-    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    many = known.groupBy("lang").count().collect()  # one row for each language
+    known = docs.select(F.xxhash64(F.lit("language sample"), "doc_id", F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where("lang is not null and text is not null")
+    many = known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()
     if not many:
         return Trees([], *[np.zeros((0, 0))] * 7)
-    share = F.create_map(*[x for r in many for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    share = F.create_map(*[x for r in many for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / max(1, r["n"]))))])
+    drawn = known.where(F.pmod("mark", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).groupBy("lang", "mark").agg(F.first("text").alias("text"))
     rows = drawn.select("text", "lang").mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return Trees([], *[np.zeros((0, 0))] * 7)
@@ -214,14 +217,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Tr
     code, place = np.unique(rows["code"].to_numpy().astype(np.uint32), return_inverse=True)
     counts = np.zeros((len(code), len(langs)))
     counts[place, np.searchsorted(langs, rows["lang"].to_numpy().astype(str))] = rows["n"]
-    return Trees.build(langs, code, counts, contexts)
+    return Trees.build(langs, code, counts)
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """Adds lang_pred and score to ``docs``; columns of those names are replaced."""
     spark = docs.sparkSession
     key = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(trees)  # languages times the kept grams, bounded by the sample and CONTEXTS
+    shared = spark.sparkContext.broadcast(trees)  # languages times the grams of the bounded sample
     plain = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
