@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, staged
+from .common import drop_staged, held, staged
 
 WINDOW = 10
 BLOCK = 8
@@ -123,13 +123,29 @@ def occurrences(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
     return docs.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (", " if len(schema) else "") + "n_words long, ranges array<struct<first:long,end:long>>, item_ids array<string>")
 
 
-def passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in groups of at most PASS_BYTES (or one item)."""
+def passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark's items in groups of about PASS_BYTES, one group in the driver at a time."""
     known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // PASS_BYTES) or 1
-    by = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
-    return [[tuple(r) for r in known.where(by == k).collect()] for k in range(groups)]
+    if groups > 1:  # written once by group, so that no pass reads the others' texts
+        by = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int")
+        known = staged(known.withColumn("pass", by).repartition("pass").sortWithinPartitions("pass"), "benchmark")
+    for k in range(groups):
+        yield [tuple(r) for r in (known.where(F.col("pass") == k).select("item_id", "text") if groups > 1 else known).collect()]
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (any columns, a string column ``text``) in which no window occurs; between two passes they are written."""
+    columns, written = docs.columns, None
+    for k, items in enumerate(passes(benchmark)):
+        if k:
+            docs, before = staged(docs, "clean"), written
+            written = docs
+            if before is not None:
+                drop_staged(before)
+        docs = occurrences(docs, items).where(F.size("ranges") == 0).select(*columns)
+    return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -139,19 +155,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (items with occurring windows, sorted as strings), ranges (merged word ranges
     that are hit).  A null or wordless text has no words and no hit; items without
     words have no window; rows that repeat are answered each on its own.  An
-    item_id or text that is null takes no part.  Items of more than one pass are
-    merged by a row number, which lives in the shared folder.
+    item_id or text that is null takes no part.  Of a benchmark of more than one pass,
+    each writes its hits alone, and they are merged by a row number.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = passes(benchmark)
-    if len(groups) == 1:
-        return counted(occurrences(plain, groups[0]))
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return counted(occurrences(plain, first))
 
     rows = staged(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = [occurrences(rows, g).drop("text") for g in groups]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
+    every = staged(occurrences(rows, first).drop("text"), "hits")
+    while second is not None:
+        every = every.unionByName(staged(occurrences(rows, second).drop("text").where(F.size("ranges") > 0), "hits"))
+        second = next(groups, None)
+    drop_staged(rows)
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("every"))
     empty = F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)")
     joined = F.aggregate(
