@@ -35,9 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
+def fresh_path(spark: SparkSession, what: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; a ``lasting`` one outlives :func:`tidied`."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if _open.get() is not None:
+    if _open.get() is not None and not lasting:
         _open.get().append((spark, path))
     return path
 

@@ -49,14 +49,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, texts, by their fingerprints."""
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a signed 64-bit integer, of every row; a null text has no words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(fingerprint_rows, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """The long columns ``keep``, doc_id and fp, a signed 64-bit integer, of every row; a null text has no words."""
+    plain = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return plain.mapInArrow(fingerprint_rows, "".join(f"{c} long, " for c in keep) + "doc_id long, fp long")
 
 
 def flips(first: int = 0, end: int = 64) -> list[int]:
@@ -125,6 +127,15 @@ def far_links(distinct: DataFrame) -> DataFrame:
     return x.join(y, close).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
 
 
+def connected(prints: DataFrame) -> DataFrame:
+    """fp and comp of every fingerprint in ``prints`` (column fp): equal comp where chains of links lead."""
+    distinct = staged(prints.select("fp").distinct(), "distinct")
+    near = components(near_links(distinct))
+    grouped = staged(distinct.join(near, distinct.fp == near.node, "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "grouped")
+    far = components(far_links(grouped))
+    return staged(grouped.join(far, grouped.comp == far.node, "left").select("fp", F.coalesce(far.comp, grouped.comp).alias("comp")), "joined")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (hex), component_id.
 
@@ -133,12 +144,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component.  A null doc_id is kept and counts as larger than all others.
     """
     prints = staged(fingerprints(docs), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    near = components(near_links(distinct.select("fp")))
-    grouped = staged(distinct.join(near, distinct.fp == near.node, "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp")), "grouped")
-    far = components(far_links(grouped.select("fp", "comp")))
-    joined = grouped.join(far, grouped.comp == far.node, "left").select("fp", "first", F.coalesce(far.comp, grouped.comp).alias("comp"))
-    joined = staged(joined, "joined")
-    heads = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = joined.join(heads, "comp").select("fp", "component_id")
+    comps = connected(prints)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    heads = comps.join(first, "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = comps.join(heads, "comp").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Most row numbers (8 bytes each) that are broadcast to drop rows; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first in their component.
+
+    First is the smallest doc_id (null last), and of equal ones the first in the table; so
+    of equal rows, or rows that share a doc_id and are near copies, one stays.
+    """
+    packed = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = staged(packed, "rows")
+    prints = staged(fingerprints(rows.select("number", "row.doc_id", "row.text"), "number"), "prints")
+    comps = connected(prints)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
+    heads = comps.join(prints.groupBy("fp").agg(F.min(order).alias("first")), "fp").groupBy("comp").agg(F.min("first").alias("head"))
+    named = comps.join(heads, "comp").select("fp", F.col("head.number").alias("head"))
+    gone = staged(prints.join(named, "fp").where(F.col("number") != F.col("head")).select("number"), "gone")
+    return rows.join(F.broadcast(gone) if small_enough(gone, BROADCAST_ROWS) else gone, "number", "left_anti").select("row.*")

@@ -94,3 +94,14 @@ def test_chains_and_a_dense_group(spark):
     values = list(dict.fromkeys(chain + dense))
     expected = plain_components(list(enumerate(values)))
     assert links_of(spark, values) == {k: expected[k, v] for k, v in enumerate(values)}
+
+
+def test_representatives_of_rows_that_share_ids(spark, odd_docs, no_docs):
+    texts = ["one two three four five six", "one two three four five six", "quite another text of seven words here"]
+    rows = [(7, texts[0], 1), (7, texts[1], 2), (7, texts[2], 3), (None, texts[0], 4), (None, texts[2], 5), (9, texts[0], 6), (9, None, 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    kept = sorted(r["number"] for r in simhash.representatives(docs).collect())
+    assert kept == [1, 3, 7] and simhash.representatives(docs).columns == docs.columns
+    assert simhash.representatives(no_docs).collect() == []
+    prints = {plain_fingerprint(r["text"]) for r in odd_docs.collect()}
+    assert len({plain_fingerprint(r["text"]) for r in simhash.representatives(odd_docs).collect()}) == simhash.representatives(odd_docs).count() <= len(prints)
