@@ -5,9 +5,9 @@ all their columns; the last returns what the token store holds.  ``run`` writes
 stage's rows as Parquet in the shared folder and reads them again.
 
 Common cases: a null text has no letter, so the first stage rejects it; an empty
-table stays empty through all stages; rows that repeat a doc_id stay or go
-together; a row with a null doc_id is judged by its text and stays otherwise;
-columns of any other name pass through unchanged.
+table stays empty through all stages; every row is judged on its own, so rows that
+share a doc_id, or have none, stay or go each by its text, and of equal rows
+near-dedup keeps one; columns of any other name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import decontaminate, langid, mixing, simhash, token_store
-from scrivener.llm.common import held_out, small_enough, staged, table
+from scrivener.llm.common import fresh_path, held_out, table, tidied
 
 #: Posterior of the best language that a document needs.
 LEAST_SCORE = 0.5
-#: Most ids (8 bytes each) that are broadcast to drop rows; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -29,12 +27,6 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the ids in ``gone``."""
-    gone = staged(gone.distinct(), "gone")
-    return docs.join(F.broadcast(gone) if small_enough(gone, BROADCAST_IDS) else gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters, or with no clear language, go."""
     trees = langid.learn(docs.where(~held_out("doc_id")))
@@ -43,23 +35,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """One row of each near-duplicate group: the one with the smallest doc_id, of several the first in the table."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    kept = packed(docs)
-    for items in decontaminate.passes(table(spark, sf_dir, "benchmark")):
-        kept = decontaminate.occurrences(kept, items).where(F.size("ranges") == 0).select("row", "text")
-    return kept.select("row.*")
+    return decontaminate.without_hits(packed(docs), table(spark, sf_dir, "benchmark")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that bring the label domains to their target shares."""
-    found = mixing.mix_labelled(docs, table(spark, sf_dir, "labels"))
-    return without(docs, found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"))
+    return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,5 +69,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "corpus")
+        with tidied():  # what a stage writes on its way goes when its rows are written
+            made = stage(spark, docs, sf_dir)
+            path = fresh_path(spark, "corpus", lasting=True)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
