@@ -8,13 +8,14 @@ hash; one that occurs again keeps its first place, and the sentences of every
 later one are covered.  Covered sentences that follow each other make a stretch;
 stretches of at least ``STRETCH`` words are removed.
 
-Every row has a number of its own, written with its text before anything else, so
-rows that share a doc_id, or are equal, stay apart.  The first place is the smallest
-by doc_id (null last), hash of the text, row number and position.
+A row is told by its doc_id; rows whose doc_id is null or stands more than once are
+written first with a number of their own.  The first place is the smallest by doc_id
+(null last), number and position.
 
 Two passes keep the shuffles small.  The first counts 64-bit hashes; the second
-looks up those that repeat and settles them by a 128-bit hash.  The text itself
-is shuffled only to give back the shortened documents.
+shuffles the places of all runs to those that repeat, and 96 bits settle which are
+equal.  Joins are by sorted shuffles at every size: what repeats has no bound.  The text
+itself is shuffled only to give back the shortened documents.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ SENTENCES = 2
 WORDS = 10
 #: Words of a stretch that is removed: a shorter one (a licence line, a common phrase) is no passage.
 STRETCH = 13
-#: Most repeated hashes (8 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_HASHES = 2_000_000
+#: Most doc_ids that are broadcast to set apart their rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Stands for a null doc_id, and where the numbers of such rows begin.
+NO_ID, NO_ID_COPIES = (1 << 63) - 1, 1 << 62
 #: What ends a sentence, as the inside of a character class.
 MARKS = r".!?,;:|\n…。！，？"
 SENTENCE = re.compile(rf"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
@@ -113,30 +116,31 @@ def stretches(covered: list[int], counts: list[int], least_words: int = STRETCH)
     return [(a, b) for a, b in found if counts[b] - counts[a] >= least_words]
 
 
+def digests(runs_: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each run."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, runs_)), dtype="<i8").reshape(-1, 2)
+
+
 def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to the 64-bit hashes of their runs."""
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            found = np.fromiter((xxhash.xxh3_64_intdigest(words) for _, _, words in all_runs(text)), dtype=np.uint64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
+            words = [w for _, _, w in all_runs(text)]
+            if words:
+                found = digests(words)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy())], names=["hash"])
 
 
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, digest, text) to a row for each run: its hashes and its sentences."""
-    names = ["row", "doc_id", "digest", "hash", "long_hash", "first", "end"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+    """(doc_id, copy, text) to a row for each run: its hash, 32 bits of another, and its place."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            rows = [
-                (row, doc_id, digest, xxhash.xxh3_64_intdigest(words), xxhash.xxh3_128_digest(words, 1), i, end)
-                for row, doc_id, digest, text in zip(*(c.to_pylist() for c in part.columns)) for i, end, words in all_runs(text)
-            ]
-            if rows:
-                columns = list(zip(*rows))
-                columns[3] = np.array(columns[3], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = list(all_runs(text))
+            if found:
+                first, end, words = zip(*found)
+                both = digests(words)
+                columns = [both[:, 0].copy(), both[:, 1].astype(np.int32), np.full(len(first), doc_id), np.full(len(first), copy), np.array(first, np.int32), np.array(end, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "more", "doc_id", "copy", "first", "end"])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
@@ -152,20 +156,33 @@ def grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) with a text as (doc_id, copy, text): no two have the same doc_id and copy."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    often = staged(plain.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "often")
+    once = plain.select("doc_id", F.lit(0).cast("long").alias("copy"), "text")
+    if often.isEmpty():
+        return once
+    known = F.broadcast(often) if small_enough(often, BROADCAST_IDS) else often
+    is_often = F.col("doc_id").eqNullSafe(F.col("id"))
+    number = F.monotonically_increasing_id() + F.when(F.col("doc_id").isNull(), NO_ID_COPIES).otherwise(1)
+    more = staged(plain.join(known, is_often, "left_semi").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), number.alias("copy"), "text"), "rows")
+    return once.join(known, is_often, "left_anti").unionByName(more)
+
+
 def repeated(rows: DataFrame) -> DataFrame:
-    """Later occurrences of repeated runs in ``rows`` (row, doc_id, digest, text): row, first, end, and of, the document of the first occurrence."""
+    """Later occurrences of repeated runs in ``rows`` (doc_id, copy, text): doc_id, copy, first, end, and of, the document of the first occurrence."""
     hashes = rows.select("text").mapInArrow(lambda it: grouped(it, hash_rows), "hash long")
     again = staged(hashes.groupBy("hash").agg(F.count("hash").alias("n")).where("n > 1").select("hash"), "hashes")
-    known = F.broadcast(again) if small_enough(again, BROADCAST_HASHES) else again
-    found = rows.select("row", "doc_id", "digest", "text").mapInArrow(lambda it: grouped(it, run_rows), "row long, doc_id long, digest long, hash long, long_hash binary, first int, end int").join(known, "hash")
-    found = staged(found.drop("hash"), "runs")
+    found = rows.mapInArrow(lambda it: grouped(it, run_rows), "hash long, more int, doc_id long, copy long, first int, end int")
+    found = staged(found.join(again.hint("merge"), "hash"), "runs")
     drop_staged(again)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "digest", "row", "first")
-    heads = found.groupBy("long_hash").agg(F.min(place).alias("head"), F.count("first").alias("n")).where("n > 1")
+    place = F.struct("doc_id", "copy", "first")
+    heads = found.groupBy("hash", "more").agg(F.min(place).alias("head"), F.count("first").alias("n")).where("n > 1")
     # Written first, so that the join deals both sides anew and Spark can split a run that very many documents share.
-    heads = staged(heads.select("long_hash", "head"), "heads")
-    later = found.join(heads, "long_hash").where(place > F.col("head")).select("row", "first", "end", F.when(~F.col("head.none"), F.col("head.doc_id")).alias("of"))
-    later = staged(later, "later")
+    heads = staged(heads.select("hash", "more", "head"), "heads")
+    later = found.join(heads.hint("merge"), ["hash", "more"]).where(place > F.col("head"))
+    later = staged(later.select("doc_id", "copy", "first", "end", F.when(F.col("head.copy") < NO_ID_COPIES, F.col("head.doc_id")).alias("of")), "later")
     drop_staged(found)
     drop_staged(heads)
     return later
@@ -197,18 +214,18 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
     doc_id, text (what is left), n_sentences, n_removed, spans (character ranges that
     went) and first_docs (documents of the first occurrences, sorted).  Each row is a
-    text of its own: of rows that share a doc_id the one with the smallest hash of its
-    text comes first, and of equal rows all but one lose what repeats.  Rows with a
-    null doc_id come last.  A null text, and texts too short for a run, lose nothing;
-    a run that a text repeats within itself stays once, at its first place.  Other
-    columns are ignored; an empty table gives no rows.
+    text of its own: rows that share a doc_id come in the order of the table, and of
+    equal rows all but one lose what repeats.  Rows with a null doc_id come last.  A null
+    text, and texts too short for a run, lose nothing; a run that a text repeats within
+    itself stays once, at its first place.  Other columns are ignored; an empty table
+    gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("digest"), "text"), "rows")
+    rows = told_apart(docs)
     # A row's own runs bound its list.
-    drops = repeated(rows).groupBy("row").agg(F.collect_set(F.struct("first", "end", "of")).alias("later"))
+    drops = repeated(rows).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("first", "end", "of")).alias("later"))
     schema = "doc_id long, text string, n_sentences long, n_removed long, spans array<struct<start:int,end:int>>, first_docs array<long>"
-    return rows.join(drops, "row").select("doc_id", "text", "later").mapInArrow(shorten, schema)
+    own = F.when(F.col("copy") < NO_ID_COPIES, F.col("doc_id")).alias("doc_id")
+    return rows.join(drops.hint("merge"), ["doc_id", "copy"]).select(own, "text", "later").mapInArrow(shorten, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@ from __future__ import annotations
 import random
 import re
 
-import xxhash
-
 from scrivener.llm import sentence_spans as ss
 
 PASSAGE = "The committee met on a grey morning in March. It heard nine reports about the harbour, the mills and the roads. Nobody spoke against the plan. The vote was taken before noon, and the clerk wrote it down."
@@ -25,8 +23,7 @@ def cut(text):
 
 def plain(rows):
     """(row number, sentences removed, text left) of every row that loses any: runs of every length, compared as words."""
-    order = sorted((d is None, d or 0, xxhash.xxh64_intdigest(t.encode(), 42), k) for k, (d, t) in enumerate(rows) if t is not None)
-    order = sorted(order, key=lambda r: (r[0], r[1], r[2] - (1 << 64) if r[2] >> 63 else r[2], r[3]))
+    order = sorted((d is None, d or 0, k) for k, (d, t) in enumerate(rows) if t is not None)
     seen, out = set(), {}
     for *_, k in order:
         pieces = cut(rows[k][1])
@@ -105,8 +102,8 @@ def test_rows_that_share_a_doc_id_stay_apart(spark):
 
 
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(ss, "BROADCAST_HASHES", 0)
-    rows = [(k, f"{OWN.format(k)}\n{PASSAGE}") for k in range(20)]
+    monkeypatch.setattr(ss, "BROADCAST_IDS", 0)
+    rows = [(k // 2 or None, f"{OWN.format(k)}\n{PASSAGE}") for k in range(20)]
     assert outcome(spark, rows) == expected(rows)
 
 
