@@ -21,7 +21,7 @@ itself is shuffled only to give back the shortened documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +105,7 @@ def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WOR
         yield i, end, words[places[i] : places[end] - 1]
 
 
-def stretches(covered: list[int], counts: list[int], least_words: int = STRETCH) -> list[tuple[int, int]]:
+def stretches(covered: list[int], words: Callable[[int, int], int], least_words: int = STRETCH) -> list[tuple[int, int]]:
     """First sentence and end (exclusive) of each stretch of covered sentences (ascending) that has the words."""
     found: list[list[int]] = []
     for i in covered:
@@ -113,7 +113,7 @@ def stretches(covered: list[int], counts: list[int], least_words: int = STRETCH)
             found[-1][1] = i + 1
         else:
             found.append([i, i + 1])
-    return [(a, b) for a, b in found if counts[b] - counts[a] >= least_words]
+    return [(a, b) for a, b in found if words(a, b) >= least_words]
 
 
 def digests(runs_: list[bytes]) -> np.ndarray:
@@ -196,8 +196,9 @@ def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text, later in zip(*(c.to_pylist() for c in batch.columns)):
-            cut, (counts, _, _) = sentences(text), normalised(text)
-            gone = stretches(sorted({i for r in later for i in range(r["first"], r["end"])}), counts)
+            cut = sentences(text)
+            words = lambda a, b: len(WORD.findall(text[cut[a][0] : cut[b - 1][1]].lower()))  # noqa: B023, E731
+            gone = stretches(sorted({i for r in later for i in range(r["first"], r["end"])}), words)
             if not gone:
                 continue
             of = {r["of"] for r in later if r["of"] is not None and any(a <= r["first"] < b for a, b in gone)}
