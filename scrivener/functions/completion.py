@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +39,17 @@ def current_line(before: Column) -> Column:
     return F.regexp_extract(before, r"[^\n\r]*\z", 0)
 
 
-def context(text: Column, cursor: Column, before: int = BEFORE, after: int = AFTER, most: int | None = None) -> Column:
-    """Struct (context_before, context_after, current_line, cursor_offset) at a clamped cursor."""
+def context(text: Column, cursor: Column, before: int = BEFORE, after: int = AFTER, most: int | None = None, redact: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> Column:
+    """Struct (context_before, context_after, current_line, cursor_offset) at a clamped cursor.
+
+    ``redact`` gives other texts for those before and after the cursor; the limit holds for them too.
+    """
     at = F.least(F.greatest(F.coalesce(cursor, F.lit(0)), F.lit(0)), F.length(text))
     left, right = last(F.substring(text, F.lit(1), at), F.lit(before)), F.substring(text, at + 1, F.lit(after))
-    left, right = bounded(left, right, F.lit(before + after if most is None else most))
+    limit = F.lit(before + after if most is None else most)
+    left, right = bounded(left, right, limit)
+    if redact is not None:
+        left, right = bounded(*redact(left, right), limit)
     return F.struct(left.alias("context_before"), right.alias("context_after"), current_line(left).alias("current_line"), F.length(left).alias("cursor_offset"))
 
 

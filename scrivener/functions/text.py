@@ -21,6 +21,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Numbers that are added up in one fold.
+BLOCK = 64
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array of integers, by folds over blocks of it: a fold that extends an array copies it, so none extends a long one."""
+    empty = F.expr("cast(array() as array<bigint>)")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), empty.alias("sums"))
+    add = lambda done, n: F.struct((done["sum"] + n).alias("sum"), F.concat(done["sums"], F.array(done["sum"] + n)).alias("sums"))
+    folded = lambda part: F.aggregate(part, start, add, lambda done: done["sums"])
+
+    def joined(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: folded(F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
+        whole = lambda b: let(folded(F.transform(b, lambda sums: F.element_at(sums, -1))), lambda upto: F.flatten(F.zip_with(b, upto, lambda sums, end: F.transform(sums, lambda v: v + end - F.element_at(sums, -1)))))
+        return let(blocks, whole)
+
+    return let(numbers, lambda x: F.when(F.size(x) > 0, joined(x)).otherwise(empty))
+
+
+def placed(text: Column, pattern: str, part: int = 0) -> Column:
+    """Array of struct (piece, start): what group ``part``, at its beginning, of each match of a pattern holds, and where it begins."""
+    lengths = lambda strings: F.transform(strings, F.length)
+    gaps = lengths(F.split(text, pattern, -1))  # one more than the matches
+
+    def zipped(matched: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(matched)), matched, lambda a, b: a + b))
+        pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(part))
+        found = F.arrays_zip(pieces.alias("piece"), ends.alias("end"), matched.alias("size"))
+        return F.transform(found, lambda m: F.struct(m["piece"].alias("piece"), (m["end"] - m["size"]).cast("int").alias("start")))
+
+    return let(lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), zipped)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
@@ -31,6 +64,20 @@ def token_key(text: Column) -> Column:
     return F.lower(trimmed(text))
 
 
+def rule_key(status: Column, original: Column, replacement: Column) -> Column:
+    """The key a rule is stored under: status and both words, percent-encoded, with colons between."""
+    # Form encoding differs: a blank is a plus sign, and five marks that stay plain are encoded.
+    plain = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+    def encoded(word: Column) -> Column:
+        out = F.url_encode(word)
+        for a, b in plain.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    return F.concat_ws(":", status, encoded(original), encoded(replacement))
+
+
 def is_delimiter(char: Column) -> Column:
     return char.isin(list(DELIMITERS))
 

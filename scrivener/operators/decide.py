@@ -14,7 +14,9 @@ from ..functions.reasons import BIT, codes
 from ..functions.text import token_key
 from ..sources.vocabulary import TYPO_CONFIDENCE, known_words, typos
 
-DISTANCE, LONGEST, CANDIDATES, SUGGESTIONS, SLOT = 2, 64, 256, 4, 31
+DISTANCE, LONGEST, CANDIDATES, SUGGESTIONS = 2, 64, 256, 4
+#: Characters that a suggestion and a replacement may have; longer ones are cut.
+SLOT, REPLACEMENT = 31, 127
 #: Vocabularies up to this size are compared word by word with each token; larger ones through deletions.
 SCANNED = 64
 
@@ -54,7 +56,7 @@ def fuzzy_pairs(tokens: DataFrame, words: DataFrame, size: int) -> DataFrame:
 
 
 def suggestions(tokens: DataFrame, words: DataFrame, size: int, most: int = SUGGESTIONS) -> DataFrame:
-    """Ranked suggestions (token, rank, word, distance, score) for distinct lower-case tokens.
+    """Ranked suggestions (token, rank, word, distance, score, truncated) for distinct lower-case tokens.
 
     Of a token's candidates the first CANDIDATES in load order count; they rank by
     distance, then frequency, then alphabet; ``most`` is held within 1 to 8.
@@ -66,7 +68,7 @@ def suggestions(tokens: DataFrame, words: DataFrame, size: int, most: int = SUGG
     capped = pairs.withColumn("place", F.row_number().over(loaded)).where(F.col("place") <= CANDIDATES)
     return (
         capped.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(1, min(8, most)))
-        .select("token", "rank", F.substring("word", 1, SLOT).alias("word"), "distance", score.alias("score"))
+        .select("token", "rank", F.substring("word", 1, SLOT).alias("word"), "distance", score.alias("score"), (F.length("word") > SLOT).alias("truncated"))
     )
 
 
@@ -99,14 +101,15 @@ def checked(tokens: DataFrame, dictionary: DataFrame | None = None, size: int =
     found = found.withColumn("kind", kind).select("token", "replacement", "kind.code", "kind.flags")
     # Corrections get suggestions too: a rule against one turns it into a mark.
     asked = found.where("code in (1, 2)").select("token")
-    ranked = suggestions(asked, words, size).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ranked"))
+    ranked = suggestions(asked, words, size).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ranked"), F.max("truncated").alias("truncated"))
     none = F.expr("cast(array() as array<string>)")
     words_ = F.coalesce(F.transform("ranked", lambda r: r["word"]), none)
+    longer = F.when(F.when(F.col("code") == 1, F.length("replacement") > REPLACEMENT).otherwise(F.coalesce("truncated", F.lit(False)) & (F.col("code") == 2)), BIT["REPLACEMENT_TRUNCATED"]).otherwise(0)
     more = F.when(F.col("code") != 2, 0).when(F.col("ranked").isNotNull(), BIT["EDIT_DISTANCE_SUGGESTIONS"]).otherwise(BIT["NO_SUGGESTIONS"])
     return found.join(ranked, "token", "left").select(
-        "token", "code", F.when(F.col("code") == 1, F.col("replacement")).alias("replacement"),
+        "token", "code", F.when(F.col("code") == 1, F.substring("replacement", 1, REPLACEMENT)).alias("replacement"),
         F.when(F.col("code") == 1, F.lit(TYPO_CONFIDENCE)).alias("confidence"),
-        F.col("flags").bitwiseOR(more).alias("flags"), words_.alias("suggestions"),
+        F.col("flags").bitwiseOR(more).bitwiseOR(longer).alias("flags"), words_.alias("suggestions"),
     )
 
 

@@ -92,10 +92,12 @@ def memory_log(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def session_counts(decided: DataFrame, *by: str) -> DataFrame:
-    """Corrections, unknown words and skipped tokens of decided tokens (action, protected)."""
+    """Corrections, unknown words, skipped tokens and reverts of decided tokens (action, protected, and result of a revert if one was tried)."""
+    tried = F.col("result") if "result" in decided.columns else F.lit("")
     return decided.groupBy(*by).agg(
         F.count_if((F.col("action") == "auto_correct") & ~F.col("protected")).alias("corrections"),
         F.count_if((F.col("action") == "mark_unresolved") & ~F.col("protected")).alias("unresolved"), F.count_if("protected").alias("protected_skips"),
+        F.count_if(F.coalesce(tried == "reverted", F.lit(False))).alias("reverts"),
     )
 
 

@@ -6,45 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from ..functions.text import running
 from .tokens import placed_tokens, unprotected
 
 
-def edits(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row for each correction: key, start, end, original, replacement, confidence, reason_codes, n (its order), shift (of what follows, before it)."""
+def edit_lists(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The corrections of each text that has any: key, digest (of the text), edits (sorted).
+
+    Only corrections are shuffled.  Rows that share a key are told apart by the digest;
+    equal rows have equal lists.  A text's own corrections bound its list.
+    """
     fixes = decided.where("action = 'auto_correct'").select("token", "replacement", "confidence", "reason_codes")
-    found = unprotected(placed_tokens(docs, key=key).join(fixes, "token"), F.col("replacement").isNotNull())
-    order = Window.partitionBy(key).orderBy("start")
-    delta = F.length("replacement") - F.length("token")
-    return found.select(
-        key, "start", "end", F.col("token").alias("original"), "replacement", "confidence", "reason_codes", F.row_number().over(order).alias("n"),
-        F.coalesce(F.sum(delta).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("shift"),
-    )
+    found = placed_tokens(docs.select(key, "text", F.xxhash64("text").alias("digest")), key, "digest").join(fixes, "token")
+    found = unprotected(found, F.col("replacement").isNotNull())
+    edit = F.struct("start", "end", F.col("token").alias("original"), "replacement", "confidence", "reason_codes")
+    return found.groupBy(key, "digest").agg(F.array_sort(F.collect_set(edit)).alias("edits"))
+
+
+def edits(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each correction: key, digest, start, end, original, replacement, confidence, reason_codes, n (its order), shift (of what follows, before it)."""
+    deltas = running(F.transform("edits", lambda e: F.length(e["replacement"]) - F.length(e["original"])))
+    before = lambda e, end: (end - F.length(e["replacement"]) + F.length(e["original"])).cast("int")
+    counted = F.transform(F.arrays_zip(F.col("edits").alias("e"), deltas.alias("end")), lambda z, i: F.struct(z["e"].alias("e"), (i + 1).alias("n"), before(z["e"], z["end"]).alias("shift")))
+    return edit_lists(docs, decided, key).select(key, "digest", F.explode(counted).alias("at")).select(key, "digest", "at.e.*", "at.n", "at.shift")
 
 
 def corrected(docs: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The texts that corrections change: key, text, n_edits.  A text's own edits bound its list."""
-    rows = edited.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
+    """The texts that corrections change, by :func:`edit_lists` or :func:`edits`: key, digest (of the text before), text, n_edits."""
+    listed = edited
+    if "edits" not in edited.columns:
+        listed = edited.groupBy(key, "digest").agg(F.array_sort(F.collect_set(F.struct("start", "end", "replacement"))).alias("edits"))
     parts = F.transform("edits", lambda e, i: F.concat(spans.cut(F.col("text"), F.when(i == 0, 0).otherwise(F.get("edits", i - 1)["end"]), e["start"]), e["replacement"]))
     rest = F.substring(F.col("text"), F.element_at("edits", -1)["end"] + 1, F.length("text"))
-    return docs.select(key, "text").join(rows, key).select(key, F.concat(F.array_join(parts, ""), rest).alias("text"), F.size("edits").cast("long").alias("n_edits"))
+    texts = docs.select(key, "text", F.xxhash64("text").alias("digest"))
+    return texts.join(listed, [key, "digest"]).select(key, "digest", F.concat(F.array_join(parts, ""), rest).alias("text"), F.size("edits").cast("long").alias("n_edits"))
 
 
 def transactions(edited: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ranges before and after each correction, and the blue mark it leaves."""
     at = F.col("start") + F.col("shift")
     return edited.select(
-        key, F.concat(F.lit("correction-"), "n").alias("id"), "start", "end", "original", "replacement", "confidence", "reason_codes",
+        key, "digest", F.concat(F.lit("correction-"), "n").alias("id"), "start", "end", "original", "replacement", "confidence", "reason_codes",
         at.alias("new_start"), (at + F.length("replacement")).alias("new_end"), F.lit("blue_applied_correction").alias("mark"),
     )
 
 
 def reverted(texts: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Single reverts (key, new_start, new_end, original, replacement) tried on texts: result and the text after it.
+    """Single reverts (key, digest, new_start, new_end, original, replacement) tried on corrected texts: result and the text after it.
 
     ``reverted`` where the range still holds the replacement as a word; else ``stale_range``,
     or ``missing_text`` where there is no such text.
     """
-    joined = done.join(texts.select(key, "text"), key, "left")
+    joined = done.join(texts.select(key, "digest", "text").distinct(), [key, "digest"], "left")
     fits = spans.still_matches(F.col("text"), F.col("new_start"), F.col("new_end"), F.col("replacement"))
     result = F.when(F.col("text").isNull(), "missing_text").when(fits, "reverted").otherwise("stale_range")
     return joined.withColumn("result", result).withColumn("text", F.when(F.col("result") == "reverted", spans.replaced(F.col("text"), F.col("new_start"), F.col("new_end"), F.col("original"))).otherwise(F.col("text")))
@@ -78,11 +91,47 @@ def surviving(marks: DataFrame, texts: DataFrame, policy: str = "same_offset", k
     return kept.select(*marks.columns)
 
 
+#: Characters of a bin in which ranges meet.
+BIN = 64
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pairs of ranges (start, end) of one text that overlap, as (key, l_start, l_end, r_start, r_end)."""
-    x = left.select(key, F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    y = right.select(F.col(key).alias("r_key"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return x.join(y, (F.col(key) == F.col("r_key")) & (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))).drop("r_key")
+    """Pairs of ranges (start, end) of one text that overlap, as (key, l_start, l_end, r_start, r_end).
+
+    Ranges meet in the bins they touch; a pair counts in the bin where its later one begins.
+    """
+    first = lambda c: F.floor(F.col(c) / BIN).cast("int")
+    binned = lambda df, s, e: df.withColumn("bin", F.explode(F.sequence(first(s), F.floor(F.greatest(F.col(s), F.col(e) - 1) / BIN).cast("int"))))
+    x = binned(left.select(key, F.col("start").alias("l_start"), F.col("end").alias("l_end")), "l_start", "l_end")
+    y = binned(right.select(key, F.col("start").alias("r_start"), F.col("end").alias("r_end")), "r_start", "r_end")
+    meet = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.col("bin") == F.greatest(first("l_start"), first("r_start")))
+    return x.join(y, [key, "bin"]).where(meet).drop("bin")
+
+
+def with_transactions(marks: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Marks (key, mark_start, mark_end, original, event_id and others) with the id, original, replacement, new_start and new_end of their transaction.
+
+    A mark whose transaction is not known (or that names none) gets one made of itself: its
+    own place, and its text as original and replacement.  Adds ``known``.
+    """
+    t = done.select(key, F.col("id").alias("event_id"), F.lit(True).alias("known"), F.col("original").alias("t_original"), F.col("replacement").alias("t_replacement"), F.col("new_start").alias("t_start"), F.col("new_end").alias("t_end"))
+    joined = marks.join(t, [key, "event_id"], "left")
+    return joined.select(
+        *marks.columns, F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("t_original", "original").alias("before"), F.coalesce("t_replacement", "original").alias("replacement"),
+        F.coalesce("t_start", "mark_start").alias("new_start"), F.coalesce("t_end", "mark_end").alias("new_end"),
+    )
+
+
+def completion_reverted(texts: DataFrame, accepted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Reverts of accepted completions (key, at, inserted) on texts (key, text): result and the text after it.
+
+    ``reverted`` where exactly the inserted text stands at its place, whatever version the
+    text has; ``stale_range`` where it does not, ``missing_transaction`` for a text without one.
+    """
+    joined = texts.join(accepted, key, "left")
+    end = F.col("at") + F.length("inserted")
+    result = F.when(F.col("inserted").isNull() | F.col("at").isNull(), "missing_transaction").when(spans.holds(F.col("text"), F.col("at"), end, F.col("inserted")), "reverted").otherwise("stale_range")
+    return joined.withColumn("result", result).withColumn("text", F.when(F.col("result") == "reverted", spans.replaced(F.col("text"), F.col("at"), end, F.lit(""))).otherwise(F.col("text")))
 
 
 def deduplicated(marks: DataFrame, *columns: str) -> DataFrame:

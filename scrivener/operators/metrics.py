@@ -34,14 +34,15 @@ def counts_by_type(events: DataFrame, types: tuple[str, ...], column: str = "typ
     return every.join(found, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def latency_summary(events: DataFrame, column: str, *by: str) -> DataFrame:
-    """count, mean, p50, p95, p99, max of finite values from 0 up; zeros where there is none."""
+def latency_summary(events: DataFrame, column: str, *by: str, empty: float | None = 0.0) -> DataFrame:
+    """count, mean, p50, p95, p99, max of finite values from 0 up; ``empty`` (nought, null or NaN) where there is none."""
+    empty_ = F.lit(empty).cast("double")
     x = F.col(column).cast("double")
     sound = F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
-    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by sound)"), F.lit(0.0))
+    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by sound)"), empty_)
     return events.withColumn("sound", sound).groupBy(*by).agg(
-        F.count("sound").alias("count"), F.coalesce(F.avg("sound"), F.lit(0.0)).alias("mean"),
-        rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.coalesce(F.max("sound"), F.lit(0.0)).alias("max"),
+        F.count("sound").alias("count"), F.coalesce(F.avg("sound"), empty_).alias("mean"),
+        rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.coalesce(F.max("sound"), empty_).alias("max"),
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES
+from ..functions.text import SPACES, let, running
 
 # Fixed values.
 COMMANDS = (
@@ -14,13 +14,16 @@ COMMANDS = (
 )
 
 
-def lines(docs: DataFrame, *keep: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Numbered lines from 1, with whether each stands in (or is) a code fence."""
-    line = docs.select(key, *keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("number", "line")).withColumn("number", F.col("number") + 1)
-    fence = F.regexp_replace("line", rf"\A[{SPACES}]+", "").rlike(r"\A(?:```|~~~)")
-    before = Window.partitionBy(key).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1
-    return line.withColumn("fenced", fence | opened)
+def lines(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The columns ``keep`` and, for each line, its number from 1, the line, and whether it stands in (or is) a code fence.  Nothing is shuffled."""
+    fence = lambda line: F.regexp_replace(line, rf"\A[{SPACES}]+", "").rlike(r"\A(?:```|~~~)")
+
+    def numbered(split: Column) -> Column:
+        fences = running(F.transform(split, lambda line: fence(line).cast("int")))  # up to and with each line
+        opened = lambda count: count % 2 == 1
+        return F.transform(F.arrays_zip(split.alias("line"), fences.alias("fences")), lambda z, i: F.struct((i + 1).alias("number"), z["line"].alias("line"), (opened(z["fences"]) | fence(z["line"])).alias("fenced")))
+
+    return docs.select(*keep, F.explode(let(F.split(F.col(text), "\n", -1), numbered)).alias("at")).select(*keep, "at.*")
 
 
 def odd_backticks(part: Column) -> Column:

@@ -6,16 +6,15 @@ colons at its end; it is complete if a closing character follows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_delimiter, let, token_before, token_type
+from ..functions.text import is_delimiter, let, placed, token_before, token_type
 
 #: A token and what closes it.  The atomic group takes a whole run up to its last character other
 #: than stops and colons, so a run that is not closed cannot match in part.
 COMPLETE = r"((?>[^ \n\t,!?;()\[\]{}]*[^ \n\t,!?;()\[\]{}.:]))(?:[.:]+|(?=[ \n\t,!?;)\]}]))"
-#: The whole text in pieces: runs, and single characters between them.
-RUNS = r"[^ \n\t,!?;()\[\]{}]+|[ \n\t,!?;()\[\]{}]"
+RUN = r"[^ \n\t,!?;()\[\]{}]+"
 
 
 def final_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -23,20 +22,15 @@ def final_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(COMPLETE), F.lit(1))).alias("token"))
 
 
-def placed_runs(docs: DataFrame, *keep: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All pieces of the texts with their start and the piece that follows; ``key`` tells rows apart."""
-    run = docs.select(key, *keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(RUNS), F.lit(0))).alias("pos", "run"))
-    order = Window.partitionBy(key).orderBy("pos")
-    start = F.sum(F.length("run")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return run.withColumns({"start": F.coalesce(start, F.lit(0)).cast("int"), "next": F.lead("run").over(order)})
+def placed_runs(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The runs of each row with their start, in code points: the columns ``keep``, run and start.  Nothing is shuffled."""
+    return docs.select(*keep, F.explode(placed(F.col(text), RUN)).alias("at")).select(*keep, F.col("at.piece").alias("run"), "at.start")
 
 
-def placed_tokens(docs: DataFrame, *keep: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Completed tokens with their start and end, in code points."""
-    token = F.regexp_replace("run", r"[.:]+\z", "")
-    complete = (token != F.col("run")) | F.coalesce(is_delimiter(F.col("next")), F.lit(False))
-    runs = placed_runs(docs, *keep, key=key, text=text).where(complete & F.col("run").rlike(r"\A[^ \n\t,!?;()\[\]{}]"))
-    return runs.select(key, *keep, token.alias("token"), "start", (F.col("start") + F.length(token)).alias("end")).where("token <> ''")
+def placed_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """As :func:`final_tokens`, with the tokens' start and end, in code points."""
+    found = docs.select(*keep, F.explode(placed(F.col(text), COMPLETE, 1)).alias("at")).select(*keep, F.col("at.piece").alias("token"), "at.start")
+    return found.withColumn("end", F.col("start") + F.length("token"))
 
 
 #: Characters before a delimiter in which its token is sought first.

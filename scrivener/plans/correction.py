@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import completion, spans
 from ..operators import decide, marks, metrics, protect, rules, tokens
 from ..sources import blob, vocabulary
-from ..streaming import completions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,23 +152,12 @@ def personal_rules(spark, sf_dir):
     return found.join(decided.select("token", F.col("reason_codes")[0].alias("reason")), "token").groupBy("reason").agg(F.sum("count").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES
- ('teh', 'mark_unresolved', 'the', 'COMMON_TYPO_MATCH,NEVER_CORRECT_RULE'), ('adn', 'auto_correct', '', 'COMMON_TYPO_MATCH'), ('omw', 'auto_correct', '', 'ALWAYS_CORRECT_RULE'),
- ('zzzzword', 'mark_unresolved', '', 'UNKNOWN_NON_WORD,NO_SUGGESTIONS'), ('form', 'do_nothing', '', 'KNOWN_VALID_WORD'), ('acme', 'do_nothing', '', 'PERSONAL_DICTIONARY_MATCH')) v(token, action, first, reasons)""")
-def never_rules(spark, sf_dir):
-    """A rule never to correct turns the correction into a mark that suggests it first."""
-    asked = spark.createDataFrame([(t,) for t in ("teh", "adn", "omw", "zzzzword", "form", "acme")], "token string")
-    log = spark.createDataFrame([("teh", "the", "never", 1, 1), ("omw", "on my way", "always", 2, 2)], rules.RULES)
-    found = decide.decisions(asked, personal=spark.createDataFrame([("acme", 1)], rules.WORDS), rules=log)
-    return found.select("token", "action", F.coalesce(F.get("suggestions", F.lit(0)), F.lit("")).alias("first"), F.array_join("reason_codes", ",").alias("reasons"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents),
 f AS (SELECT *, regexp_matches(line, '\A\s*(```|~~~)') AS fence FROM l), o AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS opened FROM f)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (fence OR opened) AS fenced FROM o GROUP BY 1""")
 def fence_lines(spark, sf_dir):
     """Lines and fenced lines of each document."""
-    return protect.lines(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("fenced").alias("fenced"))
+    return protect.lines(read(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("fenced").alias("fenced"))
 
 
 def user_decisions(spark):
@@ -193,7 +181,8 @@ def user_edits(spark, sf_dir):
 SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text, count(*) FILTER (hit) AS n_edits FROM swapped GROUP BY 1 HAVING count(*) FILTER (hit) > 0""")
 def corrected_docs(spark, sf_dir):
     """Documents with the user's corrections applied."""
-    return marks.corrected(read(spark, sf_dir, "documents"), user_edits(spark, sf_dir))
+    docs = read(spark, sf_dir, "documents")
+    return marks.corrected(docs, marks.edit_lists(docs, user_decisions(spark))).select("doc_id", "text", "n_edits")
 
 
 SQL_TRANSACTIONS = """SELECT doc_id, 'correction-' || row_number() OVER w AS id, start, end_ AS "end", original, replacement,
@@ -219,7 +208,7 @@ j AS (SELECT m.doc_id, mark_start, mark_end, coalesce(sum(length(replacement) -
 SELECT doc_id, (mark_start + move)::INT AS mark_start, (mark_end + move)::INT AS mark_end FROM j WHERE hit = 0""")
 def marks_shift(spark, sf_dir):
     """A mark on each document's first word with a capital T, after the corrections before it."""
-    placed = tokens.placed_runs(read(spark, sf_dir, "documents")).where(F.col("run").startswith("T"))
+    placed = tokens.placed_runs(read(spark, sf_dir, "documents"), "doc_id").where(F.col("run").startswith("T"))
     first = placed.groupBy("doc_id").agg(F.min("start").alias("mark_start")).withColumn("mark_end", F.col("mark_start") + 1)
     return marks.shifted(first, user_edits(spark, sf_dir)).select("doc_id", "mark_start", "mark_end")
 
@@ -247,9 +236,9 @@ def latency_summary(spark, sf_dir):
     return metrics.latency_summary(read(spark, sf_dir, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 20")
+@query("SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 200")
 def rolling_last_n(spark, sf_dir):
-    return metrics.last_n(read(spark, sf_dir, "events"), 20, "user_id", order=("ts", "event_id")).select("user_id", "event_id", "place")
+    return metrics.last_n(read(spark, sf_dir, "events"), 200, "user_id", order=("ts", "event_id")).select("user_id", "event_id", "place")
 
 
 @query("WITH g AS (SELECT user_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000 AS gap FROM events) SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= 60000) AS sent, count(*) FILTER (gap < 60000) AS canceled FROM g GROUP BY 1")
@@ -270,25 +259,25 @@ def document_versions(spark, sf_dir):
     return metrics.versions(read(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "version")
 
 
-SQL_CONTEXT = "c AS (SELECT conv_id, turn, text, length(text) // 2 AS mid FROM conversations), k AS (SELECT *, substr(substr(text, 1, mid), greatest(mid - 40 + 1, 1), 40) AS before, substr(text, mid + 1, 20) AS after FROM c)"
+SQL_CONTEXT = "c AS (SELECT conv_id, turn, text, length(text) // 2 AS mid FROM conversations), k AS (SELECT *, substr(substr(text, 1, mid), greatest(mid - 2000 + 1, 1), 2000) AS before, substr(text, mid + 1, 300) AS after FROM c)"
 
 
 @query(rf"WITH {SQL_CONTEXT} SELECT conv_id, turn, before AS context_before, after AS context_after, regexp_extract(before, '[^\n\r]*\z') AS current_line, length(before) AS cursor_offset FROM k")
 def context_window(spark, sf_dir):
-    """Forty characters before and twenty after the middle of each turn."""
-    found = completion.context(F.col("text"), F.floor(F.length("text") / 2).cast("int"), 40, 20)
+    """What stands before and after the middle of each turn."""
+    found = completion.context(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("c")).select("conv_id", "turn", "c.context_before", "c.context_after", "c.current_line", F.col("c.cursor_offset").cast("long").alias("cursor_offset"))
 
 
 def follow_ups(spark, sf_dir):
-    """Each turn's last 30 characters, and as a completion those with what comes next."""
+    """Each turn before the cursor, and as a completion its last line with what comes next."""
     turns = read(spark, sf_dir, "conversations")
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    before = completion.last(F.col("text"), F.lit(30))
-    return turns.select("conv_id", "turn", before.alias("before"), F.concat(F.right("text", F.lit(12)), F.lit(" "), after).alias("proposal")).where("proposal is not null")
+    before = completion.last(F.col("text"), F.lit(completion.BEFORE))
+    return turns.select("conv_id", "turn", before.alias("before"), F.concat(completion.current_line(F.col("text")), F.lit(" "), after).alias("proposal")).where("proposal is not null")
 
 
-SQL_FOLLOW = "f AS (SELECT * FROM (SELECT conv_id, turn, right(text, 30) AS before, right(text, 12) || ' ' || lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS proposal FROM conversations) WHERE proposal IS NOT NULL)"
+SQL_FOLLOW = rf"f AS (SELECT * FROM (SELECT conv_id, turn, right(text, {completion.BEFORE}) AS before, regexp_extract(text, '[^\n\r]*\z') || ' ' || lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS proposal FROM conversations) WHERE proposal IS NOT NULL)"
 SQL_OVERLAP = "coalesce(list_max(list_filter(range(1, least(length(before), length(proposal)) + 1), lambda n: right(before, n) = left(proposal, n))), 0)"
 
 
@@ -316,11 +305,6 @@ def sanitized_completions(spark, sf_dir):
     return follow_ups(spark, sf_dir).select("conv_id", "turn", found.alias("completion"))
 
 
-@query(f"WITH {SQL_RULES}, {SQL_OWN.replace('AS token', 'AS word')} SELECT 'personal_dictionary' AS namespace, count(*) AS entries FROM own UNION ALL SELECT 'correction_rules', count(DISTINCT lower(original) || status || CASE WHEN status = 'never' THEN replacement ELSE '' END) FROM rules")
-def memory_counts(spark, sf_dir):
-    return rules.memory_counts({"personal_dictionary": rules.own_words(spark.createDataFrame(list(OWN_WORDS), rules.WORDS)), "correction_rules": rules.latest_rules(spark.createDataFrame(list(RULES), rules.RULES))})
-
-
 @query("SELECT user_id::VARCHAR AS namespace, event_type AS key, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def kv_latest(spark, sf_dir):
     """The last value of each user's key in a change log."""
@@ -328,19 +312,11 @@ def kv_latest(spark, sf_dir):
     return rules.latest_values(log).select("namespace", "key", "value")
 
 
-@query()
-def memory_export(spark, sf_dir):
-    """Export, import and export again: one document, twice the same."""
-    words, log = spark.createDataFrame(list(OWN_WORDS), rules.WORDS), spark.createDataFrame(list(RULES), rules.RULES)
-    first = rules.exported(rules.own_words(words), rules.latest_rules(log), "2024-01-01T00:00:00.000Z")
-    again = rules.exported(*rules.imported(first, 0), "2024-01-01T00:00:00.000Z")
-    return first.union(again).groupBy("document").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id, length(replace(replace(text, E'\\r\\n', E'\\n'), E'\\r', E'\\n')) AS n, replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM documents")
+@query("SELECT doc_id, length(replace(replace(text, E'\\r\\n', E'\\n'), E'\\r', E'\\n')) AS n, md5(replace(replace(replace(replace(replace(replace(text, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html_md5 FROM documents")
 def pasted_text(spark, sf_dir):
-    """Line ends made one kind, and the beginning escaped for HTML."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", "\r\n?", "\n")).cast("long").alias("n"), spans.escaped(F.substring("text", 1, 80)).alias("html"))
+    """Line ends made one kind: the length, and a digest of the whole text escaped for HTML."""
+    text = F.regexp_replace("text", "\r\n?", "\n")
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n"), F.md5(spans.escaped(text).cast("binary")).alias("html_md5"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(replace(text, E'\\r\\n', E'\\n'), E'\\r', E'\\n'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM documents")
@@ -359,7 +335,7 @@ w AS (SELECT *, regexp_replace(line, '\\A\\s+', '') AS t FROM l)"""
 def protected_places(spark, sf_dir):
     """Lines of each document that look like commands, end in an open link target, or have odd backticks."""
     line = F.col("line")
-    found = protect.lines(read(spark, sf_dir, "documents"))
+    found = protect.lines(read(spark, sf_dir, "documents"), "doc_id")
     return found.groupBy("doc_id").agg(
         F.count_if(protect.is_command(line)).alias("commands"), F.count_if(protect.in_link_target(line, F.length(line))).alias("open_links"),
         F.count_if(protect.odd_backticks(line)).alias("odd_backticks"),
@@ -380,7 +356,7 @@ def replayed_keystrokes(spark, sf_dir):
 def overlapping_marks(spark, sf_dir):
     """Corrections that overlap the twelve characters after a capital T."""
     docs = read(spark, sf_dir, "documents")
-    capital = tokens.placed_runs(docs).where(F.col("run").startswith("T")).select("doc_id", "start", (F.col("start") + 12).alias("end"))
+    capital = tokens.placed_runs(docs, "doc_id").where(F.col("run").startswith("T")).select("doc_id", "start", (F.col("start") + 12).alias("end"))
     return marks.overlapping(user_edits(spark, sf_dir), capital).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -399,17 +375,3 @@ def blob_roundtrip(spark, sf_dir):
     words = corpus_dictionary(spark, sf_dir)
     back = blob.decoded(blob.blobs(words.withColumn("name", F.lit("corpus"))).select(F.col("name").alias("path"), "content"), strict=True)
     return words.select("load_order", "word", "frequency", "flags").exceptAll(back.select("load_order", "word", "frequency", "flags")).agg(F.count("*").alias("different"))
-
-
-LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error": "cancel", "signup": "dismiss"}
-
-
-@query()
-def completion_life(spark, sf_dir):
-    """The event table replayed as completion requests of each user: metric rows by type."""
-    kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
-    events = read(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).cast("long").alias("at_ms"), kinds[F.col("event_type")].alias("type"),
-        (F.col("event_id") % 5 + 1).alias("request"), F.lit(20).alias("context_length"), F.col("event_type").alias("text"), F.lit("escape").alias("reason"),
-    )
-    return completions.metric_batch(events).groupBy("type").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import correction
+from .plans import correction, memory
 
-QUERIES = dict(correction.QUERIES)
-ORACLES = dict(correction.ORACLES)
+QUERIES = correction.QUERIES | memory.QUERIES
+ORACLES = correction.ORACLES | memory.ORACLES

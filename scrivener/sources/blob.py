@@ -7,13 +7,17 @@ is a parameter, so files of other writers of this layout can be read.
 
 ``spark.read.format("dictionary").option("path", p)`` gives the words of a file;
 ``df.coalesce(1).write.format("dictionary")`` writes one (a few thousand words, by
-definition of the format).  ``mode`` strict applies the limits of the engine.
+definition of the format) to a path that is local to its task: for a store that only
+Spark reaches, take :func:`blobs` and write its column.  ``mode`` strict applies the limits of the engine.
 """
 
 from __future__ import annotations
 
+import os
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,10 @@ HEADER, ENTRY = struct.Struct("<8sIHHII"), struct.Struct("<IHII")
 TREE_NODES = 32_768
 # Engine result codes.
 INVALID_INPUT, BAD_MAGIC, BAD_VERSION, OUT_OF_BOUNDS, EMPTY = -1, -2, -3, -4, -5
+REASON_OF = {
+    INVALID_INPUT: "INVALID_INPUT", BAD_MAGIC: "DICTIONARY_INVALID_MAGIC", BAD_VERSION: "DICTIONARY_UNSUPPORTED_VERSION",
+    OUT_OF_BOUNDS: "DICTIONARY_BOUNDS_ERROR", EMPTY: "DICTIONARY_EMPTY",
+}
 
 
 class DictionaryError(ValueError):
@@ -120,22 +128,67 @@ class DictionaryReader(DataSourceReader):
             yield from decode(f.read(), self.strict, self.magic)[1]
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    path: str | None
+
+
 class DictionaryWriter(DataSourceWriter):
+    """Writes one file from one partition.
+
+    A partition leaves its bytes as a part of its own beside the path, and the commit moves
+    the one that has words into place; of two, a file would hold one's words only, so that
+    is an error and nothing is left.
+    """
+
     def __init__(self, options: dict):
         self.path, self.language, self.magic = options["path"], options.get("language", "en-US"), options.get("magic", MAGIC.decode()).encode()
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         found = sorted(((r["load_order"], r["word"], r["frequency"], r["flags"]) for r in rows), key=lambda r: r[0])
-        if found:
-            with open(self.path, "wb") as f:
-                f.write(encode([r[1:] for r in found], self.language, self.magic))
-        return WriterCommitMessage()
+        if not found:
+            return Part(None)
+        part = f"{self.path}.part-{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(encode([r[1:] for r in found], self.language, self.magic))
+        return Part(part)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        parts = [m.path for m in messages if m is not None and m.path]
+        if len(parts) > 1:
+            self.abort(messages)
+            raise DictionaryError(INVALID_INPUT, f"words in {len(parts)} partitions: coalesce(1) before writing a dictionary")
+        if parts:
+            os.replace(parts[0], self.path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for message in messages:
+            if message is not None and message.path and os.path.exists(message.path):
+                os.remove(message.path)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Dictionary)
 
 
+def source(spark: SparkSession, content: bytes | None = None, load: Callable[[], bytes] | None = None, path: str | None = None) -> DataFrame:
+    """(path, content) of a dictionary from the first that is given: its bytes, a function that loads them, a path that Spark can read.
+
+    Without any, or where the bytes are no dictionary that the engine takes, a ``DictionaryError`` tells why.
+    """
+    if content is None and load is not None:
+        content = load()
+    if content is None and path is None:
+        raise DictionaryError(INVALID_INPUT, "a dictionary source must give bytes, load or path")
+    if content is None:
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    try:
+        decode(bytes(content), strict=True)
+    except DictionaryError as fault:
+        raise DictionaryError(fault.code, f"dictionary load failed: {fault} ({REASON_OF[fault.code]})") from None
+    return spark.createDataFrame([("", bytearray(content))], "path string, content binary")
+
+
 def decoded(blobs: DataFrame, strict: bool = False, magic: bytes = MAGIC) -> DataFrame:
     """Words of binary files read by Spark (columns path, content of ``format("binaryFile")``), from any store it can read.
 

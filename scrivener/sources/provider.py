@@ -15,6 +15,10 @@ RESPONSE = "text string, model string, finishReason string, usage struct<inputTo
 ERRORS = ("network", "timeout", "aborted", "http", "malformed_response", "provider")
 
 
+class HttpError(Exception):
+    """An answer with a status that is no success."""
+
+
 def noop(request: str) -> str:
     """A provider that proposes nothing."""
     return '{"text": ""}'
@@ -23,8 +27,9 @@ def noop(request: str) -> str:
 def completed(requests: DataFrame, provider: Callable[[str], str] = noop, column: str = "request") -> DataFrame:
     """Adds body, what ``provider`` answers to each request (JSON text), and error, the kind of its failure.
 
-    A provider may raise TimeoutError, ConnectionError or anything else; a failure
-    is a row's outcome, not the job's.  Its own client sets the time limit.
+    A provider may raise TimeoutError, ConnectionError, HttpError, InterruptedError (a call
+    that was given up) or anything else; a failure is a row's outcome, not the job's.  Its
+    own client sets the time limit.
     """
     names = requests.columns
 
@@ -35,6 +40,10 @@ def completed(requests: DataFrame, provider: Callable[[str], str] = noop, column
             return None, "timeout"
         except ConnectionError:
             return None, "network"
+        except InterruptedError:
+            return None, "aborted"
+        except HttpError:
+            return None, "http"
         except Exception:
             return None, "provider"
 

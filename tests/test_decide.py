@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from scrivener.operators import decide, rules
 from scrivener.sources import vocabulary
 
@@ -82,3 +84,14 @@ def test_memory_round_trip(spark, now):
     assert rules.rule_for(state, "OMW").first()["replacement"] == "b"
     assert rules.without_rules(state, spark.createDataFrame([("omw", None)], "original string, replacement string")).count() == 1
     assert {k: v.count() for k, v in rules.reset({"a": words, "b": log}, "a").items()} == {"a": 0, "b": 3}
+
+
+def test_long_replacements_are_cut_and_say_so(spark, monkeypatch):
+    from scrivener.functions.reasons import codes
+
+    monkeypatch.setattr(decide, "typos", lambda spark: spark.createDataFrame([("abcd", "x" * 200), ("abce", "ok")], "typo string, replacement string"))
+    long = "longword" * 4 + "ab"
+    dictionary = spark.createDataFrame([(0, long, 5, 0)], "load_order int, word string, frequency long, flags long")
+    found = {r["token"]: (r["replacement"], r["reasons"]) for r in decide.checked(spark.createDataFrame([("abcd",), ("abce",), (long[:-1],)], "token string"), dictionary).withColumn("reasons", codes(F.col("flags"))).collect()}
+    assert found["abcd"] == ("x" * 127, ["COMMON_TYPO_MATCH", "REPLACEMENT_TRUNCATED"]) and found["abce"] == ("ok", ["COMMON_TYPO_MATCH"])
+    assert found[long[:-1]] == (None, ["UNKNOWN_NON_WORD", "REPLACEMENT_TRUNCATED", "EDIT_DISTANCE_SUGGESTIONS"])

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from scrivener.operators import decide, marks
+from scrivener.operators import decide, marks, protect, tokens
 
 
 def setup(spark):
@@ -42,3 +44,42 @@ def test_overlaps_and_rendering(spark):
     assert [tuple(r) for r in marks.overlapping(x, y).collect()] == [(1, 0, 4, 3, 5)]
     df = spark.createDataFrame([("a<b cd", [(4, 6, "red_x"), (4, 6, "blue_y"), (0, 1, "red_z")])], "t string, m array<struct<start:int,end:int,kind:string>>")
     assert df.select(marks.rendered(F.col("t"), F.col("m"))).first()[0] == '<mark class="red_z">a</mark>&lt;b <mark class="blue_y">cd</mark>'
+
+
+def test_rows_that_share_a_key(spark):
+    docs = spark.createDataFrame([(1, "teh cat "), (1, "a long dog adn thier end "), (1, "teh cat "), (2, None)], "doc_id long, text string")
+    decided = decide.decisions(spark.createDataFrame([("teh",), ("adn",), ("thier",)], "token string"))
+    listed = marks.edit_lists(docs, decided)
+    assert sorted(r["text"] for r in marks.corrected(docs, listed).collect()) == ["a long dog and their end ", "the cat ", "the cat "]
+    edited = marks.edits(docs, decided)
+    assert sorted((r["start"], r["original"], r["n"], r["shift"]) for r in edited.collect()) == [(0, "teh", 1, 0), (11, "adn", 1, 0), (15, "thier", 2, 0)]
+    assert sorted(r["text"] for r in marks.corrected(docs, edited).collect()) == ["a long dog and their end ", "the cat ", "the cat "]
+
+
+def test_nothing_is_shuffled_below_the_joins(spark):
+    docs = spark.createDataFrame([(1, "teh cat ")], "doc_id long, text string")
+    for df in (tokens.placed_tokens(docs, "doc_id"), tokens.placed_runs(docs, "doc_id"), protect.lines(docs, "doc_id")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_meet_once_across_bins(spark):
+    rng = random.Random(4)
+    draw = lambda: [(rng.randrange(3), a := rng.randrange(400), a + rng.choice((0, 1, 5, 64, 200))) for _ in range(60)]
+    left, right = draw(), draw()
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, start int, end int")
+    expected = sorted((k, a, b, c, d) for k, a, b in left for key, c, d in right if k == key and a < d and c < b)
+    assert sorted(map(tuple, marks.overlapping(frame(left), frame(right)).collect())) == expected
+
+
+def test_marks_without_their_transaction(spark):
+    done = spark.createDataFrame([(1, "correction-1", "teh", "the", 0, 3)], "doc_id long, id string, original string, replacement string, new_start int, new_end int")
+    placed = spark.createDataFrame([(1, 0, 3, "teh", "correction-1"), (1, 5, 8, "abc", "correction-9"), (1, 9, 10, "x", None)], "doc_id long, mark_start int, mark_end int, original string, event_id string")
+    found = {r["mark_start"]: (r["known"], r["before"], r["replacement"], r["new_start"], r["new_end"]) for r in marks.with_transactions(placed, done).collect()}
+    assert found == {0: (True, "teh", "the", 0, 3), 5: (False, "abc", "abc", 5, 8), 9: (False, "x", "x", 9, 10)}
+
+
+def test_completions_revert_where_the_exact_text_stands(spark):
+    texts = spark.createDataFrame([(1, "ab more cd"), (2, "ab MORE cd"), (3, "ab"), (4, "ab")], "doc_id long, text string")
+    accepted = spark.createDataFrame([(1, 2, " more"), (2, 2, " more"), (3, 1, " long text")], "doc_id long, at int, inserted string")
+    found = {r["doc_id"]: (r["result"], r["text"]) for r in marks.completion_reverted(texts, accepted).collect()}
+    assert found == {1: ("reverted", "ab cd"), 2: ("stale_range", "ab MORE cd"), 3: ("stale_range", "ab"), 4: ("missing_transaction", "ab")}

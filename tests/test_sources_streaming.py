@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivener.operators import metrics
 from scrivener.sources import blob, provider, vocabulary
-from scrivener.streaming import completions, keystrokes
+from scrivener.streaming import keystrokes
 
 ENTRIES = [("abb", 10, 0), ("abc", 100, 1), ("zebra", 4_294_967_295, 0)]
 
@@ -65,37 +65,6 @@ def test_providers(spark):
     assert {k: found[k]["error"] for k in ("slow", "odd", "bad")} == {"slow": "timeout", "odd": "malformed_response", "bad": "malformed_response"}
 
 
-EVENTS = [
-    ("s", 0, "schedule", None, 20, None, None), ("s", 100, "schedule", None, 20, None, None), ("s", 420, "response", 2, None, "hello", None), ("s", 440, "accept", None, None, None, None),
-    ("s", 500, "schedule", None, 20, None, None), ("s", 900, "schedule", None, 20, None, None), ("s", 950, "response", 3, None, "late", None), ("s", 1300, "response", 4, None, "x", None),
-    ("s", 1305, "dismiss", None, None, None, "escape"), ("s", 1400, "schedule", None, 3, None, None), ("t", 0, "schedule", None, 20, None, None), ("t", 9000, "cancel", None, None, None, None),
-]
-EXPECTED = [
-    ("s", 0, "request_scheduled"), ("s", 100, "request_canceled_before_send"), ("s", 100, "request_scheduled"), ("s", 420, "provider_latency"), ("s", 420, "ghost_shown"), ("s", 440, "ghost_accepted"),
-    ("s", 500, "request_scheduled"), ("s", 900, "request_aborted_in_flight"), ("s", 900, "request_scheduled"), ("s", 950, "stale_response_dropped"), ("s", 1300, "provider_latency"), ("s", 1300, "ghost_shown"),
-    ("s", 1305, "ghost_dismissed_by_escape"), ("t", 0, "request_scheduled"), ("t", 2800, "provider_error"),
-]
-
-
-def test_completion_life(spark):
-    events = spark.createDataFrame(EVENTS, completions.EVENT)
-    rows = sorted(map(tuple, completions.metric_batch(events).collect()), key=lambda r: (r[0], r[1]))
-    assert [r[:3] for r in rows] == EXPECTED
-    by_type = {(r[1], r[2]): r for r in rows if r[0] == "s"}
-    assert by_type[420, "ghost_shown"][5:7] == (20, 320) and by_type[440, "ghost_accepted"][7] == 20 and by_type[1305, "ghost_dismissed_by_escape"][7] == 5
-
-
-def test_completion_stream_like_batch(spark, tmp_path):
-    events = spark.createDataFrame(EVENTS, completions.EVENT)
-    for k in range(3):  # in three files, one a batch
-        events.where(F.col("at_ms").between((0, 101, 600)[k], (100, 599, 10_000)[k])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(completions.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = completions.metric_stream(stream).writeStream.outputMode("append").format("memory").queryName("metrics").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    q.awaitTermination(120)
-    found = sorted((tuple(r)[:3] for r in spark.table("metrics").collect()), key=lambda r: r[:2])
-    assert found == sorted(EXPECTED, key=lambda r: r[:2])
-
-
 def test_keystrokes(spark, tmp_path):
     rows = [("s", 1, "teh ", 4, False), ("s", 2, "teh x", 5, False), ("s", 3, "teh ", 4, True), ("s", 4, "see /etc/x ", 11, False), ("s", 5, "the,", 4, False)]
     snapshots = spark.createDataFrame(rows, "session string, at long, text string, caret int, is_composing boolean")
@@ -118,3 +87,35 @@ def test_latency_summary_of_nothing(spark):
 def test_request_timings(spark):
     events = spark.createDataFrame([(1, "request_scheduled", 0), (1, "request_sent", 10), (1, "response_received", 35), (1, "ghost_shown", 35), (1, "ghost_accepted", 55), (2, "request_scheduled", 5)], "request_id long, type string, at_ms long")
     assert sorted(map(tuple, metrics.request_timings(events).collect()), key=lambda r: r[0]) == [(1, 10, 25, 35, 20), (2, None, None, None, None)]
+
+
+def test_dictionary_sources_in_order(spark, tmp_path):
+    content = blob.encode([("abc", 1, 0)])
+    assert blob.decoded(blob.source(spark, content, load=lambda: b"x", path="/none"), strict=True).first()["word"] == "abc"
+    assert blob.decoded(blob.source(spark, load=lambda: content, path="/none"), strict=True).first()["word"] == "abc"
+    (tmp_path / "d.bin").write_bytes(content)
+    assert blob.decoded(blob.source(spark, path=str(tmp_path / "d.bin")), strict=True).first()["word"] == "abc"
+    with pytest.raises(blob.DictionaryError, match="must give"):
+        blob.source(spark)
+    with pytest.raises(blob.DictionaryError, match="DICTIONARY_INVALID_MAGIC") as fault:
+        blob.source(spark, b"y" * 40)
+    assert fault.value.code == blob.BAD_MAGIC
+
+
+def test_a_dictionary_is_written_from_one_partition(spark, tmp_path):
+    blob.register(spark)
+    words = spark.createDataFrame([(k, w, 1, 0) for k, w in enumerate(("ab", "cd", "ef", "gh"))], blob.SCHEMA)
+    path = str(tmp_path / "d.bin")
+    with pytest.raises(Exception, match="coalesce"):
+        words.repartition(2).write.format("dictionary").mode("append").option("path", path).save()
+    assert list(tmp_path.iterdir()) == []
+    words.coalesce(1).write.format("dictionary").mode("append").option("path", path).save()
+    assert [r["word"] for r in spark.read.format("dictionary").option("path", path).load().collect()] == ["ab", "cd", "ef", "gh"]
+
+
+def test_failures_of_providers(spark):
+    def answer(request):
+        raise {"http": provider.HttpError("503"), "stop": InterruptedError(), "net": ConnectionError(), "odd": KeyError()}[request]
+
+    asked = spark.createDataFrame([(r,) for r in ("http", "stop", "net", "odd")], "request string")
+    assert {r["request"]: r["error"] for r in provider.completed(asked, answer).collect()} == {"http": "http", "stop": "aborted", "net": "network", "odd": "provider"}

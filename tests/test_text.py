@@ -37,7 +37,7 @@ def test_token_before(spark, t, offset, expected):
 def test_final_and_placed_tokens_agree(spark):
     docs = spark.createDataFrame([(1, "Hello, teh (wrld) foo(bar baz. end: x\ty!? last"), (2, ""), (3, None), (4, "... :: a\U0001f600b c"), (5, "trail ")], "doc_id long, text string")
     final = [(r["doc_id"], r["token"]) for r in tokens.final_tokens(docs, "doc_id").collect()]
-    placed = sorted((r["doc_id"], r["start"], r["token"], r["end"]) for r in tokens.placed_tokens(docs).collect())
+    placed = sorted((r["doc_id"], r["start"], r["token"], r["end"]) for r in tokens.placed_tokens(docs, "doc_id").collect())
     assert sorted(final) == sorted((d, t) for d, _, t, _ in placed)
     assert [t for d, _, t, _ in placed if d == 1] == ["Hello", "teh", "wrld", "bar", "baz", "end", "x", "y"]
     assert [p[1:] for p in placed if p[0] == 4] == [(7, "a\U0001f600b", 10)]
@@ -102,3 +102,32 @@ def test_pasted_text_is_escaped_whole(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["html"] for r in registry.QUERIES["pasted_html"](spark, str(tmp_path)).collect()}
     assert found == {k: t if t is None else html.escape(t.replace("\r\n", "\n").replace("\r", "\n"), quote=False).replace('"', "&quot;") for k, t in enumerate(texts)}
+
+
+def test_running_sums_and_places(spark):
+    for n in (0, 1, 63, 64, 65, 200, 1000):
+        numbers = [k * 5 % 7 for k in range(n)]
+        got = spark.createDataFrame([(numbers,)], "x array<int>").select(text.running(F.col("x"))).first()[0]
+        assert got == [sum(numbers[: k + 1]) for k in range(n)]
+    t = "a, b\U0001f600c  (dd) "
+    got = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(text.placed(F.col("t"), tokens.RUN)).collect()
+    assert [(p["piece"], p["start"]) for p in got[0][0]] == [("a", 0), ("b\U0001f600c", 3), ("dd", 9)] and got[1][0] == [] and not got[2][0]
+
+
+def test_rows_of_one_key_keep_their_own_places(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc "), (1, "dddd eeee ")], "doc_id long, text string")
+    found = sorted((r["token"], r["start"], r["end"]) for r in tokens.placed_tokens(docs, "doc_id").collect())
+    assert found == [("aa", 0, 2), ("bb", 3, 5), ("cc", 6, 8), ("dddd", 0, 4), ("eeee", 5, 9)]
+    lines = spark.createDataFrame([(1, "a\n```\nb"), (1, "c\nd")], "doc_id long, text string")
+    assert sorted((r["line"], r["number"], r["fenced"]) for r in protect.lines(lines, "doc_id").collect()) == [("```", 2, True), ("a", 1, False), ("b", 3, True), ("c", 1, False), ("d", 2, False)]
+
+
+def test_rule_keys_as_in_addresses(spark):
+    got = spark.createDataFrame([("never", "a b:c", "\u00fc!'()*~-_.+%")], "s string, o string, r string").select(text.rule_key(F.col("s"), F.col("o"), F.col("r"))).first()[0]
+    assert got == "never:a%20b%3Ac:%C3%BC!'()*~-_.%2B%25"
+
+
+def test_redacted_contexts_keep_the_limit(spark):
+    df = spark.createDataFrame([("one two three",)], "t string")
+    found = df.select(completion.context(F.col("t"), F.lit(7), 4, 3, 5, redact=lambda a, b: (F.concat(a, F.lit("****")), b)).alias("c")).first()["c"]
+    assert (found["context_before"], found["context_after"], found["cursor_offset"]) == ("o****", "", 5)
