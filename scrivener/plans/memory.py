@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import completion, spans
 from ..functions.text import rule_key
-from ..operators import decide, editor, marks, metrics, protect, rules, tokens
+from ..operators import decide, editor, marks, metrics, protect, requests, rules, tokens
 from ..sources import vocabulary
 from ..streaming import keystrokes
 from .correction import ORACLES as CORRECTION_ORACLES
@@ -260,3 +260,29 @@ def dismissal_types(spark, sf_dir):
     """Metric types of dismissals for reasons."""
     reason = F.when(F.col("event_type") == "click", "typing").when(F.col("event_type") == "view", "blur").otherwise(F.col("event_type"))
     return metric_events(spark, sf_dir).select(reason.alias("reason")).distinct().withColumn("type", metrics.dismissal_type(F.col("reason")))
+
+
+LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error": "cancel", "signup": "dismiss"}
+SQL_LIFE = "e AS (SELECT user_id AS session, event_id AS seq, epoch_ms(ts) AS at_ms, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LIFE.items()) + " END AS type FROM events)"
+
+
+@query(f"""WITH {SQL_LIFE}, n AS (SELECT *, sum(CASE WHEN type = 'schedule' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY at_ms, seq) AS n FROM e),
+s AS (SELECT session, n, min(at_ms) FILTER (type = 'schedule') AS scheduled, min(at_ms) FILTER (type = 'cancel') AS canceled FROM n WHERE n > 0 GROUP BY 1, 2),
+d AS (SELECT *, least(canceled, lead(scheduled) OVER (PARTITION BY session ORDER BY n)) AS ended FROM s), u AS (SELECT *, CASE WHEN ended IS NULL OR ended >= scheduled + 60000 THEN scheduled + 60000 END AS sent FROM d),
+a AS (SELECT session, n - seq % 2 AS n, min(at_ms) AS received FROM n WHERE type = 'response' GROUP BY 1, 2),
+j AS (SELECT u.*, received, CASE WHEN received >= sent AND (ended IS NULL OR received < ended) AND received <= sent + 3600000 THEN received END AS answered FROM u LEFT JOIN a USING (session, n)),
+l AS (SELECT j.session, j.n, arg_min(n.type, (n.at_ms, n.seq)) AS act FROM j JOIN n ON j.session = n.session AND j.n = n.n AND n.type IN ('accept', 'dismiss') AND n.at_ms >= answered GROUP BY 1, 2),
+m AS (SELECT unnest(['request_scheduled', CASE WHEN sent IS NULL THEN 'request_canceled_before_send' END, CASE WHEN answered IS NULL AND ended <= sent + 3600000 THEN 'request_aborted_in_flight' END,
+ CASE WHEN answered IS NULL AND sent IS NOT NULL AND (ended IS NULL OR ended > sent + 3600000) THEN 'provider_error' END, CASE WHEN answered IS NOT NULL THEN 'provider_latency' END, CASE WHEN answered IS NOT NULL THEN 'ghost_shown' END,
+ CASE WHEN answered IS NULL AND received IS NOT NULL THEN 'stale_response_dropped' END, CASE act WHEN 'accept' THEN 'ghost_accepted' WHEN 'dismiss' THEN 'ghost_dismissed_by_escape' END]) AS type FROM j LEFT JOIN l USING (session, n))
+SELECT type, count(*) AS n FROM m WHERE type IS NOT NULL GROUP BY 1""")
+def request_lives(spark, sf_dir):
+    """The event table read as completion requests of each user, with a wait of a minute and a limit of an hour: metric events by type."""
+    from pyspark.sql import Window
+
+    kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("type"))
+    order = Window.partitionBy("session").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.sum((F.col("type") == "schedule").cast("int")).over(order) - F.col("seq") % 2
+    events = events.select("*", number.alias("request"), F.lit(20).alias("context_length"), F.col("type").alias("text"), F.lit("escape").alias("reason"))
+    return requests.metric_rows(requests.lives(events, 60_000, 3_600_000), 3_600_000).groupBy("type").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrivener.operators import decide, editor
+from scrivener.operators import decide, editor, requests
 from scrivener.sources.storage import SCHEMA, ChangeLog
 
 
@@ -51,3 +51,22 @@ def test_change_log(spark, tmp_path):
     assert log.get("b", "k").first()["value"] == "3" and log.get("b", "z").first() is None
     log.clear("a", 3)
     assert log.list("a").count() == 0 and log.list("b").count() == 1
+
+
+EVENTS = [
+    ("s", 0, "schedule", None, 20, None, None), ("s", 100, "schedule", None, 20, None, None), ("s", 420, "response", 2, None, "hello", None), ("s", 440, "accept", None, None, None, None),
+    ("s", 500, "schedule", None, 20, None, None), ("s", 900, "schedule", None, 20, None, None), ("s", 950, "response", 3, None, "late", None), ("s", 1300, "response", 4, None, "x", None),
+    ("s", 1305, "dismiss", None, None, None, "escape"), ("s", 1400, "schedule", None, 3, None, None), ("t", 0, "schedule", None, 20, None, None), ("t", 9000, "cancel", None, None, None, None),
+]
+EXPECTED = [
+    ("s", 0, "request_scheduled"), ("s", 100, "request_canceled_before_send"), ("s", 100, "request_scheduled"), ("s", 420, "provider_latency"), ("s", 420, "ghost_shown"), ("s", 440, "ghost_accepted"),
+    ("s", 500, "request_scheduled"), ("s", 900, "request_aborted_in_flight"), ("s", 900, "request_scheduled"), ("s", 950, "stale_response_dropped"), ("s", 1300, "provider_latency"), ("s", 1300, "ghost_shown"),
+    ("s", 1305, "ghost_dismissed_by_escape"), ("t", 0, "request_scheduled"), ("t", 2800, "provider_error"),
+]
+
+
+def test_lives_of_requests(spark):
+    rows = [(*e[:2], k, *e[2:]) for k, e in enumerate(EVENTS)]
+    events = spark.createDataFrame(rows, "session string, at_ms long, seq int, type string, request int, context_length int, text string, reason string")
+    found = requests.metric_rows(requests.lives(events)).select("session", "at_ms", "type").collect()
+    assert sorted(map(tuple, found)) == sorted(EXPECTED)
