@@ -134,21 +134,23 @@ def fit(places: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], lis
         change = np.bincount(swap, sign * w[swap_cols], len(pairs)) * shares * (2 * penalty)
         return np.bincount(swap_cols, sign * change[swap], size)
 
-    # The largest curvature sets the step: that of the log loss is at most a quarter of its weighted Gram matrix's.
+    # Steps by what bounds the curvature: of the log loss, a quarter of its weighted Gram matrix's largest; of
+    # the penalty, a sum for each feature, so that a strict penalty slows the features in swaps only.
     probe, bend = np.ones(size + 1) / np.sqrt(size + 1), 1.0
     for _ in range(60):
         z = (np.bincount(rows, probe[cols], len(places)) + probe[-1]) * share / 4
-        new = np.append(np.bincount(cols, z[rows], size) + (penalised(probe[:-1]) if pairs else 0), z.sum())
+        new = np.append(np.bincount(cols, z[rows], size), z.sum())
         bend = float(np.linalg.norm(new))
         probe = new / max(bend, 1e-300)
-    step = 1 / (1.1 * bend + RIDGE)
+    stiff = np.bincount(swap_cols, (shares * [len(g) + len(x) for g, x in pairs])[swap], size) * (2 * penalty) if pairs else 0
+    step, step_b = 1 / (1.1 * bend + RIDGE + stiff), 1 / (1.1 * bend + RIDGE)
     w, b = np.zeros(size), 0.0
     look, look_b = w, b
     for k in range(rounds):
         z = np.bincount(rows, look[cols], len(places)) + look_b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         grad = np.bincount(cols, error[rows], size) + RIDGE * look + (penalised(look) if pairs else 0)
-        new, new_b = look - step * grad, look_b - step * error.sum()
+        new, new_b = look - step * grad, look_b - step_b * error.sum()
         look, look_b = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b)
         w, b = new, new_b
     return w, float(b)
