@@ -54,6 +54,18 @@ def placed(text: Column, pattern: str, part: int = 0) -> Column:
     return let(lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), zipped)
 
 
+def visible(html: Column, ghost: str = "data-ghost") -> Column:
+    """The text of a page: without comments, scripts, styles, tags, and the elements that carry the attribute ``ghost`` (and hold no elements of their kind)."""
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    text = F.regexp_replace(text, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>", "")
+    for tag in ("span", "div"):
+        text = F.regexp_replace(text, rf"(?s)<{tag}\b[^>]*\b{ghost}\b[^>]*>.*?</{tag}>", "")
+    text = F.regexp_replace(text, r"<[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")

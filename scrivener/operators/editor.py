@@ -42,6 +42,12 @@ def ready(events: DataFrame) -> DataFrame:
     return events.where((F.col("start") == F.col("end")) & ~F.coalesce("read_only", off) & ~F.coalesce("disabled", off) & ~F.coalesce("is_composing", off))
 
 
+def still_shown(ghost: Column, now: Column) -> Column:
+    """Whether a proposed completion may stay: structs (version, text, start, end) of when it was shown and of now, the latter with focused."""
+    same = [ghost[c].eqNullSafe(now[c]) for c in ("version", "text", "start", "end")]
+    return same[0] & same[1] & same[2] & same[3] & F.coalesce(now["focused"], F.lit(False))
+
+
 def gated(decided: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds effect to decisions: ``edit``, ``red_mark`` or ``none``, and the suggestions the mark shows.
 
@@ -101,4 +107,4 @@ def session_counts(decided: DataFrame, *by: str) -> DataFrame:
     )
 
 
-__all__ = ["TRUSTED", "Settings", "gated", "memory_log", "numbered", "ready", "reported", "session_counts", "trigger", "typed_delimiter"]
+__all__ = ["TRUSTED", "Settings", "gated", "memory_log", "numbered", "ready", "reported", "session_counts", "still_shown", "trigger", "typed_delimiter"]

@@ -84,10 +84,12 @@ def shifted(marks: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFra
 def surviving(marks: DataFrame, texts: DataFrame, policy: str = "same_offset", key: str = "doc_id") -> DataFrame:
     """Marks (key, mark_start, mark_end, original, version) that outlive a change of text (key, text, version).
 
-    ``version``: none that are older; ``same_offset``: where the text at the same place is the same.
+    ``version``: none that are older; ``same_offset``: where the text at the same place is the same;
+    ``decoration``: the same, where a blue mark (column kind) looks for its replacement instead.
     """
     now = marks.join(texts.select(key, F.col("text").alias("now"), F.col("version").alias("now_version")), key)
-    kept = now.where(F.col("version") == F.col("now_version")) if policy == "version" else now.where(spans.holds(F.col("now"), F.col("mark_start"), F.col("mark_end"), F.col("original")))
+    text = F.when(F.col("kind").startswith("blue"), F.col("replacement")).otherwise(F.col("original")) if policy == "decoration" else F.col("original")
+    kept = now.where(F.col("version") == F.col("now_version")) if policy == "version" else now.where(spans.holds(F.col("now"), F.col("mark_start"), F.col("mark_end"), text))
     return kept.select(*marks.columns)
 
 

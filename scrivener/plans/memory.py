@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import completion, spans
-from ..functions.text import rule_key
+from ..functions.text import rule_key, visible
 from ..operators import decide, editor, marks, metrics, protect, requests, rules, tokens
 from ..sources import vocabulary
 from ..streaming import keystrokes
@@ -201,8 +202,6 @@ SELECT conv_id, turn, CASE WHEN inserted IS NULL THEN 'missing_transaction' WHEN
  FROM f WHERE turn % 3 <> 0 OR inserted IS NULL OR (replace(inserted, 'e', '3') || '#')[1:length(inserted)] <> inserted""")
 def completion_reverts(spark, sf_dir):
     """The next turn inserted in the middle of each, changed in every third, and then reverted."""
-    from pyspark.sql import Window
-
     half = F.floor(F.length("text") / 2).cast("int")
     found = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("inserted"), half.alias("at"))
     changed = F.when((F.col("turn") % 3 == 0) & (F.col("inserted") != ""), F.concat(F.replace("inserted", F.lit("e"), F.lit("3")), F.lit("#"))).otherwise(F.coalesce("inserted", F.lit("")))
@@ -278,11 +277,40 @@ m AS (SELECT unnest(['request_scheduled', CASE WHEN sent IS NULL THEN 'request_c
 SELECT type, count(*) AS n FROM m WHERE type IS NOT NULL GROUP BY 1""")
 def request_lives(spark, sf_dir):
     """The event table read as completion requests of each user, with a wait of a minute and a limit of an hour: metric events by type."""
-    from pyspark.sql import Window
-
     kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("type"))
     order = Window.partitionBy("session").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
     number = F.sum((F.col("type") == "schedule").cast("int")).over(order) - F.col("seq") % 2
     events = events.select("*", number.alias("request"), F.lit(20).alias("context_length"), F.col("type").alias("text"), F.lit("escape").alias("reason"))
     return requests.metric_rows(requests.lives(events, 60_000, 3_600_000), 3_600_000).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, length(v) AS n, md5(v) AS text_md5 FROM (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS v FROM a)""")
+def page_texts(spark, sf_dir):
+    """The text of each page: its length and digest."""
+    text = visible(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+@query("""WITH f AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, count(before) AS ghosts, count(*) FILTER (before = text AND turn % 2 = 0) AS kept FROM f GROUP BY 1""")
+def ghosts_kept(spark, sf_dir):
+    """Completions shown at one turn that may stay at the next: where the text is the same and has focus."""
+    state = lambda text: F.struct(F.lit(1).alias("version"), text.alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), (F.col("turn") % 2 == 0).alias("focused"))
+    found = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    kept = F.col("before").isNotNull() & editor.still_shown(state(F.col("before")), state(F.col("text")))
+    return found.groupBy("conv_id").agg(F.count("before").alias("ghosts"), F.count_if(kept).alias("kept"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, text, length(regexp_extract(text, '\A[^ ]*')) AS n FROM conversations)
+SELECT conv_id, turn, n::BIGINT AS "end", NOT regexp_matches(substr(text, n + 1, 1), '[A-Za-z'']') AS word, true AS held, n < 2 OR NOT regexp_matches(substr(text, n, 1), '[A-Za-z'']') AS cut_short FROM c""")
+def range_checks(spark, sf_dir):
+    """Whether each turn's first word is still found at its place, as a word or as it stands, and without its last letter."""
+    first = F.regexp_extract("text", r"\A[^ ]*", 0)
+    nought, n = F.lit(0), F.length(first)
+    less = F.greatest(n - 1, nought)
+    return read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", n.cast("long").alias("end"), spans.still_matches(F.col("text"), nought, n, first).alias("word"), spans.holds(F.col("text"), nought, n, first).alias("held"),
+        F.when(n < 2, True).otherwise(spans.still_matches(F.col("text"), nought, less, F.substring(first, F.lit(1), less))).alias("cut_short"),
+    )

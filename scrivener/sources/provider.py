@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +27,30 @@ def noop(request: str) -> str:
     return '{"text": ""}'
 
 
+class Endpoint:
+    """A provider that posts ``{"request": ...}`` as JSON to an address.
+
+    ``headers``: a mapping, or a function that makes one for each request; only texts are
+    sent.  The client gives up after ``timeout`` seconds, and a status that is no success is
+    an ``HttpError``.  Sent to the executors, it holds nothing but these settings.
+    """
+
+    def __init__(self, url: str, headers: dict[str, str] | Callable[[], dict[str, str]] | None = None, timeout: float = 2.5, method: str = "POST"):
+        self.url, self.headers, self.timeout, self.method = url, headers, timeout, method
+
+    def __call__(self, request: str) -> str:
+        own = self.headers() if callable(self.headers) else self.headers or {}
+        headers = {"content-type": "application/json"} | {k: v for k, v in own.items() if isinstance(v, str)}
+        body = json.dumps({"request": json.loads(request)}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, body, headers, method=self.method), timeout=self.timeout) as answer:
+                return answer.read().decode()
+        except urllib.error.HTTPError as fault:
+            raise HttpError(str(fault.code)) from None
+        except urllib.error.URLError as fault:
+            raise (fault.reason if isinstance(fault.reason, TimeoutError) else ConnectionError(str(fault.reason))) from None
+
+
 def completed(requests: DataFrame, provider: Callable[[str], str] = noop, column: str = "request") -> DataFrame:
     """Adds body, what ``provider`` answers to each request (JSON text), and error, the kind of its failure.
 

@@ -36,6 +36,8 @@ def test_survival(spark):
     now = spark.createDataFrame([(1, "ab xx", 2)], "doc_id long, text string, version int")
     assert [r["original"] for r in marks.surviving(placed, now, "version").collect()] == ["cd"]
     assert [r["original"] for r in marks.surviving(placed, now).collect()] == ["ab"]
+    kinds = spark.createDataFrame([(1, 0, 2, "xy", "ab", "blue_a"), (1, 0, 2, "ab", None, "red_b"), (1, 3, 5, "xx", "cd", "blue_c")], "doc_id long, mark_start int, mark_end int, original string, replacement string, kind string")
+    assert sorted(r["kind"] for r in marks.surviving(kinds, now, "decoration").collect()) == ["blue_a", "red_b"]
 
 
 def test_overlaps_and_rendering(spark):

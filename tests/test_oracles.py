@@ -40,14 +40,8 @@ def test_same_rows(spark, sf_dir, duck, name):
     assert rows(found, columns) == rows(expected, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_queries_without_sql(spark, sf_dir, name):
-    found = registry.QUERIES[name](spark, sf_dir).collect()
-    assert found
-    if name == "blob_roundtrip":
-        assert found[0]["different"] == 0
-    if name == "memory_export":
-        assert [r["n"] for r in found] == [2]
+def test_every_query_has_its_sql():
+    assert registry.QUERIES.keys() == registry.ORACLES.keys()
 
 
 def test_entry(spark):

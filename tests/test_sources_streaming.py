@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import http.server
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +122,28 @@ def test_failures_of_providers(spark):
 
     asked = spark.createDataFrame([(r,) for r in ("http", "stop", "net", "odd")], "request string")
     assert {r["request"]: r["error"] for r in provider.completed(asked, answer).collect()} == {"http": "http", "stop": "aborted", "net": "network", "odd": "provider"}
+
+
+def test_an_endpoint_answers_over_http(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["content-length"])))["request"]
+            if asked["mode"] == "slow":
+                time.sleep(3)
+            self.send_response(503 if asked["mode"] == "down" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"text": f" for {asked['mode']} {self.headers.get('x-key')} {self.headers.get('x-none')}"}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        answer = provider.Endpoint(f"http://127.0.0.1:{server.server_port}/", lambda: {"x-key": "k", "x-none": None}, timeout=1)
+        asked = spark.createDataFrame([(json.dumps({"mode": m}), "some") for m in ("inline", "down", "slow")], "request string, context_before string")
+        found = {json.loads(r["request"])["mode"]: (r["text"], r["error"]) for r in provider.shown(provider.completed(asked, answer)).collect()}
+        assert found["inline"] == (" for inline k None", None) and found["down"][1] == "http" and found["slow"][1] == "timeout"
+        assert provider.completed(asked, provider.Endpoint("http://127.0.0.1:9/", timeout=1)).first()["error"] == "network"
+    finally:
+        server.shutdown()

@@ -131,3 +131,8 @@ def test_redacted_contexts_keep_the_limit(spark):
     df = spark.createDataFrame([("one two three",)], "t string")
     found = df.select(completion.context(F.col("t"), F.lit(7), 4, 3, 5, redact=lambda a, b: (F.concat(a, F.lit("****")), b)).alias("c")).first()["c"]
     assert (found["context_before"], found["context_after"], found["cursor_offset"]) == ("o****", "", 5)
+
+
+def test_visible_text_of_pages(spark):
+    page = "<p>a &lt;b&gt; <!-- no --><span class='x' data-ghost='1'>ghost <b>g</b></span>c</p><script>var x = '<p>';</script><div>d&amp;amp;</div>"
+    assert spark.createDataFrame([(page,)], "h string").select(text.visible(F.col("h"))).first()[0] == "a <b> cd&amp;"
