@@ -85,7 +85,10 @@ def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], *ke
     scaled = [F.when(F.col("tokens") > 0, F.col(f"s{k}") / F.col("tokens") * SHARPNESS + F.lit(b)).otherwise(0.0) for k, b in enumerate(before)]
     top = F.greatest(*scaled) if len(scaled) > 1 else scaled[0]
     raised = F.array(*[F.exp(s - top) for s in scaled])
-    return sums.select(*keep, "tokens", raised.alias("e")).select(*keep, "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    p = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
+    # Exploding one value has it computed once: a filter by a rate would else be pushed down and compute all this for each use.
+    found = sums.select(*keep, "tokens", raised.alias("e")).select(*keep, F.explode(F.array(F.struct("tokens", p.alias("p")))).alias("found"))
+    return found.select(*keep, "found.tokens", "found.p")
 
 
 def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = ROUNDS, start: tuple[Column, list[float], list[float]] | None = None) -> tuple[Column, list[float], list[float]]:
