@@ -7,8 +7,8 @@ one block of dimensions at a time for a tile of queries; what the dimensions to
 can still add is at most the product of the remaining norms, so candidates whose
 bound is below what every query of the tile surely reaches are compacted away.
 
-A first pass gives each query the score it surely reaches: the k-th best among the
-``SEEDS`` vectors of largest norm.  All cells start from it.  Each cell answers with
+A first pass gives each query the score it surely reaches: the k-th best among
+``SEEDS`` vectors of large norm.  All cells start from it.  Each cell answers with
 its k best, and a window keeps the k best of each query.
 """
 
@@ -31,7 +31,7 @@ QUERY_EVERY = 20
 QUERIES, CANDIDATES = 8192, 16_384
 #: Groups of candidates there are at least (of 256 rows or more), to have work for all cores.
 GROUPS = 32
-#: Vectors of large norm that give the first bounds; the driver sends so many to all tasks.
+#: Vectors of large norm, at most, that give the first bounds; the driver sends so many to all tasks.
 SEEDS = 2048
 #: Dimensions that are added between two bounds, and queries that share their candidates.
 DIMENSIONS, TILE = 16, 64
@@ -139,9 +139,15 @@ def cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int = K) -> pd.Data
 
 
 def first_bounds(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Adds ``reached`` to ``queries``: the k-th best score among the largest vectors, null where there are too few."""
+    """Adds ``reached`` to ``queries``: the k-th best score among SEEDS large vectors, null where there are too few.
+
+    The rows are dealt by a hash into SEEDS groups, and each gives its largest.
+    """
     mass = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    seeds = rows.orderBy(mass.desc(), "row").limit(SEEDS).select("row", "v").collect()  # SEEDS vectors
+    dealt = rows.select("row", "v", mass.alias("mass"), F.pmod(F.xxhash64(F.lit("seeds"), "row"), F.lit(SEEDS)).alias("group"))
+    top = dealt.groupBy("group").agg(F.max("mass").alias("mass"))  # at most SEEDS rows, here and below
+    ties = dealt.join(F.broadcast(top), ["group", "mass"]).groupBy("group").agg(F.min("row").alias("row"))
+    seeds = rows.join(F.broadcast(ties), "row").select("row", "v").collect()
     shared = rows.sparkSession.sparkContext.broadcast(([r["row"] for r in seeds], [r["v"] for r in seeds]))
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
