@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, small_enough, staged
+from .common import LOWER, UPPER, drop_staged, small_enough, staged
 
 SEED = 42
 RADIUS = 3
@@ -83,13 +83,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "comp")
-        up = labels.alias("x").join(labels.alias("y"), F.col("x.comp") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.comp").alias("comp"))
+        known = labels.select("node", "comp")
+        near = both.join(known, both.b == known.node).select(both.a.alias("node"), "comp")
+        up = known.alias("x").join(known.alias("y"), F.col("x.comp") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.comp").alias("comp"))
         least = near.union(up).groupBy("node").agg(F.min("comp").alias("new"))
-        after = staged(labels.join(least, "node", "left").select("node", F.least("comp", F.coalesce("new", "comp")).alias("comp"), F.coalesce(F.col("new") < F.col("comp"), F.lit(False)).alias("moved")), "labels")
+        after = staged(known.join(least, "node", "left").select("node", F.least("comp", F.coalesce("new", "comp")).alias("comp"), F.coalesce(F.col("new") < F.col("comp"), F.lit(False)).alias("moved")), "labels")
+        drop_staged(labels)
         if after.where("moved").isEmpty():
+            drop_staged(both)
             return after.select("node", "comp")
-        labels = after.select("node", "comp")
+        labels = after
 
 
 #: Fingerprints whose variants one task emits: few enough for its partial aggregates to stay in memory.

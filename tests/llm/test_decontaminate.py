@@ -78,3 +78,13 @@ def test_a_benchmark_of_many_passes(spark, odd_docs, monkeypatch):
     whole = rows_of(dc.decontaminate(odd_docs, benchmark))
     monkeypatch.setattr(dc, "PASS_BYTES", 12)
     assert rows_of(dc.decontaminate(odd_docs, benchmark)) == whole
+
+
+def test_clean_rows_in_many_passes(spark, odd_docs, monkeypatch):
+    benchmark = spark.createDataFrame([(k, t) for k, t in enumerate(["hello world", "a b c d e f g", "b c d", "quick", "dog it sleeps"])], "item_id long, text string")
+    hit = {r["doc_id"] for r in dc.decontaminate(odd_docs, benchmark).where("n_hit > 0").collect()}
+    expected = sorted(map(repr, odd_docs.where(~odd_docs.doc_id.isin(list(hit)) | odd_docs.doc_id.isNull()).collect()))
+    for size in (dc.PASS_BYTES, 12):
+        monkeypatch.setattr(dc, "PASS_BYTES", size)
+        left = dc.without_hits(odd_docs, benchmark)
+        assert left.columns == odd_docs.columns and sorted(map(repr, left.collect())) == expected

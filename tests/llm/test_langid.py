@@ -80,3 +80,11 @@ def test_odd_documents(odd_docs, odd_rows, no_docs):
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs).first()["lang_pred"] == "und"
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    rows = [(k, t, lang) for lang, texts in SAMPLES.items() for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:1] * 500 + [(None, rows[1][1], "de")] * 50, "doc_id long, text string, lang string")
+    once = spark.createDataFrame(rows + [(None, rows[1][1], "de")], "doc_id long, text string, lang string")
+    texts = [t for _, t, _ in rows] + ["hund", "fox", "chien"]
+    assert langid.learn(docs).score(texts) == langid.learn(once).score(texts)

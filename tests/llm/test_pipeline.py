@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from test_decontaminate import plain as plain_hits
@@ -48,7 +49,11 @@ def test_each_stage_like_brute_force(spark, tables):
 
 
 def test_run(spark, tables):
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
     assert cp.run(spark, tables).count() > 100
+    left = sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
+    assert left == ["corpus"] * 4 + ["token"]  # each stage's rows and the store, nothing on the way
 
 
 def test_no_documents(spark, tables, tmp_path):

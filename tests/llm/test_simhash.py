@@ -69,7 +69,9 @@ def links_of(spark, values):
     return {r["first"]: heads[r["comp"]] for r in joined}
 
 
-def test_every_distance(spark):
+@pytest.mark.parametrize("bound", [simhash.BROADCAST_KEYS, 0])
+def test_every_distance(spark, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", bound)
     rng = random.Random(1)
     values = []
     for d in range(7):
@@ -96,7 +98,9 @@ def test_chains_and_a_dense_group(spark):
     assert links_of(spark, values) == {k: expected[k, v] for k, v in enumerate(values)}
 
 
-def test_representatives_of_rows_that_share_ids(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("bound", [simhash.BROADCAST_ROWS, 0])
+def test_representatives_of_rows_that_share_ids(spark, odd_docs, no_docs, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
     texts = ["one two three four five six", "one two three four five six", "quite another text of seven words here"]
     rows = [(7, texts[0], 1), (7, texts[1], 2), (7, texts[2], 3), (None, texts[0], 4), (None, texts[2], 5), (9, texts[0], 6), (9, None, 7), (None, "", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
