@@ -73,7 +73,8 @@ class UnitEncoder(dict):
     hold an added token's string.
     """
 
-    LIMIT = 1_000_000
+    #: Units that are kept since the last turn; those of the turn before stay until the next.
+    LIMIT = 350_000
 
     def __init__(self, vocabulary: str, id_bytes: int):
         from tokenizers import Tokenizer
@@ -85,6 +86,7 @@ class UnitEncoder(dict):
         self.kind = np.dtype(f"<u{id_bytes}")
         self.code = {2: "H", 4: "I"}[id_bytes]
         self.pieces: dict[str, bytes] = {}
+        self.former: dict[str, bytes | None] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
@@ -108,6 +110,10 @@ class UnitEncoder(dict):
         return b"".join(map(self.piece, PIECES.findall(unit)))
 
     def __missing__(self, word: str) -> bytes | None:
+        made = self[word] = self.former[word] if word in self.former else self.made(word)
+        return made
+
+    def made(self, word: str) -> bytes | None:
         if not word or word[-1].isspace():
             made = None
         elif RARE.search(word):
@@ -118,11 +124,11 @@ class UnitEncoder(dict):
             made = self[word[:-1]] + self.piece(word[-1])
         else:
             made = self.unit(" " + word)
-        self[word] = made
         return made
 
     def text(self, text: str) -> bytes:
-        if len(self) > self.LIMIT:
+        if len(self) > self.LIMIT:  # common units are asked for again before they leave
+            self.former = dict(self)
             self.clear()
             self.pieces.clear()
         first, *rest = text.split(" ")
