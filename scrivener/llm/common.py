@@ -99,6 +99,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The text, and every other column in one called ``row``, so that no operator's column can clash and no text is carried twice."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns named ``columns`` again from what :func:`packed` made of them."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

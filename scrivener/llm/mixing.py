@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import packed, staged, unpacked
 
 #: Hash buckets of words.
 BUCKETS = 4096
@@ -229,7 +229,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: f
 
 
 #: Domains of the labels table, and what share of tokens each should have.
-TARGETS = {"clean": 0.98, "toxic": 0.01, "low": 0.01}
+TARGETS = {"clean": 0.95, "toxic": 0.03, "low": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -247,6 +247,6 @@ def mix_labelled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of ``docs`` that :func:`mix` keeps, with all their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mixer = Mixer(packed.select("doc_id", "text"), label_domains(labels), targets)
-    return mixer.judged(packed, "row").where(mixer.kept).select("row.*")
+    rows = packed(docs).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    mixer = Mixer(rows.select("doc_id", "text"), label_domains(labels), targets)
+    return unpacked(mixer.judged(rows, "row", "text").where(mixer.kept), docs.columns)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ NO_ID, NO_ID_COPIES = (1 << 63) - 1, 1 << 62
 MARKS = r".!?,;:|\n…。！，？"
 SENTENCE = re.compile(rf"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
 WORD = re.compile(r"\w+")
+#: What is no word within a sentence, and the end of one.
+OTHER, ENDS = re.compile(r"[^\w\n]+"), re.compile(rf"[{MARKS}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -52,57 +55,48 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def normalised(text: str) -> tuple[list[int], list[int], bytes]:
     """Words before each sentence (and in all), where their bytes begin, and the words of the text with a blank after each."""
-    counts, places, parts = [0], [0], []
-    for sentence in SENTENCE.findall(text):
-        found = WORD.findall(sentence.lower())
-        part = " ".join([*found, ""]).encode("utf-8", "replace")
-        parts.append(part)
-        counts.append(counts[-1] + len(found))
-        places.append(places[-1] + len(part))
-    return counts, places, b"".join(parts)
-
-
-def forward(counts: list[int], least_sentences: int, least_words: int) -> Iterator[tuple[int, int]]:
-    """First sentence and end (exclusive) of each sentence's shortest run that is long enough."""
-    end = 0
-    for i in range(len(counts) - 1):
-        if counts[i] == counts[i + 1]:  # a run begins with a word
-            continue
-        end = max(end, i + least_sentences)
-        while end < len(counts) and (counts[end] - counts[i] < least_words or counts[end - 1] == counts[end]):  # and ends with one
-            end += 1
-        if end >= len(counts):
-            return
-        yield i, end
-
-
-def backward(counts: list[int], least_sentences: int, least_words: int) -> Iterator[tuple[int, int]]:
-    """As :func:`forward`, for the shortest run that ends with each sentence."""
-    starts = [i for i in range(len(counts) - 1) if counts[i] < counts[i + 1]]
-    at = 0
-    for end in range(least_sentences, len(counts)):
-        if counts[end - 1] == counts[end]:
-            continue
-        fits = lambda i: end - i >= least_sentences and counts[end] - counts[i] >= least_words  # noqa: B023, E731
-        while at + 1 < len(starts) and fits(starts[at + 1]):
-            at += 1
-        if fits(starts[at]):
-            yield starts[at], end
+    lines = OTHER.sub(" ", ENDS.sub("\n", text.lower())).encode("utf-8", "replace").split(b"\n")
+    if not lines[-1]:  # nothing after the last mark
+        lines.pop()
+    parts = [line.strip() + b" " if line.strip() else b"" for line in lines]
+    counts = [0, *accumulate(part.count(b" ") for part in parts)]
+    return counts, [0, *accumulate(map(len, parts))], b"".join(parts)
+
+
+def forward(counts: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentences and ends (exclusive) of the shortest runs from each sentence on that are long enough; a run begins and ends with a word."""
+    starts = np.flatnonzero(counts[1:] > counts[:-1])
+    ends = starts + 1
+    k = np.maximum(np.searchsorted(counts[ends], counts[starts] + least_words), np.searchsorted(ends, starts + least_sentences))
+    there = k < len(ends)
+    return starts[there], ends[k[there]]
+
+
+def backward(counts: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`forward`, for the shortest runs back from each sentence."""
+    starts = np.flatnonzero(counts[1:] > counts[:-1])
+    ends = starts + 1
+    k = np.minimum(np.searchsorted(counts[starts], counts[ends] - least_words, "right"), np.searchsorted(starts, ends - least_sentences, "right")) - 1
+    there = k >= 0
+    return starts[k[there]], ends[there]
 
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
     """First sentence, end (exclusive) and normalised words of each sentence's shortest run that is long enough."""
     counts, places, words = normalised(text)
-    for i, end in forward(counts, least_sentences, least_words):
+    for i, end in zip(*(x.tolist() for x in forward(np.array(counts), least_sentences, least_words))):
         yield i, end, words[places[i] : places[end] - 1]
 
 
-def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
+def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[int, int, bytes]]:
     """:func:`runs` and, where they differ, the shortest runs back from each sentence."""
     counts, places, words = normalised(text)
-    found = set(forward(counts, least_sentences, least_words)).union(backward(counts, least_sentences, least_words))
-    for i, end in sorted(found):
-        yield i, end, words[places[i] : places[end] - 1]
+    if counts[-1] < least_words:
+        return []
+    known = np.array(counts)
+    (a, b), (c, d) = forward(known, least_sentences, least_words), backward(known, least_sentences, least_words)
+    both = np.unique(np.concatenate([a, c]) << 32 | np.concatenate([b, d]))
+    return [(i, end, words[places[i] : places[end] - 1]) for i, end in zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist())]
 
 
 def stretches(covered: list[int], words: Callable[[int, int], int], least_words: int = STRETCH) -> list[tuple[int, int]]:
@@ -135,7 +129,7 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, copy, text) to a row for each run: its hash, 32 bits of another, and its place."""
     for batch in batches:
         for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = list(all_runs(text))
+            found = all_runs(text)
             if found:
                 first, end, words = zip(*found)
                 both = digests(words)
