@@ -16,22 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import decontaminate, langid, mixing, simhash, token_store
-from scrivener.llm.common import fresh_path, held_out, table, tidied
+from scrivener.llm.common import fresh_path, held_out, packed, table, tidied, unpacked
 
 #: Posterior of the best language that a document needs.
 LEAST_SCORE = 0.5
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """The whole row as one column beside the text, so that no operator's column can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters, or with no clear language, go."""
     trees = langid.learn(docs.where(~held_out("doc_id")))
     found = langid.predict(packed(docs), trees)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +36,7 @@ def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    return decontaminate.without_hits(packed(docs), table(spark, sf_dir, "benchmark")).select("row.*")
+    return unpacked(decontaminate.without_hits(packed(docs), table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
