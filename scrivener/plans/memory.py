@@ -48,7 +48,7 @@ rated AS (SELECT a.token, t.replacement AS fix, l.token IS NOT NULL AS always, k
 cases AS (SELECT *, CASE WHEN always THEN 'ALWAYS_CORRECT_RULE' WHEN known THEN 'KNOWN_VALID_WORD' WHEN NOT regexp_matches(token, '\A[a-z]+\z') THEN 'PROTECTED_LOOKING_TOKEN' WHEN fix IS NOT NULL THEN 'COMMON_TYPO_MATCH' ELSE 'UNKNOWN_NON_WORD' END AS reason FROM rated),
 acts AS (SELECT token, fix, reason, never AND reason = 'COMMON_TYPO_MATCH' AS never FROM cases)
 SELECT CASE WHEN reason = 'UNKNOWN_NON_WORD' OR never THEN 'mark_unresolved' WHEN reason IN ('ALWAYS_CORRECT_RULE', 'COMMON_TYPO_MATCH') THEN 'auto_correct' ELSE 'do_nothing' END AS action,
- reason, never, count(*) AS n, string_agg(fix, ',' ORDER BY token) FILTER (never) AS suggested FROM acts GROUP BY 1, 2, 3""")
+ reason, never, count(*) AS n, coalesce(string_agg(fix, ',' ORDER BY token) FILTER (never), '') AS suggested FROM acts GROUP BY 1, 2, 3""")
 def never_rules(spark, sf_dir):
     """Decisions under a large memory: rules never to correct turn corrections into marks that suggest them first."""
     found = tokens.final_tokens(read(spark, sf_dir, "documents")).groupBy("token").count()
@@ -58,7 +58,7 @@ def never_rules(spark, sf_dir):
     first = F.get("suggestions", F.lit(0)).alias("first")
     marked = F.array_sort(F.collect_list(F.when(F.col("never"), F.struct("token", first))))  # at most the built-in typos
     grouped = decided.groupBy("action", F.col("reason_codes")[0].alias("reason"), "never").agg(F.count("*").alias("n"), marked.alias("marked"))
-    return grouped.select("action", "reason", "never", "n", F.when(F.size("marked") > 0, F.array_join(F.transform("marked", lambda m: m["first"]), ",")).alias("suggested"))
+    return grouped.select("action", "reason", "never", "n", F.array_join(F.transform("marked", lambda m: m["first"]), ",").alias("suggested"))
 
 
 def nation_memory(spark, sf_dir):
@@ -80,12 +80,11 @@ def memory_counts(spark, sf_dir):
     return rules.memory_counts({"personal_dictionary": words, "correction_rules": log})
 
 
-@query(f"WITH {SQL_MEMORY} SELECT *, 'correction_rules' AS part FROM memory UNION ALL SELECT original, NULL, NULL, created_at, NULL, 'personal_dictionary' FROM memory")
+@query(f"WITH {SQL_MEMORY} SELECT *, 'correction_rules' AS part FROM memory UNION ALL SELECT original, '', '', created_at, 0, 'personal_dictionary' FROM memory")
 def memory_export(spark, sf_dir):
     """What an import brings back of an export."""
     words, log = rules.imported(rules.exported(*nation_memory(spark, sf_dir), "2024-01-01T00:00:00.000Z"), 0)
-    null = F.lit(None)
-    own = words.select(F.col("word").alias("original"), null.cast("string").alias("replacement"), null.cast("string").alias("status"), "created_at", null.cast("long").alias("updated_at"), F.lit("personal_dictionary").alias("part"))
+    own = words.select(F.col("word").alias("original"), F.lit("").alias("replacement"), F.lit("").alias("status"), "created_at", F.lit(0).cast("long").alias("updated_at"), F.lit("personal_dictionary").alias("part"))
     return log.withColumn("part", F.lit("correction_rules")).unionByName(own)
 
 
@@ -144,13 +143,13 @@ def gate_query(settings):
         found = tokens.final_tokens(read(spark, sf_dir, "documents")).groupBy("token").count()
         asked = tokens.unprotected(found, F.col("count") > 0).select("token").union(vocabulary.typos(spark).select("typo")).distinct()
         gated = editor.gated(decide.decisions(asked, rules=rules.latest_rules(talked_rules(spark, sf_dir))), settings)
-        return gated.groupBy("action", "effect", "shown_mark").agg(F.count("*").alias("n"), F.count_if(F.get("shown_suggestions", F.lit(0)) == F.col("replacement")).alias("suggest_replacement"))
+        return gated.withColumn("shown_mark", F.coalesce("shown_mark", F.lit("none"))).groupBy("action", "effect", "shown_mark").agg(F.count("*").alias("n"), F.count_if(F.get("shown_suggestions", F.lit(0)) == F.col("replacement")).alias("suggest_replacement"))
 
     return run
 
 
 SQL_GATE = ORACLES["never_rules"].split("SELECT CASE WHEN reason")[0] + ", d AS (SELECT *, CASE WHEN reason = 'UNKNOWN_NON_WORD' OR never THEN 'mark_unresolved' WHEN reason IN ('ALWAYS_CORRECT_RULE', 'COMMON_TYPO_MATCH') THEN 'auto_correct' ELSE 'do_nothing' END AS action FROM acts), e AS (SELECT action, CASE <effect> END AS effect FROM d)"
-SQL_GATE += " SELECT action, effect, CASE WHEN effect = 'red_mark' THEN 'red_spelling_issue' WHEN effect = 'edit' AND <kept> THEN 'blue_applied_correction' END AS shown_mark, count(*) AS n, count(*) FILTER (effect = 'red_mark' AND action = 'auto_correct') AS suggest_replacement FROM e GROUP BY 1, 2, 3"
+SQL_GATE += " SELECT action, effect, CASE WHEN effect = 'red_mark' THEN 'red_spelling_issue' WHEN effect = 'edit' AND <kept> THEN 'blue_applied_correction' ELSE 'none' END AS shown_mark, count(*) AS n, count(*) FILTER (effect = 'red_mark' AND action = 'auto_correct') AS suggest_replacement FROM e GROUP BY 1, 2, 3"
 GATES = {
     "gate_open": (editor.Settings(), "WHEN action = 'auto_correct' THEN 'edit' WHEN action = 'mark_unresolved' THEN 'red_mark' ELSE 'none'", "true"),
     "gate_no_autocorrect": (editor.Settings(autocorrect=False), "WHEN action <> 'do_nothing' THEN 'red_mark' ELSE 'none'", "true"),
@@ -211,11 +210,11 @@ def completion_reverts(spark, sf_dir):
     return marks.completion_reverted(texts, accepted, "place").join(kept, "place").select("place.conv_id", "place.turn", "result", "text")
 
 
-@query("SELECT event_type, count(value) FILTER (value >= 1e9) AS count, max(value) FILTER (value >= 1e9) AS max, quantile_disc(value, 0.95) FILTER (value >= 1e9) AS p95 FROM events GROUP BY 1")
+@query("SELECT event_type, count(value) FILTER (value >= 1e9) AS count, max(value) FILTER (value >= 1e9) IS NULL AS no_max, quantile_disc(value, 0.95) FILTER (value >= 1e9) IS NULL AS no_p95 FROM events GROUP BY 1")
 def latency_empty(spark, sf_dir):
     """A summary of latencies that none of the events reaches: null, not nought."""
     events = read(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") >= 1e9, F.col("value")))
-    return metrics.latency_summary(events, "value", "event_type", empty=None).select("event_type", "count", "max", "p95")
+    return metrics.latency_summary(events, "value", "event_type", empty=None).select("event_type", "count", F.col("max").isNull().alias("no_max"), F.col("p95").isNull().alias("no_p95"))
 
 
 @query(rf"""WITH {SQL_TOKENS}, {SQL_KNOWN}, {SQL_TYPO}, typed AS (SELECT lang, token, token AS t FROM tok), d AS (SELECT lang, token, {SQL_TYPE} <> 'word' AS protected FROM typed)
@@ -254,11 +253,11 @@ def surfaces(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("surface", metrics.surface(F.concat(F.lit(" "), F.upper("event_type"), F.lit("\t"))))
 
 
-@query("SELECT reason, CASE WHEN reason IN ('typing', 'escape', 'selection_change', 'blur', 'composition') THEN 'ghost_dismissed_by_' || reason END AS type FROM (SELECT DISTINCT CASE event_type WHEN 'click' THEN 'typing' WHEN 'view' THEN 'blur' ELSE event_type END AS reason FROM events)")
+@query("SELECT reason, CASE WHEN reason IN ('typing', 'escape', 'selection_change', 'blur', 'composition') THEN 'ghost_dismissed_by_' || reason ELSE 'none' END AS type FROM (SELECT DISTINCT CASE event_type WHEN 'click' THEN 'typing' WHEN 'view' THEN 'blur' ELSE event_type END AS reason FROM events)")
 def dismissal_types(spark, sf_dir):
     """Metric types of dismissals for reasons."""
     reason = F.when(F.col("event_type") == "click", "typing").when(F.col("event_type") == "view", "blur").otherwise(F.col("event_type"))
-    return metric_events(spark, sf_dir).select(reason.alias("reason")).distinct().withColumn("type", metrics.dismissal_type(F.col("reason")))
+    return metric_events(spark, sf_dir).select(reason.alias("reason")).distinct().withColumn("type", F.coalesce(metrics.dismissal_type(F.col("reason")), F.lit("none")))
 
 
 LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error": "cancel", "signup": "dismiss"}
