@@ -74,7 +74,7 @@ class UnitEncoder(dict):
     """
 
     #: Units that are kept since the last turn; those of the turn before stay until the next.
-    LIMIT = 350_000
+    LIMIT = 600_000
 
     def __init__(self, vocabulary: str, id_bytes: int):
         from tokenizers import Tokenizer
