@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, secrets, sentence_spans, topk, toxicity, url_rules
+from . import decontaminate, langid, mixing, packing, secrets, sentence_spans, topk, toxicity, url_rules
 from .common import table
 from .oracles import ORACLES
 from .simhash import near_duplicates
@@ -51,6 +51,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store, op11_packing)}
 
 __all__ = ["ORACLES", "QUERIES"]
