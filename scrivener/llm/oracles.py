@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .phrases import LEAST, LISTED
 from .secrets import RULES
 from .sentence_spans import MARKS, SENTENCES, STRETCH, WORDS as RUN_WORDS
 from .topk import K, QUERY_EVERY, SCALE
@@ -72,4 +73,21 @@ span AS (SELECT doc_id, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR) || ':' ||
 of AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT later.doc_id, first_doc FROM later JOIN st ON later.doc_id = st.doc_id AND later.a >= st.a AND later.a < st.b) GROUP BY 1)
 SELECT kept.doc_id, kept.text, n_sentences, n_removed, spans, first_docs FROM kept JOIN span USING (doc_id) JOIN of USING (doc_id)"""
 
-ORACLES = {"op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op6_sentence_spans": SPANS, "op8_secret_ledger": SECRETS}
+#: A phrase of m words has m - 1 cuts; a containing phrase one word longer is as frequent as any that contains it.
+COLLOCATIONS = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM p JOIN (SELECT unnest(range(1, 6)) AS size) ON len(w) >= size),
+f AS (SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= {LEAST}),
+inside AS (SELECT lang, part AS phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[:size - 1], ' '), array_to_string(w[2:], ' ')]) AS part FROM c WHERE size > 2) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a),
+cut AS (SELECT *, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, n, k, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+ FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest JOIN n ON n.lang = cut.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM top WHERE rank <= {LISTED}"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op6_sentence_spans": SPANS, "op8_secret_ledger": SECRETS}
