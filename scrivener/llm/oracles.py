@@ -90,4 +90,13 @@ low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORD
 top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM top WHERE rank <= {LISTED}"""
 
-ORACLES = {"op12_collocations": COLLOCATIONS, "op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op6_sentence_spans": SPANS, "op8_secret_ledger": SECRETS}
+HARD_NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.r AS c, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.r <> c.r),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.r, nth ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+ FROM p JOIN s ON p.r = s.r AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+ORACLES = {"op13_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS, "op2_decontaminate": DECONTAMINATE, "op5_topk": TOP_K, "op6_sentence_spans": SPANS, "op8_secret_ledger": SECRETS}

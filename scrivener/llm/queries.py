@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, packing, phrases, secrets, sentence_spans, topk, toxicity, url_rules
+from . import decontaminate, hard_negatives, langid, mixing, packing, phrases, secrets, sentence_spans, topk, toxicity, url_rules
 from .common import table
 from .oracles import ORACLES
 from .simhash import near_duplicates
@@ -59,6 +59,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store, op11_packing, op12_collocations)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op3_language_id, op4_simhash_neardup, op5_topk, op6_sentence_spans, op7_mixing, op8_secret_ledger, op9_toxicity, op10_token_store, op11_packing, op12_collocations, op13_hard_negatives)}
 
 __all__ = ["ORACLES", "QUERIES"]
