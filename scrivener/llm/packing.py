@@ -43,18 +43,18 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 #: round covers at most, and how far from the best a configuration's value may be.
 ROUNDS, RATE, COVERED, SLACK = 16, 10.0, 0.1, 0.1
 #: Rows (task, length) of running counts that are sent to all tasks instead of shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 
 
 class WordEncoder(dict):
-    """Ids of space-delimited units as little-endian 16-bit integers, each unit encoded once.
+    """Ids of units between spaces and line feeds as little-endian 16-bit integers, each unit encoded once.
 
     The vocabulary's splitting drops white space and merges nothing over it, and its
     normalisation looks at no more than a unit, so a text's ids are those of its units.
     """
 
     #: Units that are kept since the last turn; those of the turn before stay until the next.
-    LIMIT = 400_000
+    LIMIT = 700_000
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -82,7 +82,11 @@ class WordEncoder(dict):
     def __missing__(self, unit: str) -> bytes:
         found = self.former.get(unit)
         if found is None:
-            if self.simple(unit):
+            if unit.isascii() and unit.isalpha():
+                found = self.piece(unit.lower())
+            elif unit.isascii() and unit[:-1].isalpha() and unit[-1] in ".,;:!?":
+                found = self.piece(unit[:-1].lower()) + self.piece(unit[-1])
+            elif self.simple(unit):
                 found = b"".join(map(self.piece, self.split(unit.lower())))
             else:
                 found = self.pack(self.library.encode(unit, add_special_tokens=False).ids)
@@ -94,7 +98,7 @@ class WordEncoder(dict):
             self.former = dict(self)
             self.clear()
             self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(vocabulary: str) -> WordEncoder:
