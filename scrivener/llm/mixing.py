@@ -18,18 +18,24 @@ from __future__ import annotations
 
 import math
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged, unpacked
+from .common import drop_staged, packed, staged, unpacked
 
 #: Hash buckets of words.
 BUCKETS = 4096
 #: Labelled documents of each domain that are counted: about so many, picked by a hash of doc_id.
 SAMPLE = 4000
-ROUNDS = 20
+#: Most projected gradient steps; a mix mostly takes 10 to 30.
+ROUNDS = 150
+#: Steps after which rates are written.
+STAGED = 8
+#: Part of the largest total that is asked for: at the largest itself nearly all rates stand at a bound, and steps get short.
+INSIDE = 0.999
 #: Relative misfit at which rounds end.
 TOLERANCE = 1e-4
 #: Most rounds of the fit for the largest total; it mostly needs 10 to 30.
@@ -91,62 +97,104 @@ def posteriors(docs: DataFrame, domains: list[str], logs: list[list[float]], *ke
     return found.select(*keep, "found.tokens", "found.p")
 
 
-def fit(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = ROUNDS, start: tuple[Column, list[float], list[float]] | None = None) -> tuple[Column, list[float], list[float]]:
-    """Rates as an expression over (tokens, p), the domain totals wanted and those reached.
+def clipped(r: Column, push: list[Column], most: float) -> Column:
+    """One projected step: along the posteriors by the push, and back into 0..most."""
+    for k, x in enumerate(push):
+        r = r + x * F.col("p")[k]
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r))
 
-    Projected gradient steps on the squared misfits, from ``start`` (rates, totals wanted
-    and reached) or from rates of one.  Without a start, the total is the largest at which
-    no domain must give more than it has (one that nothing belongs to is left out).
-    """
-    size = len(targets)
-    sums = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(size)]).first()
-    have = [float(s or 0.0) for s in sums]
-    whole = sum(targets.values())
-    shares = [w / whole for w in targets.values()]
-    possible = [most * h / s for h, s in zip(have, shares) if s > 0 and h > 0]
-    total = min([*possible, most * sum(have)], default=0.0)
-    want = [s * total for s in shares]
-    # Misfits in units of a domain's own mass, steps in units of a document's tokens: scaled so, a
-    # full step never overshoots, and is exact where each document belongs to one domain.
-    scale = [max(h, 1e-9) for h in have]
-    reached = [h * min(1.0, most) for h in have]
-    first = F.lit(min(1.0, most))
-    if start is not None:
-        first, want, reached = start
-    steps: list[list[float]] = []
 
-    def rate(history: list[list[float]]) -> Column:
-        r = first
-        for push in history:
-            for k, x in enumerate(push):
-                r = r + F.lit(float(x)) * F.col("p")[k]
-            r = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r))
-        return r
+def rate_of(steps: list[list[float]], most: float = 1.0) -> Column:
+    """The rate of a row with posteriors p after ``steps`` (a push by domain each) from a rate of ``most``."""
+    if not steps:
+        return F.lit(float(most))
+    constant = F.split(F.lit(",".join(repr(float(x)) for push in steps for x in push)), ",").cast("array<double>")
+    width = len(steps[0])
+    at = F.transform(F.sequence(F.lit(0), F.lit(len(steps) - 1)), lambda k: F.slice(constant, k * width + 1, F.lit(width)))
+    return F.aggregate(at, F.lit(float(most)), lambda r, push: clipped(r, [push[k] for k in range(width)], most))
 
-    for _ in range(rounds):
-        misfit = [(w - r) / s for w, r, s in zip(want, reached, scale)]
-        if max(map(abs, misfit), default=0.0) < TOLERANCE:
-            break
-        steps.append(misfit)
-        sums = mass.agg(*[F.sum(rate(steps) * F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(size)]).first()
-        reached = [float(s or 0.0) for s in sums]
-    return rate(steps), want, reached
+
+@dataclass
+class Fit:
+    """Rates by steps (a push by domain each), the domain totals wanted and those reached."""
+
+    steps: list[list[float]]
+    want: list[float]
+    reached: list[float]
+    most: float
+
+    @property
+    def rate(self) -> Column:
+        return rate_of(self.steps, self.most)
 
 
-def fit_largest(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = MOST_ROUNDS) -> tuple[Column, list[float], list[float]]:
-    """As :func:`fit`, with the largest total at which all domains meet their shares.
+def fit(mass: DataFrame, want: list[float], most: float = 1.0, rounds: int = ROUNDS) -> Fit:
+    """Rates for the rows of ``mass`` (tokens, p) whose domain totals are ``want``, by projected gradient steps from rates of ``most``.
+
+    Misfits are squared in the metric of all rows' second moments, sum(tokens p p').  A step
+    scales the gradient by the moments of the rows whose rates are free to move, damped by
+    those of all rows; one that does not lessen the squares is taken back and damped more.
+    Ends where every total is met, or no step lessens the squares any more.  Each step is one
+    aggregate over all rows; rates are written every STAGED steps.
+    """
+    size = len(want)
+    pairs = [(a, b) for a in range(size) for b in range(a, size)]
+
+    def measure(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals by domain, and the moments of free rows and of all."""
+        moment = lambda a, b: F.col("tokens") * F.col("p")[a] * F.col("p")[b]
+        free = (F.col("r") > 0) & (F.col("r") < most)
+        asked = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[k]) for k in range(size)]
+        asked += [F.sum(F.when(free, moment(a, b))) for a, b in pairs] + [F.sum(moment(a, b)) for a, b in pairs]
+        found = [float(x or 0.0) for x in df.agg(*[c.alias(f"c{i}") for i, c in enumerate(asked)]).first()]
+        square = np.zeros((2, size, size))
+        for i, (a, b) in enumerate(pairs * 2):
+            square[i // len(pairs), a, b] = square[i // len(pairs), b, a] = found[size + i]
+        return np.array(found[:size]), square[0], square[1]
+
+    goal = np.array(want)
+    frame = mass.select("tokens", "p", F.lit(float(most)).alias("r"))
+    reached, _, every = measure(frame)
+    inverse, scale, damping = np.linalg.pinv(every), every, 1.0
+    squares = lambda totals: float((goal - totals) @ inverse @ (goal - totals))
+    steps: list[list[float]] = []
+    kept = None
+    for _ in range(rounds):
+        if not missed(want, reached.tolist()) or damping > 1e12:
+            break
+        push = (np.linalg.pinv(scale + damping * every) @ (goal - reached)).tolist()
+        trial = frame.select("tokens", "p", clipped(F.col("r"), [F.lit(float(x)) for x in push], most).alias("r"))
+        totals, free, _ = measure(trial)
+        if squares(totals) >= squares(reached) * (1 - 1e-9):
+            damping *= 8
+            continue
+        frame, reached, scale, damping = trial, totals, free, max(damping / 4, 1e-9)
+        steps.append(push)
+        if len(steps) % STAGED == 0:
+            frame, old = staged(frame, "rates"), kept
+            kept = frame
+            if old is not None:
+                drop_staged(old)
+    if kept is not None:
+        drop_staged(kept)
+    return Fit(steps, want, reached.tolist(), most)
+
+
+def largest_totals(mass: DataFrame, targets: dict[str, float], most: float = 1.0, rounds: int = MOST_ROUNDS) -> list[float]:
+    """The domain totals of the largest mix, nearly, that rates of 0..most can bring to the shares of ``targets``.
 
     Minimises ``sum(tokens * phi(y . p))`` over weights y with ``shares . y = 1``, by
     Newton's method with damped steps, where phi(u) is the maximum of
     ``r * u - SMOOTH * r * r / 2`` over r in 0..most: at the minimum, the totals of the
     rates that give it are proportional to the shares.  A domain without any mass is left out.
+    Only the totals are used; the rates come from :func:`fit`.
     """
     size = len(targets)
     sums = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[k]).alias(f"t{k}") for k in range(size)]).first()
     have = np.array([float(s or 0.0) for s in sums])
     shares = np.array(list(targets.values()), dtype=float) * (have > 0)
     if shares.sum() <= 0:
-        return F.lit(float(most)), [0.0] * size, [0.0] * size
+        return [0.0] * size
     shares /= shares.sum()
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
 
@@ -183,10 +231,10 @@ def fit_largest(mass: DataFrame, targets: dict[str, float], most: float = 1.0, r
             y, (value, reached, curve), damping = y + step, at_trial, max(damping / 10, 1e-9)
         else:
             damping *= 8
-    return rate(y)[1], (shares * reached.sum()).tolist(), reached.tolist()
+    return (shares * reached.sum()).tolist()
 
 
-def missed(want: list[float], reached: list[float], tolerance: float = 0.01) -> bool:
+def missed(want: list[float], reached: list[float], tolerance: float = TOLERANCE) -> bool:
     """Whether a domain's total is off its target by more than ``tolerance`` of that."""
     return any(abs(w - r) > tolerance * w for w, r in zip(want, reached))
 
@@ -199,12 +247,13 @@ class Mixer:
         domains = list(targets)
         self.logs, self.priors = learn(docs, labelled, domains, sample), class_priors(labelled, domains)
         self.mass = staged(self.judged(docs, "doc_id"), "mass")
-        self.rate, self.want, self.reached = fit(self.mass, targets, most, start=fit_largest(self.mass, targets, most))
         tokens = self.mass.agg(F.sum("tokens")).first()[0] or 0
-        if tokens and (sum(self.reached) < LEAST_TOTAL * tokens or missed(self.want, self.reached)):
-            warnings.warn(f"mixing: wanted {dict(zip(domains, self.want))}, reached {dict(zip(domains, self.reached))} of {tokens} tokens", stacklevel=3)
-            if sum(self.reached) < LEAST_TOTAL * tokens:
-                self.rate = F.lit(float(most))
+        want = [INSIDE * x for x in largest_totals(self.mass, targets, most)]
+        feasible = sum(want) >= LEAST_TOTAL * tokens
+        found = fit(self.mass, want, most) if feasible else Fit([], want, want, most)
+        self.rate, self.steps, self.want, self.reached = found.rate, len(found.steps), found.want, found.reached
+        if tokens and (not feasible or missed(self.want, self.reached, TOLERANCE)):
+            warnings.warn(f"mixing: wanted {dict(zip(domains, self.want))}, reached {dict(zip(domains, self.reached))} of {tokens} tokens after {self.steps} steps", stacklevel=3)
         self.kept = F.col("draw") < self.rate
 
     def judged(self, docs: DataFrame, *keep: str) -> DataFrame:
