@@ -13,6 +13,7 @@ Files, all Parquet under one folder::
     objects/kind=recipe    unordered recipes, an intermediate that recipes/ replaces
     recipes                part, doc_id, local_start, n_tokens, chunks, root; ascending doc_id
     manifest               part, first_doc, n_docs, n_tokens, start, root
+    root                   the Merkle root over the parts
 
 ``part`` numbers the ranges of ascending doc_id.  A recipe lists its chunks
 (address, length); ``root`` is the Merkle root over those addresses, and the
@@ -221,6 +222,13 @@ def encode_objects(batches: Iterator[pa.RecordBatch], form: StoreFormat) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OBJECT)], schema=OBJECT)
 
 
+def addresses(packed: bytes) -> list[bytes]:
+    """The chunk addresses of a recipe, which stand behind their lengths."""
+    k = len(packed) // (LENGTH.itemsize + ADDRESS)
+    return [packed[k * LENGTH.itemsize + i * ADDRESS :][:ADDRESS] for i in range(k)]
+
+
+MANIFEST = "part int, first_doc long, n_docs long, n_tokens long, root binary, start long"
 RECIPE = "part int, doc_id long, local_start long, n_tokens long, chunks binary, root binary"
 
 
@@ -235,9 +243,7 @@ def order_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         before += int(n.sum())
         roots = []
         for packed in batch.column("ids").to_pylist():
-            k = len(packed) // (LENGTH.itemsize + ADDRESS)
-            body = packed[k * LENGTH.itemsize :]
-            roots.append(merkle([body[i * ADDRESS : (i + 1) * ADDRESS] for i in range(k)]))
+            roots.append(merkle(addresses(packed)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), pa.array(start), pa.array(n), batch.column("ids"), pa.array(roots, pa.binary())],
             names=["part", "doc_id", "local_start", "n_tokens", "chunks", "root"],
@@ -252,7 +258,7 @@ def part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = seen.setdefault(part, [doc_id, 0, 0, []])
             row[1] += 1
             row[2] += n
-            row[3].append(root)
+            row[3].append(f"{doc_id}:".encode() + root)  # which document it is counts too
     if seen:
         rows = [(p, r[0], r[1], r[2], merkle(r[3])) for p, r in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "first_doc", "n_docs", "n_tokens", "root"])
@@ -278,14 +284,25 @@ def write_store(docs: DataFrame, path: str, form: StoreFormat = StoreFormat()) -
     order = ("doc_id", "content", "address")
     recipes.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(order_recipes, RECIPE).write.parquet(f"{path}/recipes")
     drop_path(spark, f"{path}/objects/kind=recipe")
-    written = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
+    manifest_of(spark.read.schema(RECIPE).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    root = root_of(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"))
+    spark.createDataFrame([(root,)], "root binary").write.parquet(f"{path}/root")
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """The manifest that belongs to ``recipes``."""
     # Range partitions are contiguous, so a part's root needs its own rows only; they come in file order.
     parts = (
-        written.select("part", "doc_id", "n_tokens", "root", "local_start").repartition("part").sortWithinPartitions("part", "local_start")
+        recipes.select("part", "doc_id", "n_tokens", "root", "local_start").repartition("part").sortWithinPartitions("part", "local_start")
         .select("part", "doc_id", "n_tokens", "root").mapInArrow(part_roots, "part int, first_doc long, n_docs long, n_tokens long, root binary")
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part, never more
-    parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
+    return parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
+def root_of(manifest: DataFrame) -> bytes:
+    """The Merkle root over the parts' roots, in order: a root for each range partition, a few thousand at most."""
+    return merkle([bytes(r["root"]) for r in manifest.orderBy("part").select("root").collect()])
 
 
 def check_chunks(batches: Iterator[pa.RecordBatch], form: StoreFormat) -> Iterator[pa.RecordBatch]:
@@ -332,9 +349,8 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for part, doc_id, start, packed, root in zip(*(c.to_pylist() for c in batch.columns)):
-            k = len(packed) // (LENGTH.itemsize + ADDRESS)
-            lengths = np.frombuffer(packed[: k * LENGTH.itemsize], dtype=LENGTH).astype(np.int64)
-            listed = [packed[k * LENGTH.itemsize + i * ADDRESS :][:ADDRESS] for i in range(k)]
+            listed = addresses(packed)
+            lengths = np.frombuffer(packed[: len(listed) * LENGTH.itemsize], dtype=LENGTH).astype(np.int64)
             if merkle(listed) != root:
                 raise ValueError(f"the recipe of document {doc_id} does not match its root")
             after = lengths.sum() - np.cumsum(lengths)
@@ -352,12 +368,28 @@ def shift_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def verify_parts(spark: SparkSession, path: str) -> None:
+    """Recomputes the manifest from the recipes: each part's first document, counts and Merkle root, and the running starts and the root over all parts."""
+    spark_parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    made = manifest_of(spark.read.schema(RECIPE).parquet(f"{path}/recipes"))
+    said = spark_parts.select("part", F.struct(*[F.col(c) for c in ("first_doc", "n_docs", "n_tokens", "root", "start")]).alias("said"))
+    found = made.select("part", F.struct(*[F.col(c) for c in ("first_doc", "n_docs", "n_tokens", "root", "start")]).alias("found"))
+    wrong = said.join(found, "part", "full").where(~F.col("said").eqNullSafe(F.col("found"))).orderBy("part").limit(1).collect()
+    if wrong:
+        raise ValueError(f"part {wrong[0]['part']}: the manifest says {wrong[0]['said']}, its recipes {wrong[0]['found']}")
+    top = [bytes(r["root"]) for r in spark.read.schema("root binary").parquet(f"{path}/root").collect()]
+    if top != [root_of(spark_parts)]:
+        raise ValueError("the store's root does not match its manifest")
+
+
 def read_store(spark: SparkSession, path: str, form: StoreFormat = StoreFormat()) -> DataFrame:
     """One row for each document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    Raises where a chunk, recipe or manifest does not match its digest, or a
-    recipe names a chunk that is missing.
+    Raises where a chunk, recipe or manifest does not match its digest, where a recipe
+    names a chunk that is missing, where a part's recipes are not those that the manifest
+    counts and hashes, and where the manifest or the recipes lack a part.
     """
+    verify_parts(spark, path)
     chunks = (
         spark.read.schema("address binary, ids binary, kind string").parquet(f"{path}/objects").where("kind = 'chunk'").select("address", "ids")
         .mapInArrow(lambda it: check_chunks(it, form), "address binary, n long, crc long")

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scrivener.llm import token_store as ts
@@ -79,5 +80,38 @@ def test_damage_is_found(spark, tmp_path):
         ts.read_store(spark, path).collect()
 
 
+def rewritten(spark, path, change):
+    """Replaces a table of the store by what ``change`` makes of it."""
+    df = spark.read.parquet(path)
+    rows = [tuple(r) for r in change(df).collect()]
+    spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(path)
+
+
+DAMAGES = {
+    "a root of the manifest": ("manifest", lambda df: df.withColumn("root", F.lit(b"0" * 16))),
+    "a count of documents": ("manifest", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)),
+    "a count of tokens": ("manifest", lambda df: df.withColumn("n_tokens", F.col("n_tokens") - 1)),
+    "a start": ("manifest", lambda df: df.withColumn("start", F.col("start") + 1)),
+    "a lost part of the manifest": ("manifest", lambda df: df.where(F.col("part") != df.agg(F.max("part")).first()[0])),
+    "a lost recipe": ("recipes", lambda df: df.where("doc_id <> 7")),
+    "lost recipes of a part": ("recipes", lambda df: df.where(F.col("part") != df.agg(F.min("part")).first()[0])),
+    "a recipe twice": ("recipes", lambda df: df.union(df.where("doc_id = 7"))),
+    "recipes that changed places": ("recipes", lambda df: df.withColumn("doc_id", F.when(F.col("doc_id") == 7, 8).when(F.col("doc_id") == 8, 7).otherwise(F.col("doc_id")))),
+    "the root of all": ("root", lambda df: df.select(F.lit(b"1" * 16))),
+    "a lost chunk": ("objects/kind=chunk", lambda df: df.where(F.col("address") != df.agg(F.min("address")).first()[0])),
+}
+
+
+@pytest.mark.parametrize("damage", DAMAGES)
+def test_lost_and_changed_rows_are_found(spark, tmp_path, damage):
+    path = str(tmp_path / "store")
+    ts.write_store(spark.createDataFrame([(k, " ".join(f"w{(k * j) % 97}" for j in range(k))) for k in range(40)], "doc_id long, text string"), path)
+    assert len(ts.read_store(spark, path).collect()) == 40
+    table, change = DAMAGES[damage]
+    rewritten(spark, f"{path}/{table}", change)
+    with pytest.raises(Exception, match="manifest|recipe|chunk"):
+        ts.read_store(spark, path).collect()
+
+
 def test_empty(no_docs):
     assert ts.token_store(no_docs).collect() == []
