@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .phrases import LEAST, LISTED
 from .secrets import RULES
-from .sentence_spans import MARKS, SENTENCES, STRETCH, WORDS as RUN_WORDS
+from .sentence_spans import MARKS, SENTENCES, WORDS as RUN_WORDS
 from .topk import K, QUERY_EVERY, SCALE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +66,7 @@ h AS (SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, a) A
 later AS (SELECT doc_id, a, b, first_doc FROM h WHERE k > 1),
 cov AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM later),
 isl AS (SELECT c.doc_id, c.i, c.n, c.past, length(c.piece) AS size, c.i - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.i) AS g FROM c JOIN cov ON c.doc_id = cov.doc_id AND c.i = cov.i),
-st AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b, min(past - size) AS x, max(past) AS y FROM isl GROUP BY doc_id, g HAVING sum(n) >= {STRETCH}),
+st AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b, min(past - size) AS x, max(past) AS y FROM isl GROUP BY doc_id, g),
 gone AS (SELECT doc_id, unnest(range(a, b)) AS i FROM st),
 kept AS (SELECT c.doc_id, coalesce(string_agg(piece, '' ORDER BY c.i) FILTER (gone.i IS NULL), '') AS text, count(*) AS n_sentences, count(gone.i) AS n_removed FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i GROUP BY 1),
 span AS (SELECT doc_id, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY a) AS spans FROM st GROUP BY 1),

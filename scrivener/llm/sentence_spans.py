@@ -5,8 +5,7 @@ here).  From each sentence on, and back from each, the shortest run of at least
 ``SENTENCES`` sentences and ``WORDS`` words is hashed: a longer run that repeats is
 covered by such runs, all of which repeat with it.  Runs of all rows meet by
 hash; one that occurs again keeps its first place, and the sentences of every
-later one are covered.  Covered sentences that follow each other make a stretch;
-stretches of at least ``STRETCH`` words are removed.
+later one are covered, and removed.  Covered sentences that follow each other make a stretch.
 
 A row is told by its doc_id; rows whose doc_id is null or stands more than once are
 written first with a number of their own.  The first place is the smallest by doc_id
@@ -21,7 +20,7 @@ itself is shuffled only to give back the shortened documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -33,9 +32,8 @@ from pyspark.sql import functions as F
 from .common import drop_staged, small_enough, staged
 
 SENTENCES = 2
-WORDS = 10
-#: Words of a stretch that is removed: a shorter one (a licence line, a common phrase) is no passage.
-STRETCH = 13
+#: A run with fewer words (a licence line, a common phrase) is no passage.
+WORDS = 13
 #: Most doc_ids that are broadcast to set apart their rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Stands for a null doc_id, and where the numbers of such rows begin.
@@ -43,7 +41,6 @@ NO_ID, NO_ID_COPIES = (1 << 63) - 1, 1 << 62
 #: What ends a sentence, as the inside of a character class.
 MARKS = r".!?,;:|\n…。！，？"
 SENTENCE = re.compile(rf"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+")
-WORD = re.compile(r"\w+")
 #: What is no word within a sentence, and the end of one.
 OTHER, ENDS = re.compile(r"[^\w\n]+"), re.compile(rf"[{MARKS}]+")
 
@@ -99,15 +96,15 @@ def all_runs(text: str, least_sentences: int = SENTENCES, least_words: int = WOR
     return [(i, end, words[places[i] : places[end] - 1]) for i, end in zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist())]
 
 
-def stretches(covered: list[int], words: Callable[[int, int], int], least_words: int = STRETCH) -> list[tuple[int, int]]:
-    """First sentence and end (exclusive) of each stretch of covered sentences (ascending) that has the words."""
+def stretches(covered: list[int]) -> list[tuple[int, int]]:
+    """First sentence and end (exclusive) of each stretch of covered sentences (ascending)."""
     found: list[list[int]] = []
     for i in covered:
         if found and found[-1][1] == i:
             found[-1][1] = i + 1
         else:
             found.append([i, i + 1])
-    return [(a, b) for a, b in found if words(a, b) >= least_words]
+    return [(a, b) for a, b in found]
 
 
 def digests(runs_: list[bytes]) -> np.ndarray:
@@ -191,11 +188,8 @@ def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, later in zip(*(c.to_pylist() for c in batch.columns)):
             cut = sentences(text)
-            words = lambda a, b: len(WORD.findall(text[cut[a][0] : cut[b - 1][1]].lower()))  # noqa: B023, E731
-            gone = stretches(sorted({i for r in later for i in range(r["first"], r["end"])}), words)
-            if not gone:
-                continue
-            of = {r["of"] for r in later if r["of"] is not None and any(a <= r["first"] < b for a, b in gone)}
+            gone = stretches(sorted({i for r in later for i in range(r["first"], r["end"])}))
+            of = {r["of"] for r in later if r["of"] is not None}
             spans = [(cut[a][0], cut[b - 1][1]) for a, b in gone]
             edges = [0, *(e for s in spans for e in s), len(text)]
             left = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))

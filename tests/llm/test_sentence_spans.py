@@ -35,16 +35,8 @@ def plain(rows):
                 if words[a] and words[b - 1] and len(run) >= ss.WORDS:
                     covered |= set(range(a, b)) if run in seen else set()
                     seen.add(run)
-        gone, stretch = set(), []
-        for i in range(len(pieces) + 1):
-            if i in covered:
-                stretch.append(i)
-            else:
-                if sum(len(words[j]) for j in stretch) >= ss.STRETCH:
-                    gone |= set(stretch)
-                stretch = []
-        if gone:
-            out[k] = len(gone), "".join(p for i, p in enumerate(pieces) if i not in gone)
+        if covered:
+            out[k] = len(covered), "".join(p for i, p in enumerate(pieces) if i not in covered)
     return out
 
 
