@@ -30,7 +30,7 @@ SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
 #: Percent of the positive's score that a negative's may have.
 LOW, HIGH = 50, 95
 #: Rows of a block, rows of a leaf, and requests to a block in one task.
-BLOCK, LEAF, REQUESTS = 1024, 32, 20_000
+BLOCK, LEAF, REQUESTS = 1024, 64, 20_000
 #: Vectors that the upper tree is fitted on at most, and its levels at most.
 SAMPLE, LEVELS = 16_384, 12
 #: Below this, sums of products are exact in double precision.
@@ -224,55 +224,70 @@ class Block:
     labels: np.ndarray
     v: np.ndarray
 
-    def search(self, batch: pa.RecordBatch, k: int, square: float) -> tuple[list[tuple], int]:
-        """(request, row, vec_id, score) of each request's k best here, and how many scores were computed."""
+    def search(self, batch: pa.RecordBatch, k: int, square: float) -> tuple[list[np.ndarray], int]:
+        """request, row, vec_id and score of each request's k best here, and how many scores were computed.
+
+        Every round takes each request's next nearest leaf, all requests of a leaf at once;
+        a request is done when its next leaf cannot hold a score as good as its k-th so far.
+        """
         if not hasattr(self, "tree"):
-            self.lift = lifted(self.v, square)
-            self.tree, self.leaves = grow(self.lift, LEAF)
-            self.exact = self.v.shape[1] * max(1.0, np.abs(self.v).max(initial=0)) ** 2 < EXACT
+            self.tree, self.leaves = grow(lifted(self.v, square), LEAF)
+            self.largest = max(1.0, np.abs(self.v).max(initial=0))
         q = matrix(batch.column("v"), self.v.shape[1])
-        exact = self.exact and q.shape[1] * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(self.v).max(initial=0)) < EXACT
+        request, row, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("request", "row", "label"))
+        same = batch.column("same").to_numpy(zero_copy_only=False).astype(bool)
+        if self.v.shape[1] * max(self.largest, np.abs(q).max(initial=0)) ** 2 >= EXACT:
+            return self.search_wide(batch, k), len(q) * len(self.v)
+        number = lambda c, none: batch.column(c).cast(pa.float64(), safe=False).fill_null(none).to_numpy(zero_copy_only=False)
         low, high = self.tree.bounds(distances(stretched(q, square), self.tree.points))
         least, most = reach(q, batch, square)
-        norm = np.sqrt((q * q).sum(axis=1))
+        slop = SLOP * np.sqrt(square) + 1e-9
+        first, last = np.maximum(number("lo", -np.inf), number("reached", -np.inf)), number("hi", np.inf)
+        low = np.where(high + slop < least[:, None], np.inf, low)
         order = np.argsort(low, axis=1, kind="stable")
-        low_, high_ = -(2**63), 2**63 - 1
-        found, seen, slop = [], 0, SLOP * np.sqrt(square) + 1e-9
-        columns = [batch.column(c).to_pylist() for c in ("request", "row", "label", "same", "lo", "hi")]
-        for i, (request, row, label, same, lo, hi) in enumerate(zip(*columns)):
-            best: list[tuple] = []
-            limit = most[i]
-            for leaf in order[i].tolist():
-                if low[i, leaf] - slop > limit:
-                    break
-                if high[i, leaf] + slop < least[i]:
-                    continue
-                own = self.leaves[leaf]
-                own = own[(self.labels[own] == label) == same]
-                own = own[self.rows[own] != row]
-                if not len(own):
+        best = np.full((len(q), k), -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen, going = 0, np.arange(len(q))
+        for turn in range(order.shape[1]):
+            leaf = order[going, turn]
+            alive = low[going, leaf] - slop <= most[going]
+            going, leaf = going[alive], leaf[alive]
+            if not len(going):
+                break
+            for n in np.unique(leaf):
+                asks, own = going[leaf == n], self.leaves[n]
+                scores = q[asks] @ self.v[own].T
+                fits = ((self.labels[own][None, :] == label[asks][:, None]) == same[asks][:, None]) & (self.rows[own][None, :] != row[asks][:, None])
+                fits &= (scores >= np.maximum(first[asks], best[asks, 0])[:, None]) & (scores <= last[asks][:, None])
+                seen += scores.size
+                i, j = np.nonzero(fits)
+                if not len(i):
                     continue
-                seen += len(own)
-                if exact:
-                    scores = (self.v[own] @ q[i]).astype(np.int64)
-                    good = (scores >= (low_ if lo is None else lo)) & (scores <= (high_ if hi is None else hi))
-                    own, scores = own[good], scores[good].tolist()
-                else:  # in Python's integers; scores beyond 64 bits stop at the limit
-                    scores = [min(max(sum(int(a) * int(b) for a, b in zip(x, q[i])), low_), high_) for x in self.v[own]]
-                    kept = [j for j, s in enumerate(scores) if (lo is None or s >= lo) and (hi is None or s <= hi)]
-                    own, scores = own[kept], [scores[j] for j in kept]
-                if scores:
-                    best = sorted(best + [(-s, int(self.ids[j]), int(self.rows[j])) for s, j in zip(scores, own.tolist())])[:k]
-                    if len(best) == k:
-                        limit = min(limit, float(radius(np.array([-best[-1][0]], float), q[i : i + 1], square)[0]) + slop) if norm[i] > 0 else limit
-            found += [(request, r, v, -s) for s, v, r in best]
-        return found, seen
+                kept.append((asks[i], own[j], scores[i, j]))
+                best[asks] = np.sort(np.concatenate([best[asks], np.where(fits, scores, -np.inf)], axis=1), axis=1)[:, -k:]
+            most[going] = np.minimum(most[going], radius(np.maximum(first[going], best[going, 0]), q[going], square) + slop)
+        at, own, scores = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 3
+        good = scores >= best[at, 0]
+        at, own, scores = at[good], own[good], scores[good]
+        rank = np.lexsort((self.rows[own], self.ids[own], -scores, at))
+        at, own, scores = at[rank], own[rank], scores[rank]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, own, scores = at[place < k], own[place < k], scores[place < k]
+        return [request[at], self.rows[own], self.ids[own], scores.astype(np.int64)], seen
+
+    def search_wide(self, batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+        """As :meth:`search`, in Python's integers, for components so large that doubles would round; scores beyond 64 bits stop at the limit."""
+        low, high, found = -(2**63), 2**63 - 1, []
+        rows = list(zip(self.rows.tolist(), self.ids.tolist(), self.labels.tolist(), [[int(x) for x in v] for v in self.v]))
+        for request, row, label, v, same, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("request", "row", "label", "v", "same", "lo", "hi"))):
+            scored = [(-min(max(sum(a * b for a, b in zip(v, w)), low), high), i, r) for r, i, other, w in rows if (other == label) == same and r != row]
+            found += [(request, r, i, -s) for s, i, r in sorted(x for x in scored if (lo is None or -x[0] >= lo) and (hi is None or -x[0] <= hi))[:k]]
+        return [np.array(c, np.int64) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
 
 
 def search_blocks(batches: Iterator[pa.RecordBatch], k: int, square: float, size: int) -> Iterator[pa.RecordBatch]:
     """Each block's rows, then its requests, as they stream by; a block's rows are all that is held."""
     key, parts, block = None, [], None
-    kinds = (pa.int64(),) * 4
     for batch in batches:
         cell, number, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "part", "asks"))
         change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
@@ -289,8 +304,7 @@ def search_blocks(batches: Iterator[pa.RecordBatch], k: int, square: float, size
                 block = block or Block(*(np.concatenate(x) for x in zip(*parts)))
                 for at in range(0, piece.num_rows, 512):
                     found, _ = block.search(piece.slice(at, 512), k, square)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["request", "row", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["request", "row", "vec_id", "score"])
 
 
 @dataclass

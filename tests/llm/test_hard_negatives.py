@@ -66,7 +66,8 @@ def test_scores_beyond_doubles(spark):
     assert found(spark.createDataFrame(rows, VECTORS)) == plain(rows)
 
 
-def test_bounds_hold_and_prune():
+def test_bounds_hold_and_prune(monkeypatch):
+    monkeypatch.setattr(hn, "LEAF", 16)
     rng = np.random.default_rng(5)
     rows = clustered(2, 2000, spread=0.1)
     v = np.floor(256 * np.array([r[1] for r in rows]))
