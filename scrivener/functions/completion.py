@@ -53,11 +53,25 @@ def context(text: Column, cursor: Column, before: int = BEFORE, after: int = AFT
     return F.struct(left.alias("context_before"), right.alias("context_after"), current_line(left).alias("current_line"), F.length(left).alias("cursor_offset"))
 
 
-def request(mode: Column, before: Column, after: Column, extras: tuple[str, ...] = (), most: int = MOST) -> Column:
-    """A completion request as JSON text."""
-    rules = F.array(*[F.lit(c) for c in (*CONSTRAINTS, *extras)])
-    body = F.struct(mode.alias("mode"), before.alias("contextBefore"), after.alias("contextAfter"), F.lit(most).alias("maxCompletionChars"), F.struct(rules.alias("constraints")).alias("instruction"))
-    return F.to_json(F.struct(body.alias("request")))
+#: A request as it is read back from JSON, without its metadata.
+REQUEST = (
+    "id string, mode string, contextBefore string, contextAfter string, currentLine string, cursorOffset int, maxCompletionChars int, stopSequences array<string>, "
+    "instruction struct<task:string,style:string,output:string,constraints:array<string>>"
+)
+
+
+def request(id_: Column, mode: Column, context_: Column, stops: Column | None = None, extras: tuple[str, ...] = (), most: int = MOST, metadata: Column | None = None) -> Column:
+    """A completion request as JSON text, from a :func:`context`; a provider sends it on as ``request`` of its body.
+
+    ``extras`` are told after the standing constraints; ``metadata`` is any struct or map.
+    """
+    told = F.array(*[F.lit(c) for c in (*CONSTRAINTS, *extras)])
+    instruction = F.struct(F.lit("continue").alias("task"), F.lit("same_voice").alias("style"), F.lit("continuation_only").alias("output"), told.alias("constraints"))
+    fields = [
+        id_.alias("id"), mode.alias("mode"), context_["context_before"].alias("contextBefore"), context_["context_after"].alias("contextAfter"), context_["current_line"].alias("currentLine"),
+        context_["cursor_offset"].alias("cursorOffset"), F.lit(most).alias("maxCompletionChars"), (F.expr("cast(array() as array<string>)") if stops is None else stops).alias("stopSequences"), instruction.alias("instruction"),
+    ]
+    return F.to_json(F.struct(*fields, *([] if metadata is None else [metadata.alias("metadata")])))
 
 
 def unquoted(text: Column) -> Column:

@@ -97,13 +97,17 @@ def memory_log(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, rules
 
 
-def session_counts(decided: DataFrame, *by: str) -> DataFrame:
-    """Corrections, unknown words, skipped tokens and reverts of decided tokens (action, protected, and result of a revert if one was tried)."""
+def session_counts(decided: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Corrections, unknown words, skipped tokens and reverts of decided tokens (action, protected, and result of a revert if one was tried).
+
+    Each row counts once, or as often as its column ``weight`` says.
+    """
     tried = F.col("result") if "result" in decided.columns else F.lit("")
+    n = F.lit(1) if weight is None else F.col(weight)
+    count = lambda where: F.coalesce(F.sum(F.when(where, n)), F.lit(0)).cast("long")
     return decided.groupBy(*by).agg(
-        F.count_if((F.col("action") == "auto_correct") & ~F.col("protected")).alias("corrections"),
-        F.count_if((F.col("action") == "mark_unresolved") & ~F.col("protected")).alias("unresolved"), F.count_if("protected").alias("protected_skips"),
-        F.count_if(F.coalesce(tried == "reverted", F.lit(False))).alias("reverts"),
+        count((F.col("action") == "auto_correct") & ~F.col("protected")).alias("corrections"), count((F.col("action") == "mark_unresolved") & ~F.col("protected")).alias("unresolved"),
+        count(F.col("protected")).alias("protected_skips"), count(tried == "reverted").alias("reverts"),
     )
 
 

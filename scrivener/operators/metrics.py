@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from .ranks import nearest
 
 # Metric types, and the reasons of a dismissal that are counted.
 TYPES = (
@@ -39,11 +40,13 @@ def latency_summary(events: DataFrame, column: str, *by: str, empty: float | Non
     empty_ = F.lit(empty).cast("double")
     x = F.col(column).cast("double")
     sound = F.when(x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
-    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by sound)"), empty_)
-    return events.withColumn("sound", sound).groupBy(*by).agg(
-        F.count("sound").alias("count"), F.coalesce(F.avg("sound"), empty_).alias("mean"),
-        rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.coalesce(F.max("sound"), empty_).alias("max"),
-    )
+    key = lambda df: df.withColumn("group", F.to_json(F.struct(F.lit(0).alias("0"), *by)))
+    rows = events.withColumn("sound", sound)
+    plain = rows.groupBy(*by).agg(F.count("sound").alias("count"), F.coalesce(F.avg("sound"), empty_).alias("mean"), F.coalesce(F.max("sound"), empty_).alias("max"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = key(nearest(rows, "sound", tuple(shares.values()), *by)).groupBy("group").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in shares.items()])
+    joined = key(plain).join(found, "group", "left")
+    return joined.select(*by, "count", "mean", *[F.coalesce(n, empty_).alias(n) for n in shares], "max")
 
 
 def last_n(events: DataFrame, n: int, *by: str, order: tuple[str, ...]) -> DataFrame:

@@ -13,35 +13,49 @@ from pyspark.sql import functions as F
 from .metrics import dismissal_type
 
 #: Characters before the cursor without which nothing is asked.
-LEAST_CONTEXT = 8
+LEAST_CONTEXT = 12
 WAIT_MS, TIMEOUT_MS = 300, 2500
 
 
 def lives(events: DataFrame, wait_ms: int = WAIT_MS, timeout_ms: int = TIMEOUT_MS, key: str = "session") -> DataFrame:
     """One row for each request of events (key, at_ms, seq, type, request, context_length, text, reason).
 
-    Types: schedule, response (to a request by its number), accept, dismiss, cancel.  Gives key,
-    request (1 for the first of a session), scheduled, ended (the schedule or cancel that
-    replaced it), sent, received, answered (a response that counts), shown, acted and action;
-    null where nothing of the kind happened.
+    Types: schedule, response (to a request by its number), accept, dismiss, cancel.  A
+    schedule with less than LEAST_CONTEXT before the cursor asks for nothing, but ends what
+    went before as any schedule does; so does a dismissal while nothing is shown.  A ghost
+    that a schedule finds is dismissed by typing.  Gives key, request (1 for the first of a
+    session), scheduled, ended (when something replaced it), sent, received, answered (a
+    response that counts), shown, acted and action; null where nothing of the kind happened.
     """
-    asked = events.where((F.col("type") != "schedule") | (F.col("context_length") >= LEAST_CONTEXT))
-    order = Window.partitionBy(key).orderBy("at_ms", "seq")
-    numbered = asked.withColumn("n", F.sum((F.col("type") == "schedule").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("at_ms")))
-    spans = numbered.where("n > 0").groupBy(key, "n").agg(first("schedule").alias("scheduled"), first("cancel").alias("canceled"))
-    spans = spans.withColumn("ended", F.least("canceled", F.lead("scheduled").over(Window.partitionBy(key).orderBy("n"))))
-    due = F.col("scheduled") + wait_ms
-    spans = spans.withColumn("sent", F.when(F.col("ended").isNull() | (F.col("ended") >= due), due))
     place = F.struct("at_ms", "seq")
-    answers = numbered.where("type = 'response'").groupBy(key, F.col("request").alias("n")).agg(F.min("at_ms").alias("received"), F.min_by("text", place).alias("text"))
-    joined = spans.join(answers, [key, "n"], "left")
-    counts = (F.col("received") >= F.col("sent")) & (F.col("ended").isNull() | (F.col("received") < F.col("ended"))) & (F.col("received") <= F.col("sent") + timeout_ms)
-    joined = joined.withColumn("answered", F.when(counts, F.col("received"))).withColumn("shown", F.when(F.col("text") != "", F.col("answered")))
-    later = numbered.where("type in ('accept', 'dismiss')").join(joined.where("shown is not null").select(key, "n", "shown"), [key, "n"]).where("at_ms >= shown")
+    asks = (F.col("type") == "schedule") & (F.coalesce("context_length", F.lit(0)) >= LEAST_CONTEXT)
+    order = Window.partitionBy(key).orderBy("at_ms", "seq")
+    numbered = events.withColumns({"place": place, "asks": asks})
+    numbered = numbered.withColumn("n", F.sum(F.col("asks").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda where: F.min(F.when(where, F.col("place")))
+    short = (F.col("type") == "schedule") & ~F.col("asks")
+    spans = numbered.where("n > 0").groupBy(key, "n").agg(first(F.col("asks")).alias("begun"), first(F.col("type") == "cancel").alias("canceled"), first(short).alias("left"), first(F.col("type") == "dismiss").alias("dismissed"))
+    typed = F.least("left", F.lead("begun").over(Window.partitionBy(key).orderBy("n")))
+    spans = spans.withColumn("typed", typed).withColumn("stop", F.least("canceled", "typed"))
+    answers = numbered.where("type = 'response'").groupBy(key, F.col("request").alias("n")).agg(F.min("place").alias("reply"), F.min_by("text", "place").alias("text"))
+    joined = spans.join(answers, [key, "n"], "left").withColumn("due", F.col("begun.at_ms") + wait_ms)
+    sent = F.when(F.col("stop").isNull() | (F.col("stop.at_ms") >= F.col("due")), F.col("due"))
+    counts = (F.col("reply.at_ms") >= F.col("sent")) & (F.col("stop").isNull() | (F.col("reply.at_ms") < F.col("stop.at_ms"))) & (F.col("reply.at_ms") <= F.col("sent") + timeout_ms)
+    ghost = F.when(counts & (F.col("text") != ""), F.col("reply"))
+    joined = joined.withColumn("sent", sent).withColumn("ghost", ghost)
+    early = F.col("dismissed").isNotNull() & F.coalesce(F.col("dismissed") < F.col("stop"), F.lit(True)) & F.coalesce(F.col("dismissed") < F.col("ghost"), F.lit(True))
+    joined = joined.withColumn("early", early).withColumn("stop", F.when(F.col("early"), F.col("dismissed")).otherwise(F.col("stop")))
+    joined = joined.withColumn("sent", sent).withColumn("answered", F.when(counts, F.col("reply.at_ms"))).withColumn("ghost", ghost)
+    shown = joined.where("ghost is not null").select(key, "n", "ghost", "stop")
+    later = numbered.where("type in ('accept', 'dismiss')").join(shown, [key, "n"]).where((F.col("place") >= F.col("ghost")) & F.coalesce(F.col("place") < F.col("stop"), F.lit(True)))
     act = F.when(F.col("type") == "accept", "ghost_accepted").otherwise(dismissal_type(F.col("reason")))
-    acts = later.groupBy(key, "n").agg(F.min("at_ms").alias("acted"), F.min_by(act, place).alias("action"))
-    return joined.join(acts, [key, "n"], "left").select(key, F.col("n").alias("request"), "scheduled", "ended", "sent", "received", "answered", "shown", "acted", "action")
+    acts = later.groupBy(key, "n").agg(F.min("place").alias("act"), F.min_by(act, "place").alias("by_user"))
+    found = joined.join(acts, [key, "n"], "left")
+    by_typing = F.col("ghost").isNotNull() & F.col("act").isNull() & ~F.col("early") & (F.col("stop") == F.col("typed"))
+    return found.select(
+        key, F.col("n").alias("request"), F.col("begun.at_ms").alias("scheduled"), F.col("stop.at_ms").alias("ended"), "sent", F.col("reply.at_ms").alias("received"), "answered",
+        F.col("ghost.at_ms").alias("shown"), F.when(by_typing, F.col("stop.at_ms")).otherwise(F.col("act.at_ms")).alias("acted"), F.when(by_typing, "ghost_dismissed_by_typing").otherwise(F.col("by_user")).alias("action"),
+    )
 
 
 def metric_rows(found: DataFrame, timeout_ms: int = TIMEOUT_MS, key: str = "session") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def latest_rules(log: DataFrame) -> DataFrame:
 
     An *always* rule replaces the former one of its original, whatever the
     replacement; a *never* rule belongs to its pair.  created_at is the first of the
-    key's, updated_at the last.
+    key's, updated_at the last.  Settings with an empty original or replacement set nothing.
     """
-    keyed = log.select(token_key(F.col("original")).alias("original"), "replacement", "status", "created_at", "updated_at").where("original <> ''")
+    keyed = log.select(token_key(F.col("original")).alias("original"), "replacement", "status", "created_at", "updated_at").where("original <> '' and replacement <> ''")
     keyed = keyed.withColumn("pair", F.when(F.col("status") == "never", F.col("replacement")).otherwise(""))
     newest = F.max_by(F.struct("replacement", "created_at"), F.struct("updated_at", "replacement"))
     state = keyed.groupBy("original", "status", "pair").agg(newest.alias("newest"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
@@ -71,19 +73,37 @@ def exported(words: DataFrame, rules: DataFrame, at: str, settings: DataFrame |
     return both.select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(at).alias("exportedAt"), *both.columns)).alias("document"))
 
 
-def imported(documents: DataFrame, now: int, words: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(words, rules) of export documents (column document); merged into ``words`` and ``rules`` if given, else replacing them.
+@dataclass(frozen=True)
+class Memory:
+    """A user's memory by parts: words (WORDS), rules (RULES) and settings (key, value as JSON text)."""
+
+    words: DataFrame
+    rules: DataFrame
+    settings: DataFrame
+
+
+def imported(documents: DataFrame, now: int, onto: Memory | None = None) -> Memory:
+    """What export documents (column document) hold; merged into ``onto`` if given, else instead of it.
 
-    A document that is no export of version 1 fails the job; a rule without times gets ``now``.
+    A document that is no export of version 1, or holds an entry without its texts, fails the
+    job; entries without times get ``now``.  Documents without settings leave those of ``onto``
+    as they are; a setting that several documents have is the last by the document's date.
     """
     parsed = documents.select(F.from_json("document", EXPORT).alias("d"))
-    sound = (F.col("d.version") == 1) & F.try_to_timestamp("d.exportedAt").isNotNull() & F.col("d.personalDictionary").isNotNull() & F.col("d.correctionRules").isNotNull()
+    blank = lambda c: F.coalesce(token_key(c) == "", F.lit(True))
+    bad_words = F.exists("d.personalDictionary", lambda w: blank(w["word"]))
+    bad_rules = F.exists("d.correctionRules", lambda r: blank(r["original"]) | F.coalesce(r["replacement"] == "", F.lit(True)) | ~F.coalesce(r["status"].isin("always", "never"), F.lit(False)))
+    sound = (F.col("d.version") == 1) & F.try_to_timestamp("d.exportedAt").isNotNull() & F.col("d.personalDictionary").isNotNull() & F.col("d.correctionRules").isNotNull() & ~bad_words & ~bad_rules
     body = parsed.select(F.when(sound, F.col("d")).otherwise(F.raise_error(F.lit("not an export of version 1"))).alias("d"))
-    new_words = body.select(F.explode("d.personalDictionary").alias("w")).select("w.word", F.coalesce("w.createdAt", F.lit(now)).alias("created_at"))
-    r = body.select(F.explode("d.correctionRules").alias("r")).select("r.*").where("status in ('always', 'never')")
+    words = body.select(F.explode("d.personalDictionary").alias("w")).select("w.word", F.coalesce("w.createdAt", F.lit(now)).alias("created_at"))
     created = F.coalesce("createdAt", F.lit(now))
-    new_rules = r.select("original", "replacement", "status", created.alias("created_at"), F.coalesce("updatedAt", "createdAt", F.lit(now)).alias("updated_at"))
-    return (own_words(new_words if words is None else words.unionByName(new_words)), latest_rules(new_rules if rules is None else rules.unionByName(new_rules)))
+    rules = body.select(F.explode("d.correctionRules").alias("r")).select("r.*").select("original", "replacement", "status", created.alias("created_at"), F.coalesce("updatedAt", "createdAt", F.lit(now)).alias("updated_at"))
+    entries = body.select(F.try_to_timestamp("d.exportedAt").alias("at"), F.explode("d.settings").alias("key", "value"))
+    if onto is not None:
+        words, rules = onto.words.unionByName(words), onto.rules.unionByName(rules)
+        entries = onto.settings.select(F.lit(None).cast("timestamp").alias("at"), "key", "value").unionByName(entries)
+    settings = entries.groupBy("key").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
+    return Memory(own_words(words), latest_rules(rules), settings)
 
 
 def reset(parts: dict[str, DataFrame], *named: str) -> dict[str, DataFrame]:
@@ -100,4 +120,4 @@ def memory_counts(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["exported", "imported", "latest_rules", "latest_values", "memory_counts", "own_words", "reset", "rule_for", "without_rules"]
+__all__ = ["Memory", "exported", "imported", "latest_rules", "latest_values", "memory_counts", "own_words", "reset", "rule_for", "without_rules"]

@@ -42,14 +42,18 @@ def replayed_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFram
 
     Looks back NEAR characters, and over the whole text only where the token may begin before them.
     """
-    at = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(is_delimiter(c), i + 1)), lambda n: n.isNotNull())
-    typed = docs.select(*keep, F.col(text), F.explode(at).alias("offset"))
-    skipped = F.greatest(F.col("offset") - NEAR, F.lit(0))
-    near = token_before(F.substring(F.col(text), skipped + 1, F.lit(NEAR)), F.col("offset") - skipped)
-    moved = lambda t: F.when(t.isNotNull(), F.struct(t["token"].alias("token"), (t["start"] + skipped).alias("start"), (t["end"] + skipped).alias("end")))
-    found = let(near, lambda t: F.when((skipped == 0) | (t["start"] > 0), moved(t)).otherwise(token_before(F.col(text), F.col("offset"))))
-    # Exploding one value has it computed once for the three fields.
-    return typed.select(*keep, "offset", F.explode(F.array(found)).alias("found")).select(*keep, "offset", "found.*")
+    whole = F.col(text)
+    offsets = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(is_delimiter(c), i + 1)), lambda n: n.isNotNull())
+
+    def at(n: Column) -> Column:
+        skipped = F.greatest(n - NEAR, F.lit(0))
+        moved = lambda t: F.when(t.isNotNull(), F.struct(t["token"].alias("token"), (t["start"] + skipped).alias("start"), (t["end"] + skipped).alias("end")))
+        near = token_before(F.substring(whole, skipped + 1, F.lit(NEAR)), n - skipped)
+        found = let(near, lambda t: F.when((skipped == 0) | (t["start"] > 0), moved(t)).otherwise(token_before(whole, n)))
+        return let(found, lambda t: F.struct(n.alias("offset"), t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end")))
+
+    # What is exploded holds no text but the tokens.
+    return docs.select(*keep, F.explode(F.transform(offsets, at)).alias("found")).select(*keep, "found.*")
 
 
 def classified(found: DataFrame, token: str = "token") -> DataFrame:

@@ -80,12 +80,18 @@ def memory_counts(spark, sf_dir):
     return rules.memory_counts({"personal_dictionary": words, "correction_rules": log})
 
 
-@query(f"WITH {SQL_MEMORY} SELECT *, 'correction_rules' AS part FROM memory UNION ALL SELECT original, '', '', created_at, 0, 'personal_dictionary' FROM memory")
+@query(f"""WITH {SQL_MEMORY} SELECT *, 'correction_rules' AS part FROM memory UNION ALL SELECT original, '', '', created_at, 0, 'personal_dictionary' FROM memory
+ UNION ALL SELECT lower(r_name), CASE WHEN r_regionkey = 1 THEN 'true' ELSE CAST(r_regionkey AS VARCHAR) END, '', 0, 0, 'settings' FROM region UNION ALL SELECT 'kept', '7', '', 0, 0, 'settings'""")
 def memory_export(spark, sf_dir):
-    """What an import brings back of an export."""
-    words, log = rules.imported(rules.exported(*nation_memory(spark, sf_dir), "2024-01-01T00:00:00.000Z"), 0)
-    own = words.select(F.col("word").alias("original"), F.lit("").alias("replacement"), F.lit("").alias("status"), "created_at", F.lit(0).cast("long").alias("updated_at"), F.lit("personal_dictionary").alias("part"))
-    return log.withColumn("part", F.lit("correction_rules")).unionByName(own)
+    """What an import brings back of an export, merged into a memory with a setting that stays and one that is replaced."""
+    regions = read(spark, sf_dir, "region").select(F.lower("r_name").alias("key"), F.when(F.col("r_regionkey") == 1, "true").otherwise(F.col("r_regionkey").cast("string")).alias("value"))
+    documents = rules.exported(*nation_memory(spark, sf_dir), "2024-01-01T00:00:00.000Z", regions)
+    empty = rules.Memory(spark.createDataFrame([], rules.WORDS), spark.createDataFrame([], rules.RULES), spark.createDataFrame([("kept", "7"), ("asia", "old")], "key string, value string"))
+    found = rules.imported(documents, 0, empty)
+    blank, nought = F.lit("").alias("status"), F.lit(0).cast("long")
+    own = found.words.select(F.col("word").alias("original"), F.lit("").alias("replacement"), blank, "created_at", nought.alias("updated_at"), F.lit("personal_dictionary").alias("part"))
+    settings = found.settings.select(F.col("key").alias("original"), F.col("value").alias("replacement"), blank, nought.alias("created_at"), nought.alias("updated_at"), F.lit("settings").alias("part"))
+    return found.rules.withColumn("part", F.lit("correction_rules")).unionByName(own).unionByName(settings)
 
 
 @query(f"WITH {SQL_MEMORY} SELECT original, replacement, status, status || ':' || url_encode(original) || ':' || url_encode(replacement) AS key FROM memory")
@@ -130,10 +136,10 @@ def typed_triggers(spark, sf_dir):
     return at_end.groupBy(editor.trigger(F.col("c")).alias("trigger")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'signup') AND user_id <> 3 AND CAST(value AS INT) = CAST(value + 0.5 AS INT) GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'signup') AND user_id <> 3 AND floor(value) = floor(value + 0.5) GROUP BY 1")
 def ready_events(spark, sf_dir):
     """Events at which a token may be decided, if an error is read-only, a sign-up composes, a user is disabled, and values give selections."""
-    whole = lambda c: F.round(c).cast("int")
+    whole = lambda c: F.floor(c).cast("int")
     events = read(spark, sf_dir, "events").select("event_type", whole(F.col("value")).alias("start"), whole(F.col("value") + 0.5).alias("end"), (F.col("event_type") == "error").alias("read_only"), (F.col("user_id") == 3).alias("disabled"), (F.col("event_type") == "signup").alias("is_composing"))
     return editor.ready(events).groupBy("event_type").agg(F.count("*").alias("n"))
 
@@ -196,9 +202,10 @@ def mark_transactions(spark, sf_dir):
     return marks.with_transactions(lost, done).select("doc_id", "mark_start", "known", "replacement")
 
 
-@query("""WITH f AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS inserted, length(text) // 2 AS "at" FROM conversations)
-SELECT conv_id, turn, CASE WHEN inserted IS NULL THEN 'missing_transaction' WHEN turn % 3 = 0 AND inserted <> '' THEN 'stale_range' ELSE 'reverted' END AS result, CASE WHEN turn % 3 = 0 AND inserted <> '' THEN left(text, "at") || replace(inserted, 'e', '3') || '#' || substr(text, "at" + 1) ELSE text END AS text
- FROM f WHERE turn % 3 <> 0 OR inserted IS NULL OR (replace(inserted, 'e', '3') || '#')[1:length(inserted)] <> inserted""")
+@query("""WITH f AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS inserted, length(text) // 2 AS "at" FROM conversations),
+g AS (SELECT *, left(text, "at") || CASE WHEN turn % 3 = 0 AND inserted <> '' THEN replace(inserted, 'e', '3') || '#' ELSE coalesce(inserted, '') END || substr(text, "at" + 1) AS now FROM f),
+h AS (SELECT *, CASE WHEN inserted IS NULL THEN 'missing_transaction' WHEN substr(now, "at" + 1, length(inserted)) = inserted THEN 'reverted' ELSE 'stale_range' END AS result FROM g)
+SELECT conv_id, turn, result, CASE WHEN result = 'reverted' THEN left(now, "at") || substr(now, "at" + 1 + length(inserted)) ELSE now END AS text FROM h""")
 def completion_reverts(spark, sf_dir):
     """The next turn inserted in the middle of each, changed in every third, and then reverted."""
     half = F.floor(F.length("text") / 2).cast("int")
@@ -206,8 +213,7 @@ def completion_reverts(spark, sf_dir):
     changed = F.when((F.col("turn") % 3 == 0) & (F.col("inserted") != ""), F.concat(F.replace("inserted", F.lit("e"), F.lit("3")), F.lit("#"))).otherwise(F.coalesce("inserted", F.lit("")))
     texts = found.select(F.struct("conv_id", "turn").alias("place"), spans.replaced(F.col("text"), F.col("at"), F.col("at"), changed).alias("text"))
     accepted = found.where("inserted is not null").select(F.struct("conv_id", "turn").alias("place"), "at", "inserted")
-    kept = found.where((F.col("turn") % 3 != 0) | F.col("inserted").isNull() | (F.substring(F.concat(F.replace("inserted", F.lit("e"), F.lit("3")), F.lit("#")), F.lit(1), F.length("inserted")) != F.col("inserted"))).select(F.struct("conv_id", "turn").alias("place"))
-    return marks.completion_reverted(texts, accepted, "place").join(kept, "place").select("place.conv_id", "place.turn", "result", "text")
+    return marks.completion_reverted(texts, accepted, "place").select("place.conv_id", "place.turn", "result", "text")
 
 
 @query("SELECT event_type, count(value) FILTER (value >= 1e9) AS count, max(value) FILTER (value >= 1e9) IS NULL AS no_max, quantile_disc(value, 0.95) FILTER (value >= 1e9) IS NULL AS no_p95 FROM events GROUP BY 1")
@@ -225,7 +231,7 @@ def session_counts(spark, sf_dir):
     found = tokens.classified(tokens.final_tokens(read(spark, sf_dir, "documents"), "lang").groupBy("lang", "token").count())
     decided = decide.decisions(found.where("not protected")).select("token", "action")
     rows = found.join(decided, "token", "left").withColumn("action", F.coalesce("action", F.lit("do_nothing")))
-    return editor.session_counts(rows.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))), "lang")
+    return editor.session_counts(rows, "lang", weight="count")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, text, length(text) // 2 AS mid, length(text) // 4 AS low FROM conversations)
@@ -239,12 +245,30 @@ def spliced_turns(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", spans.replaced(F.col("text"), low, mid, F.lit("<")).alias("text"), inside.alias("caret_inside"), at_end.alias("caret_at_end"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, length(text) // 2 AS mid FROM conversations) SELECT conv_id, turn, replace(left(text, mid), 'e', '*') AS context_before, replace(substr(substr(text, mid + 1), 1, 300), 'e', '*') AS context_after FROM c WHERE length(text) <= 2000""")
+@query("""WITH c AS (SELECT conv_id, turn, text, length(text) // 2 AS mid FROM conversations) SELECT conv_id, turn, replace(right(left(text, mid), 2000), 'e', '*') AS context_before, replace(substr(substr(text, mid + 1), 1, 300), 'e', '*') AS context_after FROM c""")
 def redacted_context(spark, sf_dir):
-    """The context of turns of up to 2,000 characters with a letter blotted out."""
+    """The context in the middle of each turn, with a letter blotted out."""
     blot = lambda t: F.replace(t, F.lit("e"), F.lit("*"))
     found = completion.context(F.col("text"), F.floor(F.length("text") / 2).cast("int"), redact=lambda a, b: (blot(a), blot(b)))
-    return read(spark, sf_dir, "conversations").where(F.length("text") <= 2000).select("conv_id", "turn", found.alias("c")).select("conv_id", "turn", "c.context_before", "c.context_after")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("c")).select("conv_id", "turn", "c.context_before", "c.context_after")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, right(left(text, length(text) // 2), 2000) AS a, substr(substr(text, length(text) // 2 + 1), 1, 300) AS z, role FROM conversations)
+SELECT conv_id, turn, 'completion-' || turn AS id, 'inline' AS mode, md5(a) AS before, md5(z) AS after, regexp_extract(a, '[^\\n\\r]*\\z') AS line, length(a) AS cursor, 220 AS most, '. |' || chr(10) AS stops, 'continue/same_voice/continuation_only/10' AS instruction, role FROM c""")
+def request_bodies(spark, sf_dir):
+    """The JSON that a provider gets for a completion in the middle of each turn, read back field by field."""
+    c = completion.context(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
+    asked = read(spark, sf_dir, "conversations").withColumn("c", c)
+    body = completion.request(
+        F.concat(F.lit("completion-"), F.col("turn").cast("string")), F.lit("inline"), F.col("c"), stops=F.array(F.lit(". "), F.lit("\n")), extras=("Keep to the subject.",), metadata=F.struct("role"),
+    )
+    back = F.from_json(body, completion.REQUEST + ", metadata struct<role:string>").alias("r")
+    i = F.col("r.instruction")
+    told = F.concat_ws("/", i["task"], i["style"], i["output"], F.size(i["constraints"]))
+    return asked.select("conv_id", "turn", back).select(
+        "conv_id", "turn", "r.id", "r.mode", F.md5(F.col("r.contextBefore").cast("binary")).alias("before"), F.md5(F.col("r.contextAfter").cast("binary")).alias("after"), F.col("r.currentLine").alias("line"),
+        F.col("r.cursorOffset").cast("long").alias("cursor"), F.col("r.maxCompletionChars").alias("most"), F.array_join("r.stopSequences", "|").alias("stops"), told.alias("instruction"), "r.metadata.role",
+    )
 
 
 @query("SELECT event_type, lower(trim(event_type)) AS surface, count(*) AS n FROM events GROUP BY 1")
@@ -264,23 +288,29 @@ LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error":
 SQL_LIFE = "e AS (SELECT user_id AS session, event_id AS seq, epoch_ms(ts) AS at_ms, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LIFE.items()) + " END AS type FROM events)"
 
 
-@query(f"""WITH {SQL_LIFE}, n AS (SELECT *, sum(CASE WHEN type = 'schedule' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY at_ms, seq) AS n FROM e),
-s AS (SELECT session, n, min(at_ms) FILTER (type = 'schedule') AS scheduled, min(at_ms) FILTER (type = 'cancel') AS canceled FROM n WHERE n > 0 GROUP BY 1, 2),
-d AS (SELECT *, least(canceled, lead(scheduled) OVER (PARTITION BY session ORDER BY n)) AS ended FROM s), u AS (SELECT *, CASE WHEN ended IS NULL OR ended >= scheduled + 60000 THEN scheduled + 60000 END AS sent FROM d),
-a AS (SELECT session, n - seq % 2 AS n, min(at_ms) AS received FROM n WHERE type = 'response' GROUP BY 1, 2),
-j AS (SELECT u.*, received, CASE WHEN received >= sent AND (ended IS NULL OR received < ended) AND received <= sent + 3600000 THEN received END AS answered FROM u LEFT JOIN a USING (session, n)),
-l AS (SELECT j.session, j.n, arg_min(n.type, (n.at_ms, n.seq)) AS act FROM j JOIN n ON j.session = n.session AND j.n = n.n AND n.type IN ('accept', 'dismiss') AND n.at_ms >= answered GROUP BY 1, 2),
-m AS (SELECT unnest(['request_scheduled', CASE WHEN sent IS NULL THEN 'request_canceled_before_send' END, CASE WHEN answered IS NULL AND ended <= sent + 3600000 THEN 'request_aborted_in_flight' END,
- CASE WHEN answered IS NULL AND sent IS NOT NULL AND (ended IS NULL OR ended > sent + 3600000) THEN 'provider_error' END, CASE WHEN answered IS NOT NULL THEN 'provider_latency' END, CASE WHEN answered IS NOT NULL THEN 'ghost_shown' END,
- CASE WHEN answered IS NULL AND received IS NOT NULL THEN 'stale_response_dropped' END, CASE act WHEN 'accept' THEN 'ghost_accepted' WHEN 'dismiss' THEN 'ghost_dismissed_by_escape' END]) AS type FROM j LEFT JOIN l USING (session, n))
+@query(f"""WITH {SQL_LIFE}, p AS (SELECT *, at_ms::HUGEINT * 10000000 + seq AS place, type = 'schedule' AND seq % 40 >= {requests.LEAST_CONTEXT} AS asks FROM e),
+n AS (SELECT *, sum(asks::INT) OVER (PARTITION BY session ORDER BY place) AS n FROM p),
+s AS (SELECT session, n, min(place) FILTER (asks) AS begun, min(place) FILTER (type = 'cancel') AS canceled, min(place) FILTER (type = 'schedule' AND NOT asks) AS short, min(place) FILTER (type = 'dismiss') AS dm FROM n WHERE n > 0 GROUP BY 1, 2),
+d AS (SELECT *, least(short, lead(begun) OVER (PARTITION BY session ORDER BY n)) AS typed FROM s), d1 AS (SELECT *, least(canceled, typed) AS stop1, begun // 10000000 + 60000 AS due FROM d),
+a AS (SELECT session, n - seq % 2 AS n, min(place) AS reply FROM n WHERE type = 'response' GROUP BY 1, 2),
+j AS (SELECT d1.*, reply, reply // 10000000 AS received FROM d1 LEFT JOIN a USING (session, n)),
+k AS (SELECT *, CASE WHEN (stop1 IS NULL OR stop1 // 10000000 >= due) AND received >= due AND (stop1 IS NULL OR received < stop1 // 10000000) AND received <= due + 3600000 THEN reply END AS ghost1 FROM j),
+u AS (SELECT *, dm IS NOT NULL AND (stop1 IS NULL OR dm < stop1) AND (ghost1 IS NULL OR dm < ghost1) AS early FROM k), v AS (SELECT *, CASE WHEN early THEN dm ELSE stop1 END AS stop FROM u),
+w AS (SELECT *, CASE WHEN stop IS NULL OR stop // 10000000 >= due THEN due END AS sent, stop // 10000000 AS ended FROM v),
+x AS (SELECT *, CASE WHEN received >= sent AND (ended IS NULL OR received < ended) AND received <= sent + 3600000 THEN reply END AS ghost FROM w),
+l AS (SELECT x.session, x.n, arg_min(n.type, n.place) AS act FROM x JOIN n ON x.session = n.session AND x.n = n.n AND n.type IN ('accept', 'dismiss') AND n.place >= ghost AND (stop IS NULL OR n.place < stop) GROUP BY 1, 2),
+m AS (SELECT unnest(['request_scheduled', CASE WHEN sent IS NULL THEN 'request_canceled_before_send' END, CASE WHEN ghost IS NULL AND ended <= sent + 3600000 THEN 'request_aborted_in_flight' END,
+ CASE WHEN ghost IS NULL AND sent IS NOT NULL AND (ended IS NULL OR ended > sent + 3600000) THEN 'provider_error' END, CASE WHEN ghost IS NOT NULL THEN 'provider_latency' END, CASE WHEN ghost IS NOT NULL THEN 'ghost_shown' END,
+ CASE WHEN ghost IS NULL AND received IS NOT NULL THEN 'stale_response_dropped' END, CASE act WHEN 'accept' THEN 'ghost_accepted' WHEN 'dismiss' THEN 'ghost_dismissed_by_escape' ELSE CASE WHEN ghost IS NOT NULL AND NOT early AND stop = typed THEN 'ghost_dismissed_by_typing' END END]) AS type FROM x LEFT JOIN l USING (session, n))
 SELECT type, count(*) AS n FROM m WHERE type IS NOT NULL GROUP BY 1""")
 def request_lives(spark, sf_dir):
-    """The event table read as completion requests of each user, with a wait of a minute and a limit of an hour: metric events by type."""
+    """The event table read as completion requests of each user, some with too short a context, with a wait of a minute and a limit of an hour: metric events by type."""
     kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("type"))
+    events = events.withColumn("context_length", (F.col("seq") % 40).cast("int"))
     order = Window.partitionBy("session").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.sum((F.col("type") == "schedule").cast("int")).over(order) - F.col("seq") % 2
-    events = events.select("*", number.alias("request"), F.lit(20).alias("context_length"), F.col("type").alias("text"), F.lit("escape").alias("reason"))
+    asks = (F.col("type") == "schedule") & (F.col("context_length") >= requests.LEAST_CONTEXT)
+    events = events.select("*", (F.sum(asks.cast("int")).over(order) - F.col("seq") % 2).alias("request"), F.col("type").alias("text"), F.lit("escape").alias("reason"))
     return requests.metric_rows(requests.lives(events, 60_000, 3_600_000), 3_600_000).groupBy("type").agg(F.count("*").alias("n"))
 
 

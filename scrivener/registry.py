@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import correction, memory
+from .plans import correction, memory, sessions
 
-QUERIES = correction.QUERIES | memory.QUERIES
-ORACLES = correction.ORACLES | memory.ORACLES
+QUERIES = correction.QUERIES | memory.QUERIES | sessions.QUERIES
+ORACLES = correction.ORACLES | memory.ORACLES | sessions.ORACLES

@@ -70,6 +70,19 @@ def test_both_joins_agree(spark):
     assert rows(decide.SCANNED) == rows(decide.SCANNED + 1) != []
 
 
+def test_imports_merge_or_replace_all_three_parts(spark):
+    body = '{"version": 1, "exportedAt": "2024-01-01T00:00:00Z", "personalDictionary": [{"word": "New "}, {"word": "old", "createdAt": 9}], "correctionRules": [{"original": "A", "replacement": "b", "status": "always", "createdAt": 1}], "settings": {"theme": "dark", "size": 3}}'
+    documents = spark.createDataFrame([(body,)], "document string")
+    onto = rules.Memory(spark.createDataFrame([("old", 5), ("own", 6)], rules.WORDS), spark.createDataFrame([("a", "c", "always", 0, 0), ("k", "l", "never", 0, 0)], rules.RULES), spark.createDataFrame([("theme", '"light"'), ("lang", '"en"')], "key string, value string"))
+    rows = lambda m: [sorted(map(tuple, df.collect())) for df in (m.words, m.rules.select("original", "replacement", "status"), m.settings)]
+    replaced, merged = rows(rules.imported(documents, 99)), rows(rules.imported(documents, 99, onto))
+    assert replaced == [[("new", 99), ("old", 9)], [("a", "b", "always")], [("size", "3"), ("theme", "dark")]]
+    assert merged == [[("new", 99), ("old", 5), ("own", 6)], [("a", "b", "always"), ("k", "l", "never")], [("lang", '"en"'), ("size", "3"), ("theme", "dark")]]
+    for bad in ('{"word": " "}', "{}"):
+        with pytest.raises(Exception, match="not an export"):
+            rules.imported(spark.createDataFrame([(body.replace('{"word": "New "}', bad),)], "document string"), 1).words.collect()
+
+
 @pytest.mark.parametrize("now", [99])
 def test_memory_round_trip(spark, now):
     words = spark.createDataFrame([("Zoo", 5), ("apple", 1), ("zoo ", 3)], rules.WORDS)
@@ -77,10 +90,11 @@ def test_memory_round_trip(spark, now):
     state = rules.latest_rules(log)
     assert {(r["original"], r["replacement"], r["created_at"], r["updated_at"]) for r in state.collect()} == {("teh", "the", 1, 1), ("omw", "b", 2, 4)}
     document = rules.exported(rules.own_words(words), state, "2024-01-01T00:00:00Z")
-    back_words, back_rules = rules.imported(document, now)
-    assert sorted(map(tuple, back_words.collect())) == [("apple", 1), ("zoo", 3)] and back_rules.exceptAll(state.select(*back_rules.columns)).count() == 0
+    back = rules.imported(document, now)
+    assert sorted(map(tuple, back.words.collect())) == [("apple", 1), ("zoo", 3)] and back.rules.exceptAll(state.select(*back.rules.columns)).count() == 0 and back.settings.count() == 0
     with pytest.raises(Exception, match="not an export"):
-        rules.imported(spark.createDataFrame([('{"version": 2}',)], "document string"), now)[0].collect()
+        rules.imported(spark.createDataFrame([('{"version": 2}',)], "document string"), now).words.collect()
+    assert rules.latest_rules(spark.createDataFrame([("x", "", "always", 1, 1), (" ", "y", "never", 1, 1)], rules.RULES)).count() == 0
     assert rules.rule_for(state, "OMW").first()["replacement"] == "b"
     assert rules.without_rules(state, spark.createDataFrame([("omw", None)], "original string, replacement string")).count() == 1
     assert {k: v.count() for k, v in rules.reset({"a": words, "b": log}, "a").items()} == {"a": 0, "b": 3}

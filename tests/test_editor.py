@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from scrivener.operators import decide, editor, requests
@@ -65,8 +66,25 @@ EXPECTED = [
 ]
 
 
-def test_lives_of_requests(spark):
-    rows = [(*e[:2], k, *e[2:]) for k, e in enumerate(EVENTS)]
+#: A short context ends what went before; so does a dismissal while nothing is shown; a ghost that typing finds is dismissed by it.
+ENDINGS = [
+    ("a", 0, "schedule", None, 20, None, None), ("a", 100, "schedule", None, 11, None, None), ("b", 0, "schedule", None, 12, None, None), ("b", 400, "schedule", None, 0, None, None), ("b", 450, "response", 1, None, "x", None),
+    ("c", 0, "schedule", None, 20, None, None), ("c", 200, "dismiss", None, None, None, "escape"), ("d", 0, "schedule", None, 20, None, None), ("d", 350, "dismiss", None, None, None, "blur"), ("d", 500, "response", 1, None, "x", None),
+    ("e", 0, "schedule", None, 20, None, None), ("e", 400, "response", 1, None, "x", None), ("e", 500, "schedule", None, 3, None, None), ("e", 510, "accept", None, None, None, None),
+    ("f", 0, "schedule", None, 20, None, None), ("f", 400, "response", 1, None, "x", None), ("f", 500, "cancel", None, None, None, None), ("f", 510, "dismiss", None, None, None, "escape"),
+    ("g", 0, "schedule", None, 20, None, None), ("g", 400, "response", 1, None, "x", None), ("g", 500, "dismiss", None, None, None, "blur"), ("g", 600, "schedule", None, 20, None, None),
+]
+ENDED = [
+    ("a", 0, "request_scheduled"), ("a", 100, "request_canceled_before_send"), ("b", 0, "request_scheduled"), ("b", 400, "request_aborted_in_flight"), ("b", 450, "stale_response_dropped"),
+    ("c", 0, "request_scheduled"), ("c", 200, "request_canceled_before_send"), ("d", 0, "request_scheduled"), ("d", 350, "request_aborted_in_flight"), ("d", 500, "stale_response_dropped"),
+    ("e", 0, "request_scheduled"), ("e", 400, "provider_latency"), ("e", 400, "ghost_shown"), ("e", 500, "ghost_dismissed_by_typing"), ("f", 0, "request_scheduled"), ("f", 400, "provider_latency"), ("f", 400, "ghost_shown"),
+    ("g", 0, "request_scheduled"), ("g", 400, "provider_latency"), ("g", 400, "ghost_shown"), ("g", 500, "ghost_dismissed_by_blur"), ("g", 600, "request_scheduled"), ("g", 3400, "provider_error"),
+]
+
+
+@pytest.mark.parametrize(("events", "expected"), [(EVENTS, EXPECTED), (ENDINGS, ENDED)])
+def test_lives_of_requests(spark, events, expected):
+    rows = [(*e[:2], k, *e[2:]) for k, e in enumerate(events)]
     events = spark.createDataFrame(rows, "session string, at_ms long, seq int, type string, request int, context_length int, text string, reason string")
     found = requests.metric_rows(requests.lives(events)).select("session", "at_ms", "type").collect()
-    assert sorted(map(tuple, found)) == sorted(EXPECTED)
+    assert sorted(map(tuple, found)) == sorted(expected)

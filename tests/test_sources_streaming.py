@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from scrivener.functions import completion
 from scrivener.operators import metrics
 from scrivener.sources import blob, provider, vocabulary
 from scrivener.streaming import keystrokes
@@ -141,7 +142,9 @@ def test_an_endpoint_answers_over_http(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         answer = provider.Endpoint(f"http://127.0.0.1:{server.server_port}/", lambda: {"x-key": "k", "x-none": None}, timeout=1)
-        asked = spark.createDataFrame([(json.dumps({"mode": m}), "some") for m in ("inline", "down", "slow")], "request string, context_before string")
+        texts = spark.createDataFrame([(m, "some text", 4) for m in ("inline", "down", "slow")], "mode string, text string, caret int")
+        context = completion.context(F.col("text"), F.col("caret"))
+        asked = texts.select(completion.request(F.lit("completion-1"), F.col("mode"), context).alias("request"), F.lit("some").alias("context_before"))
         found = {json.loads(r["request"])["mode"]: (r["text"], r["error"]) for r in provider.shown(provider.completed(asked, answer)).collect()}
         assert found["inline"] == (" for inline k None", None) and found["down"][1] == "http" and found["slow"][1] == "timeout"
         assert provider.completed(asked, provider.Endpoint("http://127.0.0.1:9/", timeout=1)).first()["error"] == "network"
