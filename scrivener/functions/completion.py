@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES, let, trimmed
+from .text import SPACES, let, running, trimmed
 
 # Fixed values.
 BEFORE, AFTER, MOST = 2000, 300, 220
@@ -89,10 +89,31 @@ def stopped(text: Column, stops: Column) -> Column:
 
 
 def overlap(before: Column, text: Column) -> Column:
-    """Length of the longest end of ``before`` that begins ``text``."""
-    longest = F.least(F.length(before), F.length(text))
-    lengths = F.when(longest > 0, F.sequence(longest, F.lit(1), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.coalesce(F.get(F.filter(lengths, lambda n: F.right(before, n) == F.left(text, n)), F.lit(0)), F.lit(0))
+    """Length of the longest end of ``before`` that begins ``text``.
+
+    Running sums of character codes, plain and weighted by place, tell in one step whether a
+    beginning and an end may be equal; the longest such pair is compared.  Only if that
+    fails, two different strings having equal sums, are the others compared as well.
+    """
+    codes = lambda x: F.transform(F.split(x, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 16)))
+    weighted = lambda x: F.transform(x, lambda c, i: c * i.cast("long"))
+    size = F.least(F.length(before), F.length(text))
+    same = lambda n: F.right(before, n) == F.left(text, n)
+
+    def longest(a: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+        upto = lambda sums, n: F.when(n > 0, F.get(sums, n - 1)).otherwise(F.lit(0).cast("long"))
+        k = F.size(a)
+
+        def may(n: Column) -> Column:
+            plain = upto(a1, k) - upto(a1, k - n)
+            return (plain == upto(b1, n)) & (upto(a2, k) - upto(a2, k - n) - (k - n).cast("long") * plain == upto(b2, n))
+
+        found = F.filter(F.sequence(k, F.lit(1), F.lit(-1)), may)
+        first = lambda c: F.when(F.size(c) == 0, 0).when(same(F.get(c, F.lit(0))), F.get(c, F.lit(0))).otherwise(F.coalesce(F.get(F.filter(c, same), F.lit(0)), F.lit(0)))
+        return let(found, first)
+
+    whole = let(codes(F.right(before, size)), lambda a: let(running(a), lambda a1: let(running(weighted(a)), lambda a2: let(codes(F.left(text, size)), lambda b: let(running(b), lambda b1: let(running(weighted(b)), lambda b2: longest(a, a1, b1, a2, b2)))))))
+    return F.when(size > 0, whole).otherwise(0)
 
 
 def evened(text: Column, before: Column) -> Column:

@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..functions.text import running
-from .tokens import placed_tokens, unprotected
+from ..functions.text import let, placed, running
+from .tokens import only, placed_tokens, unprotected
+
+
+#: Corrections that are sought in the texts themselves; of more, all tokens of the texts are looked up.
+FEW = 200
 
 
 def edit_lists(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The corrections of each text that has any: key, digest (of the text), edits (sorted).
+    """The texts that any correction changes: key, digest (of the text), edits (sorted), and text where the list was found beside it.
 
-    Only corrections are shuffled.  Rows that share a key are told apart by the digest;
-    equal rows have equal lists.  A text's own corrections bound its list.
+    A few corrections become one pattern, which finds their tokens row by row; nothing is
+    shuffled then, and equal rows each have their list.  Of many corrections only those that
+    occur are shuffled; rows that share a key are told apart by the digest, and equal rows
+    are one.  A text's own corrections bound its list.
     """
-    fixes = decided.where("action = 'auto_correct'").select("token", "replacement", "confidence", "reason_codes")
-    found = placed_tokens(docs.select(key, "text", F.xxhash64("text").alias("digest")), key, "digest").join(fixes, "token")
-    found = unprotected(found, F.col("replacement").isNotNull())
+    fixes = unprotected(decided.where("action = 'auto_correct'").select("token", "replacement", "confidence", "reason_codes"), F.col("replacement").isNotNull())
+    texts = docs.select(key, "text", F.xxhash64("text").alias("digest"))
+    few = fixes.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        known = fixes.sparkSession.createDataFrame(few, fixes.schema).agg(F.collect_list(F.struct("*")).alias("fixes"))
+        pattern = only([r["token"] for r in few])
+        met = texts.where(F.col("text").rlike(pattern)).join(F.broadcast(known)) if few else texts.limit(0).join(known)
+        fix = lambda m: F.get(F.filter("fixes", lambda f: f["token"] == m["piece"]), F.lit(0))
+        edit = lambda m, f: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["piece"])).alias("end"), m["piece"].alias("original"), *[f[c].alias(c) for c in ("replacement", "confidence", "reason_codes")])
+        return met.select(key, "digest", F.transform(placed(F.col("text"), pattern, 1), lambda m: let(fix(m), lambda f: edit(m, f))).alias("edits"), "text")
+    found = placed_tokens(texts, key, "digest").join(fixes, "token")
     edit = F.struct("start", "end", F.col("token").alias("original"), "replacement", "confidence", "reason_codes")
     return found.groupBy(key, "digest").agg(F.array_sort(F.collect_set(edit)).alias("edits"))
 
@@ -28,7 +42,9 @@ def edits(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame
     deltas = running(F.transform("edits", lambda e: F.length(e["replacement"]) - F.length(e["original"])))
     before = lambda e, end: (end - F.length(e["replacement"]) + F.length(e["original"])).cast("int")
     counted = F.transform(F.arrays_zip(F.col("edits").alias("e"), deltas.alias("end")), lambda z, i: F.struct(z["e"].alias("e"), (i + 1).alias("n"), before(z["e"], z["end"]).alias("shift")))
-    return edit_lists(docs, decided, key).select(key, "digest", F.explode(counted).alias("at")).select(key, "digest", "at.e.*", "at.n", "at.shift")
+    found = edit_lists(docs, decided, key)
+    rows = found.select(key, "digest", F.explode(counted).alias("at")).select(key, "digest", "at.e.*", "at.n", "at.shift")
+    return rows.dropDuplicates([key, "digest", "start"]) if "text" in found.columns else rows
 
 
 def corrected(docs: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -38,8 +54,10 @@ def corrected(docs: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFr
         listed = edited.groupBy(key, "digest").agg(F.array_sort(F.collect_set(F.struct("start", "end", "replacement"))).alias("edits"))
     parts = F.transform("edits", lambda e, i: F.concat(spans.cut(F.col("text"), F.when(i == 0, 0).otherwise(F.get("edits", i - 1)["end"]), e["start"]), e["replacement"]))
     rest = F.substring(F.col("text"), F.element_at("edits", -1)["end"] + 1, F.length("text"))
-    texts = docs.select(key, "text", F.xxhash64("text").alias("digest"))
-    return texts.join(listed, [key, "digest"]).select(key, "digest", F.concat(F.array_join(parts, ""), rest).alias("text"), F.size("edits").cast("long").alias("n_edits"))
+    found = listed
+    if "text" not in listed.columns:
+        found = docs.select(key, "text", F.xxhash64("text").alias("digest")).join(listed, [key, "digest"])
+    return found.select(key, "digest", F.concat(F.array_join(parts, ""), rest).alias("text"), F.size("edits").cast("long").alias("n_edits"))
 
 
 def transactions(edited: DataFrame, key: str = "doc_id") -> DataFrame:

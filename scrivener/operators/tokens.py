@@ -17,6 +17,12 @@ COMPLETE = r"((?>[^ \n\t,!?;()\[\]{}]*[^ \n\t,!?;()\[\]{}.:]))(?:[.:]+|(?=[ \n\t
 RUN = r"[^ \n\t,!?;()\[\]{}]+"
 
 
+def only(tokens: list[str]) -> str:
+    """A pattern that matches where COMPLETE does, but only at these tokens; group 1 is the token."""
+    listed = "|".join("".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in t) for t in sorted(tokens, key=len, reverse=True))
+    return r"(?<![^ \n\t,!?;()\[\]{}])(" + listed + r")(?:[.:]++(?![^ \n\t,!?;()\[\]{}])|(?=[ \n\t,!?;)\]}]))"
+
+
 def final_tokens(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """A row for each completed token: the columns ``keep``, and token.  Nothing is shuffled."""
     return docs.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(COMPLETE), F.lit(1))).alias("token"))

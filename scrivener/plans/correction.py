@@ -208,8 +208,8 @@ j AS (SELECT m.doc_id, mark_start, mark_end, coalesce(sum(length(replacement) -
 SELECT doc_id, (mark_start + move)::INT AS mark_start, (mark_end + move)::INT AS mark_end FROM j WHERE hit = 0""")
 def marks_shift(spark, sf_dir):
     """A mark on each document's first word with a capital T, after the corrections before it."""
-    placed = tokens.placed_runs(read(spark, sf_dir, "documents"), "doc_id").where(F.col("run").startswith("T"))
-    first = placed.groupBy("doc_id").agg(F.min("start").alias("mark_start")).withColumn("mark_end", F.col("mark_start") + 1)
+    at = F.regexp_instr("text", F.lit(r"(?<![^ \n\t,!?;()\[\]{}])T"))
+    first = read(spark, sf_dir, "documents").select("doc_id", (at - 1).alias("mark_start"), at.alias("mark_end")).where("mark_start >= 0")
     return marks.shifted(first, user_edits(spark, sf_dir)).select("doc_id", "mark_start", "mark_end")
 
 

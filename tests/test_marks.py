@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scrivener.operators import decide, marks, protect, tokens
@@ -85,3 +86,20 @@ def test_completions_revert_where_the_exact_text_stands(spark):
     accepted = spark.createDataFrame([(1, 2, " more"), (2, 2, " more"), (3, 1, " long text")], "doc_id long, at int, inserted string")
     found = {r["doc_id"]: (r["result"], r["text"]) for r in marks.completion_reverted(texts, accepted).collect()}
     assert found == {1: ("reverted", "ab cd"), 2: ("stale_range", "ab MORE cd"), 3: ("stale_range", "ab"), 4: ("missing_transaction", "ab")}
+
+
+@pytest.mark.parametrize("few", [marks.FEW, 0])
+def test_corrections_found_by_pattern_and_by_join(spark, monkeypatch, few):
+    monkeypatch.setattr(marks, "FEW", few)
+    texts = ["teh cat, teh.", "teh", "teh ", "ateh teh: (teh) teh.. x", "teh.x teh", "a.b a.b. a.b, [teh]", "no fix here.", "", None, "été étés été!", "teh cat, teh."]
+    docs = spark.createDataFrame([(k if k < 10 else 0, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    fixes = [("teh", "the"), ("a.b", "A B"), ("été", "summer"), ("(x", "never")]
+    decided = spark.createDataFrame([(t, r, "auto_correct", 1.0, ["X"]) for t, r in fixes] + [("cat", "dog", "do_nothing", 1.0, [])], "token string, replacement string, action string, confidence double, reason_codes array<string>")
+    found = marks.edits(docs, decided)
+    rows = sorted((r["doc_id"], r["start"], r["end"], r["original"], r["replacement"], r["n"], r["shift"]) for r in found.collect())
+    changed = {(r["doc_id"], r["text"], r["n_edits"]) for r in marks.corrected(docs, marks.edit_lists(docs, decided)).collect()}
+    assert changed == {(r["doc_id"], r["text"], r["n_edits"]) for r in marks.corrected(docs, found).collect()}
+    assert rows[:2] == [(0, 0, 3, "teh", "the", 1, 0), (0, 9, 12, "teh", "the", 2, 0)] and (0, "the cat, the.", 2) in changed
+    assert {(d, t) for d, t, _ in changed if d in (1, 2, 3, 4)} == {(2, "the "), (3, "ateh the: (the) the.. x")}
+    assert {(d, t) for d, t, _ in changed if d in (5, 6, 9)} == {(5, "a.b a.b. a.b, [the]")}  # the others look protected
+    assert marks.edits(docs, decided.where("action = 'do_nothing'")).count() == 0

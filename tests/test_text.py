@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,12 @@ def test_redacted_contexts_keep_the_limit(spark):
 def test_visible_text_of_pages(spark):
     page = "<p>a &lt;b&gt; <!-- no --><span class='x' data-ghost='1'>ghost <b>g</b></span>c</p><script>var x = '<p>';</script><div>d&amp;amp;</div>"
     assert spark.createDataFrame([(page,)], "h string").select(text.visible(F.col("h"))).first()[0] == "a <b> cd&amp;"
+
+
+def test_overlap_like_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choices("abé", k=rng.randrange(12))), "".join(rng.choices("abé", k=rng.randrange(12)))) for _ in range(300)]
+    pairs += [("x" * 500, "x" * 700), ("ab" * 300, "ba" * 200), ("one two", "two three"), ("", "a"), ("a", ""), ("\U0001f600b", "b\U0001f600"), ("z\U0001f600b", "\U0001f600b!")]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    found = {r["k"]: r["n"] for r in df.select("k", completion.overlap(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert found == {k: max((n for n in range(1, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0) for k, (a, b) in enumerate(pairs)}
