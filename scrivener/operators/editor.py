@@ -42,6 +42,24 @@ def ready(events: DataFrame) -> DataFrame:
     return events.where((F.col("start") == F.col("end")) & ~F.coalesce("read_only", off) & ~F.coalesce("disabled", off) & ~F.coalesce("is_composing", off))
 
 
+def selection_dismissals(events: DataFrame, key: str = "session", *order: str) -> DataFrame:
+    """Events (key, type, version, start, end, composing) that tell a completion to go, with reason.
+
+    A *selection* that stands where the last input, accept, dismissal or counted selection left
+    it is no news; an *input* dismisses where it composes or selects, else it asks anew.
+    """
+    window = Window.partitionBy(key).orderBy(*order)
+    place = F.struct("version", "start", "end")
+    # An event without news repeats the last that counted, so the one before it tells as much.
+    known = F.last(F.when(F.col("type") != "blur", place), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    same = (F.col("type") == "selection") & F.coalesce(place.eqNullSafe(known), F.lit(False))
+    reason = (
+        F.when((F.col("type") == "input") & F.coalesce("composing", F.lit(False)), "composition").when((F.col("type") == "input") & (F.col("start") != F.col("end")), "selection_change")
+        .when((F.col("type") == "selection") & ~same, "selection_change").when(F.col("type") == "blur", "blur")
+    )
+    return events.withColumn("reason", reason).where("reason is not null")
+
+
 def still_shown(ghost: Column, now: Column) -> Column:
     """Whether a proposed completion may stay: structs (version, text, start, end) of when it was shown and of now, the latter with focused."""
     same = [ghost[c].eqNullSafe(now[c]) for c in ("version", "text", "start", "end")]
@@ -111,4 +129,4 @@ def session_counts(decided: DataFrame, *by: str, weight: str | None = None) -> D
     )
 
 
-__all__ = ["TRUSTED", "Settings", "gated", "memory_log", "numbered", "ready", "reported", "session_counts", "still_shown", "trigger", "typed_delimiter"]
+__all__ = ["TRUSTED", "Settings", "gated", "memory_log", "numbered", "ready", "reported", "selection_dismissals", "session_counts", "still_shown", "trigger", "typed_delimiter"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import units
 from ..functions.text import placed
-from ..operators import locking, ranks, snapshots
+from ..operators import editor, locking, ranks, snapshots
 from ..streaming import answers
 from .correction import read
 
@@ -120,3 +121,33 @@ def exact_ranks(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
     rows = lines.select(F.explode(F.array(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x")), F.struct(F.lit("all").alias("flag"), F.col("l_extendedprice").alias("x")), F.struct(F.lit("size").alias("flag"), F.col("l_quantity").alias("x")))).alias("r")).select("r.*")
     return ranks.nearest(rows, "x", (0.5, 0.95, 0.99), "flag")
+
+
+ODD = "\U0001f600"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, replace(text, 'e', '{ODD}') AS text FROM conversations), c AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[^ \n]+') AS ws, string_split_regex(text, '[^ \n]+') AS gaps FROM t),
+u AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM c),
+p AS (SELECT conv_id, turn, ws[i] AS w, left(text, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda g: length(g))), 0))::BIGINT) AS a FROM u),
+q AS (SELECT conv_id, turn, 2 * length(a) - length(replace(a, '{ODD}', '')) AS s, 2 * length(w) - length(replace(w, '{ODD}', '')) AS n FROM p)
+SELECT conv_id, turn, count(*) AS words, sum(s)::BIGINT AS starts, sum(s + n)::BIGINT AS ends, true AS back FROM q GROUP BY 1, 2""")
+def unit_offsets(spark, sf_dir):
+    """Places of each turn's words in UTF-16 units, with a letter turned into an emoji, and whether they lead back."""
+    odd = read(spark, sf_dir, "conversations").withColumn("text", F.replace("text", F.lit("e"), F.lit(ODD))).withColumn("marks", units.astral(F.col("text")))
+    words = odd.select("conv_id", "turn", "marks", F.explode(placed(F.col("text"), r"[^ \n]+")).alias("w")).select("conv_id", "turn", "marks", F.col("w.start").alias("a"), (F.col("w.start") + F.length("w.piece")).alias("z"))
+    found = words.select("conv_id", "turn", "a", "z", units.units(F.col("a"), F.col("marks")).alias("start"), units.units(F.col("z"), F.col("marks")).alias("end"), "marks")
+    back = (units.points(F.col("start"), F.col("marks")) == F.col("a")) & (units.points(F.col("end"), F.col("marks")) == F.col("z"))
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.bool_and(back).alias("back"))
+
+
+@query("""WITH e AS (SELECT user_id AS session, event_id AS seq, event_type, floor(value)::BIGINT % 3 AS start, floor(value)::BIGINT % 3 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS finish FROM events),
+k AS (SELECT *, CASE event_type WHEN 'click' THEN 'selection' WHEN 'view' THEN 'selection' WHEN 'error' THEN 'blur' ELSE 'input' END AS type FROM e),
+l AS (SELECT *, last_value(CASE WHEN type <> 'blur' THEN start * 10 + finish END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM k),
+r AS (SELECT CASE WHEN type = 'input' AND event_type = 'signup' THEN 'composition' WHEN type = 'input' AND start <> finish THEN 'selection_change' WHEN type = 'selection' AND known IS DISTINCT FROM start * 10 + finish THEN 'selection_change' WHEN type = 'blur' THEN 'blur' END AS reason FROM l)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+def selection_news(spark, sf_dir):
+    """Events read as inputs, selections and blurs of an editor: how often each tells a completion to go."""
+    at = F.floor("value") % 3
+    kind = F.when(F.col("event_type").isin("click", "view"), "selection").when(F.col("event_type") == "error", "blur").otherwise("input")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), F.lit(1).alias("version"), at.alias("start"), (at + (F.col("event_id") % 5 == 0).cast("int")).alias("end"), (F.col("event_type") == "signup").alias("composing"))
+    return editor.selection_dismissals(rows, "session", "seq").groupBy("reason").agg(F.count("*").alias("n"))
