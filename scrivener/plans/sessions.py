@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.text import placed
-from ..operators import editor, locking, ranks, snapshots
+from ..operators import editor, locking, markdown, ranks, snapshots, tokens
 from ..streaming import answers
 from .correction import read
 
@@ -151,3 +151,22 @@ def selection_news(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("click", "view"), "selection").when(F.col("event_type") == "error", "blur").otherwise("input")
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), F.lit(1).alias("version"), at.alias("start"), (at + (F.col("event_id") % 5 == 0).cast("int")).alias("end"), (F.col("event_type") == "signup").alias("composing"))
     return editor.selection_dismissals(rows, "session", "seq").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def syntax_tokens(spark, sf_dir):
+    """Tokens of each turn that the Markdown structure protects, and those that its lines protect.
+
+    SQL has no such parse; the tests compare the spans with a plain reader's.
+    """
+    turns = markdown.with_spans(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    found = tokens.placed_tokens(turns, "conv_id", "turn", "syntax")
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("tokens"), F.count_if(markdown.protected(F.col("syntax"), F.col("start"), F.col("end"))).alias("protected"))
+
+
+def page_syntax(spark, sf_dir):
+    """Spans of each page read as Markdown, by kind: pages hold HTML blocks, tags, code and addresses."""
+    spans = markdown.with_spans(read(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", F.explode("syntax").alias("s"))
+    return spans.groupBy("page_id", "s.kind").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("size"))
+
+
+QUERIES |= {f.__name__: f for f in (syntax_tokens, page_syntax)}
