@@ -25,6 +25,10 @@ from .common import ascii_lower, small_enough, staged
 #: Shares of the labelled pages that a combination needs, and of its pages that must be blocked.
 SUPPORT = 0.002
 CONFIDENCE = 0.6
+#: Share of the pages with either of two tokens that hold both, from which on they are mined as one.
+NEAR = 0.8
+#: Bands of minimum hashes that propose such pairs, and hashes of a band: a pair at NEAR is missed once in three hundred.
+BANDS, BAND = 8, 3
 CLASS = "=block"
 #: Most rules that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -86,15 +90,27 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def twins(rows: DataFrame, least: int) -> DataFrame:
-    """(token, twin) for the tokens in at least ``least`` of ``rows`` (row, tokens): the first in order of those that stand in the same rows.
+    """(token, twin) for the tokens in at least ``least`` of ``rows`` (row, tokens): what each is mined as.
 
-    Two 64-bit sums of the rows' hashes and their number tell sets of rows apart.
+    A token is mined as the most frequent one with which it shares NEAR of the pages that
+    hold either; the parameters of a link, of which most stand together and some are missing now and
+    then, are thus one item.  Minimum hashes of a token's rows, in bands, propose the pairs, and counting
+    confirms them.
     """
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"mark{k}") for k in (1, 2)]
+    marks = [F.min(F.xxhash64(F.lit(k), "row")).alias(f"least{k}") for k in range(BANDS * BAND)]
     seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("row").alias("n"), *marks).where(F.col("n") >= least)
     seen = staged(seen, "tokens")
-    same = ["n", "mark1", "mark2"]
-    return staged(seen.join(seen.groupBy(same).agg(F.min("token").alias("twin")), same).select("token", "twin"), "twins")
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"least{b * BAND + i}").alias(f"h{i}") for i in range(BAND)]) for b in range(BANDS)])
+    banded = seen.select("token", "n", F.explode(bands).alias("band"))
+    first = banded.groupBy("band").agg(F.min(F.struct((-F.col("n")).alias("order"), F.col("token").alias("leader"))).alias("first")).select("band", "first.leader", (-F.col("first.order")).alias("m"))
+    pairs = staged(banded.join(first, "band").where(F.col("token") != F.col("leader")).select("token", "n", "leader", "m").distinct(), "pairs")
+    met = rows.select("tokens", F.explode("tokens").alias("token")).join(pairs, "token").where(F.array_contains("tokens", F.col("leader"))).groupBy("token", "leader", "n", "m").agg(F.count("*").alias("both"))
+    near = met.where(F.col("both") >= NEAR * (F.col("n") + F.col("m") - F.col("both")))
+    led = staged(near.groupBy("token").agg(F.min(F.struct((-F.col("m")).alias("order"), "leader")).alias("best")).select("token", F.col("best.leader").alias("leader")), "led")
+    # A leader that is led itself passes its own on.
+    onward = led.select(F.col("token").alias("leader"), F.col("leader").alias("onward"))
+    settled = led.join(onward, "leader", "left").select("token", F.coalesce("onward", "leader").alias("twin"))
+    return staged(seen.select("token").join(settled, "token", "left").select("token", F.coalesce("twin", "token").alias("twin")), "twins")
 
 
 RULE = "rule string, tokens array<string>, rarest string, confidence double, wanted array<array<string>>, filed array<string>"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -83,6 +84,30 @@ def test_many_parameters_of_a_repeated_url(spark):
     assert verdicts == {k: "block" if k % 25 == 0 and k < 100 or k == 100 else "allow" for k in range(102)}
 
 
+def test_parameters_that_are_missing_now_and_then(spark):
+    """Each page of a tracked link lacks one of its 25 parameters: near twins, which would make 2 ** 25 itemsets."""
+    urls = []
+    for k in range(150):
+        query = "&".join(f"key{j}=v{j}x" for j in range(25) if j != k % 25)
+        urls.append(f"https://shop.test/item?{query}" if k % 3 == 0 else f"https://site{k % 7}.test/p{k % 4}?key{k % 25}=other")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    verdicts = {r["page_id"]: r["verdict"] for r in ur.judge(pages, labels).collect()}
+    assert verdicts == {k: "block" if k % 3 == 0 else "allow" for k in range(150)} and time.time() - began < 120
+
+
+def test_near_twins_by_counting(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        base = {"a", "b", "c", "d"} if rng.random() < 0.5 else set()
+        rows.append(sorted({t for t in base if rng.random() < 0.97} | {t for t in ("x", "y", "z") if rng.random() < 0.4}))
+    frame = spark.createDataFrame(list(enumerate(rows)), "row long, tokens array<string>")
+    twin = {r["token"]: r["twin"] for r in ur.twins(frame, 2).collect()}
+    assert len({twin[t] for t in "abcd"}) == 1 and twin[twin["a"]] == twin["a"] and all(twin[t] == t for t in "xyz")
+
+
 def brute_verdicts(pages, transactions, support, confidence):
     """The pages that hold all tokens of any pruned rule."""
     rules = [set(r.split(" ")) for r in plain_rules(transactions, support, confidence)]
