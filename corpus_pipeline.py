@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that stay, with
 all their columns; the last returns what the token store holds.  ``run`` writes each
-stage's rows as Parquet in the shared folder and reads them again.
+stage's rows as Parquet in the shared folder, reads them again, and removes them when the
+next stage has written its own; what stays is the token store.
 
 Common cases: a null text has no letter, so the first stage rejects it; an empty
 table stays empty through all stages; every row is judged on its own, so rows that
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import decontaminate, langid, mixing, simhash, token_store
-from scrivener.llm.common import fresh_path, held_out, packed, table, tidied, unpacked
+from scrivener.llm.common import drop_path, fresh_path, held_out, packed, table, tidied, unpacked
 
 #: Posterior of the best language that a document needs.
 LEAST_SCORE = 0.5
@@ -62,11 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         with tidied():  # what a stage writes on its way goes when its rows are written
             made = stage(spark, docs, sf_dir)
             path = fresh_path(spark, "corpus", lasting=True)
             made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if former is not None:
+            drop_path(spark, former)
+        docs, former = spark.read.schema(made.schema).parquet(path), path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads the store alone
+    drop_path(spark, former)
+    return out

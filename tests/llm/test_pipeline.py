@@ -38,7 +38,7 @@ def test_each_stage_like_brute_force(spark, tables):
             groups = plain_components([(r[0], plain_fingerprint(r[1])) for r in before])
             expected = [r for r in before if groups[r[0], plain_fingerprint(r[1])] == r[0]]
         elif stage is cp.decontamination:
-            expected = [r for r in before if not plain_hits(r[1][:200_000], items)[1]]
+            expected = [r for r in before if not plain_hits(r[1], items)[1]]
         else:
             drawn = {r["doc_id"]: r["kept"] for r in mixing.mix_labelled(docs, spark.read.parquet(f"{tables}/labels.parquet")).collect()}
             expected = [r for r in before if drawn[r[0]]]
@@ -53,7 +53,7 @@ def test_run(spark, tables):
     before = set(folder.iterdir())
     assert cp.run(spark, tables).count() > 100
     left = sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
-    assert left == ["corpus"] * 4 + ["token"]  # each stage's rows and the store, nothing on the way
+    assert left == ["token"]  # the store, and no stage's rows
 
 
 def test_no_documents(spark, tables, tmp_path):
