@@ -61,10 +61,13 @@ def corrected(docs: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def transactions(edited: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ranges before and after each correction, and the blue mark it leaves."""
+    """Ranges before and after each correction, and the blue mark it leaves.
+
+    One counter numbers all that a session makes: a correction, then its mark.
+    """
     at = F.col("start") + F.col("shift")
     return edited.select(
-        key, "digest", F.concat(F.lit("correction-"), "n").alias("id"), "start", "end", "original", "replacement", "confidence", "reason_codes",
+        key, "digest", F.concat(F.lit("correction-"), 2 * F.col("n") - 1).alias("id"), F.concat(F.lit("mark-"), 2 * F.col("n")).alias("mark_id"), "start", "end", "original", "replacement", "confidence", "reason_codes",
         at.alias("new_start"), (at + F.length("replacement")).alias("new_end"), F.lit("blue_applied_correction").alias("mark"),
     )
 
@@ -81,6 +84,27 @@ def reverted(texts: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFram
     return joined.withColumn("result", result).withColumn("text", F.when(F.col("result") == "reverted", spans.replaced(F.col("text"), F.col("new_start"), F.col("new_end"), F.col("original"))).otherwise(F.col("text")))
 
 
+def suggested(texts: DataFrame, marks: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Suggestions taken from the popovers of red marks, each tried alone: result, the transaction and the text after it.
+
+    ``chosen`` (key, mark_id, suggestion), ``marks`` (key, mark_id, mark_start, mark_end,
+    mark_text, original, reason_codes) and ``texts`` (key, text).  ``missing_mark`` where there is
+    no such mark, ``stale_range`` where its range no longer holds its text as a word, else
+    ``applied``: a transaction of full confidence that the popover triggered, and a blue mark.
+    """
+    joined = chosen.join(marks, [key, "mark_id"], "left").join(texts.select(key, "text"), key, "left")
+    fits = spans.still_matches(F.col("text"), F.col("mark_start"), F.col("mark_end"), F.col("mark_text"))
+    result = F.when(F.col("mark_start").isNull(), "missing_mark").when(fits, "applied").otherwise("stale_range")
+    done = F.col("result") == "applied"
+    of = lambda c, name: F.when(done, c).alias(name)
+    return joined.withColumn("result", result).select(
+        key, "mark_id", "result", of(F.col("mark_start"), "start"), of(F.col("mark_end"), "end"), of(F.coalesce("original", "mark_text"), "original"), of(F.col("suggestion"), "replacement"),
+        of(F.col("mark_start"), "new_start"), of(F.col("mark_start") + F.length("suggestion"), "new_end"), of(F.lit("popover"), "trigger"), of(F.lit(1.0), "confidence"),
+        of(F.coalesce("reason_codes", F.expr("cast(array() as array<string>)")), "reason_codes"), of(F.lit("blue_applied_correction"), "mark"),
+        F.when(done, spans.replaced(F.col("text"), F.col("mark_start"), F.col("mark_end"), F.col("suggestion"))).otherwise(F.col("text")).alias("text"),
+    )
+
+
 def shifted(marks: DataFrame, edited: DataFrame, key: str = "doc_id") -> DataFrame:
     """Marks (key, mark_start, mark_end and others) after edits (key, start, end, replacement): moved by what stands before them, gone where one overlaps.
 

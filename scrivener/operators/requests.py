@@ -25,7 +25,8 @@ def lives(events: DataFrame, wait_ms: int = WAIT_MS, timeout_ms: int = TIMEOUT_M
     went before as any schedule does; so does a dismissal while nothing is shown.  A ghost
     that a schedule finds is dismissed by typing.  Gives key, request (1 for the first of a
     session), scheduled, ended (when something replaced it), sent, received, answered (a
-    response that counts), shown, acted and action; null where nothing of the kind happened.
+    response that counts), shown, acted and action; null where nothing of the kind happened;
+    and context_length of its schedule and completion_length of what was shown.
     """
     place = F.struct("at_ms", "seq")
     asks = (F.col("type") == "schedule") & (F.coalesce("context_length", F.lit(0)) >= LEAST_CONTEXT)
@@ -34,7 +35,7 @@ def lives(events: DataFrame, wait_ms: int = WAIT_MS, timeout_ms: int = TIMEOUT_M
     numbered = numbered.withColumn("n", F.sum(F.col("asks").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = lambda where: F.min(F.when(where, F.col("place")))
     short = (F.col("type") == "schedule") & ~F.col("asks")
-    spans = numbered.where("n > 0").groupBy(key, "n").agg(first(F.col("asks")).alias("begun"), first(F.col("type") == "cancel").alias("canceled"), first(short).alias("left"), first(F.col("type") == "dismiss").alias("dismissed"))
+    spans = numbered.where("n > 0").groupBy(key, "n").agg(first(F.col("asks")).alias("begun"), first(F.col("type") == "cancel").alias("canceled"), first(short).alias("left"), first(F.col("type") == "dismiss").alias("dismissed"), F.max(F.when(F.col("asks"), F.col("context_length"))).alias("context_length"))
     typed = F.least("left", F.lead("begun").over(Window.partitionBy(key).orderBy("n")))
     spans = spans.withColumn("typed", typed).withColumn("stop", F.least("canceled", "typed"))
     answers = numbered.where("type = 'response'").groupBy(key, F.col("request").alias("n")).agg(F.min("place").alias("reply"), F.min_by("text", "place").alias("text"))
@@ -55,11 +56,12 @@ def lives(events: DataFrame, wait_ms: int = WAIT_MS, timeout_ms: int = TIMEOUT_M
     return found.select(
         key, F.col("n").alias("request"), F.col("begun.at_ms").alias("scheduled"), F.col("stop.at_ms").alias("ended"), "sent", F.col("reply.at_ms").alias("received"), "answered",
         F.col("ghost.at_ms").alias("shown"), F.when(by_typing, F.col("stop.at_ms")).otherwise(F.col("act.at_ms")).alias("acted"), F.when(by_typing, "ghost_dismissed_by_typing").otherwise(F.col("by_user")).alias("action"),
+        "context_length", F.when(F.col("ghost").isNotNull(), F.length("text")).alias("completion_length"),
     )
 
 
 def metric_rows(found: DataFrame, timeout_ms: int = TIMEOUT_MS, key: str = "session") -> DataFrame:
-    """The metric events (key, at_ms, type, request) of :func:`lives`."""
+    """The metric events (key, at_ms, type, request) of :func:`lives`, with the lengths of the context and, from the answer on, of what was shown."""
     sent, ended, expires = F.col("sent"), F.col("ended"), F.col("sent") + timeout_ms
     in_time = F.col("answered").isNotNull()
     rows = {
@@ -72,4 +74,6 @@ def metric_rows(found: DataFrame, timeout_ms: int = TIMEOUT_MS, key: str = "sess
         "stale_response_dropped": F.when(~in_time, F.col("received")),
     }
     made = F.array(*[F.struct(at.alias("at_ms"), F.lit(t).alias("type")) for t, at in rows.items()], F.struct(F.col("acted").alias("at_ms"), F.col("action").alias("type")))
-    return found.select(key, "request", F.explode(made).alias("m")).select(key, "m.at_ms", "m.type", "request").where("at_ms is not null and type is not null")
+    told = found.select(key, "request", "context_length", "completion_length", F.explode(made).alias("m")).where("m.at_ms is not null and m.type is not null")
+    later = F.col("m.type").isin("provider_latency", "ghost_shown", "ghost_accepted") | F.col("m.type").startswith("ghost_dismissed")
+    return told.select(key, "m.at_ms", "m.type", "request", "context_length", F.when(later, F.col("completion_length")).alias("completion_length"))

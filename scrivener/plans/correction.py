@@ -185,7 +185,7 @@ def corrected_docs(spark, sf_dir):
     return marks.corrected(docs, marks.edit_lists(docs, user_decisions(spark))).select("doc_id", "text", "n_edits")
 
 
-SQL_TRANSACTIONS = """SELECT doc_id, 'correction-' || row_number() OVER w AS id, start, end_ AS "end", original, replacement,
+SQL_TRANSACTIONS = """SELECT doc_id, 'correction-' || (2 * row_number() OVER w - 1) AS id, start, end_ AS "end", original, replacement,
  start + coalesce(sum(length(replacement) - length(original)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_start FROM edits WINDOW w AS (PARTITION BY doc_id ORDER BY start)"""
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.text import placed
-from ..operators import editor, locking, markdown, ranks, snapshots, tokens
+from ..operators import editor, locking, markdown, marks, ranks, snapshots, tokens
 from ..streaming import answers
-from .correction import read
+from .correction import SQL_PLACED, read, user_edits
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,8 +47,8 @@ def marks_through_edits(spark, sf_dir):
     """Marks on the words of each turn through three edits of it: how many live, and where they are at last."""
     found = snapshots.scripts(edited_turns(spark, sf_dir), "place", "version")
     words = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("place"), F.explode(placed(F.col("text"), "[a-z]{4,}")).alias("w"))
-    marks = words.select("place", F.lit(0).alias("version"), F.col("w.start").alias("mark_start"), (F.col("w.start") + F.length("w.piece")).alias("mark_end"))
-    lived = snapshots.carried(marks, found, "place", "version")
+    set_ = words.select("place", F.lit(0).alias("version"), F.col("w.start").alias("mark_start"), (F.col("w.start") + F.length("w.piece")).alias("mark_end"))
+    lived = snapshots.carried(set_, found, "place", "version")
     return lived.groupBy("place.conv_id", "place.turn").agg(
         F.count("*").alias("marks"), F.count_if(F.col("lost_at") == 1).alias("lost_1"), F.count_if(F.col("lost_at") == 2).alias("lost_2"),
         F.sum("mark_start").alias("places"), F.sum(F.col("mark_end") - F.col("mark_start")).alias("sizes"),
@@ -153,6 +153,21 @@ def selection_news(spark, sf_dir):
     return editor.selection_dismissals(rows, "session", "seq").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(rf"""WITH {SQL_PLACED}, m AS (SELECT doc_id, start, end_, original, upper(replacement) AS suggestion, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM edits),
+d AS (SELECT doc_id, text FROM documents), j AS (SELECT m.*, text, CASE WHEN n % 3 = 0 THEN 'missing_mark' WHEN n % 3 = 1 THEN 'applied' ELSE 'stale_range' END AS result FROM m JOIN d USING (doc_id))
+SELECT doc_id, n::BIGINT AS mark_id, result, CASE WHEN result = 'applied' THEN start::INT END AS start, CASE WHEN result = 'applied' THEN (start + length(suggestion))::INT END AS new_end,
+ CASE WHEN result = 'applied' THEN original END AS original, CASE WHEN result = 'applied' THEN suggestion END AS replacement, md5(CASE WHEN result = 'applied' THEN left(text, start::BIGINT) || suggestion || substr(text, end_::BIGINT + 1) ELSE text END) AS text_md5 FROM j""")
+def popover_suggestions(spark, sf_dir):
+    """A suggestion taken at each place of a correction: every third mark is gone, and every third stands a character off."""
+    edited = user_edits(spark, sf_dir)
+    third = F.col("n") % 3
+    off = (third == 2).cast("int")
+    kept = edited.where(third != 0).select("doc_id", F.col("n").cast("long").alias("mark_id"), (F.col("start") + off).alias("mark_start"), (F.col("end") + off).alias("mark_end"), F.col("original").alias("mark_text"), "original", "reason_codes")
+    chosen = edited.select("doc_id", F.col("n").cast("long").alias("mark_id"), F.upper("replacement").alias("suggestion"))
+    found = marks.suggested(read(spark, sf_dir, "documents"), kept, chosen)
+    return found.select("doc_id", "mark_id", "result", "start", "new_end", "original", "replacement", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def syntax_tokens(spark, sf_dir):
     """Tokens of each turn that the Markdown structure protects, and those that its lines protect.
 

@@ -103,3 +103,14 @@ def test_corrections_found_by_pattern_and_by_join(spark, monkeypatch, few):
     assert {(d, t) for d, t, _ in changed if d in (1, 2, 3, 4)} == {(2, "the "), (3, "ateh the: (the) the.. x")}
     assert {(d, t) for d, t, _ in changed if d in (5, 6, 9)} == {(5, "a.b a.b. a.b, [the]")}  # the others look protected
     assert marks.edits(docs, decided.where("action = 'do_nothing'")).count() == 0
+
+
+def test_suggestions_from_popovers(spark):
+    texts = spark.createDataFrame([(1, "a tset here"), (2, "a tsets here"), (3, "tset")], "doc_id long, text string")
+    red = spark.createDataFrame([(1, "m1", 2, 6, "tset", None, ["U"]), (2, "m1", 2, 6, "tset", None, None), (3, "m2", 0, 4, "tset", "Tset", None)], "doc_id long, mark_id string, mark_start int, mark_end int, mark_text string, original string, reason_codes array<string>")
+    chosen = spark.createDataFrame([(1, "m1", "test"), (1, "m9", "x"), (2, "m1", "test"), (3, "m2", "set")], "doc_id long, mark_id string, suggestion string")
+    rows = {(r["doc_id"], r["mark_id"]): r for r in marks.suggested(texts, red, chosen).collect()}
+    assert {k: r["result"] for k, r in rows.items()} == {(1, "m1"): "applied", (1, "m9"): "missing_mark", (2, "m1"): "stale_range", (3, "m2"): "applied"}
+    one, other = rows[1, "m1"], rows[3, "m2"]
+    assert (one["text"], one["start"], one["new_end"], one["trigger"], one["confidence"], one["reason_codes"], one["mark"]) == ("a test here", 2, 6, "popover", 1.0, ["U"], "blue_applied_correction")
+    assert (other["text"], other["original"], other["new_end"], other["reason_codes"]) == ("set", "Tset", 3, []) and rows[2, "m1"]["text"] == "a tsets here" and rows[2, "m1"]["trigger"] is None
