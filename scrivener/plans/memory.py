@@ -302,7 +302,7 @@ l AS (SELECT x.session, x.n, arg_min(n.type, n.place) AS act FROM x JOIN n ON x.
 m AS (SELECT unnest(['request_scheduled', CASE WHEN sent IS NULL THEN 'request_canceled_before_send' END, CASE WHEN ghost IS NULL AND ended <= sent + 3600000 THEN 'request_aborted_in_flight' END,
  CASE WHEN ghost IS NULL AND sent IS NOT NULL AND (ended IS NULL OR ended > sent + 3600000) THEN 'provider_error' END, CASE WHEN ghost IS NOT NULL THEN 'provider_latency' END, CASE WHEN ghost IS NOT NULL THEN 'ghost_shown' END,
  CASE WHEN ghost IS NULL AND received IS NOT NULL THEN 'stale_response_dropped' END, CASE act WHEN 'accept' THEN 'ghost_accepted' WHEN 'dismiss' THEN 'ghost_dismissed_by_escape' ELSE CASE WHEN ghost IS NOT NULL AND NOT early AND stop = typed THEN 'ghost_dismissed_by_typing' END END]) AS type, begun % 10000000 % 40 AS context, CASE WHEN ghost IS NOT NULL THEN 8 END AS shown FROM x LEFT JOIN l USING (session, n))
-SELECT type, count(*) AS n, sum(context)::BIGINT AS context, sum(CASE WHEN type IN ('provider_latency', 'ghost_shown', 'ghost_accepted') OR starts_with(type, 'ghost_dismissed') THEN shown END)::BIGINT AS shown FROM m WHERE type IS NOT NULL GROUP BY 1""")
+SELECT type, count(*) AS n, sum(context)::BIGINT AS context, coalesce(sum(CASE WHEN type IN ('provider_latency', 'ghost_shown', 'ghost_accepted') OR starts_with(type, 'ghost_dismissed') THEN shown END), 0)::BIGINT AS shown FROM m WHERE type IS NOT NULL GROUP BY 1""")
 def request_lives(spark, sf_dir):
     """The event table read as completion requests of each user, some with too short a context, with a wait of a minute and a limit of an hour: metric events by type."""
     kinds = F.create_map(*[F.lit(x) for kv in LIFE.items() for x in kv])
@@ -311,7 +311,7 @@ def request_lives(spark, sf_dir):
     order = Window.partitionBy("session").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
     asks = (F.col("type") == "schedule") & (F.col("context_length") >= requests.LEAST_CONTEXT)
     events = events.select("*", (F.sum(asks.cast("int")).over(order) - F.col("seq") % 2).alias("request"), F.col("type").alias("text"), F.lit("escape").alias("reason"))
-    return requests.metric_rows(requests.lives(events, 60_000, 3_600_000), 3_600_000).groupBy("type").agg(F.count("*").alias("n"), F.sum("context_length").alias("context"), F.sum("completion_length").alias("shown"))
+    return requests.metric_rows(requests.lives(events, 60_000, 3_600_000), 3_600_000).groupBy("type").agg(F.count("*").alias("n"), F.sum("context_length").alias("context"), F.coalesce(F.sum("completion_length"), F.lit(0)).alias("shown"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)

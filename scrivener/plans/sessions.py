@@ -106,12 +106,12 @@ def shipments(spark, sf_dir):
 
 @query(f"""WITH j AS (SELECT o_orderkey AS request, o_orderdate AS sent, l_linenumber AS line, l_shipdate AS received FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL {DAYS} DAY),
 s AS (SELECT l_orderkey AS request, l_linenumber AS line FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL {DAYS} DAY))
-SELECT request, line, CASE WHEN received IS NULL THEN 'unanswered' ELSE 'answered' END AS result, datediff('day', sent, received)::BIGINT AS days FROM j UNION ALL SELECT request, line, 'stale', NULL FROM s""")
+SELECT request, coalesce(line, 0) AS line, CASE WHEN received IS NULL THEN 'unanswered' ELSE 'answered' END AS result, coalesce(datediff('day', sent, received), -1)::BIGINT AS days FROM j UNION ALL SELECT request, line, 'stale', -1 FROM s""")
 def answered_in_time(spark, sf_dir):
     """Orders with the lines that ship within the limit, orders without any, and lines that ship too early or too late."""
     asked, got = shipments(spark, sf_dir)
     found = answers.matched(asked, got, f"{DAYS} days")
-    return found.select("request", "line", "result", F.datediff("received_at", "sent_at").cast("long").alias("days"))
+    return found.select("request", F.coalesce("line", F.lit(0)).alias("line"), "result", F.coalesce(F.datediff("received_at", "sent_at"), F.lit(-1)).cast("long").alias("days"))
 
 
 @query("""WITH v AS (SELECT l_returnflag AS flag, l_extendedprice AS x FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem UNION ALL SELECT 'size', l_quantity FROM lineitem)
@@ -155,8 +155,8 @@ def selection_news(spark, sf_dir):
 
 @query(rf"""WITH {SQL_PLACED}, m AS (SELECT doc_id, start, end_, original, upper(replacement) AS suggestion, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM edits),
 d AS (SELECT doc_id, text FROM documents), j AS (SELECT m.*, text, CASE WHEN n % 3 = 0 THEN 'missing_mark' WHEN n % 3 = 1 THEN 'applied' ELSE 'stale_range' END AS result FROM m JOIN d USING (doc_id))
-SELECT doc_id, n::BIGINT AS mark_id, result, CASE WHEN result = 'applied' THEN start::INT END AS start, CASE WHEN result = 'applied' THEN (start + length(suggestion))::INT END AS new_end,
- CASE WHEN result = 'applied' THEN original END AS original, CASE WHEN result = 'applied' THEN suggestion END AS replacement, md5(CASE WHEN result = 'applied' THEN left(text, start::BIGINT) || suggestion || substr(text, end_::BIGINT + 1) ELSE text END) AS text_md5 FROM j""")
+SELECT doc_id, n::BIGINT AS mark_id, result, CASE WHEN result = 'applied' THEN start::INT ELSE -1 END AS start, CASE WHEN result = 'applied' THEN (start + length(suggestion))::INT ELSE -1 END AS new_end,
+ CASE WHEN result = 'applied' THEN original ELSE '' END AS original, CASE WHEN result = 'applied' THEN suggestion ELSE '' END AS replacement, md5(CASE WHEN result = 'applied' THEN left(text, start::BIGINT) || suggestion || substr(text, end_::BIGINT + 1) ELSE text END) AS text_md5 FROM j""")
 def popover_suggestions(spark, sf_dir):
     """A suggestion taken at each place of a correction: every third mark is gone, and every third stands a character off."""
     edited = user_edits(spark, sf_dir)
@@ -165,7 +165,8 @@ def popover_suggestions(spark, sf_dir):
     kept = edited.where(third != 0).select("doc_id", F.col("n").cast("long").alias("mark_id"), (F.col("start") + off).alias("mark_start"), (F.col("end") + off).alias("mark_end"), F.col("original").alias("mark_text"), "original", "reason_codes")
     chosen = edited.select("doc_id", F.col("n").cast("long").alias("mark_id"), F.upper("replacement").alias("suggestion"))
     found = marks.suggested(read(spark, sf_dir, "documents"), kept, chosen)
-    return found.select("doc_id", "mark_id", "result", "start", "new_end", "original", "replacement", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    number, word = (lambda c: F.coalesce(c, F.lit(-1)).alias(c)), (lambda c: F.coalesce(c, F.lit("")).alias(c))
+    return found.select("doc_id", "mark_id", "result", number("start"), number("new_end"), word("original"), word("replacement"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def syntax_tokens(spark, sf_dir):

@@ -41,7 +41,8 @@ def test_same_rows(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_its_sql():
-    assert registry.QUERIES.keys() == registry.ORACLES.keys()
+    beyond = {"syntax_tokens", "page_syntax"}  # a parse, which test_markdown.py compares with a plain reader's
+    assert registry.QUERIES.keys() - beyond == registry.ORACLES.keys()
 
 
 def test_entry(spark):
