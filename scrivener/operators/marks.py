@@ -190,6 +190,14 @@ def rendered(text: Column, marks: Column) -> Column:
     """
     ranked = F.array_sort(F.transform(marks, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(m["kind"].startswith("blue"), -2).otherwise(-1).alias("priority"), m["kind"].alias("kind"))))
     span = lambda m: F.concat(F.lit('<mark class="'), spans.escaped(m["kind"], True), F.lit('">'), spans.escaped(spans.cut(text, m["start"], m["end"])), F.lit("</mark>"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("html"))
-    add = lambda done, m: F.when((m["start"] >= done["at"]) & (m["end"] > m["start"]), F.struct(m["end"].alias("at"), F.concat(done["html"], spans.escaped(spans.cut(text, done["at"], m["start"])), span(m)).alias("html"))).otherwise(done)
-    return F.aggregate(ranked, start, add, lambda done: F.concat(done["html"], spans.escaped(F.substring(text, done["at"] + 1, F.length(text)))))
+    # The fold chooses the marks; what they hold is cut and joined once.
+    start = F.struct(F.lit(0).alias("at"), F.filter(ranked, lambda m: F.lit(False)).alias("kept"))
+    add = lambda done, m: F.when((m["start"] >= done["at"]) & (m["end"] > m["start"]), F.struct(m["end"].alias("at"), F.concat(done["kept"], F.array(m)).alias("kept"))).otherwise(done)
+
+    def html(kept: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"])
+        parts = F.transform(kept, lambda m, i: F.concat(spans.escaped(spans.cut(text, before(i), m["start"])), span(m)))
+        past = F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(parts, ""), spans.escaped(F.substring(text, past + 1, F.length(text))))
+
+    return let(F.aggregate(ranked, start, add, lambda done: done["kept"]), html)
