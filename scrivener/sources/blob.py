@@ -5,14 +5,16 @@ u16 zero, u32 words, u32 string table length), 14 bytes for each word (u32 offse
 u16 length, u32 frequency, u32 flags), the string table, the language.  The magic
 is a parameter, so files of other writers of this layout can be read.
 
-``spark.read.format("dictionary").option("path", p)`` gives the words of a file;
+``spark.read.format("dictionary").option("path", p)`` gives the words of a file, or of all
+files of a folder that the tasks can open, each in a partition of its own;
 ``df.coalesce(1).write.format("dictionary")`` writes one (a few thousand words, by
-definition of the format) to a path that is local to its task: for a store that only
-Spark reaches, take :func:`blobs` and write its column.  ``mode`` strict applies the limits of the engine.
+definition of the format) to a path that the driver can open. For a store that only
+Spark reaches, read with :func:`decoded`, and take :func:`blobs` and write its column.  ``mode`` strict applies the limits of the engine.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -121,7 +123,10 @@ class DictionaryReader(DataSourceReader):
         self.magic = options.get("magic", MAGIC.decode()).encode()
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        """One for each file: the path, or those of a folder."""
+        if not os.path.isdir(self.path):
+            return [InputPartition(self.path)]
+        return [InputPartition(os.path.join(self.path, n)) for n in sorted(os.listdir(self.path)) if not n.startswith((".", "_"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, "rb") as f:
@@ -130,41 +135,35 @@ class DictionaryReader(DataSourceReader):
 
 @dataclass
 class Part(WriterCommitMessage):
-    path: str | None
+    content: bytes | None
 
 
 class DictionaryWriter(DataSourceWriter):
     """Writes one file from one partition.
 
-    A partition leaves its bytes as a part of its own beside the path, and the commit moves
-    the one that has words into place; of two, a file would hold one's words only, so that
-    is an error and nothing is left.
+    A partition sends its bytes (a few thousand words at most) with its message, so nothing
+    lies on the disk of its machine; the commit puts those that have words into place. Of two, a
+    file would hold one's words only, so that is an error and nothing is left.
     """
 
     def __init__(self, options: dict):
         self.path, self.language, self.magic = options["path"], options.get("language", "en-US"), options.get("magic", MAGIC.decode()).encode()
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        found = sorted(((r["load_order"], r["word"], r["frequency"], r["flags"]) for r in rows), key=lambda r: r[0])
-        if not found:
-            return Part(None)
-        part = f"{self.path}.part-{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            f.write(encode([r[1:] for r in found], self.language, self.magic))
-        return Part(part)
+        found = sorted(((r["load_order"], r["word"], r["frequency"], r["flags"]) for r in itertools.islice(rows, WORDS + 1)), key=lambda r: r[0])
+        if len(found) > WORDS:
+            raise DictionaryError(INVALID_INPUT, f"more than {WORDS} words")
+        return Part(encode([r[1:] for r in found], self.language, self.magic) if found else None)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        parts = [m.path for m in messages if m is not None and m.path]
+        parts = [m.content for m in messages if m is not None and m.content]
         if len(parts) > 1:
-            self.abort(messages)
             raise DictionaryError(INVALID_INPUT, f"words in {len(parts)} partitions: coalesce(1) before writing a dictionary")
         if parts:
-            os.replace(parts[0], self.path)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for message in messages:
-            if message is not None and message.path and os.path.exists(message.path):
-                os.remove(message.path)
+            making = f"{self.path}.making-{uuid.uuid4().hex}"
+            with open(making, "wb") as f:
+                f.write(parts[0])
+            os.replace(making, self.path)
 
 
 def register(spark: SparkSession) -> None:

@@ -117,6 +117,22 @@ def test_a_dictionary_is_written_from_one_partition(spark, tmp_path):
     assert [r["word"] for r in spark.read.format("dictionary").option("path", path).load().collect()] == ["ab", "cd", "ef", "gh"]
 
 
+def test_a_folder_of_dictionaries_has_a_partition_for_each_file(spark, tmp_path):
+    blob.register(spark)
+    for name, words in (("a.bin", ["ab", "cd"]), ("b.bin", ["ef"]), ("c.bin", [])):
+        if words:
+            rows = spark.createDataFrame([(k, w, 1, 0) for k, w in enumerate(words)], blob.SCHEMA).coalesce(1)
+            rows.write.format("dictionary").mode("append").option("path", str(tmp_path / name)).save()
+        else:
+            (tmp_path / name).write_bytes(blob.encode([]))
+    found = spark.read.format("dictionary").option("path", str(tmp_path)).load()
+    assert sorted(r["word"] for r in found.collect()) == ["ab", "cd", "ef"] and found.rdd.getNumPartitions() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.bin", "b.bin", "c.bin"]
+    many = spark.range(blob.WORDS + 1).selectExpr("cast(id as int) load_order", "concat('w', id) word", "cast(1 as bigint) frequency", "cast(0 as bigint) flags")
+    with pytest.raises(Exception, match="more than"):
+        many.coalesce(1).write.format("dictionary").mode("append").option("path", str(tmp_path / "d.bin")).save()
+
+
 def test_failures_of_providers(spark):
     def answer(request):
         raise {"http": provider.HttpError("503"), "stop": InterruptedError(), "net": ConnectionError(), "odd": KeyError()}[request]
