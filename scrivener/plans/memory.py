@@ -285,7 +285,7 @@ def dismissal_types(spark, sf_dir):
 
 
 LIFE = {"click": "schedule", "view": "response", "purchase": "accept", "error": "cancel", "signup": "dismiss"}
-SQL_LIFE = "e AS (SELECT user_id AS session, event_id AS seq, epoch_ms(ts) AS at_ms, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LIFE.items()) + " END AS type FROM events)"
+SQL_LIFE = "e AS (SELECT user_id AS session, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LIFE.items()) + " END AS type FROM events)"
 
 
 @query(f"""WITH {SQL_LIFE}, p AS (SELECT *, at_ms::HUGEINT * 10000000 + seq AS place, type = 'schedule' AND seq % 40 >= {requests.LEAST_CONTEXT} AS asks FROM e),

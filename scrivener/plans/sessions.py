@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.text import placed
-from ..operators import editor, locking, markdown, marks, ranks, snapshots, tokens
+from ..operators import editor, locking, markdown, marks, metrics, ranks, snapshots, tokens
 from ..streaming import answers
 from .correction import SQL_PLACED, read, user_edits
 
@@ -169,6 +169,61 @@ def popover_suggestions(spark, sf_dir):
     return found.select("doc_id", "mark_id", "result", number("start"), number("new_end"), word("original"), word("replacement"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(rf"""WITH {SQL_PLACED}, m AS (SELECT doc_id, start::INT AS start, end_::INT AS "end", 'blue_applied_correction' AS kind FROM edits UNION ALL SELECT doc_id, start::INT, end_::INT, 'red_spelling_issue' FROM edits WHERE start % 2 = 0)
+SELECT doc_id, start, "end", kind, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind)::INT AS n FROM m""")
+def numbered_marks(spark, sf_dir):
+    """The marks of each document by their order; at every second place a red one stands under the blue one."""
+    blue = user_edits(spark, sf_dir).select("doc_id", "start", "end", F.lit("blue_applied_correction").alias("kind"))
+    red = blue.where(F.col("start") % 2 == 0).withColumn("kind", F.lit("red_spelling_issue"))
+    return editor.numbered(red.unionByName(blue))
+
+
+SQL_SURVIVES = "SELECT conv_id, turn, left(text, 5) AS original, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 5) AS now FROM conversations"
+
+
+@query(f"""WITH f AS ({SQL_SURVIVES}), g AS (SELECT * FROM f WHERE now IS NOT NULL AND length(original) = 5)
+SELECT conv_id, count(*) FILTER (now = original) AS same, count(*) FILTER (CASE WHEN turn % 2 = 0 THEN length(now) = 5 ELSE now = original END) AS decorated, count(*) FILTER (turn % 3 > 0) AS current FROM g GROUP BY 1""")
+def marks_that_survive(spark, sf_dir):
+    """Marks on the first five characters of each turn when the next takes its place: by text, as decorations, and by version."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("place"), "turn", "text", after.alias("next")).where("next is not null and length(text) >= 5")
+    kind = F.when(F.col("turn") % 2 == 0, "blue_applied_correction").otherwise("red_spelling_issue").alias("kind")
+    set_ = turns.select("place", F.lit(0).alias("mark_start"), F.lit(5).alias("mark_end"), F.left("text", F.lit(5)).alias("original"), F.left("next", F.lit(5)).alias("replacement"), kind, F.lit(1).alias("version"))
+    now = turns.select("place", F.col("next").alias("text"), F.when(F.col("turn") % 3 > 0, 1).otherwise(2).alias("version"))
+    kept = None
+    for name, policy in (("same", "same_offset"), ("decorated", "decoration"), ("current", "version")):
+        found = marks.surviving(set_, now, policy, "place").select("place", F.lit(name).alias("policy"))
+        kept = found if kept is None else kept.unionByName(found)
+    every = turns.select("place", F.lit("all").alias("policy"))
+    return every.unionByName(kept).groupBy("place.conv_id").agg(*[F.count_if(F.col("policy") == n).alias(n) for n in ("same", "decorated", "current")])
+
+
+ACTIONS = {"click": "apply_suggestion", "view": "ignore_once", "purchase": "always_correct", "error": "disable_autocorrect", "signup": "add_to_dictionary"}
+
+
+@query(f"""WITH a AS (SELECT CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items())} END AS action_type, props FROM events)
+SELECT action_type, CASE action_type WHEN 'disable_autocorrect' THEN '' WHEN 'add_to_dictionary' THEN upper(props) ELSE props END AS original, CASE WHEN action_type IN ('apply_suggestion', 'always_correct') THEN lower(props) || '!' ELSE '' END AS replacement,
+ CASE action_type WHEN 'apply_suggestion' THEN 'applied' WHEN 'ignore_once' THEN 'removed' WHEN 'disable_autocorrect' THEN 'session' ELSE 'saved' END AS result, count(*) AS n FROM a WHERE props IS NOT NULL GROUP BY ALL""")
+def action_reports(spark, sf_dir):
+    """The event table read as user actions: what is reported of each."""
+    kinds = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
+    acts = read(spark, sf_dir, "events").where("props is not null").select(kinds[F.col("event_type")].alias("type"), F.col("props").alias("original"), F.concat(F.lower("props"), F.lit("!")).alias("replacement"), F.upper("props").alias("word"))
+    return editor.reported(acts).groupBy("action_type", "original", "replacement", "result").agg(F.count("*").alias("n"))
+
+
+LEGS = {"click": "request_scheduled", "view": "request_sent", "purchase": "response_received", "error": "ghost_shown", "signup": "ghost_accepted"}
+
+
+@query("""WITH f AS (SELECT user_id AS request_id, min(epoch_us(ts) // 1000) FILTER (event_type = 'click') AS i, min(epoch_us(ts) // 1000) FILTER (event_type = 'view') AS s, min(epoch_us(ts) // 1000) FILTER (event_type = 'purchase') AS r,
+ min(epoch_us(ts) // 1000) FILTER (event_type = 'error') AS g, min(epoch_us(ts) // 1000) FILTER (event_type = 'signup') AS a FROM events GROUP BY 1)
+SELECT request_id, coalesce(s - i, 0) AS input_to_request_ms, coalesce(r - s, 0) AS request_to_response_ms, coalesce(g - i, 0) AS input_to_ghost_ms, coalesce(a - g, 0) AS ghost_to_action_ms FROM f""")
+def request_times(spark, sf_dir):
+    """The legs of a request, from each user's first events of every kind; nought where one is missing."""
+    kinds = F.create_map(*[F.lit(x) for kv in LEGS.items() for x in kv])
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), kinds[F.col("event_type")].alias("type"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return metrics.request_timings(rows).fillna(0)
+
+
 def syntax_tokens(spark, sf_dir):
     """Tokens of each turn that the Markdown structure protects, and those that its lines protect.
 
