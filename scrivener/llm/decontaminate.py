@@ -124,7 +124,7 @@ def occurrences(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
 
 
 def passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in groups of about PASS_BYTES, one group in the driver at a time."""
+    """The benchmark's items in groups of about PASS_BYTES; the caller holds one, or two while it asks whether there is another."""
     known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id is not null and text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-size // PASS_BYTES) or 1
