@@ -8,8 +8,10 @@ The upper levels of a vantage-point tree, fitted on a bounded sample, divide all
 into cells; a cell knows the nearest and farthest distance of its members to each vantage
 point above it, which bounds their distance to any anchor.  Requests visit the nearest cell
 that meets their annulus first.  What they find there shrinks the annulus, and only cells
-that still meet it are visited then.  A cell is dealt in blocks of bounded size, each with
-a tree of its own whose leaves are taken nearest first until the next cannot do better.
+that still meet it are visited then.  A cell is dealt on shelves of bounded size, to which a
+request travels once.  A shelf is divided into blocks, each with a tree of its own whose
+leaves are taken nearest first until the next cannot do better; what a request finds in one
+block shortens its search of the next.
 
 Positives are found in the same way, as the nearest rows of the anchor's label.
 """
@@ -29,8 +31,12 @@ from .common import staged
 SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
 #: Percent of the positive's score that a negative's may have.
 LOW, HIGH = 50, 95
-#: Rows of a block, rows of a leaf, and requests to a block in one task.
+#: Rows of a block, rows of a leaf, and requests to a shelf in one task.
 BLOCK, LEAF, REQUESTS = 1024, 64, 20_000
+#: Shelves at least, where they hold more than a block each, and components on a shelf at most.
+SHELVES, SHELF = 64, 2**20
+#: Entries of a table of distances that a task computes at once, rows that it passes on and requests that it searches for at once.
+AT_ONCE, ROWS, ASKS = 2**19, 4096, 4096
 #: Vectors that the upper tree is fitted on at most, and its levels at most.
 SAMPLE, LEVELS = 16_384, 12
 #: Below this, sums of products are exact in double precision.
@@ -175,9 +181,17 @@ def fit_cells(sample: np.ndarray, square: float, levels: int) -> Cells:
     return cells
 
 
+def slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose tables with ``width`` columns stay within AT_ONCE entries."""
+    step = max(1, AT_ONCE // max(1, width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def assign(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
     """Adds to rows (row, vec_id, label, v) their cell and the distances to the vantage points above it."""
-    for batch in batches:
+    for batch in slices(batches, len(cells.points)):
         d = distances(lifted(matrix(batch.column("v"), cells.size), cells.square), cells.points)
         cell = cells.of(d)
         above = [d[i, cells.paths[c]].tolist() for i, c in enumerate(cell.tolist())]
@@ -197,7 +211,7 @@ def reach(q: np.ndarray, batch: pa.RecordBatch, square: float) -> tuple[np.ndarr
 
 def route(batches: Iterator[pa.RecordBatch], tree: Tree, cells: Cells, members: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
     """Requests to the nearest cell that meets their annulus (``first``), or to all others that do; ``members``: cells that have any."""
-    for batch in batches:
+    for batch in slices(batches, len(cells.paths)):
         q = matrix(batch.column("v"), cells.size)
         low, high = tree.bounds(distances(stretched(q, cells.square), cells.points))
         least, most = reach(q, batch, cells.square)
@@ -209,7 +223,16 @@ def route(batches: Iterator[pa.RecordBatch], tree: Tree, cells: Cells, members:
         home[np.arange(len(home)), nearest] = True
         home &= np.isfinite(blank)
         rows, cell = np.nonzero(home if first else meets & ~home)
-        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+        for at in range(0, len(rows), ROWS):  # a request may meet all cells, so its copies leave as they are made
+            copies = batch.take(pa.array(rows[at : at + ROWS]))
+            yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(cell[at : at + ROWS].astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+
+def best_of(at: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of the k best of each ``at``, in order: by score, then vec_id, then row."""
+    rank = np.lexsort((rows, ids, ~scores, at))  # ~ turns the order of all integers
+    own = at[rank]
+    return rank[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
 HITS = "request long, row long, vec_id long, score long"
@@ -232,6 +255,7 @@ class Block:
         """
         if not hasattr(self, "tree"):
             self.tree, self.leaves = grow(lifted(self.v, square), LEAF)
+            self.parts = [np.ascontiguousarray(self.v[own].T) for own in self.leaves]
             self.largest = max(1.0, np.abs(self.v).max(initial=0))
         q = matrix(batch.column("v"), self.v.shape[1])
         request, row, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("request", "row", "label"))
@@ -254,26 +278,35 @@ class Block:
             going, leaf = going[alive], leaf[alive]
             if not len(going):
                 break
-            for n in np.unique(leaf):
-                asks, own = going[leaf == n], self.leaves[n]
-                scores = q[asks] @ self.v[own].T
-                fits = ((self.labels[own][None, :] == label[asks][:, None]) == same[asks][:, None]) & (self.rows[own][None, :] != row[asks][:, None])
-                fits &= (scores >= np.maximum(first[asks], best[asks, 0])[:, None]) & (scores <= last[asks][:, None])
-                seen += scores.size
-                i, j = np.nonzero(fits)
-                if not len(i):
-                    continue
-                kept.append((asks[i], own[j], scores[i, j]))
-                best[asks] = np.sort(np.concatenate([best[asks], np.where(fits, scores, -np.inf)], axis=1), axis=1)[:, -k:]
+            by = np.argsort(leaf, kind="stable")
+            for asks in np.split(going[by], np.flatnonzero(np.diff(leaf[by])) + 1):
+                n = order[asks[0], turn]
+                own, step = self.leaves[n], max(1, AT_ONCE // len(self.leaves[n]))
+                for part in (asks[x : x + step] for x in range(0, len(asks), step)):
+                    scores = q[part] @ self.parts[n]
+                    seen += scores.size
+                    i, j = np.nonzero(scores >= np.maximum(first[part], best[part, 0])[:, None])  # few are left for the other tests
+                    at, rows, score = part[i], own[j], scores[i, j]
+                    fits = ((self.labels[rows] == label[at]) == same[at]) & (self.rows[rows] != row[at]) & (score <= last[at])
+                    if not fits.any():
+                        continue
+                    i, j, score = i[fits], j[fits], score[fits]
+                    kept.append((at[fits], rows[fits], score))
+                    of, place = np.unique(i, return_inverse=True)
+                    better = np.full((len(of), len(own) + k), -np.inf)
+                    better[place, j], better[:, len(own) :] = score, best[part[of]]
+                    best[part[of]] = np.partition(better, -k, axis=1)[:, -k:]  # the worst of them stands first
+            if sum(len(x[0]) for x in kept) > AT_ONCE:  # many ties
+                at, own, scores = (np.concatenate(x) for x in zip(*kept))
+                top = best_of(at, scores.astype(np.int64), self.ids[own], self.rows[own], k)
+                kept = [(at[top], own[top], scores[top])]
             most[going] = np.minimum(most[going], radius(np.maximum(first[going], best[going, 0]), q[going], square) + slop)
         at, own, scores = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 3
         good = scores >= best[at, 0]
-        at, own, scores = at[good], own[good], scores[good]
-        rank = np.lexsort((self.rows[own], self.ids[own], -scores, at))
-        at, own, scores = at[rank], own[rank], scores[rank]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        at, own, scores = at[place < k], own[place < k], scores[place < k]
-        return [request[at], self.rows[own], self.ids[own], scores.astype(np.int64)], seen
+        at, own, scores = at[good], own[good], scores[good].astype(np.int64)
+        top = best_of(at, scores, self.ids[own], self.rows[own], k)
+        at, own, scores = at[top], own[top], scores[top]
+        return [request[at], self.rows[own], self.ids[own], scores], seen
 
     def search_wide(self, batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
         """As :meth:`search`, in Python's integers, for components so large that doubles would round; scores beyond 64 bits stop at the limit."""
@@ -285,54 +318,85 @@ class Block:
         return [np.array(c, np.int64) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
 
 
-def search_blocks(batches: Iterator[pa.RecordBatch], k: int, square: float, size: int) -> Iterator[pa.RecordBatch]:
-    """Each block's rows, then its requests, as they stream by; a block's rows are all that is held."""
-    key, parts, block = None, [], None
+class Shelf:
+    """Blocks of near rows, and the tree above them."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, square: float) -> None:
+        self.tree, members = grow(lifted(v, square), 2 * BLOCK)
+        self.blocks = [Block(rows[own], ids[own], labels[own], v[own]) for own in members]
+
+    def search(self, batch: pa.RecordBatch, k: int, square: float) -> list[np.ndarray]:
+        """request, row, vec_id and score of each request's k best here, from one block after the other."""
+        q, request = matrix(batch.column("v"), self.blocks[0].v.shape[1]), batch.column("request").to_numpy(zero_copy_only=False)
+        low, high = self.tree.bounds(distances(stretched(q, square), self.tree.points))
+        slop, order = SLOP * np.sqrt(square) + 1e-9, np.argsort(request, kind="stable")
+        reached = batch.column("reached").fill_null(-(2**63)).to_numpy(zero_copy_only=False).copy()
+        at, row, ids, score = (np.zeros(0, np.int64) for _ in range(4))
+        for n in np.argsort(low.mean(axis=0), kind="stable").tolist():
+            batch = batch.set_column(batch.schema.names.index("reached"), "reached", pa.array(reached))
+            least, most = reach(q, batch, square)
+            asks = np.flatnonzero((low[:, n] - slop <= most) & (high[:, n] + slop >= least))
+            found, _ = self.blocks[n].search(batch.take(pa.array(asks)), k, square) if len(asks) else ([[]], 0)
+            if not len(found[0]):
+                continue
+            place = order[np.searchsorted(request[order], found[0])]
+            at, row, ids, score = (np.concatenate(x) for x in zip((at, row, ids, score), (place, *found[1:])))
+            top = best_of(at, score, ids, row, k)
+            at, row, ids, score = at[top], row[top], ids[top], score[top]
+            full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)  # the k-th of those who have k
+            reached[at[full]] = np.maximum(reached[at[full]], score[full])
+        return [request[at], row, ids, score]
+
+
+def search_shelves(batches: Iterator[pa.RecordBatch], k: int, square: float, size: int) -> Iterator[pa.RecordBatch]:
+    """Each shelf's rows, then its requests, as they stream by; a shelf's rows are all that is held."""
+    key, parts, shelf = None, [], None
     for batch in batches:
-        cell, number, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "part", "asks"))
+        cell, number, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "shelf", "part", "asks"))
         change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
         for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
             if a == b:
                 continue
             own = (int(cell[a]), int(number[a]), int(part[a]))
             if own != key:
-                key, parts, block = own, [], None
+                key, parts, shelf = own, [], None
             piece = batch.slice(a, b - a)
             if not asks[a]:
                 parts.append((*(piece.column(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id", "label")), matrix(piece.column("v"), size)))
-            elif parts:
-                block = block or Block(*(np.concatenate(x) for x in zip(*parts)))
-                for at in range(0, piece.num_rows, 512):
-                    found, _ = block.search(piece.slice(at, 512), k, square)
+            elif parts or shelf:
+                if parts:
+                    shelf, parts = Shelf(*(np.concatenate(x) for x in zip(*parts)), square), []
+                for at in range(0, piece.num_rows, ASKS):
+                    found = shelf.search(piece.slice(at, ASKS), k, square)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["request", "row", "vec_id", "score"])
 
 
 @dataclass
 class Index:
-    """All rows by cell and block."""
+    """All rows by cell and shelf."""
 
     rows: DataFrame
     cells: Cells
     tree: Tree
     members: np.ndarray
-    blocks: DataFrame
+    shelves: DataFrame
 
     def visit(self, routed: DataFrame, k: int) -> DataFrame:
-        """The k best of each request in each block of the cells it was routed to."""
-        asked = routed.join(self.blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # Where a block has very many requests, they are dealt to several tasks, and its rows go to each.
-        counts = asked.groupBy("cell", "block").agg((F.floor(F.count("*") / REQUESTS) + 1).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("request"), F.col("parts")).cast("int").alias("part")
-        names = ("cell", "block", "part", "asks", "request", "row", "vec_id", "label", "v", "same", "lo", "hi", "reached")
+        """The k best of each request on each shelf of the cells it was routed to."""
+        # Where a cell has very many requests, they are dealt to several tasks, and its rows go to each.
+        parts = routed.groupBy("cell").agg((F.floor(F.count("*") / REQUESTS) + 1).cast("int").alias("parts"))
+        dealt = F.broadcast(self.shelves.join(parts, "cell"))  # at most 2 ** LEVELS rows
+        shelf, part = F.explode(F.sequence(F.lit(0), F.col("shelves") - 1)).alias("shelf"), F.pmod(F.xxhash64("request"), F.col("parts")).cast("int").alias("part")
+        names = ("cell", "shelf", "part", "asks", "request", "row", "vec_id", "label", "v", "same", "lo", "hi", "reached")
         none = lambda c, t: F.lit(None).cast(t).alias(c)
-        asks = asked.join(counts, ["cell", "block"]).select("cell", "block", part, F.lit(1).alias("asks"), "request", "row", none("vec_id", "long"), "label", "v", "same", "lo", "hi", "reached")
-        given = self.rows.join(counts, ["cell", "block"]).select(
-            "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), none("request", "long"), "row", "vec_id", "label", "v",
+        asks = routed.join(dealt, "cell").select("cell", shelf, part, F.lit(1).alias("asks"), "request", "row", none("vec_id", "long"), "label", "v", "same", "lo", "hi", "reached")
+        given = self.rows.join(dealt, "cell").select(
+            "cell", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), none("request", "long"), "row", "vec_id", "label", "v",
             none("same", "boolean"), none("lo", "long"), none("hi", "long"), none("reached", "long"),
         )
         square, size = self.cells.square, self.cells.size
-        both = given.select(*names).unionByName(asks.select(*names)).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "asks")
-        return both.mapInArrow(lambda it: search_blocks(it, k, square, size), HITS)
+        both = given.select(*names).unionByName(asks.select(*names)).repartition("cell", "shelf", "part").sortWithinPartitions("cell", "shelf", "part", "asks")
+        return both.mapInArrow(lambda it: search_shelves(it, k, square, size), HITS)
 
     def search(self, requests: DataFrame, k: int) -> DataFrame:
         """request, row, vec_id, score, rank: the k best rows of each request, by score, then vec_id, then row."""
@@ -347,11 +411,12 @@ class Index:
 
 
 def index(rows: DataFrame) -> Index:
-    """Deals ``rows`` (row, vec_id, label, v) into cells and blocks."""
+    """Deals ``rows`` (row, vec_id, label, v) into cells and shelves."""
     mass = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     about = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(mass), F.lit(0.0)).alias("square"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("size")).first()
     square, size = about["square"] * (1 + 1e-12), max(1, about["size"])
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, about["n"]) / BLOCK)))))
+    shelf = max(BLOCK, min(about["n"] // SHELVES, SHELF // size))  # rows
+    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, about["n"]) / shelf)))))
     sample = rows.orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").collect() if levels else []
     fitted = np.zeros((len(sample), size))
     for i, r in enumerate(sample):
@@ -363,10 +428,10 @@ def index(rows: DataFrame) -> Index:
     spans = [f(F.get("above", F.lit(d))).alias(f"{what}{d}") for d in range(depth) for f, what in ((F.min, "near"), (F.max, "far"))]
     known = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), *spans).collect()}  # at most 2 ** LEVELS rows
     near, far = ([[known[c][f"{what}{d}"] for d in range(len(path))] if c in known else [0.0] * len(path) for c, path in enumerate(cells.paths)] for what in ("near", "far"))
-    blocks = rows.sparkSession.createDataFrame([(c, -(-r["n"] // BLOCK)) for c, r in known.items()], "cell int, blocks int")
-    placed = dealt.join(F.broadcast(blocks), "cell").select("row", "vec_id", "label", "v", "cell", F.pmod(F.xxhash64(F.lit("block"), "row"), F.col("blocks")).cast("int").alias("block"))
+    shelves = rows.sparkSession.createDataFrame([(c, -(-r["n"] // shelf)) for c, r in known.items()], "cell int, shelves int")
+    placed = dealt.join(F.broadcast(shelves), "cell").select("row", "vec_id", "label", "v", "cell", F.pmod(F.xxhash64(F.lit("shelf"), "row"), F.col("shelves")).cast("int").alias("shelf"))
     members = np.array([c in known for c in range(len(cells.paths))])
-    return Index(placed, cells, Tree(cells.points, cells.paths, near, far), members, F.broadcast(blocks))
+    return Index(placed, cells, Tree(cells.points, cells.paths, near, far), members, F.broadcast(shelves))
 
 
 def hard_negatives(vectors: DataFrame, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = SCALE) -> DataFrame:

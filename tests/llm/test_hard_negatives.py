@@ -49,6 +49,39 @@ def test_like_brute_force(spark, sizes):
     assert found(spark.createDataFrame(rows, VECTORS)) == plain(rows)
 
 
+@pytest.mark.parametrize("asks", [4096, 7])
+def test_shelves_of_several_blocks(spark, monkeypatch, asks):
+    for name, value in (("BLOCK", 16), ("LEAF", 8), ("SHELVES", 3), ("ASKS", asks), ("AT_ONCE", 500), ("ROWS", 50)):
+        monkeypatch.setattr(hn, name, value)
+    rows = clustered(7, 600, spread=0.6)
+    rows += [(600 + k, rows[3][1], 3, 0, 0, 0, 0) for k in range(150)]  # a hot vector, all ties
+    assert found(spark.createDataFrame(rows, VECTORS)) == plain(rows)
+
+
+def test_memory_does_not_grow_with_cells():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.normal(size=(6000, 8)))
+    square = (v * v).sum(axis=1).max() * (1 + 1e-12)
+    cells, n = hn.fit_cells(v, square, 9), len(v)
+    paths = cells.paths
+    tree = hn.Tree(cells.points, paths, [[0.0] * len(p) for p in paths], [[np.inf] * len(p) for p in paths])  # nothing is pruned
+    long = lambda x: pa.array(x, pa.int64())
+    vectors = pa.array(v.astype(int).tolist(), pa.list_(pa.int64()))
+    rows = pa.RecordBatch.from_arrays([long(range(n)), long(range(n)), long([0] * n), vectors], names=["row", "vec_id", "label", "v"])
+    asked = pa.RecordBatch.from_arrays([long(range(n)), long(range(n)), long([0] * n), vectors, pa.array([True] * n), *[long([None] * n)] * 3], names=["request", "row", "label", "v", "same", "lo", "hi", "reached"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in hn.assign(iter([rows]), cells)) == n
+    copies = [b.num_rows for b in hn.route(iter([asked]), tree, cells, np.ones(len(paths), bool), False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(paths) > 500 and sum(copies) == n * (len(paths) - 1) and max(copies) <= 10_000
+    assert peak < 60e6  # a table of all distances alone takes 24 MB, and several were held
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 2.0], 1), (50, [0.5, -0.5], 1), (100, [0.0, 0.0], 2), (1, None, 1), (2, [None, 1.0], 1), (3, [float("nan"), 1.0], 1), (4, [float("inf"), 1.0], 1), (5, [-1.0, -1.0], 1),
