@@ -49,6 +49,32 @@ def test_replay_fires_for_every_delimiter(spark):
     assert [(r["offset"], r["token"]) for r in tokens.replayed_tokens(docs).orderBy("offset").collect()] == [(4, "foo"), (5, "foo"), (7, "a")]
 
 
+def test_replay_like_a_look_back_at_every_delimiter(spark):
+    some = random.Random(4)
+    texts = ["".join(some.choices("abé\U0001f600.:,!)( [\t\n }{]?;;..))  ", k=some.randrange(50))) for _ in range(400)]
+    texts += [None, "", "..a", "a)..b ", "(.b) ", "a) .b ", "abc).b).c ", "a\u3000. ", "x" * 600 + ". ", "!" * 3000 + "." * 3000 + "a ", "a" + " " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    at = F.explode(F.sequence(F.lit(1), F.length("text")))
+    plain = docs.where("text <> ''").select("id", "text", at.alias("offset")).where(F.substring("text", F.col("offset"), F.lit(1)).isin(list(" \n\t.,!?;:)]}")))
+    plain = plain.select("id", "offset", text.token_before(F.col("text"), F.col("offset")).alias("t")).select("id", "offset", "t.*")
+    found = tokens.replayed_tokens(docs, "id")
+    assert found.columns == plain.columns and found.count() == plain.count()
+    assert found.exceptAll(plain).count() == 0
+
+
+def test_replay_of_a_long_text_is_linear(spark):
+    import time
+
+    def took(words):
+        docs = spark.createDataFrame([("ab. " * words,)], "text string")
+        began = time.time()
+        assert tokens.replayed_tokens(docs).agg(F.count("token"), F.max("offset")).first() == (2 * words, 4 * words)
+        return time.time() - began
+
+    took(100)
+    assert took(150_000) < 15  # looking back from every delimiter took minutes
+
+
 def test_protected_places(spark):
     docs = spark.createDataFrame([(1, "a\n```\nb\n```\nc\n  ~~~x\nd")], "doc_id long, text string")
     assert [r["fenced"] for r in protect.lines(docs).orderBy("number").collect()] == [False, True, True, True, False, True, True]
