@@ -182,12 +182,9 @@ SELECT doc_id, count(*) AS tokens, count(*) FILTER (code) AS in_code, count(*) F
 def guarded_tokens(spark, sf_dir):
     """Tokens of each document's lines by the guard that protects their place."""
     lines = protect.lines(read(spark, sf_dir, "documents"), "doc_id")
-    found = tokens.placed_tokens(lines, "doc_id", "line", "fenced", text="line")
-    line, start, end = F.col("line"), F.col("start"), F.col("end")
-    return found.groupBy("doc_id").agg(
-        F.count("*").alias("tokens"), F.count_if(protect.in_inline_code(line, start, end)).alias("in_code"), F.count_if(protect.in_link_target(line, start)).alias("in_links"),
-        F.count_if(protect.is_scheme(line, start, end)).alias("schemes"), F.count_if(protect.in_protected_place(line, start, end, F.col("fenced"))).alias("guarded"),
-    )
+    counts = ("tokens", "in_code", "in_links", "schemes", "guarded")
+    found = lines.select("doc_id", protect.guarded_counts(F.col("line"), F.col("fenced")).alias("n"))
+    return found.groupBy("doc_id").agg(*(F.sum(f"n.{c}").alias(c) for c in counts)).where("tokens > 0")
 
 
 SQL_TRANSACTIONS = CORRECTION_ORACLES["correction_transactions"].split("t AS (")[1].split(") SELECT doc_id, id, start::INT")[0]

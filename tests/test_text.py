@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,8 +64,6 @@ def test_replay_like_a_look_back_at_every_delimiter(spark):
 
 
 def test_replay_of_a_long_text_is_linear(spark):
-    import time
-
     def took(words):
         docs = spark.createDataFrame([("ab. " * words,)], "text string")
         began = time.time()
@@ -85,6 +84,31 @@ def test_protected_places(spark):
     assert [(r["line"], r["got"]) for r in found] == [(r["line"], r["expected"]) for r in found]
 
 
+def test_guards_are_those_of_each_place(spark):
+    some = random.Random(6)
+    parts = ["a", "b.c", "`", "\\", "\\`", " ", " ", " ", ". ", ":", "](", ")", "(", "[", "http:", "HTTPS: ", "ftp::", "http://x ", "é", "\U0001f600", ", ", "..", "$ ", "git "]
+    lines = ["".join(some.choices(parts, k=some.randrange(24))) for _ in range(1500)] + ["", "x" * 5000, "`a` " * 50, "[t](http://x y) z "]
+    rows = spark.createDataFrame([(n, line, n % 5 == 0) for n, line in enumerate(lines)], "n long, line string, fenced boolean")
+    line, a, b = F.col("line"), F.col("start"), F.col("end")
+    flags = protect.in_inline_code(line, a, b).alias("code"), protect.in_link_target(line, a).alias("link"), protect.is_scheme(line, a, b).alias("scheme"), protect.in_protected_place(line, a, b, F.col("fenced")).alias("guarded")
+    plain = tokens.placed_tokens(rows, "n", "line", "fenced", text="line").select("n", "start", *flags).orderBy("n", "start").collect()
+    found = {r["n"]: r for r in rows.select("n", protect.guards(line).alias("g"), protect.guarded_counts(line, F.col("fenced")).alias("c")).collect()}
+    for n in range(len(lines)):
+        own = [r for r in plain if r["n"] == n]
+        assert [tuple(g) for g in found[n]["g"]] == [(r["code"], r["link"], r["scheme"]) for r in own], lines[n]
+        assert tuple(found[n]["c"]) == (len(own), *(sum(r[c] for r in own) for c in ("code", "link", "scheme", "guarded"))), lines[n]
+    assert all(any(r[c] for r in plain) for c in ("code", "link", "scheme"))
+
+
+def test_guards_of_a_long_line_are_linear(spark, tmp_path):
+    from scrivener.plans import memory
+
+    spark.createDataFrame([(1, "`ab [c](d) " * 20_000), (2, "x" * 100_000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    found = [tuple(r) for r in memory.guarded_tokens(spark, str(tmp_path)).collect()]
+    assert [r[:2] for r in found] == [(1, 60_000)] and time.time() - began < 20  # looking at the whole line for every token took minutes
+
+
 def test_ranges(spark):
     def one(column):
         return spark.range(1).select(column.alias("v")).first()["v"]
